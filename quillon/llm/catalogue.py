@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, mixing, packing, token_files, warc
 
-_MODULES = (mixing, exact_dedup)
+_MODULES = (mixing, warc, exact_dedup, token_files, packing)
 
 
 def queries():

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import materialise, partitions
+from quillon.session import free_name, materialise, partitions
 
 #: Fixed values of the mix: weights of the sources in order, repeating; the share of all
 #: words; the most epochs of a source.
@@ -93,9 +93,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of the mix, whole, each as often as `copies` says; ids must be unique."""
-    plan = mix(docs, id_col, text_col, source_col, **how).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    plan = plan.select("_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id"))).select(*docs.columns)
+    row, copy = free_name(docs, "_row"), free_name(docs, "_copy")
+    plan = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias(row), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(copy))
+    return docs.join(plan, F.col(id_col).eqNullSafe(F.col(row))).select(*docs.columns)
 
 
 def op1_mix_sources(spark, sf_dir):
