@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, merkle, mixing, ngram_join, packing, token_counts, token_files, warc
+from quillon.llm import exact_dedup, maxent, merkle, mixing, ngram_join, packing, token_counts, token_files, toxicity, warc
 
-_MODULES = (mixing, warc, exact_dedup, ngram_join, merkle, token_counts, token_files, packing)
+_MODULES = (mixing, warc, exact_dedup, ngram_join, merkle, token_counts, token_files, maxent, packing, toxicity)
 
 
 def queries():

@@ -286,10 +286,12 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
 
     def run(batches):
         model = known.value
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
-            score, spans = score_batch(model, batch.column(1))
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "spans"])
+            for a, b in words.slices(batch.column(1)):
+                some = batch.slice(a, b - a)
+                score, spans = score_batch(model, some.column(1))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(spans, kind)], names=["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
@@ -303,8 +305,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     def run(batches):
         model = known.value
         for batch in batches:
-            score, _ = score_batch(model, batch.column(at))
-            yield batch.filter(pa.array(score < 0.5))
+            scores = [score_batch(model, batch.column(at).slice(a, b - a))[0] for a, b in words.slices(batch.column(at))]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

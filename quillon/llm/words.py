@@ -123,25 +123,41 @@ def all_words(column, fold: bool = True):
     return h, d, np.searchsorted(d, np.arange(len(column) + 1))
 
 
+def slices(column, limit: int = 1 << 20):
+    """Bounds of runs of documents of about `limit` bytes, or of one longer document."""
+    _, offsets = utf8(column)
+    at, n = 0, len(column)
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(n, to)
+        yield at, to
+        at = to
+
+
 def shingles(column, size: int):
     """Per document of a batch: its sorted distinct shingle hashes (uint64).
 
     With fewer than `size` words the whole sequence is one shingle; without words none.
     """
+    for i, j in slices(column):
+        yield from _shingles(column.slice(i, j - i), size)
+
+
+def _shingles(column, size: int):
     h, _, first = all_words(column)
-    keys = _RNG_KEYS[:size]
     full = np.zeros(max(0, len(h) - size + 1), np.uint64)
-    for j in range(size):
-        full += mix(h[j : len(h) - size + 1 + j] + keys[j]) if len(full) else full
+    if len(full):
+        for j in range(size):
+            full += mix(h[j : len(full) + j] + _RNG_KEYS[j])
     full = mix(full)
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= size:
             yield np.unique(full[a : b - size + 1])
         elif b > a:
-            short = np.uint64(b - a)
-            for j in range(b - a):
-                short = mix(np.array([short * _MIX1 + h[a + j]], np.uint64))[0]
-            yield np.array([short], np.uint64)
+            short = np.full(1, b - a, np.uint64)
+            for j in range(a, b):
+                short = mix(short * _MIX1 + h[j : j + 1])
+            yield short
         else:
             yield np.zeros(0, np.uint64)
 
