@@ -1,5 +1,10 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 #: Nulls, empty and blank texts, ties, repeated rows, a long text, clashing extra columns.
 HARD = [
     (1, "a b c d e f g", "s1"),
