@@ -6,16 +6,22 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Steps:
    frequencies of n-grams in a table of fixed size, which gives a global order, rare first.
 2. Sets that reach the threshold share one of their first n - ceil(t n) + 1 n-grams in
    any global order. Only those prefixes shuffle, and only prefix n-grams of two different
-   sets or more go on; the other documents are done.
+   sets or more go on. The place of the first n-gram they share bounds the partner's size
+   (what is left of both must hold the overlap); sets without a partner of fitting size
+   under any n-gram are done.
 3. Blocks (sets under one prefix n-gram) are joined in prefix trees: the sets, ordered by
    how many of the block hold an n-gram, form a trie with compressed paths; a query
    descends with the overlap counted so far, and a subtree is pruned when the remaining
    lengths cannot reach the overlap needed. Sets of one class are not compared again.
-   Three rounds: each set under one n-gram; one set of each class under every n-gram that
-   holds two classes; at last all sets under every such n-gram. So large groups collapse
-   before they are compared in full, and no link between classes is lost.
-
-Blocks above `BLOCK` n-grams are split: in the first rounds into parts, in the last into
+   Sets that shared n-grams connect are a cluster. One of at most `CLUSTER` n-grams in all
+   is one block, so that each set is sent once. A larger one is cut into bands of size, two
+   neighbouring bands a block, as sets of other sizes cannot link; a block that is still
+   too large is cut into up to `PARTS` parts and joined by pairs of parts. Clusters beyond
+   that take three rounds: each set under one n-gram; one set of each class under every n-gram that holds two classes; at last all
+   sets under every such n-gram. So large groups collapse before they are compared in
+   full, and no link between classes is lost.
+
+Blocks of rounds above `BLOCK` n-grams are split: in the first rounds into parts, in the last into
 all pairs of parts. Classes are connected components of the links found; nothing of them
 is collected. Hashes of 64 bits stand for n-grams and sets.
 """
@@ -23,10 +29,11 @@ is collected. Hashes of 64 bits stand for n-grams and sets.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import words
@@ -35,9 +42,11 @@ from quillon.session import drop, free_name, materialise, partitions, ship
 
 SIZE = 5
 PERCENT = 75
-FREQUENCY_BITS = 20
-CHUNK = 1 << 16
+FREQUENCY_BITS = 22
+CHUNK = 1 << 18
 BLOCK = 1 << 21
+CLUSTER = 1 << 20
+PARTS = 8
 BROADCAST_KEYS = 1 << 21
 
 
@@ -51,6 +60,11 @@ def prefix(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def largest_partner(n, place, percent: int = PERCENT):
+    """Largest size of a set that can link with one of n and shares its n-gram at `place` first."""
+    return (n - place) * (100 + percent) // percent - n
+
+
 def set_id(grams: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -59,15 +73,16 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, sid) and, one set a task, of frequencies (chunk, counts)."""
 
     def run(batches):
-        counts = np.zeros(1 << FREQUENCY_BITS, np.uint32)
+        counts = np.zeros(1 << FREQUENCY_BITS, np.int32)
         for batch in batches:
             n, sid = [], []
             for grams in words.shingles(batch.column(1), size):
                 n.append(len(grams))
                 sid.append(set_id(grams) if len(grams) else None)
-                np.add.at(counts, grams >> np.uint64(64 - FREQUENCY_BITS), np.uint32(1))
+                counts[grams >> np.uint64(64 - FREQUENCY_BITS)] += 1
             nulls = pa.nulls(len(n), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), nulls, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "sid", "chunk", "counts"])
+        counts = np.minimum(counts, 255).astype(np.uint8)  # a task tells no more than 255 apart
         for k in range(len(counts) // CHUNK):
             one = [pa.nulls(1, pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(one, names=["doc_id", "n", "sid", "chunk", "counts"])
@@ -82,39 +97,39 @@ def _frequencies(profile: DataFrame) -> np.ndarray:
         sums = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, np.uint32).astype(np.int64)
+                c = np.frombuffer(c, np.uint8).astype(np.int32)
                 sums[k] = sums[k] + c if k in sums else c
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     chunks = (1 << FREQUENCY_BITS) // CHUNK
     rows = profile.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << FREQUENCY_BITS, np.int64)
+    out = np.zeros(1 << FREQUENCY_BITS, np.int32)
     for k, c in rows:
-        out[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(c, np.int64)
+        out[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(c, np.int32)
     return out
 
 
 def _prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """(key, sid, n): the rarest n-grams of every set, once a task for equal sets."""
+    """(key, sid, n, most): the rarest n-grams of every set, once a task for equal sets, and
+    the largest partner by the n-gram's place."""
     known = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
         counts, seen = known.value, set()
         for batch in batches:
-            keys, sids, ns = [], [], []
+            out = ([], [], [], [])
             for grams in words.shingles(batch.column(1), size):
                 if len(grams) and (sid := set_id(grams)) not in seen:
                     seen.add(sid)
-                    p = prefix(len(grams), percent)
+                    n, p = len(grams), prefix(len(grams), percent)
                     order = np.argsort(counts[grams >> np.uint64(64 - FREQUENCY_BITS)], kind="stable")[:p]
-                    keys.append(grams[order].view(np.int64))
-                    sids.append(np.full(p, sid, np.int64))
-                    ns.append(np.full(p, len(grams), np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, sids, ns)], names=["key", "sid", "n"])
+                    for to, x in zip(out, (grams[order].view(np.int64), np.full(p, sid, np.int64), np.full(p, n, np.int32), largest_partner(n, np.arange(p), percent).astype(np.int32)), strict=True):
+                        to.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["key", "sid", "n", "most"])
 
-    return docs.mapInArrow(run, "key long, sid long, n long")
+    return docs.mapInArrow(run, "key long, sid long, n int, most int")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -244,6 +259,24 @@ def join_block(sids: list[int], classes: list[int], sets: list[np.ndarray], perc
             trie.retire(k)
 
 
+def _viable(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, sid, n, most, class) under keys of two classes or more that have, by size,
+    a possible partner under their key: of sets in order of size, the next larger one is
+    within `most`, or the next smaller one is large enough and some smaller one's `most`
+    reaches this. Rows of one size count once, so a frequent key is no large group."""
+    sizes = rows.groupBy("key", "n").agg(F.max("most").alias("most"), F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("c"))
+    by_size = Window.partitionBy("key").orderBy("n")
+    whole, before = Window.partitionBy("key"), by_size.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "key", "n", "c",
+        (F.min("lo").over(whole) < F.max("hi").over(whole)).alias("mixed"),
+        F.lead("n").over(by_size).alias("larger"), F.lag("n").over(by_size).alias("smaller"), F.max("most").over(before).alias("reach"),
+    )
+    below = (F.col("smaller") * 100 >= F.col("n") * percent) & (F.col("reach") >= F.col("n"))
+    rows = rows.join(sizes.where("mixed").withColumnRenamed("key", "_key").withColumnRenamed("n", "_n"), F.expr("key = _key and n = _n"))
+    return rows.where(((F.col("c") > 1) & (F.col("most") >= F.col("n"))) | (F.col("larger") <= F.col("most")) | below).select("key", "sid", "n", "most", "class")
+
+
 def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found in blocks (block, sid, class)."""
     spark = blocks.sparkSession
@@ -268,30 +301,26 @@ def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     arrays.append(np.frombuffer(grams.as_buffer(), np.uint64).copy())
         yield from close()
 
-    rows = blocks.join(sets, "sid").select("block", "sid", "class", "grams")
+    rows = sets.join(_broadcast_few(blocks), "sid").select("block", "sid", "class", "grams")
     return rows.repartition(2 * partitions(spark), "block").sortWithinPartitions("block", "sid").mapInArrow(run, "a long, b long")
 
 
-def _split(rows: DataFrame, pairs: bool) -> DataFrame:
-    """Blocks (block, sid, class) from rows (key, sid, n, class), large keys in parts."""
-    parts = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
-    out = rows.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+def _split(rows: DataFrame, pairs: bool, most: int) -> DataFrame:
+    """Blocks (block, sid, class) from rows (key, sid, n, class); a key of more than `most`
+    n-grams in parts, or all pairs of parts."""
+    parts = rows.groupBy("key").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts")).withColumnRenamed("key", "_key")
+    out = rows.join(parts, F.col("key") == F.col("_key")).withColumn("part", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
     if pairs:
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
         out = out.select("*", other).withColumn("part", F.least("part", "other") * 100000 + F.greatest("part", "other"))
     return out.select(F.xxhash64("key", "part").alias("block"), "sid", "class")
 
 
-def _classes(rows: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows (key, sid, n) with their class, under keys that hold two classes or more."""
-    classes = None
+def _classes(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Rows (key, sid, n, most) with the class that the links give their set."""
     if links is None:
-        rows = rows.withColumn("class", F.col("sid"))
-    else:
-        classes = components(links)
-        rows = rows.join(classes, rows["sid"] == classes["node"], "left").select("key", "sid", "n", F.coalesce("component", "sid").alias("class"))
-    active = rows.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    return rows.join(active, "key", "left_semi"), classes
+        return rows.withColumn("class", F.col("sid"))
+    return rows.join(components(links), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "most", F.coalesce("component", "sid").alias("class"))
 
 
 def _broadcast_few(df: DataFrame) -> DataFrame:
@@ -318,23 +347,47 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialise(pref.join(_broadcast_few(shared), "key", "left_semi").distinct(), "ngram-rows")
     drop(pref)
 
+    every = materialise(_viable(_classes(rows, None), percent).drop("class"), "ngram-viable")
+    drop(rows)
+
     owner = profile.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("o"))
-    owner = owner.join(rows.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("o.doc_id").alias("owner"))
+    owner = owner.join(every.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("o.doc_id").alias("owner"))
     owner = materialise(owner, "ngram-owners")
     sets = materialise(_sets(docs.join(_broadcast_few(owner), F.col("doc_id").eqNullSafe(F.col("owner"))).select("sid", "text"), size), "ngram-sets")
 
-    def add(links, blocks):
-        found = materialise(_links(blocks, sets, percent), "ngram-links")
-        return found if links is None else links.union(found)
-
-    first = rows.groupBy("sid").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key")).alias("k"), F.first("n").alias("n"))
-    first = first.select(F.col("k.key").alias("key"), "sid", "n", F.col("sid").alias("class"))
-    links = add(None, _split(first, False))
-    active, _ = _classes(rows, links)
-    one = active.groupBy("key", "class").agg(F.min(F.struct("sid", "n")).alias("s")).select("key", F.col("s.sid").alias("sid"), F.col("s.n").alias("n"), "class")
-    links = add(links, _split(_distinct_keys(materialise(one, "ngram-reps")), False))
-    active, _ = _classes(rows, links)
-    links = add(links, _split(_distinct_keys(materialise(active, "ngram-active")), True))
+    def find(rows, pairs=False):
+        rows = materialise(rows, "ngram-round")
+        if rows.isEmpty():
+            return None
+        blocks = materialise(_split(_distinct_keys(rows), pairs, BLOCK), "ngram-blocks")
+        return materialise(_links(blocks, sets, percent), "ngram-links")
+
+    low = every.groupBy("key").agg(F.min("sid").alias("low"))
+    clusters = components(every.join(low, "key").select(F.col("sid").alias("a"), F.col("low").alias("b")).distinct())
+    members = every.groupBy("sid").agg(F.first("n").alias("n")).join(clusters, F.col("sid") == F.col("node")).select("sid", "n", "component")
+    total = members.groupBy("component").agg(F.sum("n").alias("total")).withColumnRenamed("component", "_component")
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    bands = F.when(F.col("total") <= CLUSTER, F.array(F.lit(-9))).otherwise(F.array(band, band - 1))
+    members = members.join(total, F.col("component") == F.col("_component")).select("sid", "n", F.col("sid").alias("class"), "component", F.explode(bands).alias("band"))
+    members = materialise(members.select(F.xxhash64("component", "band").alias("key"), "sid", "n", "class"), "ngram-members")
+    huge = members.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > PARTS * CLUSTER).select("key")
+    blocks = materialise(_split(members.join(huge, "key", "left_anti"), True, CLUSTER), "ngram-blocks")
+    links = materialise(_links(blocks, sets, percent), "ngram-links")
+    every = materialise(every.join(members.join(huge, "key", "left_semi").select("sid").distinct(), "sid", "left_semi").select("key", "sid", "n", "most"), "ngram-large")
+    if not every.isEmpty():
+        found = None
+
+        def add(rows, pairs=False):
+            more = find(rows, pairs)
+            return more if found is None else found if more is None else found.union(more)
+
+        first = every.groupBy("sid").agg(F.min(F.struct(F.xxhash64("key").alias("h"), "key", "n", "most")).alias("k")).select("k.key", "sid", "k.n", "k.most")
+        found = add(_viable(_classes(first, None), percent))
+        one = _viable(_classes(every, found), percent).groupBy("key", "class").agg(F.min(F.struct("sid", "n", "most")).alias("s")).select("key", "s.sid", "s.n", "s.most", "class")
+        found = add(_viable(one, percent))
+        found = add(_viable(_classes(every, found), percent), True)
+        if found is not None:
+            links = links.union(found)
     classes = components(links)
 
     ids = profile.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("c"))

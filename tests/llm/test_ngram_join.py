@@ -54,9 +54,11 @@ def test_hard(hard, none):
     assert got(none) == []
 
 
-@pytest.mark.parametrize("block", [1 << 21, 300])
-def test_families_and_shared_passages(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, cluster, parts", [(1 << 21, 1 << 20, 8), (1 << 21, 500, 1000), (1 << 21, 500, 0), (300, 1, 0)])
+def test_families_and_shared_passages(spark, monkeypatch, block, cluster, parts):
+    monkeypatch.setattr(ngram_join, "PARTS", parts)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "CLUSTER", cluster)
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choices("abcdefghij", k=4))
     passage, rows = [word() for _ in range(60)], []
