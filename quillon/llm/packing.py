@@ -22,11 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import token_files, tokens
+from quillon.llm import token_files, tokens, words
 from quillon.session import drop, materialise, partitions, ship
 
 CAPACITY = 4096
-SLICE = 256
+SLICE = 4 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,8 +37,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     def cut(batches):
         encode = tokens.encoder(tokenizer)
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                some = batch.slice(i, SLICE)
+            for i, j in words.slices(batch.column(1), SLICE):
+                some = batch.slice(i, j - i)
                 out = ([], [], [], [], [])
                 for doc_id, ids in zip(some.column(0).to_pylist(), token_files.encoded(some.column(1).to_pylist(), encode), strict=True):
                     for k, at in enumerate(range(0, len(ids), capacity)):

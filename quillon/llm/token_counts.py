@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import tokens
+from quillon.llm import tokens, words
 from quillon.session import ship
 
 SEGMENT = 512
-SLICE = 256
+SLICE = 4 << 20
 OUT = "doc_id long, n_chars long, n_tokens long, edited_chars long, edited_tokens long, segments long, reencoded_chars long"
 
 
@@ -116,8 +116,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tok
             return [len(b) // 4 for b in encode(pieces)]
 
         for batch in batches:
-            for i in range(0, batch.num_rows, SLICE):
-                some = batch.slice(i, SLICE)
+            for i, j in words.slices(batch.column(1), SLICE):
+                some = batch.slice(i, j - i)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 pieces = [segments(t) for t in texts]
                 counts, at, rows = count([p for ps in pieces for p in ps]), 0, []

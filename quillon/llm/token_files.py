@@ -1,9 +1,10 @@
 """Token-id output in Arrow files of equal-length sequences.
 
-Format: an Arrow IPC file (random access by record batch) with three columns.
-``ids``: fixed-size list of `LENGTH` uint32, the documents' ids on end. ``mask``: fixed-size
-list of `LENGTH` uint8: 1 for an id, 2 for the last id of a document, 0 for padding after
-the file's last document. ``doc_ids``: the ids of the documents that end in the sequence.
+Format: an Arrow IPC file (random access by record batch) with four columns.
+``ids``: fixed-size list of `LENGTH` uint16 (uint32 for tokenizers of more than 65,536 ids),
+the documents' ids on end. ``mask``: fixed-size list of `LENGTH` bits: true for an id, false
+for padding after the file's last document. ``doc_ids`` and ``ends``: lists of the documents
+that end in the sequence and of the places after their last ids.
 Every batch but the last has `BATCH` rows, so sequence k is row k % BATCH of batch
 k // BATCH, and its ids and mask are views of the mapped file. Files follow each other in
 ascending document id, one for each range partition.
@@ -19,17 +20,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import storage, tokens
+from quillon.llm import storage, tokens, words
 from quillon.session import new_path, partitions, ship
 
 LENGTH = 2048
 BATCH = 128
-SLICE = 256
+SLICE = 4 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _schema(length: int):
-    return pa.schema([("ids", pa.list_(pa.field("item", pa.uint32(), False), length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), length)), ("doc_ids", pa.list_(pa.int64()))])
+def _schema(length: int, wide: bool = False):
+    fixed = [("ids", pa.list_(pa.field("item", pa.uint32() if wide else pa.uint16(), False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))]
+    return pa.schema([*fixed, ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32()))])
 
 
 def name(folder: str, part: int) -> str:
@@ -39,22 +41,26 @@ def name(folder: str, part: int) -> str:
 class Writer:
     """Appends documents to one file; holds one batch of sequences in memory."""
 
-    def __init__(self, out, length: int = LENGTH):
-        self.length, self.room = length, length * BATCH
-        self.file = pa.ipc.new_file(out, _schema(length))
-        self.ids, self.mask, self.ends = np.zeros(self.room, "<u4"), np.zeros(self.room, np.uint8), [[] for _ in range(BATCH)]
+    def __init__(self, out, length: int = LENGTH, wide: bool = False):
+        self.length, self.room, self.schema = length, length * BATCH, _schema(length, wide)
+        self.file = pa.ipc.new_file(out, self.schema)
+        self.ids = np.zeros(self.room, np.uint32 if wide else np.uint16)
         self.used = self.docs = self.total = 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.used, self.names, self.ends = 0, [[] for _ in range(BATCH)], [[] for _ in range(BATCH)]
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         at = 0
         while at < len(ids):
             n = min(len(ids) - at, self.room - self.used)
             self.ids[self.used : self.used + n] = ids[at : at + n]
-            self.mask[self.used : self.used + n] = 1
             at, self.used = at + n, self.used + n
             if at == len(ids):
-                self.mask[self.used - 1] = 2
-                self.ends[(self.used - 1) // self.length].append(doc_id)
+                row = (self.used - 1) // self.length
+                self.names[row].append(doc_id)
+                self.ends[row].append(self.used - row * self.length)
             if self.used == self.room:
                 self._flush()
         self.docs, self.total = self.docs + 1, self.total + len(ids)
@@ -63,9 +69,12 @@ class Writer:
         rows = -(-self.used // self.length)
         if rows:
             n = rows * self.length
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(a[:n].copy()), type=t.type) for a, t in ((self.ids, _schema(self.length)[0]), (self.mask, _schema(self.length)[1]))]
-            self.file.write_batch(pa.record_batch([*lists, pa.array(self.ends[:rows], pa.list_(pa.int64()))], schema=_schema(self.length)))
-        self.ids[:], self.mask[:], self.ends, self.used = 0, 0, [[] for _ in range(BATCH)], 0
+            self.ids[self.used : n] = 0
+            mask = np.arange(n) < self.used
+            fixed = [pa.FixedSizeListArray.from_arrays(pa.array(a), type=t) for a, t in ((self.ids[:n], self.schema.types[0]), (mask, self.schema.types[1]))]
+            lists = [pa.array(x[:rows], t) for x, t in ((self.names, self.schema.types[2]), (self.ends, self.schema.types[3]))]
+            self.file.write_batch(pa.record_batch([*fixed, *lists], schema=self.schema))
+        self._clear()
 
     def close(self) -> None:
         self._flush()
@@ -73,10 +82,12 @@ class Writer:
 
 
 def sequence(path: str, k: int):
-    """(ids, mask) of sequence k of a local file: numpy views of the mapped file, not copies."""
+    """(ids, mask) of sequence k of a local file: views of the mapped file, not copies; ids
+    as a numpy array, the mask as an Arrow array of bits."""
     with pa.memory_map(path) as source:
         batch = pa.ipc.open_file(source).get_batch(k // BATCH)
-    return tuple(batch.column(c)[k % BATCH].values.to_numpy(zero_copy_only=True) for c in ("ids", "mask"))
+    ids, mask = (batch.column(c)[k % BATCH].values for c in ("ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def encoded(texts: list, encode) -> list[np.ndarray]:
@@ -99,11 +110,12 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def write(batches):
         part = TaskContext.get().partitionId()
         encode = tokens.encoder(tokenizer)
+        wide = tokens.vocabulary(tokenizer) > 1 << 16
         with storage.new_file(name(folder, part)) as out:
-            writer = Writer(out, length)
+            writer = Writer(out, length, wide)
             for batch in batches:
-                for i in range(0, batch.num_rows, SLICE):
-                    some = batch.slice(i, SLICE)
+                for i, j in words.slices(batch.column(1), SLICE):
+                    some = batch.slice(i, j - i)
                     for doc_id, ids in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), encode), strict=True):
                         writer.add(doc_id, ids)
             writer.close()
@@ -134,17 +146,18 @@ def read_tokens(spark, folder: str, manifest) -> DataFrame:
                     start, crc, n = starts[parts[k]], 0, 0
                     for b in range(file.num_record_batches):
                         batch = file.get_batch(b)
-                        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1))
-                        names = batch.column(2).flatten()
+                        length = batch.schema.types[0].list_size
+                        ids = batch.column(0).flatten().to_numpy(zero_copy_only=True).astype("<u4")
+                        used = batch.column(1).flatten().true_count
+                        row = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
                         rows, at = ([], [], []), 0
-                        for end in (np.flatnonzero(mask == 2) + 1).tolist():
+                        for end in (row * length + batch.column(3).flatten().to_numpy()).tolist():
                             crc, n = zlib.crc32(ids[at:end], crc), n + end - at
                             for to, x in zip(rows, (start, n, crc), strict=True):
                                 to.append(x)
                             start, at, crc, n = start + n, end, 0, 0
-                        rest = int(np.count_nonzero(mask))
-                        crc, n = zlib.crc32(ids[at:rest], crc), n + rest - at
-                        yield pa.RecordBatch.from_arrays([names.cast(pa.int64()), *(pa.array(x, pa.int64()) for x in rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        crc, n = zlib.crc32(ids[at:used], crc), n + used - at
+                        yield pa.RecordBatch.from_arrays([batch.column(2).flatten(), *(pa.array(x, pa.int64()) for x in rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, SCHEMA)
 

@@ -8,20 +8,30 @@ a batch. A text with an angle-bracket bar, the mark of special tokens, is encode
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import sys
+from array import array
 
 import numpy as np
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
 END_ID = 1
 #: Fixed value: the pattern of tokenizers for which plain words may skip the normaliser.
 PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit ids."""
+    a = array("I", ids)
+    if sys.byteorder != "little":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Words:
     """A tokenizer that encodes words, and this process's cache of them."""
 
@@ -40,37 +50,61 @@ class Words:
         splits = [x.get("pattern", {}).get("Regex") for x in (parts["pre_tokenizer"] or {}).get("pretokenizers", [])]
         # Such a tokenizer makes a plain word lower case and one pre-token, its stops another.
         self.plain = None
-        if kinds == ["NFC", "Replace", "Lowercase"] and splits == [PLAIN_SPLIT, None]:
+        mark = parts["model"].get("end_of_word_suffix")
+        if kinds == ["NFC", "Replace", "Lowercase"] and splits == [PLAIN_SPLIT, None] and mark:
+            self.closes = np.zeros(self.full.get_vocab_size(), bool)
+            self.closes[[k for w, k in parts["model"]["vocab"].items() if w.endswith(mark)]] = True
             self.plain = Tokenizer(self.full.model)
-            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
 
-    def whole(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        tokenizer = tokenizer or self.full
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [pack(e.ids) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of plain pre-tokens, encoded as one text with spaces between: the last token
+        of each, and no other, has the mark of a word's end."""
+        ids = np.array(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+        ids = ids.tobytes()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if parts else []
 
     def fresh(self, words: list[str]) -> dict[str, bytes]:
-        out, rest, plain = {}, words, []
-        if self.plain is not None:
-            rest = []
-            for w in words:
-                if m := _PLAIN.fullmatch(w):
-                    plain.append((w, m[1].lower(), m[2]))
-                else:
-                    rest.append(w)
-            parts = list({p for _, *ps in plain for p in ps if p})
-            known = dict(zip(parts, self.whole(parts, self.plain), strict=True)) | {"": b""}
-            out = {w: known[a] + known[b] for w, a, b in plain}
+        if self.plain is None:
+            return dict(zip(words, self.whole(words), strict=True))
+        bare = [w for w in words if w.isalpha() and w.isascii()]
+        low = [w.lower() for w in bare]
+        other = [(w, _PLAIN.fullmatch(w)) for w in words if not (w.isalpha() and w.isascii())]
+        marked = [(w, m[1].lower(), m[2]) for w, m in other if m]
+        rest = [w for w, m in other if not m]
+        known = self.parts
+        parts = set(low)
+        parts.update(a for _, a, _ in marked)
+        parts.update(b for _, _, b in marked)
+        parts.difference_update(known)
+        parts = list(parts)
+        known.update(zip(parts, self.joined(parts), strict=True))
+        out = dict(zip(bare, map(known.__getitem__, low), strict=True))
+        out.update((w, known[a] + known[b]) for w, a, b in marked)
         out.update(zip(rest, self.whole(rest), strict=True))
+        if len(known) > CACHE_WORDS:
+            for p in parts:
+                del known[p]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        gc.disable()  # the collector would walk the cache again and again
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
-        for ws in split:
-            if ws is not None:
-                new.update(ws)
+        new.update(*(ws for ws in split if ws is not None))
         new.difference_update(cache)
         if new:
             cache.update(self.fresh(list(new)))
@@ -82,6 +116,19 @@ class Words:
         return out
 
 
+def _kept(path: str | None) -> Words:
+    kept = sys.__dict__.setdefault("_quillon_tokens", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = Words(path)
+    return kept[path]
+
+
+def vocabulary(path: str | None = None) -> int:
+    """One more than the largest id."""
+    return _kept(path).full.get_vocab_size()
+
+
 def encoder(path: str | None = None):
     """A function from a list of texts to a list of bytes: little-endian unsigned 32-bit ids.
 
@@ -89,8 +136,4 @@ def encoder(path: str | None = None):
     token cross it; None takes the public ``word_bpe_49k.json`` of the executor. The cache
     outlives a task where Spark keeps its Python workers.
     """
-    kept = sys.__dict__.setdefault("_quillon_tokens", {})
-    if path not in kept:
-        kept.clear()
-        kept[path] = Words(path)
-    return kept[path].encode
+    return _kept(path).encode

@@ -63,7 +63,7 @@ def test_sequences_are_views(spark, sf):
     folder, manifest = token_files.write_tokens(spark.read.parquet(f"{sf}/documents.parquet"))
     part = next(p for p, n, _ in manifest if n)
     ids, mask = token_files.sequence(token_files.name(folder, part).removeprefix("file://"), 0)
-    assert len(ids) == len(mask) == token_files.LENGTH and not ids.flags.owndata and set(np.unique(mask)) <= {0, 1, 2}
+    assert len(ids) == len(mask) == token_files.LENGTH and not ids.flags.owndata and mask.true_count > 0
 
 
 def test_token_files_of_nothing(spark, none):
