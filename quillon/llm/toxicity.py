@@ -29,6 +29,7 @@ SUPPORT = 4
 PURITY = 0.9
 ROUNDS = 40
 BLOCK = 256
+FIT_RUN = 1 << 18
 SPACE = np.ones(256, bool)
 SPACE[128:] = False
 SPACE[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -68,7 +69,7 @@ def tokenise(column):
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def neighbours(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,9 +165,9 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
     if not len(h) or not toxic.any() or toxic.all():
         model["score"][0] = 6.0 if n and toxic.all() else -6.0
         return model
-    f = features(data, start, end, h)
     types, rep, kind = np.unique(h, return_index=True, return_inverse=True)
-    tf = f[rep]
+    kind = kind.astype(np.int32)
+    tf = features(data, start[rep], end[rep], types)
     # Documents that hold a feature, toxic and not.
     marked = np.zeros(len(types), bool)
     for k in range(5):
@@ -184,10 +185,25 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
     last = np.append(first[1:], len(h)) - 1
     before, after = neighbours(h, first, last)
     slots, bslot, aslot = _slot(tf), _slot(before), _slot(after)
-    pairs_y = np.zeros((len(h), 4))
-    prev = np.append(0, y[:-1])
-    pairs_y[np.arange(len(h)), (2 * prev + y).astype(int)] = 1
-    pairs_y[first] = 0
+    moves = (2 * np.append(0, y[:-1]) + y).astype(int)
+    moves[first] = -1
+    told_moves = np.bincount(moves[use & (moves >= 0)], minlength=4).astype(np.float64)
+    del start, end, moves
+    # Runs of whole documents, so that a step's memory does not follow the sample.
+    cuts = [0, *(int(k) for k in first[np.flatnonzero(np.diff(first // FIT_RUN)) + 1]), len(h)]
+
+    def step():
+        gap, pairs = np.empty(len(h)), np.zeros(4)
+        emit = model["word"][slots].sum(1) + model["bias"]
+        p = np.empty(len(h))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            u = emit[kind[i:j]] + model["before"][bslot[i:j]] + model["after"][aslot[i:j]]
+            in_run = (first >= i) & (first < j)
+            p[i:j], pair = marginals(u, first[in_run] - i, last[in_run] - i, model["move"], model["begin"])
+            gap[i:j] = np.where(use[i:j], p[i:j] - y[i:j], 0.0)
+            pairs += pair[use[i:j]].sum(0)
+        return p, gap, pairs
+
     squares = {k: np.full(1 << BITS, 1e-8) for k in ("word", "before", "after")}
     small = np.full(6, 1e-8)
     rate = 0.5
@@ -199,20 +215,18 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
         w -= (rate * g / np.sqrt(squares[name])).astype(np.float32)
 
     for _ in range(ROUNDS):
-        u = model["bias"] + model["word"][slots].sum(1)[kind] + model["before"][bslot] + model["after"][aslot]
-        p, pair = marginals(u, first, last, model["move"], model["begin"])
-        gap = np.where(use, p - y, 0.0)
+        _, gap, pairs = step()
         by_type = np.bincount(kind, weights=gap, minlength=len(types))
         descend("word", sum(np.bincount(slots[:, k], weights=by_type, minlength=1 << BITS) for k in range(KINDS)), 0.02)
         descend("before", np.bincount(bslot, weights=gap, minlength=1 << BITS), 0.5)
         descend("after", np.bincount(aslot, weights=gap, minlength=1 << BITS), 0.5)
-        g = np.append(((pair - pairs_y) * use[:, None]).sum(0), [gap.sum(), gap[first].sum()])
+        g = np.append(pairs - told_moves, [gap.sum(), gap[first].sum()])
         small += g * g
-        step = rate * g / np.sqrt(small)
-        model["move"] -= step[:4].reshape(2, 2)
-        model["bias"] -= step[4]
-        model["begin"] -= step[5]
-    p, _ = marginals(model["bias"] + model["word"][slots].sum(1)[kind] + model["before"][bslot] + model["after"][aslot], first, last, model["move"], model["begin"])
+        change = rate * g / np.sqrt(small)
+        model["move"] -= change[:4].reshape(2, 2)
+        model["bias"] -= change[4]
+        model["begin"] -= change[5]
+    p, _, _ = step()
     model["score"] = _logistic(aggregates(p, doc, n), toxic)
     return model
 
