@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import weekly
+from quillon.plans import core, weekly
 
-_MODULES = (weekly,)
+_MODULES = (weekly, core)
 
 
 def queries():
