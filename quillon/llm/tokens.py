@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 END_ID = 1
 #: Fixed value: the pattern of tokenizers for which plain words may skip the normaliser.
 PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -82,8 +82,7 @@ class Words:
         parts = set(low)
         parts.update(a for _, a, _ in marked)
         parts.update(b for _, _, b in marked)
-        parts.difference_update(known)
-        parts = list(parts)
+        parts = list(parts.difference(known))
         known.update(zip(parts, self.joined(parts), strict=True))
         out = dict(zip(bare, map(known.__getitem__, low), strict=True))
         out.update((w, known[a] + known[b]) for w, a, b in marked)
@@ -105,7 +104,7 @@ class Words:
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
         new: set[str] = set()
         new.update(*(ws for ws in split if ws is not None))
-        new.difference_update(cache)
+        new = new.difference(cache)  # walks `new`; difference_update would walk the cache
         if new:
             cache.update(self.fresh(list(new)))
         get = cache.__getitem__
@@ -124,6 +123,11 @@ def _kept(path: str | None) -> Words:
     return kept[path]
 
 
+def forget() -> None:
+    """Free this process's cache, for operators that need its memory."""
+    sys.__dict__.pop("_quillon_tokens", None)
+
+
 def vocabulary(path: str | None = None) -> int:
     """One more than the largest id."""
     return _kept(path).full.get_vocab_size()
