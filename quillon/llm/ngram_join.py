@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm import words
+from quillon.llm import tokens, words
 from quillon.llm.components import components
 from quillon.session import drop, free_name, materialise, partitions, ship
 
@@ -73,6 +73,7 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
     """Rows of documents (doc_id, n, sid) and, one set a task, of frequencies (chunk, counts)."""
 
     def run(batches):
+        tokens.forget()
         counts = np.zeros(1 << FREQUENCY_BITS, np.int32)
         for batch in batches:
             n, sid = [], []
@@ -116,6 +117,7 @@ def _prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
     known = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
+        tokens.forget()
         counts, seen = known.value, set()
         for batch in batches:
             out = ([], [], [], [])

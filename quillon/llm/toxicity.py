@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm import words
+from quillon.llm import tokens, words
 from quillon.session import ship
 
 SAMPLE = 6000
@@ -185,17 +185,19 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
     last = np.append(first[1:], len(h)) - 1
     before, after = neighbours(h, first, last)
     slots, bslot, aslot = _slot(tf), _slot(before), _slot(after)
+    del before, after, tf, h, data
     moves = (2 * np.append(0, y[:-1]) + y).astype(int)
     moves[first] = -1
     told_moves = np.bincount(moves[use & (moves >= 0)], minlength=4).astype(np.float64)
     del start, end, moves
     # Runs of whole documents, so that a step's memory does not follow the sample.
-    cuts = [0, *(int(k) for k in first[np.flatnonzero(np.diff(first // FIT_RUN)) + 1]), len(h)]
+    size = len(kind)
+    cuts = [0, *(int(k) for k in first[np.flatnonzero(np.diff(first // FIT_RUN)) + 1]), size]
 
     def step():
-        gap, pairs = np.empty(len(h)), np.zeros(4)
+        gap, pairs = np.empty(size), np.zeros(4)
         emit = model["word"][slots].sum(1) + model["bias"]
-        p = np.empty(len(h))
+        p = np.empty(size)
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             u = emit[kind[i:j]] + model["before"][bslot[i:j]] + model["after"][aslot[i:j]]
             in_run = (first >= i) & (first < j)
@@ -275,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "toxic")
 
     def learn(batches):
+        tokens.forget()
         table = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
         model = fit_model(pc.cast(table["text"].combine_chunks(), pa.large_string()), table["toxic"].to_numpy())
         names = list(model)
@@ -299,6 +302,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
     known = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        tokens.forget()
         model = known.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in batches:
@@ -317,6 +321,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches):
+        tokens.forget()
         model = known.value
         for batch in batches:
             scores = [score_batch(model, batch.column(at).slice(a, b - a))[0] for a, b in words.slices(batch.column(at))]
