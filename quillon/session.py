@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = None
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -56,8 +57,11 @@ def drop(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per Spark context."""
+    """Send this package to the executors once per Spark context, and have long texts reach
+    Python in batches of 8 MB unless the context names another size."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(_BATCH_BYTES):
+        spark.conf.set(_BATCH_BYTES, "8m")
     if getattr(sc, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parent
