@@ -26,7 +26,7 @@ from quillon.llm import token_files, tokens, words
 from quillon.session import drop, materialise, partitions, ship
 
 CAPACITY = 4096
-SLICE = 4 << 20
+SLICE = 1 << 20
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -25,7 +25,7 @@ from quillon.session import new_path, partitions, ship
 
 LENGTH = 2048
 BATCH = 128
-SLICE = 4 << 20
+SLICE = 1 << 20
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 

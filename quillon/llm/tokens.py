@@ -8,6 +8,7 @@ a batch. A text with an angle-bracket bar, the mark of special tokens, is encode
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import json
 import os
@@ -16,8 +17,11 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 CACHE_WORDS = 500_000
+#: Pre-tokens encoded in one call: the library holds about 100 bytes for each of their tokens.
+ENCODE_AT_ONCE = 10_000
 END_ID = 1
 #: Fixed value: the pattern of tokenizers for which plain words may skip the normaliser.
 PLAIN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -65,10 +69,14 @@ class Words:
     def joined(self, parts: list[str]) -> list[bytes]:
         """Ids of plain pre-tokens, encoded as one text with spaces between: the last token
         of each, and no other, has the mark of a word's end."""
-        ids = np.array(self.plain.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
-        ids = ids.tobytes()
-        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if parts else []
+        out: list[bytes] = []
+        for k in range(0, len(parts), ENCODE_AT_ONCE):
+            some = " ".join(parts[k : k + ENCODE_AT_ONCE])
+            ids = np.array(self.plain.encode_batch_fast([some], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            ids = ids.tobytes()
+            out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
     def fresh(self, words: list[str]) -> dict[str, bytes]:
         if self.plain is None:
@@ -126,6 +134,16 @@ def _kept(path: str | None) -> Words:
 def forget() -> None:
     """Free this process's cache, for operators that need its memory."""
     sys.__dict__.pop("_quillon_tokens", None)
+    trim()
+
+
+def trim() -> None:
+    """Give memory that earlier tasks freed in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):  # glibc has it, musl does not
+            libc.malloc_trim(0)
 
 
 def vocabulary(path: str | None = None) -> int:
@@ -140,4 +158,5 @@ def encoder(path: str | None = None):
     token cross it; None takes the public ``word_bpe_49k.json`` of the executor. The cache
     outlives a task where Spark keeps its Python workers.
     """
+    trim()
     return _kept(path).encode
