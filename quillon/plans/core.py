@@ -152,7 +152,7 @@ def trade(spark, sf_dir):
     """nodes (node) and edges: parts joined through an order of two lines or more, chained."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
     a, b = (li.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_partkey").alias(n)) for k, n in ((1, "src"), (2, "dst")))
-    edges = a.join(b, "l_orderkey").where("l_orderkey % 40 = 1").select(F.col("l_orderkey").alias("edge_id"), "src", "dst")
+    edges = a.join(b, "l_orderkey").select(F.col("l_orderkey").alias("edge_id"), "src", "dst")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node")), edges
 
 
@@ -177,7 +177,7 @@ def components(spark, sf_dir):
 
 
 def hop_distances(spark, sf_dir):
-    return graph.hop_distances(*trade(spark, sf_dir), limit=3).select("src", "dst", F.col("hops").cast("int").alias("hops"))
+    return graph.hop_distances(*trade(spark, sf_dir), limit=2).select("src", "dst", F.col("hops").cast("int").alias("hops"))
 
 
 def modularity_by_label(spark, sf_dir):
@@ -195,7 +195,7 @@ n as (select id, week, cast(count(*) as double) as x from o group by id, week),
 g as (select i.id, w.week, w.lo from (select distinct id from n) i, (select min(week) as lo, unnest(range(min(week), max(week) + 1)) as week from n) w),
 s as (select g.id, g.week - g.lo as t, coalesce(n.x, 0e0) as x from g left join n on g.id = n.id and g.week = n.week)"""
 _TRADE = """
-e as (select a.l_orderkey as edge_id, a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2 where a.l_orderkey % 40 = 1),
+e as (select a.l_orderkey as edge_id, a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2),
 y as (select src, dst from e where src <> dst union all select dst, src from e where src <> dst),
 d as (select p_partkey as node, count(src) as degree from part left join y on src = p_partkey group by p_partkey)"""
 _L = _TRADE + """,
@@ -272,6 +272,6 @@ select a, b, cast(lag as integer) as lag, round(r, 6) + 0e0 as r, round(atanh(gr
     "laplacian_apply": f"with {_L} select row_ as node, round(sum(val * x), 6) + 0e0 as x from l join x0 on col_ = node group by row_",
     "diffuse_3_steps": f"with {_L}, " + ", ".join(f"x{k} as (select p.node, 0.9e0 * (p.x - 0.25e0 * coalesce(q.x, 0e0)) as x from x{k - 1} p left join (select row_ as node, sum(val * x) as x from l join x{k - 1} on col_ = node group by row_) q on p.node = q.node)" for k in (1, 2, 3)) + " select node, round(x, 6) + 0e0 as x from x3",
     "components": f"with recursive {_TRADE}, c as (select p_partkey as node, p_partkey as root from part union select y.dst, c.root from c join y on y.src = c.node where c.root <= y.dst) select node, min(root) as component from c group by node",
-    "hop_distances": f"with {_TRADE}, u as (select distinct src, dst from y), h as (select p_partkey as src, p_partkey as dst, 0 as hops from part union all select src, dst, 1 from u union all select a.src, b.dst, 2 from u a join u b on a.dst = b.src union all select a.src, c.dst, 3 from u a join u b on a.dst = b.src join u c on b.dst = c.src) select src, dst, cast(min(hops) as integer) as hops from h group by src, dst",
+    "hop_distances": f"with {_TRADE}, u as (select distinct src, dst from y), h as (select p_partkey as src, p_partkey as dst, 0 as hops from part union all select src, dst, 1 from u union all select a.src, b.dst, 2 from u a join u b on a.dst = b.src) select src, dst, cast(min(hops) as integer) as hops from h group by src, dst",
     "modularity_by_label": f"with {_TRADE}, m as (select count(*) as m from e where src <> dst), t as (select src % 9 as label, count(*) as d, count(*) filter (src % 9 = dst % 9) as i2 from y group by 1) select round(sum(i2 / 2e0 / m - pow(d / (2e0 * m), 2)), 6) + 0e0 as q from t, m",
 }
