@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import core, weekly
+from quillon.plans import core, metric, weekly
 
-_MODULES = (weekly, core)
+_MODULES = (weekly, core, metric)
 
 
 def queries():
