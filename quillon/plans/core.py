@@ -125,7 +125,7 @@ def roster(spark, sf_dir):
 
 
 def lagged_correlation(spark, sf_dir):
-    out = stats.lagged_correlation(roster(spark, sf_dir).where("id < 8"), 7)
+    out = stats.lagged_correlation(roster(spark, sf_dir), 7)
     return out.select("a", "b", F.col("lag").cast("int").alias("lag"), r6(F.col("r"), "r"), r6(F.col("z"), "z"))
 
 
@@ -144,7 +144,7 @@ def dft_power(spark, sf_dir):
 
 def dominant_rhythm(spark, sf_dir):
     s = roster(spark, sf_dir)
-    s = s.select("id", "t", (F.col("x") + 400 * F.sin(2 * 3.141592653589793 * F.col("t") / 13)).alias("x")).where("id < 5")
+    s = s.select("id", "t", (F.col("x") + 400 * F.sin(2 * 3.141592653589793 * F.col("t") / 13)).alias("x"))
     return signal.dominant_rhythm(s).select("id", r6(F.col("period"), "period"), (F.round("ratio", 4) + 0.0).alias("ratio"))
 
 
