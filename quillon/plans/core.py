@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import sky
@@ -149,10 +150,14 @@ def dominant_rhythm(spark, sf_dir):
 
 
 def trade(spark, sf_dir):
-    """nodes (node) and edges: parts joined through an order of two lines or more, chained."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", "l_partkey")
-    a, b = (li.where(f"l_linenumber = {k}").select("l_orderkey", F.col("l_partkey").alias(n)) for k, n in ((1, "src"), (2, "dst")))
-    edges = a.join(b, "l_orderkey").select(F.col("l_orderkey").alias("edge_id"), "src", "dst")
+    """nodes (node) and edges: parts joined through an order of two lines or more, chained.
+
+    Lines of one number are chained by part; edge_id is the order and the place in it.
+    """
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey is not null")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    edge_id = F.shiftleft("l_orderkey", 24) + F.row_number().over(w)
+    edges = li.select(edge_id.alias("edge_id"), F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst")).where("dst is not null")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node")), edges
 
 

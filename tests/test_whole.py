@@ -5,6 +5,7 @@ import pytest
 from test_core import TABLES, rows
 
 from quillon import plans
+from quillon.plans import core
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +30,24 @@ def test_all_series_have_a_rhythm(spark, tmp_path):
     orders.selectExpr("o_custkey", "cast(date_add(date '1995-01-01', 7 * w) as timestamp) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
     got = plans.queries()["dominant_rhythm"](spark, str(tmp_path)).collect()
     assert sorted((r.id, r.period) for r in got) == [(k, 13.0) for k in range(9)]
+
+
+CHAIN = "e as (select l_orderkey as edge_id, l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem qualify dst is not null)"
+TRADE = ("degree", "laplacian_apply", "diffuse_3_steps", "components", "modularity_by_label")
+
+
+@pytest.mark.parametrize("name", TRADE)
+def test_all_lines_are_chained(spark, sf, duck, name):
+    part = next(x for x in plans.oracle_sql()[name].split("\n") if x.startswith("e as ")).rstrip(",")
+    sql = plans.oracle_sql()[name].replace(part, CHAIN)
+    assert rows(plans.queries()[name](spark, sf).toPandas()) == rows(duck.sql(sql).df())
+
+
+def test_chain_of_lines_with_gaps_and_ties(spark, tmp_path):
+    lines = [(1, 3, 10), (1, 7, 12), (1, 7, 11), (2, 2, 13), (3, 4, 10), (3, 1, 14), (4, 5, 15), (4, 6, 15)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(10, 17).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    nodes, edges = core.trade(spark, str(tmp_path))
+    got = edges.collect()
+    assert sorted((r.src, r.dst) for r in got) == [(10, 11), (11, 12), (14, 10), (15, 15)]
+    assert len({r.edge_id for r in got}) == 4 and nodes.count() == 7
