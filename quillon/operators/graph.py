@@ -69,18 +69,30 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """(src, dst, hops) of reachable pairs, by frontier joins; `limit` stops at so many hops."""
+    """(src, dst, hops) of reachable pairs, by frontier joins; `limit` stops at so many hops.
+
+    Sources go in blocks of 64 neighbouring numbers, a bit each, so that a link carries a
+    block in one row. Nodes are whole numbers.
+    """
     links = materialise(symmetric(edges).distinct(), "links")
-    seen = front = materialise(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0).alias("hops")), "hops")
-    k = 0
-    while limit is None or k < limit:
-        k += 1
-        reach = front.select("src", F.col("dst").alias("_mid")).join(links.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst").distinct()
-        front = materialise(reach.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(k)), "hops")
+    kind = dict(nodes.dtypes)["node"]
+    own = nodes.select("node", F.expr("shiftright(cast(node as bigint), 6)").alias("block"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bits"))
+    seen = front = materialise(own, "hops")
+    found = [front]
+    while limit is None or len(found) <= limit:
+        reach = front.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("_new"))
+        new = reach.join(seen, ["node", "block"], "left").select("node", "block", F.expr("_new & ~coalesce(bits, 0L)").alias("bits"))
+        front = materialise(new.where("bits != 0"), "hops")
         if front.isEmpty():
             break
-        seen = seen.union(front)
-    return seen
+        found.append(front)
+        seen = materialise(seen.union(front).groupBy("node", "block").agg(F.bit_or("bits").alias("bits")), "seen")
+    out = None
+    for k, f in enumerate(found):
+        bit = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1L)")).alias("_bit")
+        pairs = f.select("node", "block", bit).select(F.expr(f"cast(shiftleft(block, 6) + _bit as {kind})").alias("src"), F.col("node").alias("dst"), F.lit(k).alias("hops"))
+        out = pairs if out is None else out.union(pairs)
+    return out
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

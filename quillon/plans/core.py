@@ -182,7 +182,7 @@ def components(spark, sf_dir):
 
 
 def hop_distances(spark, sf_dir):
-    return graph.hop_distances(*trade(spark, sf_dir), limit=2).select("src", "dst", F.col("hops").cast("int").alias("hops"))
+    return graph.hop_distances(*trade(spark, sf_dir)).select("src", "dst", F.col("hops").cast("int").alias("hops"))
 
 
 def modularity_by_label(spark, sf_dir):

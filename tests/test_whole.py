@@ -5,6 +5,7 @@ import pytest
 from test_core import TABLES, rows
 
 from quillon import plans
+from quillon.operators import graph
 from quillon.plans import core
 
 
@@ -51,3 +52,38 @@ def test_chain_of_lines_with_gaps_and_ties(spark, tmp_path):
     got = edges.collect()
     assert sorted((r.src, r.dst) for r in got) == [(10, 11), (11, 12), (14, 10), (15, 15)]
     assert len({r.edge_id for r in got}) == 4 and nodes.count() == 7
+
+
+def bfs(nodes, links):
+    near = {n: set() for n in nodes}
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    out = {}
+    for s in nodes:
+        front, k = {s}, 0
+        while front:
+            out |= {(s, n): k for n in front}
+            front, k = {m for n in front for m in near[n] if (s, m) not in out}, k + 1
+    return out
+
+
+def test_hops_of_all_pairs_equal_bfs(spark):
+    names = [-130, -65, -64, -63, -1, 0, 1, 62, 63, 64, 65, 127, 128, 1 << 40, 7, 8, 9]
+    links = [*zip(names[:13], names[1:14]), (names[2], names[9]), (7, 8), (7, 8), (9, 9)]
+    nodes = spark.createDataFrame([(n,) for n in names], "node long")
+    edges = spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "edge_id long, src long, dst long")
+    want = bfs(names, links)
+    assert max(want.values()) > 6
+    for limit in (None, 0, 1, 3):
+        got = graph.hop_distances(nodes, edges, limit).collect()
+        assert len(got) == len({(r.src, r.dst) for r in got})
+        assert {(r.src, r.dst): r.hops for r in got} == {k: v for k, v in want.items() if limit is None or v <= limit}
+
+
+def test_hop_distances_go_to_the_last_hop(spark, tmp_path):
+    spark.range(6).selectExpr("1L as l_orderkey", "cast(id as int) as l_linenumber", "id as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(7).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.src, r.dst): r.hops for r in plans.queries()["hop_distances"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b): abs(a - b) for a in range(6) for b in range(6)} | {(6, 6): 0}
