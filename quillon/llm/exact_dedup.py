@@ -1,11 +1,17 @@
 """Exact de-duplication by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 hashes every normalised text once and sets `PROBES` slots of a Bloom filter of
-`slots` bits; a slot counts how many rows set it. Only slots set by two rows or more
-matter, and pass 2 keeps those as a sparse filter of 64-bit words. A row all of whose
-slots are set twice is possibly repeated: only such rows shuffle by their hash; all
-others go straight to the result. False positives merely shuffle, so results are exact
-(texts are equal when their SHA-256 is).
+Pass 1 hashes every normalised text once and sets `PROBES` bits of one 64-bit word of a
+Bloom filter of about `BITS_PER_ROW` bits a row; only bits that two rows or more have set
+matter, and those are kept as a sparse filter of words. Pass 2 looks up each row's word: a
+row all of whose bits are set twice is possibly repeated. Only such rows shuffle by their
+hash; all others go straight to the result. False positives merely shuffle, so results are
+exact (texts are equal when their SHA-256 is).
+
+The filter is broadcast up to `BROADCAST_WORDS` words. A larger one is cut into shards by
+the word's leading bits: the compact hash rows (never the texts) are then written once by
+shard, and each shard is looked up in a broadcast of its own part of the filter.
+Groups of more than `HOT` rows meet their result in a broadcast (there are at most rows /
+`HOT` of them, and `HOT` grows with the rows beyond 2^22), so no task gets a large group.
 """
 
 from __future__ import annotations
@@ -13,12 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import materialise
+from quillon.session import drop, free_name, materialise, new_path, partitions
 
 PROBES = 2
 BITS_PER_ROW = 32
-#: Above this many filter words the filter is joined by a shuffle, not broadcast.
+#: Most words of a filter, or of a shard of it, that are broadcast.
 BROADCAST_WORDS = 1 << 20
+#: Rows of a group from which it is hot, while there are at most 2^16 times as many rows.
+HOT = 64
+#: Most rows that are broadcast to be dropped.
+BROADCAST_GONE = 1 << 18
 #: The characters that do not count, [\x20\x09-\x0D].
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -41,16 +51,53 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
-def _probes(slots: int) -> Column:
-    each = [F.pmod(F.xxhash64(F.col("text_sha256"), F.lit(k)), F.lit(slots)) for k in range(PROBES)]
-    return F.array(*each)
+def _probes(slots: int) -> list[Column]:
+    """The word of a row's hash, and the mask of its bits in it."""
+    word = F.pmod(F.xxhash64("text_sha256", F.lit(0)), F.lit(max(1, slots // 64)))
+    bits = F.xxhash64("text_sha256", F.lit(1))
+    mask = F.lit(0).cast("long")
+    for k in range(PROBES):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")))
+    return [word.alias("word"), mask.alias("mask")]
+
 
+def repeated_words(rows: DataFrame) -> DataFrame:
+    """The sparse filter: (word, bits), the bits that two rows or more have set.
 
-def repeated_words(rows: DataFrame, slots: int) -> DataFrame:
-    """The sparse filter: (word, bits), the bits that two probes or more have set."""
-    probe = rows.select(F.explode(_probes(slots)).alias("slot"))
-    twice = probe.groupBy("slot").agg(F.count("*").alias("c")).where("c > 1")
-    return twice.select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    rows: (word, mask). Equal pairs are counted before the shuffle.
+    """
+    each = rows.groupBy("word", "mask").agg(F.count("*").alias("c"))
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(mask, i) & 1L = 1L)")).alias("bit")
+    twice = each.select("word", "c", bit).groupBy("word", "bit").agg(F.sum("c").alias("c")).where("c > 1")
+    return twice.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+
+
+def _looked_up(rows: DataFrame, filter_: DataFrame) -> DataFrame:
+    """Rows (doc_id, n, text_sha256, word, mask) with `maybe`, by a broadcast of the filter."""
+    out = rows.join(F.broadcast(filter_.withColumnRenamed("word", "_word")), F.col("word") == F.col("_word"), "left")
+    return out.select("doc_id", "n", "text_sha256", F.expr("coalesce(bits & mask = mask, false)").alias("maybe"))
+
+
+def _flagged(rows: DataFrame, slots: int) -> DataFrame:
+    """Rows (doc_id, n, text_sha256) with `maybe`: whether the filter holds them."""
+    spark = rows.sparkSession
+    probed = rows.select("doc_id", "n", "text_sha256", *_probes(slots))
+    filter_ = materialise(repeated_words(probed), "exact-filter")
+    held = filter_.count()
+    if held <= BROADCAST_WORDS:
+        return _looked_up(probed, filter_)
+    shards = 1 << (held // max(1, BROADCAST_WORDS)).bit_length() + 1
+    width = -(-max(1, slots // 64) // shards)
+    shard = F.expr(f"word div {width}L").cast("int")
+    by_shard, out = new_path(spark, "exact-shards"), new_path(spark, "exact-flagged")
+    # A hot hash is one word of a shard, so each shard is dealt over several tasks by id too.
+    dealt = probed.withColumn("shard", shard).repartition(max(partitions(spark), shards), "shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    dealt.write.partitionBy("shard").parquet(by_shard)
+    there = spark.read.parquet(by_shard)
+    for k in range(shards):
+        part = there.where(F.col("shard") == k).drop("shard")
+        _looked_up(part, filter_.where(shard == k)).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,29 +111,48 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = materialise(hashed(docs, id_col, text_col), "exact-rows")
     n = rows.count()
-    slots = 1 << max(16, (n * BITS_PER_ROW).bit_length())
-    words = materialise(repeated_words(rows, slots), "exact-filter")
-    small = words.count() <= BROADCAST_WORDS
-    flagged = rows.withColumn("_slots", _probes(slots))
-    for k in range(PROBES):
-        part = words.select(F.col("word").alias(f"_w{k}"), F.col("bits").alias(f"_b{k}"))
-        flagged = flagged.withColumn(f"_s{k}", F.get("_slots", F.lit(k)))
-        flagged = flagged.join(F.broadcast(part) if small else part, F.expr(f"_s{k} div 64") == F.col(f"_w{k}"), "left")
-    hit = " and ".join(f"coalesce(shiftright(_b{k}, cast(_s{k} % 64 as int)) & 1L, 0L) = 1L" for k in range(PROBES))
-    flagged = flagged.select("doc_id", "n", "text_sha256", F.expr(hit).alias("_maybe"))
-    maybe = flagged.where("_maybe").drop("_maybe")
-    group = maybe.groupBy("text_sha256").agg(
+    flagged = _flagged(rows, 1 << max(16, (n * BITS_PER_ROW).bit_length()))
+    maybe = flagged.where("maybe").drop("maybe")
+    group = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(
         F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count("*").alias("group_size")
     )
-    many = maybe.join(group, "text_sha256").select("doc_id", F.col("best.keep_id").alias("keep_id"), "group_size", "text_sha256")
-    once = flagged.where("not _maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
-    return once.union(many).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    group = materialise(group.select("_sha", "best.keep_id", "group_size"), "exact-groups")
+    hot = F.col("group_size") > max(HOT, n >> 16)
+    known = maybe.join(F.broadcast(group.where(hot)), F.col("text_sha256") == F.col("_sha"), "left")
+    many = known.where("group_size is not null").select("doc_id", "keep_id", "group_size", "text_sha256")
+    rest = known.where("group_size is null").select("doc_id", "text_sha256")
+    few = rest.join(group.where(~hot), F.col("text_sha256") == F.col("_sha")).select("doc_id", "keep_id", "group_size", "text_sha256")
+    once = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    return once.union(many).union(few).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def few(df: DataFrame, most: int = BROADCAST_GONE) -> DataFrame:
+    """`df`, marked for broadcast where it has at most `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_groups` does not keep; ids must be unique."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """`docs` with one row of each group of equal texts: the one that `exact_groups` keeps.
+
+    Rows are told apart by id and text, null ids included, so a row goes only for its own
+    text; of rows equal in both, one stays. Null texts are empty. An empty table gives no
+    rows; all columns are returned. Only rows that repeat shuffle with their texts.
+    """
+    groups = materialise(exact_groups(docs, id_col, text_col).where("group_size > 1"), "exact-copies")
+    sha, gone_id, gone_sha = (free_name(docs, x) for x in ("_sha", "_gone_id", "_gone_sha"))
+    own = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
+    keyed = docs.withColumn(sha, own)
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha))
+
+    def keys(df):
+        return few(df.select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct())
+
+    kept = keyed.join(keys(groups.where("not kept")), same, "left_anti")
+    again = materialise(groups.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1"), "exact-repeats")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(keys(again), same, "left_anti")
+    return once.union(kept.join(keys(again), same, "left_semi").dropDuplicates([id_col, sha])).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -1,14 +1,22 @@
 """Document fingerprints: Merkle trees over passages, paragraphs and sections.
 
-A passage ends at a line end, after a word whose hash is a multiple of `PASSAGE`, or
-after `LONGEST` bytes; a paragraph is a line; a section ends at a blank line or after a
-paragraph whose digest is a multiple of `SECTION`. All ends depend on the text near them
-only, so an edit changes the branches above it and no others. Passages have 64-bit
-digests of their bytes; a paragraph's, a section's and the root's are hashes of those
-below. Roots decide equality; differing branches locate edits.
-
-A fingerprint is the root (32 hex digits), ":" and the tree: passages as four characters
-of base 64, paragraphs parted by ",", sections by ";".
+A passage ends at a line end, after a word whose hash is a multiple of `PASSAGE` or, in a
+text of at most `SHORT` characters, after every word; a paragraph is a line; a section
+ends at a blank line or after a paragraph whose digest is a multiple of `SECTION`. A run
+of more than `RUN` bytes without such an end gets ends by the bytes before them (windows of
+`WINDOW` bytes), and only what is still longer than `LONGEST` is cut at fixed distances: a
+run that repeats itself, whose pieces are then equal anyway. All ends depend on the text near
+them, so an edit changes the branches above it and no others.
+
+A passage's digest is BLAKE2b of its bytes; a paragraph's digest is that of its passages'
+digests, a section's that of its paragraphs', the root's that of its sections'. Roots decide
+equality; from two roots downwards, differing branches locate edits, and equal ones are not
+entered.
+
+A fingerprint is the root (32 hex digits), ":" and the tree, in base 64: sections parted by
+";", each its digest (8 characters), "=" and its paragraphs parted by ","; a paragraph is
+its digest (8 characters) and for each passage a digest (4 characters) and its length in
+bytes (2 characters).
 """
 
 from __future__ import annotations
@@ -24,122 +32,193 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words
-from quillon.session import materialise, partitions, ship
+from quillon.session import new_path, partitions, ship
 
 PASSAGE = 12
+SHORT = 400
 SECTION = 8
-LONGEST = 1 << 16
+RUN = 1024
+WINDOW = 8
+LONGEST = 4095
 SLICE = 256
-OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_ranges array<struct<start:long,end:long>>"
+NAMES = [x.split()[0] for x in OUT.split(", ")]
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), RANGES)
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_VALUE = {chr(c): k for k, c in enumerate(_DIGITS)}
 
 
-def _ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _inner_ends(part: np.ndarray) -> np.ndarray:
+    """Ends within a long run, by the bytes before them; no character is cut."""
+    n = len(part) - WINDOW
+    h = np.zeros(n, np.uint64)
+    for j in range(WINDOW):
+        h = h * np.uint64(0x100000001B3) + part[j : j + n].astype(np.uint64) + np.uint64(1)
+    at = np.flatnonzero((words.mix(h) % np.uint64(64) == 0) & ((part[WINDOW:] & 0xC0) != 0x80)) + WINDOW
+    return at
+
+
+def _ends(data: np.ndarray, offsets: np.ndarray, short: np.ndarray) -> np.ndarray:
     """Ends of all passages of a batch, ascending; every document's end among them."""
     ends = [offsets[1:], np.flatnonzero(data == 10) + 1]
-    for h, _, _, end in words.words(data, offsets, fold=False):
-        ends.append(end[h % np.uint64(PASSAGE) == 0])
+    for h, doc, _, end in words.words(data, offsets, fold=False):
+        ends.append(end[(h % np.uint64(PASSAGE) == 0) | short[doc]])
     ends = np.unique(np.concatenate(ends))
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > LONGEST)
+    long = np.flatnonzero(ends - starts > RUN)
     if len(long):
-        more = [np.arange(starts[k] + LONGEST, ends[k], LONGEST) for k in long]
-        ends = np.unique(np.concatenate([ends, *more]))
+        ends = np.unique(np.concatenate([ends, *(starts[k] + _inner_ends(data[starts[k] : ends[k]]) for k in long)]))
+        starts = np.concatenate([[0], ends[:-1]])
+        long = np.flatnonzero(ends - starts > LONGEST)
+        ends = np.unique(np.concatenate([ends, *(np.arange(starts[k] + LONGEST, ends[k], LONGEST) for k in long)]))
     return ends
 
 
-def _digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit digests of the passages that end there, by prefix sums of bounded runs."""
-    out, at = np.empty(len(ends), np.uint64), 0
-    while at < len(ends):
-        start = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, start + words.CHUNK, side="right")))
-        part = data[start : ends[to - 1]]
-        up, down = words._powers(len(part))
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(words._BYTE[part] * up[: len(part)], out=total[1:])
-        e = ends[at:to] - start
-        s = np.concatenate([[0], e[:-1]])
-        out[at:to] = words.mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-        at = to
-    return out
+def _digest(data: bytes, size: int) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
-def trees(texts: list[str]) -> list[list[tuple[bytes, list[tuple[bytes, np.ndarray, int, int]]]]]:
-    """Per text: its sections (digest, paragraphs), each paragraph (digest, passages' digests, start, end in bytes)."""
+def trees(texts: list[str]):
+    """Per text: its sections (digest, paragraphs), each paragraph (digest, passages' digests
+    of 8 bytes on end, passages' lengths)."""
     data, offsets = words.utf8(pa.array(texts, pa.large_string()))
-    ends = _ends(data, offsets)
-    digests = _digests(data, ends)
-    out, k = [], 0
-    last = np.searchsorted(ends, offsets[1:], side="right")
+    short = np.fromiter((len(t) <= SHORT for t in texts), bool, len(texts))
+    ends = _ends(data, offsets, short)
+    raw, at = data.tobytes(), ends.tolist()
+    blake = hashlib.blake2b
+    digests = [blake(raw[a:b], digest_size=8).digest() for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []
+    sizes = np.diff(ends, prepend=0)
     line = (data[ends - 1] == 10) if len(ends) else np.zeros(0, bool)
+    stops = np.flatnonzero(line | np.isin(ends, offsets[1:])) + 1 if len(ends) else np.zeros(0, np.int64)
+    last = np.searchsorted(ends, offsets[1:], side="right").tolist()
+    out, k, s = [], 0, 0
+    stops = stops.tolist()
     for d in range(len(texts)):
         sections, paragraphs = [], []
         while k < last[d]:
-            stops = np.flatnonzero(line[k : last[d]])
-            to = k + int(stops[0]) + 1 if len(stops) else int(last[d])
-            leaf = digests[k:to]
-            digest = hashlib.blake2b(leaf.tobytes(), digest_size=8).digest()
-            start = int(ends[k - 1]) if k else 0
-            paragraphs.append((digest, leaf, start - int(offsets[d]), int(ends[to - 1]) - int(offsets[d])))
-            blank = ends[to - 1] - start == 1
-            k = to
+            to = stops[s]
+            leaves = b"".join(digests[k:to])
+            digest = _digest(leaves, 6)
+            paragraphs.append((digest, leaves, sizes[k:to]))
+            blank = to - k == 1 and sizes[k] == 1 and line[k]
+            k, s = to, s + 1
             if blank or digest[0] % SECTION == 0 or k == last[d]:
-                sections.append((hashlib.blake2b(b"".join(p[0] for p in paragraphs), digest_size=8).digest(), paragraphs))
+                sections.append((_digest(b"".join(p[0] for p in paragraphs), 6), paragraphs))
                 paragraphs = []
         out.append(sections)
     return out
 
 
-def fingerprint(tree) -> str:
-    root = hashlib.blake2b(b"".join(s[0] for s in tree), digest_size=16).hexdigest()
-    return root + ":" + ";".join(",".join(_codes(p[1]) for p in s[1]) for s in tree)
+def _codes(leaves: bytes, sizes: np.ndarray) -> str:
+    """Six characters for each passage: the first 24 bits of its digest, its length."""
+    out = np.empty((len(sizes), 6), np.uint8)
+    out[:, :4] = np.frombuffer(base64.b64encode(np.frombuffer(leaves, np.uint8).reshape(-1, 8)[:, :3].tobytes()), np.uint8).reshape(-1, 4)
+    out[:, 4], out[:, 5] = _DIGITS[sizes >> 6], _DIGITS[sizes & 63]
+    return out.tobytes().decode()
 
 
-def _codes(leaf: np.ndarray) -> str:
-    return base64.b64encode(leaf.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes()).decode()
+def fingerprint(tree) -> str:
+    root = _digest(b"".join(s[0] for s in tree), 16).hex()
+    return root + ":" + ";".join(base64.b64encode(d).decode() + "=" + ",".join(base64.b64encode(p[0]).decode() + _codes(p[1], p[2]) for p in s) for d, s in tree)
 
 
 def fingerprints(texts: list[str]) -> list[str]:
     return [fingerprint(t) for t in trees(texts)]
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of passages that two fingerprints have in common (Dice, repeats counted)."""
-    root_a, _, rest_a = a.partition(":")
-    root_b, _, rest_b = b.partition(":")
-    if root_a == root_b:
-        return 1.0
-    own_a, own_b = _leaves(rest_a), _leaves(rest_b)
-    total = len(own_a) + len(own_b)
-    if not own_a or not own_b:
-        return 0.0
-    return 2 * sum((Counter(own_a) & Counter(own_b)).values()) / total
+def _sections(mark: str) -> list[tuple[str, list[str]]]:
+    tree = mark.partition(":")[2]
+    return [(s[:8], s[9:].split(",")) for s in tree.split(";")] if tree else []
+
+
+def _passages(paragraph: str) -> list[str]:
+    return [paragraph[i : i + 6] for i in range(8, len(paragraph), 6)]
+
+
+def _bytes(passages) -> int:
+    """Bytes of passages, a list or a Counter."""
+    counts = passages.items() if isinstance(passages, Counter) else ((p, 1) for p in passages)
+    return sum(n * (64 * _VALUE[p[4]] + _VALUE[p[5]]) for p, n in counts)
+
+
+def _unshared(a, b):
+    """Paragraphs of two trees that lie in no section, nor are a paragraph, of the other;
+    repeats are matched one to one. Gives (place in a, paragraph) and paragraphs of b."""
+    whole = Counter(d for d, _ in a) & Counter(d for d, _ in b)
+    used = Counter(whole)
+    mine, theirs = [], []
+    for k, (d, paragraphs) in enumerate(a):
+        if used[d] > 0:
+            used[d] -= 1
+        else:
+            mine += [((k, i), p) for i, p in enumerate(paragraphs)]
+    used = Counter(whole)
+    for d, paragraphs in b:
+        if used[d] > 0:
+            used[d] -= 1
+        else:
+            theirs += paragraphs
+    same = Counter(p[:8] for _, p in mine) & Counter(p[:8] for p in theirs)
+    used, rest = Counter(same), []
+    for at, p in mine:
+        if used[p[:8]] > 0:
+            used[p[:8]] -= 1
+        else:
+            rest.append((at, p))
+    used, other = Counter(same), []
+    for p in theirs:
+        if used[p[:8]] > 0:
+            used[p[:8]] -= 1
+        else:
+            other.append(p)
+    return rest, other
 
 
-def _leaves(tree: str) -> list[str]:
-    flat = tree.replace(";", "").replace(",", "")
-    return [flat[i : i + 4] for i in range(0, len(flat), 4)]
+def likeness(a: str, b: str) -> float:
+    """Share of two texts' bytes that lie in common passages (repeats counted), from their
+    fingerprints: 1 for equal roots; equal sections and paragraphs are common as a whole.
+    Two texts without a byte are equal; one of them has nothing in common with others."""
+    if a[:32] == b[:32]:
+        return 1.0
+    one, two = _sections(a), _sections(b)
+    total = sum(_bytes(_passages(p)) for s in (one, two) for _, ps in s for p in ps)
+    rest, other = _unshared(one, two)
+    apart = Counter(x for _, p in rest for x in _passages(p))
+    apart_too = Counter(x for p in other for x in _passages(p))
+    common = apart & apart_too
+    return 1 - (_bytes(apart - common) + _bytes(apart_too - common)) / total if total else 0.0
 
 
 def edits(a: str, b: str) -> list[tuple[int, int]]:
-    """Byte ranges of text `a` whose paragraphs are not in `b`, descending only into sections whose digests differ."""
-    one, two = trees([a])[0], trees([b])[0]
-    whole = Counter(s[0] for s in two)
-    parts = Counter(p[0] for s in two for p in s[1])
+    """Byte ranges of the text of fingerprint `a` whose passages are not in that of `b`.
+
+    From the root down: equal roots end at once, sections and paragraphs whose digests are
+    in both are passed over, and only passages of the others are compared.
+    """
+    if a[:32] == b[:32]:
+        return []
+    one = _sections(a)
+    rest, other = _unshared(one, _sections(b))
+    apart = {at for at, _ in rest}
+    have = Counter(x for p in other for x in _passages(p))
     out: list[tuple[int, int]] = []
-    for digest, paragraphs in one:
-        if whole[digest] > 0:
-            whole[digest] -= 1
-            parts.subtract(p[0] for p in paragraphs)
-            continue
-        for digest, _, start, end in paragraphs:
-            if parts[digest] > 0:
-                parts[digest] -= 1
-            elif out and out[-1][1] == start:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((start, end))
+    place = 0
+    for k, (_, paragraphs) in enumerate(one):
+        for i, p in enumerate(paragraphs):
+            passages = _passages(p)
+            if (k, i) not in apart:
+                place += _bytes(passages)
+                continue
+            for x in passages:
+                start, place = place, place + _bytes([x])
+                if have[x] > 0:
+                    have[x] -= 1
+                elif out and out[-1][1] == start:
+                    out[-1] = (out[-1][0], place)
+                else:
+                    out.append((start, place))
     return out
 
 
@@ -147,12 +226,15 @@ def _rows(ids, texts: list[str], following: list[str]):
     """Result rows of documents, each with the text of the next one."""
     n = [len(t) for t in texts]
     edited = [t[: k - k // 3] + f[: k // 3] for t, f, k in zip(texts, following, n, strict=True)]
-    own, changed, near = fingerprints(texts), fingerprints(edited), fingerprints(following)
+    # Mostly a document's next one is in the batch too, so its fingerprint is made once.
+    made = dict.fromkeys(texts)
+    made.update(dict.fromkeys(following))
+    made = dict(zip(made, fingerprints(list(made)), strict=True))
+    own, near, changed = [made[t] for t in texts], [made[t] for t in following], fingerprints(edited)
     sha = [hashlib.sha256(t.encode()).hexdigest() for t in edited]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(own), pa.array(changed), pa.array(list(map(likeness, own, changed)), pa.float64()), pa.array(list(map(likeness, own, near)), pa.float64())],
-        names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+    ranges = [[{"start": s, "end": e} for s, e in edits(c, o)] for c, o in zip(changed, own, strict=True)]
+    cols = (ids, n, sha, own, changed, list(map(likeness, own, changed)), list(map(likeness, own, near)), ranges)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, KINDS, strict=True)], names=NAMES)
 
 
 def _with_side(batch, part: int, side: str | None, text: str | None):
@@ -161,19 +243,20 @@ def _with_side(batch, part: int, side: str | None, text: str | None):
 
 
 def _side(doc_id, text: str, part: int, side: str):
-    nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return _with_side(pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *nothing], names=names), part, side, text)
+    row = pa.RecordBatch.from_arrays([pa.array([doc_id], KINDS[0]), *(pa.nulls(1, t) for t in KINDS[1:])], names=NAMES)
+    return _with_side(row, part, side, text)
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of every document and of its edited text.
+    """Fingerprints of every document and of its edited text, and the edited text's byte
+    ranges that are not in the original, found from the two fingerprints.
 
     The edit replaces the last third by the beginning of the next document, in descending
     order of ids (null ids last; equal ids by text), after the last of the first. Null
     texts are empty; an empty table gives no rows; a lone document is its own next. One
-    range shuffle brings neighbours together; the first document of each partition gets
-    its neighbour from the edge rows, one or two for each partition.
+    range shuffle, by id and then the text's first characters, so that many rows of one id
+    (or of none) are many partitions, brings neighbours together; the first document of each
+    partition gets its neighbour from the edge rows, one or two for each partition.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -183,7 +266,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 some = batch.slice(i, SLICE)
-                ids, texts = some.column(0).to_pylist(), [t or "" for t in some.column(1).to_pylist()]
+                ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
                 if first is None:
                     first, before = (ids[0], texts[0]), texts[0]
                     yield _side(ids[0], texts[0], part, "first")
@@ -196,9 +279,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if first is not None:
             yield _side(None, before, part, "last")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(2 * partitions(spark), "doc_id").sortWithinPartitions("doc_id", F.coalesce("text", F.lit("")))
-    made = materialise(rows.mapInArrow(run, f"{OUT}, part long, side string, text string"), "merkle")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.repartitionByRange(2 * partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    made = rows.mapInArrow(run, f"{OUT}, part long, side string, text string")
+    path = new_path(spark, "merkle")
+    made.write.option("compression", "zstd").parquet(path)
+    made = spark.read.schema(made.schema).parquet(path)
     # One number for each partition with rows.
     parts = sorted(r[0] for r in made.where("side = 'first'").select("part").collect())
     if not parts:

@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import free_name, materialise, partitions
+from quillon.session import materialise, partitions
 
 #: Fixed values of the mix: weights of the sources in order, repeating; the share of all
 #: words; the most epochs of a source.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 EPOCHS = 2
+#: Most ranges (of all sources) that are broadcast.
+BROADCAST_RANGES = 1 << 17
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,52 +53,70 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return s.select("source", "source_size", (F.round(target, 6) + F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies: what the mix takes of every row.
-
-    `taken` counts words, repeats included: whole epochs of the source, then rows in key
-    order up to the budget, the last one in part, so a source's words add up to its target
-    rounded down. `copies` counts how often the row begins before that cut; it is how often
-    a mix of whole rows holds it. A row without words takes none, and its copies follow its
-    place. Null texts are empty, null sources are one source, last in order. Rows with equal
-    ids have equal keys and are ordered by size, then arbitrarily. An empty table gives no rows. Other
-    columns are ignored, whatever their names.
-    """
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, digits: int) -> list:
+    """Columns of a row's place: source, words, key and range of the key."""
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")),
-        "mix",
-    )
-    digits = max(1, len(f"{8 * partitions(spark):x}"))
-    rows = rows.withColumn("range", F.substring("key", 1, digits))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return [F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("range")]
+
+
+def _heads(rows: DataFrame, weights, share: float, epochs: int) -> DataFrame:
+    """Per range of a source: words before it, the source's words and its target."""
     ranges = rows.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     by_key = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = materialise(ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(by_key), F.lit(0))), "mix-ranges")
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, epochs)
     targets = targets.withColumnRenamed("source", "_source")
-    heads = ranges.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select("_source", F.col("range").alias("_range"), "range_start", "source_size", "target")
-    inside = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select("_source", F.col("range").alias("_range"), "range_start", "source_size", "target")
+
+
+def _plan(rows: DataFrame, heads: DataFrame, by: list) -> DataFrame:
+    """rows (source, size, key, range, ...) with source_size, target, taken and copies; rows of
+    equal keys are ordered by `by`."""
+    inside = Window.partitionBy("source", "range").orderBy("key", *by).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    if heads.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
+        heads = F.broadcast(heads)
     placed = placed.join(heads, F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
     start = F.col("range_start") + F.col("inside")
     budget = F.floor("target")
     rounds = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     cut = budget - rounds * F.col("source_size")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), cut - start))
-    return placed.select(
-        "doc_id", "size", "source_size", "target",
-        (rounds * F.col("size") + part).cast("long").alias("taken"),
-        (rounds + F.when(start < cut, 1).otherwise(0)).cast("long").alias("copies"),
-    )
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of the mix, whole, each as often as `copies` says; ids must be unique."""
-    row, copy = free_name(docs, "_row"), free_name(docs, "_copy")
-    plan = mix(docs, id_col, text_col, source_col, **how).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias(row), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(copy))
-    return docs.join(plan, F.col(id_col).eqNullSafe(F.col(row))).select(*docs.columns)
+    taken, copies = (rounds * F.col("size") + part).cast("long"), (rounds + F.when(start < cut, 1).otherwise(0)).cast("long")
+    return placed.withColumns({"taken": taken, "copies": copies})
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies: what the mix takes of every row.
+
+    `taken` counts words, repeats included: whole epochs of the source, then rows in key
+    order up to the budget, the last one in part, so a source's words add up to its target
+    rounded down. `copies` counts how often the row begins before that cut; it is how often
+    a mix of whole rows holds it. A row without words takes none, and its copies follow its
+    place. Null texts are empty, null sources are one source, last in order. Rows with equal
+    ids have equal keys and are ordered by size, then arbitrarily. An empty table gives no rows. Other
+    columns are ignored, whatever their names.
+    """
+    digits = max(1, len(f"{8 * partitions(docs.sparkSession):x}"))
+    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), *_keyed(docs, id_col, text_col, source_col, digits)), "mix")
+    return _plan(rows, _heads(rows, weights, share, epochs), ["size"]).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of the mix, whole, each as often as its `copies` in `mix` says.
+
+    A row goes through the plan itself and meets no other by its id, so repeated rows, equal
+    ids and null ids each come out as often as their own place says; rows with equal ids are
+    ordered by size, then by text. Texts shuffle once. Null texts are empty; null sources are
+    one source; an empty table gives no rows. All columns are kept, whatever their names.
+    """
+    digits = max(1, len(f"{8 * partitions(docs.sparkSession):x}"))
+    heads = _heads(docs.select(*_keyed(docs, id_col, text_col, source_col, digits)), weights, share, epochs)
+    row = docs.select(F.struct(*docs.columns).alias("row"), *_keyed(docs, id_col, text_col, source_col, digits))
+    heads = materialise(heads, "mix-heads")
+    planned = _plan(row, heads, ["size", F.col("row").getField(text_col)]).where("copies > 0")
+    return planned.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir):

@@ -1,9 +1,10 @@
 """Vectorised words of UTF-8 text: positions and 64-bit hashes, without Python strings.
 
 A word is a maximal run of bytes outside ``[\\x20\\x09-\\x0D]``; words never cross
-documents. Hashes are polynomial prefix sums modulo 2^64 with a bit mix at the end;
-A-Z may be folded. Work goes by chunks of about `CHUNK` bytes, cut at word ends, so
-memory does not grow with a text.
+documents. Hashes are polynomials in the bytes modulo two primes near 2^31, taken from
+prefix sums, 62 bits with a bit mix at the end; A-Z may be folded. Two different words
+have equal hashes by chance only, also where they repeat a pattern. Work goes by chunks of
+about `CHUNK` bytes, cut at word ends, so memory does not grow with a text.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 18
 _RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+_BYTE = _RNG.permutation(256).astype(np.uint64) + np.uint64(1)
+#: The primes.
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+_BASES = [int(_RNG.integers(1 << 20, p - 1)) for p in PRIMES]
+#: Up to so many bytes, sums of a byte's value (9 bits) times a power (31 bits) fit 64 bits.
+_DIRECT = 1 << 23
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _BYTE_FOLDED = _BYTE[_FOLD]
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,15 +37,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
+def _power_table(base: int, p: int, n: int) -> np.ndarray:
+    """base^0 .. base^(n-1) modulo p, by doubling."""
+    out, k = np.ones(n, np.uint64), 1
+    while k < n:
+        out[k : 2 * k] = out[: min(k, n - k)] * np.uint64(pow(base, k, p)) % np.uint64(p)
+        k *= 2
+    return out
+
+
+def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each prime, at least n powers of its base and of the base's inverse."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
         n = max(n, 2 * CHUNK)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.multiply.accumulate(p)
-    return _POWERS["up"], _POWERS["down"]
+        _POWERS[:] = [(_power_table(b, p, n), _power_table(pow(b, -1, p), p, n)) for b, p in zip(_BASES, PRIMES, strict=True)]
+    return _POWERS
+
+
+def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs start..end of values (from 1 to 256)."""
+    n, out = len(values), np.zeros(len(start), np.uint64)
+    total = np.zeros(n + 1, np.uint64)
+    for (up, down), prime in zip(_powers(n), PRIMES, strict=True):
+        p = np.uint64(prime)
+        terms = values * up[:n]
+        if n > _DIRECT:
+            terms %= p
+        np.cumsum(terms, out=total[1:])
+        out = (out << np.uint64(31)) | ((total[end] - total[start]) % p * down[start] % p)
+    return mix(out + (end - start).astype(np.uint64) * _MIX1)
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -105,11 +129,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, space=_SPACE
         end = np.flatnonzero(word & (after | edge[1:])) + 1
         if not len(start):
             continue
-        up, down = _powers(b - a)
-        total = np.empty(b - a + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(table[part] * up[: b - a], out=total[1:])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        h = run_hashes(table[part], start, end)
         doc = np.searchsorted(offsets, start + a, side="right") - 1
         yield h, doc, start + a, end + a
 

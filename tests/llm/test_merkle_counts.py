@@ -1,9 +1,10 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
-from quillon.llm import merkle, token_counts, tokens
+from quillon.llm import merkle, token_counts, tokens, words
 
 
 def check(rows, docs):
@@ -17,7 +18,8 @@ def check(rows, docs):
         want.setdefault(i, []).append((n, hashlib.sha256(e.encode()).hexdigest(), own, changed, merkle.likeness(own, changed), merkle.likeness(own, near)))
     got = {}
     for r in rows:
-        got.setdefault(r["doc_id"], []).append(tuple(r[1:]))
+        got.setdefault(r["doc_id"], []).append(tuple(r[1:7]))
+        assert [tuple(x) for x in r["edited_ranges"]] == merkle.edits(r["edited_fingerprint"], r["fingerprint"])
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
 
 
@@ -36,6 +38,76 @@ def test_hard(spark, hard, none):
     check(merkle.fingerprint_edits(lone).collect(), [(4, "abc def")])
 
 
+def test_short_texts_are_near_their_edits(spark, sf):
+    rows = [r for r in merkle.op5_merkle_fingerprints(spark, sf).collect() if 60 <= r["n_chars"] <= 400]
+    assert rows and sum(r["near_edited"] > 0.4 for r in rows) >= 0.9 * len(rows)
+
+
+def _rebuilt(text: str):
+    """A tree by another way: from the fingerprint's own lengths, digests of the bytes."""
+    mark, data, at = merkle.fingerprints([text])[0], text.encode(), 0
+    sections = []
+    for digest, paragraphs in merkle._sections(mark):
+        inner = []
+        for p in paragraphs:
+            leaves = []
+            for x in merkle._passages(p):
+                n = merkle._bytes([x])
+                leaf = hashlib.blake2b(data[at : at + n], digest_size=8).digest()
+                assert merkle.base64.b64encode(leaf[:3]).decode() == x[:4]
+                leaves.append(leaf)
+                at += n
+            inner.append(hashlib.blake2b(b"".join(leaves), digest_size=6).digest())
+            assert merkle.base64.b64encode(inner[-1]).decode() == p[:8]
+        sections.append(hashlib.blake2b(b"".join(inner), digest_size=6).digest())
+        assert merkle.base64.b64encode(sections[-1]).decode() == digest
+    assert at == len(data) and mark[:32] == hashlib.blake2b(b"".join(sections), digest_size=16).hexdigest()
+
+
+def test_digests_of_all_levels(hard):
+    rnd = random.Random(8)
+    texts = [r[0] or "" for r in hard.select("text").collect()]
+    texts += ["".join(rnd.choices("ab é\n漢", k=n)) for n in (1, 30, 399, 401, 3000)] + ["漢" * 9000, "".join(rnd.choices("漢字仮名交文", k=20000))]
+    for t in texts:
+        _rebuilt(t)
+
+
+def test_words_that_repeat_a_pattern_differ():
+    word = "a"
+    while len(word) < 1 << 13:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    for k in range(10, 14):
+        a, b = word[: 1 << k], other[: 1 << k]
+        one, two = merkle.fingerprints([a, b])
+        assert one[:32] != two[:32] and merkle.likeness(one, two) < 1  # long ones share pieces
+        h, _, _ = words.all_words(pa.array([a, b]))
+        assert h[0] != h[1]
+        sets = list(words.shingles(pa.array([a + " x y z w", b + " x y z w"]), 5))
+        assert not set(sets[0].tolist()) & set(sets[1].tolist())
+
+
+def test_insertion_moves_no_later_branch():
+    rnd = random.Random(3)
+    text = "".join(rnd.choices("漢字仮名交文学生大小中国日本人", k=60000))
+    one, two = merkle.fingerprints([text, "新" + text])
+    assert merkle.likeness(one, two) > 0.97
+    assert sum(e - s for s, e in merkle.edits(two, one)) < 4000
+
+
+def test_random_edits_lie_in_the_ranges_found():
+    rnd = random.Random(6)
+    for _ in range(30):
+        words_ = ["".join(rnd.choices("abcdefgh", k=4)) for _ in range(rnd.randint(80, 900))]
+        text = "".join(w + rnd.choice("     \n") for w in words_)
+        at = rnd.randrange(len(text))
+        new = text[:at] + "#" + text[at + 1 :]
+        one, two = merkle.fingerprints([text, new])
+        found = merkle.edits(two, one)
+        assert any(s <= at < e for s, e in found) and sum(e - s for s, e in found) < 1500
+        assert merkle.edits(one, one) == []
+
+
 def test_equality_and_location():
     rnd = random.Random(1)
     lines = [" ".join("".join(rnd.choices("abcdef", k=5)) for _ in range(40)) for _ in range(60)]
@@ -44,9 +116,9 @@ def test_equality_and_location():
     b = "\n".join(lines)
     fa, fb, again = merkle.fingerprints([a, b, str(a)])
     assert fa == again and fa != fb and merkle.likeness(fa, fb) > 0.9
-    spans = merkle.edits(b, a)
+    spans = merkle.edits(fb, fa)
     assert [b.encode()[s:e] for s, e in spans] == [b"something else\n"]
-    assert merkle.edits(a, a) == []
+    assert merkle.edits(fa, fa) == []
     one = "x" * 500_000
     assert merkle.likeness(*merkle.fingerprints([one, one[:-1]])) > 0.8
     assert len(set(merkle.fingerprints(["", " ", "\n", "a", "a\n", "\na", "A"]))) == 7
