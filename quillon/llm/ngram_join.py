@@ -5,21 +5,23 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Steps:
 1. One pass hashes all texts: set size, a hash of the set (equal sets are one node), and
    frequencies of n-grams in a table of fixed size, which gives a global order, rare first.
 2. Sets that reach the threshold share one of their first n - ceil(t n) + 1 n-grams in
-   any global order. Only those prefixes shuffle, and only prefix n-grams of two different
-   sets or more go on. The place of the first n-gram they share bounds the partner's size
-   (what is left of both must hold the overlap); sets without a partner of fitting size
-   under any n-gram are done.
-3. Blocks (sets under one prefix n-gram) are joined in prefix trees: the sets, ordered by
-   how many of the block hold an n-gram, form a trie with compressed paths; a query
-   descends with the overlap counted so far, and a subtree is pruned when the remaining
-   lengths cannot reach the overlap needed. Sets of one class are not compared again.
-   Sets that shared n-grams connect are a cluster. One of at most `CLUSTER` n-grams in all
-   is one block, so that each set is sent once. A larger one is cut into bands of size, two
-   neighbouring bands a block, as sets of other sizes cannot link; a block that is still
-   too large is cut into up to `PARTS` parts and joined by pairs of parts. Clusters beyond
-   that take three rounds: each set under one n-gram; one set of each class under every n-gram that holds two classes; at last all
-   sets under every such n-gram. So large groups collapse before they are compared in
-   full, and no link between classes is lost.
+   any global order. Only those prefixes shuffle. A bitmap of fixed size marks the n-grams
+   that two different sets or more have there; others stop here (the bitmap lets some more
+   pass, which find no partner). The place of the first n-gram they share bounds the
+   partner's size (what is left of both must hold the overlap); sets without a partner of
+   fitting size under any n-gram are done.
+3. Blocks of sets are joined in prefix trees: the sets, ordered by how many of the block
+   hold an n-gram, form a trie with compressed paths; a query descends with the overlap
+   counted so far, and a subtree is pruned when the remaining lengths cannot reach the
+   overlap needed. Sets of one class are not compared again. Sets that shared n-grams
+   connect are a cluster; one of more than `CLUSTER` n-grams is cut into bands of size,
+   two neighbouring bands a block, as sets of other sizes cannot link. A block still larger
+   is dealt over parts of about `CLUSTER` n-grams: each part is joined alone, then one set
+   of each class over all parts, and only where classes are left that may still link, all
+   pairs of parts. A block of more than `PARTS` parts takes three rounds by n-gram: each set
+   under one n-gram; one set of each class under every n-gram that holds two classes; at
+   last all sets under every such n-gram. So large groups collapse before they are compared
+   in full, and no link between classes is lost.
 
 Blocks of rounds above `BLOCK` n-grams are split: in the first rounds into parts, in the last into
 all pairs of parts. Classes are connected components of the links found; nothing of them
@@ -45,9 +47,12 @@ PERCENT = 75
 FREQUENCY_BITS = 22
 CHUNK = 1 << 18
 BLOCK = 1 << 21
-CLUSTER = 1 << 20
-PARTS = 8
-BROADCAST_KEYS = 1 << 21
+CLUSTER = 1 << 16
+PARTS = 32
+#: Most rows that are broadcast (of three numbers, about 25 MB in memory).
+BROADCAST_ROWS = 1 << 18
+#: Bits of a bitmap of keys, 16 MB whatever the input.
+BITMAP_BITS = 27
 
 
 def needed(a: int, b: int, percent: int = PERCENT) -> int:
@@ -70,7 +75,7 @@ def set_id(grams: np.ndarray) -> int:
 
 
 def _profile(docs: DataFrame, size: int) -> DataFrame:
-    """Rows of documents (doc_id, n, sid) and, one set a task, of frequencies (chunk, counts)."""
+    """Rows of documents (doc_id, th, n, sid) and, one set a task, of frequencies (chunk, counts)."""
 
     def run(batches):
         tokens.forget()
@@ -82,13 +87,13 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
                 sid.append(set_id(grams) if len(grams) else None)
                 counts[grams >> np.uint64(64 - FREQUENCY_BITS)] += 1
             nulls = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), nulls, pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "sid", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), nulls, pa.nulls(len(n), pa.binary())], names=["doc_id", "th", "n", "sid", "chunk", "counts"])
         counts = np.minimum(counts, 255).astype(np.uint8)  # a task tells no more than 255 apart
         for k in range(len(counts) // CHUNK):
-            one = [pa.nulls(1, pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, names=["doc_id", "n", "sid", "chunk", "counts"])
+            one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k], pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=["doc_id", "th", "n", "sid", "chunk", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, chunk int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, th long, n long, sid long, chunk int, counts binary")
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
@@ -134,15 +139,47 @@ def _prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> D
     return docs.mapInArrow(run, "key long, sid long, n int, most int")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(sid, grams) of documents given with the sid expected of them."""
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits of the low `BITMAP_BITS` of all keys (one column of longs), as bytes.
+
+    Keys are dealt by bucket, each bucket is 4 KB, and the driver gets 16 MB at most.
+    """
+    low = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("low"))
+    low = low.select(F.shiftright("low", 15).cast("int").alias("bucket"), F.col("low").bitwiseAND(F.lit(32767)).alias("bit"))
+    parts = low.repartition(partitions(keys.sparkSession), "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
+    for k, bits in parts.collect():
+        out[k << 12 : (k + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys & ((1 << BITMAP_BITS) - 1)
+    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+
+
+def _only_marked(rows: DataFrame, bits: np.ndarray, column: int) -> DataFrame:
+    """Rows whose key in that column may be in the bitmap."""
+    known = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         for batch in batches:
+            yield batch.filter(pa.array(_marked(known.value, batch.column(column).to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _sets(docs: DataFrame, size: int, owners: np.ndarray) -> DataFrame:
+    """(sid, grams) of documents (row, text) whose row may be in the bitmap of owners."""
+    known = docs.sparkSession.sparkContext.broadcast(owners)
+
+    def run(batches):
+        for batch in batches:
+            some = batch.filter(pa.array(_marked(known.value, batch.column(0).to_numpy())))
             sids, sets = [], []
-            for want, grams in zip(batch.column(0).to_pylist(), words.shingles(batch.column(1), size), strict=True):
-                if len(grams) and set_id(grams) == want:
-                    sids.append(want)
+            for grams in words.shingles(some.column(1), size):
+                if len(grams):
+                    sids.append(set_id(grams))
                     sets.append(grams.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(sets, pa.binary())], names=["sid", "grams"])
 
@@ -322,40 +359,57 @@ def _classes(rows: DataFrame, links: DataFrame | None) -> DataFrame:
     """Rows (key, sid, n, most) with the class that the links give their set."""
     if links is None:
         return rows.withColumn("class", F.col("sid"))
-    return rows.join(components(links), F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "most", F.coalesce("component", "sid").alias("class"))
+    rows = rows.drop("class")
+    return rows.join(components(links), F.col("sid") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "sid").alias("class"))
 
 
 def _broadcast_few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
-
-
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs`.
-
-    Null texts and texts without words have an empty set, link with nothing, and are their
-    own class. With fewer words than `size` the whole sequence is the only n-gram. Rows
-    with equal sets are one class; component_id is its smallest doc_id. Rows with a null id
-    link like others and count for the smallest id only where no other is. An empty table
-    gives no rows. Other columns are ignored, whatever their names.
-    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows (key, ..., class) of keys that hold two classes or more."""
+    keys = rows.groupBy("key").agg((F.min("class") < F.max("class")).alias("mixed")).where("mixed").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def _in_parts(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in blocks (key, sid, n, class) of up to `PARTS` parts: each part alone; then, of
+    blocks of several parts, one set of each class; then pairs of parts of blocks in which
+    two classes are left."""
+    found = materialise(_links(materialise(_split(members, False, CLUSTER), "ngram-blocks"), sets, percent), "ngram-links")
+    many = members.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > CLUSTER).select("key")
+    many = materialise(members.join(many, "key", "left_semi"), "ngram-parts")
+    if many.isEmpty():
+        return found
+    one = _classes(many, found).groupBy("key", "class").agg(F.min(F.struct("sid", "n")).alias("s")).select("key", "s.sid", "s.n", "class")
+    more = materialise(_links(materialise(_split(_mixed(one), False, BLOCK), "ngram-blocks"), sets, percent), "ngram-links")
+    found = found.union(more)
+    left = materialise(_mixed(_classes(many, found)), "ngram-parts")
+    if left.isEmpty():
+        return found
+    return found.union(materialise(_links(materialise(_split(left, True, CLUSTER), "ngram-blocks"), sets, percent), "ngram-links"))
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """doc_id, th (hash of the text), n, component_id, root (a class of linked or equal sets, null
+    for a set of its own) for every row."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     both = materialise(_profile(docs, size), "ngram-profile")
-    profile = both.where("chunk is null").select("doc_id", "n", "sid")
+    profile = both.where("chunk is null").select("doc_id", "th", "n", "sid")
     pref = materialise(_prefixes(docs, size, percent, _frequencies(both)), "ngram-prefixes")
     shared = pref.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
-    shared = materialise(shared, "ngram-shared")
-    rows = materialise(pref.join(_broadcast_few(shared), "key", "left_semi").distinct(), "ngram-rows")
+    rows = materialise(_only_marked(pref, _bitmap(shared), 0).distinct(), "ngram-rows")
     drop(pref)
 
     every = materialise(_viable(_classes(rows, None), percent).drop("class"), "ngram-viable")
     drop(rows)
 
-    owner = profile.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("o"))
-    owner = owner.join(every.select("sid").distinct(), "sid", "left_semi").select("sid", F.col("o.doc_id").alias("owner"))
-    owner = materialise(owner, "ngram-owners")
-    sets = materialise(_sets(docs.join(_broadcast_few(owner), F.col("doc_id").eqNullSafe(F.col("owner"))).select("sid", "text"), size), "ngram-sets")
+    owner = profile.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("o"))
+    owner = owner.join(every.select("sid").distinct(), "sid", "left_semi").select(F.xxhash64("o.doc_id", "o.th").alias("row"))
+    sets = materialise(_sets(docs.select(F.xxhash64("doc_id", "th").alias("row"), "text"), size, _bitmap(owner)), "ngram-sets")
 
     def find(rows, pairs=False):
         rows = materialise(rows, "ngram-round")
@@ -373,8 +427,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = members.join(total, F.col("component") == F.col("_component")).select("sid", "n", F.col("sid").alias("class"), "component", F.explode(bands).alias("band"))
     members = materialise(members.select(F.xxhash64("component", "band").alias("key"), "sid", "n", "class"), "ngram-members")
     huge = members.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > PARTS * CLUSTER).select("key")
-    blocks = materialise(_split(members.join(huge, "key", "left_anti"), True, CLUSTER), "ngram-blocks")
-    links = materialise(_links(blocks, sets, percent), "ngram-links")
+    links = _in_parts(members.join(huge, "key", "left_anti"), sets, percent)
     every = materialise(every.join(members.join(huge, "key", "left_semi").select("sid").distinct(), "sid", "left_semi").select("key", "sid", "n", "most"), "ngram-large")
     if not every.isEmpty():
         found = None
@@ -396,8 +449,20 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids = ids.join(classes, ids["sid"] == classes["node"], "left").where("c > 1 or component is not null").select("sid", "low", F.coalesce("component", "sid").alias("root"))
     ids = materialise(ids, "ngram-ids")
     least = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = ids.join(least, "root").select("sid", "component_id")
-    return profile.join(member, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    member = ids.join(least, "root").select("sid", "component_id", "root")
+    return profile.join(member, "sid", "left").select("doc_id", "th", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "root")
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs`.
+
+    Null texts and texts without words have an empty set, link with nothing, and are their
+    own class. With fewer words than `size` the whole sequence is the only n-gram. Rows
+    with equal sets are one class; component_id is its smallest doc_id. Rows with a null id
+    link like others and count for the smallest id only where no other is. An empty table
+    gives no rows. Other columns are ignored, whatever their names.
+    """
+    return _linked(docs, id_col, text_col, size, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _distinct_keys(rows: DataFrame) -> DataFrame:
@@ -407,11 +472,29 @@ def _distinct_keys(rows: DataFrame) -> DataFrame:
     return rows.join(keep, "key", "left_semi")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """`docs` with the row of smallest id of each class; ids must be unique."""
-    row = free_name(docs, "_gone")
-    gone = link_classes(docs, id_col, text_col, **how).where("doc_id != component_id").select(F.col("doc_id").alias(row))
-    return docs.join(gone, F.col(id_col) == F.col(row), "left_anti").select(*docs.columns)
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row of each class: that of the smallest id, then of the smallest hash of
+    the text; rows without an id come last.
+
+    Rows are told apart by id and text, so a row goes only for its own text; of rows equal
+    in both, one stays. Rows without words are classes of their own and all stay.
+    """
+    row, th, gone_id, gone_th = (free_name(docs, x) for x in ("_class", "_th", "_gone_id", "_gone_th"))
+    linked = materialise(_linked(docs, id_col, text_col, size, percent).where("root is not null").select("doc_id", "th", "root"), "ngram-linked")
+    best = linked.groupBy(F.col("root").alias(row)).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k"))
+    stays = F.col("k.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("k.th") == F.col("th"))
+    of_class = materialise(linked.join(best, F.col("root") == F.col(row)).select("doc_id", "th", stays.alias("stays")), "ngram-kept")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(th) == F.col(gone_th))
+
+    def keys(df):
+        return _broadcast_few(df.select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct())
+
+    kept = docs.withColumn(th, F.xxhash64(text_col)).join(keys(of_class.where("!stays")), same, "left_anti")
+    again = materialise(of_class.where("stays").groupBy("doc_id", "th").count().where("count > 1"), "ngram-repeats")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(keys(again), same, "left_anti")
+    return once.union(kept.join(keys(again), same, "left_semi").dropDuplicates([id_col, th])).select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark, sf_dir):

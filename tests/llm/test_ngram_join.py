@@ -54,7 +54,7 @@ def test_hard(hard, none):
     assert got(none) == []
 
 
-@pytest.mark.parametrize("block, cluster, parts", [(1 << 21, 1 << 20, 8), (1 << 21, 500, 1000), (1 << 21, 500, 0), (300, 1, 0)])
+@pytest.mark.parametrize("block, cluster, parts", [(1 << 21, 1 << 20, 8), (1 << 21, 500, 1000), (300, 150, 1000), (1 << 21, 500, 0), (300, 1, 0)])
 def test_families_and_shared_passages(spark, monkeypatch, block, cluster, parts):
     monkeypatch.setattr(ngram_join, "PARTS", parts)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
@@ -95,3 +95,22 @@ def test_drop_near_copies(spark, sf):
     left = ngram_join.drop_near_copies(docs)
     assert left.columns == docs.columns
     assert left.count() == len({c for *_, c in got(docs)})
+
+
+def test_drop_near_copies_of_repeated_rows_and_null_ids(spark, hard):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = [(1, base), (1, base), (None, base + " x"), (None, base + " x"), (2, base + " y"), (1, "quite another text of more than five words"), (None, "a null id and a text of its own"), (7, None), (7, ""), (7, None)]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, th int").repartition(3)
+    left = ngram_join.drop_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((tuple(r)[:2] for r in left.collect()), key=str) == sorted([rows[0], *rows[5:]], key=str)
+    left = [(r["doc_id"], r["text"]) for r in ngram_join.drop_near_copies(hard).collect()]
+    assert len(left) == 8 and len([r for r in left if r[0] in (1, 2, 3)]) == 1
+
+
+def test_bitmap(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = rng.integers(-(1 << 63), 1 << 63, 3000)
+    bits = ngram_join._bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert len(bits) == 1 << 24 and ngram_join._marked(bits, keys).all()
+    assert ngram_join._marked(bits, rng.integers(-(1 << 63), 1 << 63, 10000)).mean() < 0.01

@@ -47,3 +47,50 @@ def test_stage_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_repeated_rows_and_null_ids_through_all_stages(spark, hard, tmp_path):
+    extra = [(None, "another text without an id but six words"), (None, "another text without an id but six words"), (1, "a second text of id one, quite its own"), (None, "a b c d e f g")]
+    docs = hard.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in extra], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
+    best = {}
+    for i, t, s in rows:
+        key = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        best[key] = min(best.get(key, ((1,), None)), ((-len(t or ""), i is not None, i or 0), (i, t, s)), key=lambda r: r[0])
+    rows = [r for _, r in best.values()]
+    # The rows 1, 2, 3 and one without an id have equal words; "one two" and "ONE two" have equal sets.
+    def words_of(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    classes = {}
+    for r in rows:
+        key = tuple(words_of(r[1])) or ("", r[0], r[1])
+        classes.setdefault(key, []).append(r)
+    rows = [min(c, key=lambda r: (r[0] is None, r[0] or 0)) for c in classes.values()]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    got = {}
+    for r in out:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    most = {}
+    for i, t, _ in rows:
+        most[i] = most.get(i, 0) + 2 * (len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1)
+    assert set(got) <= set(most) and all(n <= most[i] for i, n in got.items())
+    from test_native import brute_targets
+
+    sizes = {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(words_of(t))
+    total = sum(brute_targets(sizes).values())
+    begun = [r for r in out if r["start"] == 0]
+    assert len(begun) <= 2 * len(rows) and total <= sum(sizes.values()) * 2
+    # Copies of rows in all, as the mix of the rows that are left has it.
+    left = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    from quillon.llm import mixing
+
+    assert len(begun) == mixing.mix(left).agg({"copies": "sum"}).first()[0]
