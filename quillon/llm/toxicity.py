@@ -3,7 +3,7 @@
 Words are runs of letters, digits and non-ASCII bytes, A-Z folded. A chain of two states
 (clean, toxic) has emission weights of hashed features: the word, its first 3 to 6 bytes,
 its last 3, and the words before and after; and transition weights. It is fitted on a
-sample of at most `SAMPLE` labelled documents: tokens get labels from document labels (a
+sample of at most `SAMPLE` labelled documents of `FIT_BYTES` bytes in all: tokens get labels from document labels (a
 feature that at least `SUPPORT` toxic documents hold, and of whose documents at least
 `PURITY` are toxic, marks its tokens in toxic documents); toxic documents without such a
 token are left out of the chain's fit. Forward-backward marginals of a document's words
@@ -24,6 +24,7 @@ from quillon.llm import tokens, words
 from quillon.session import ship
 
 SAMPLE = 6000
+FIT_BYTES = 64 << 20
 BITS = 18
 SUPPORT = 4
 PURITY = 0.9
@@ -266,7 +267,8 @@ def score_batch(model: dict, texts):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """Fit on labelled documents whose crc32(id) mod 5 is not 0, at most `sample` of them.
 
-    The sample is the labelled documents of smallest MD5 of their id. Null labels are
+    The sample is the labelled documents of smallest MD5 of their id; in that order, whole
+    documents are taken while all together have at most `FIT_BYTES` bytes. Null labels are
     ignored; a document labelled twice is toxic if any label says so. Without a sample of
     both kinds the model gives every text one score. The fit runs in one task.
     """
@@ -274,16 +276,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ship(spark)
     marked = labels.where("toxic is not null and doc_id is not null").where("crc32(cast(doc_id as string)) % 5 != 0")
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), F.col("_id") == F.col("doc_id")).select("doc_id", "text", "toxic")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marked), F.col("_id") == F.col("doc_id"))
+    rows = rows.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("_key"))
+
+    def within(batches):
+        left = FIT_BYTES
+        for batch in batches:
+            take = []
+            for n in pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist():
+                take.append(n <= left)
+                left -= n if n <= left else 0
+            yield batch.filter(pa.array(take, pa.bool_()))
 
     def learn(batches):
         tokens.forget()
-        table = pa.Table.from_batches(list(batches)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        table = pa.Table.from_batches(list(within(batches)), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         model = fit_model(pc.cast(table["text"].combine_chunks(), pa.large_string()), table["toxic"].to_numpy())
         names = list(model)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([np.asarray(model[k], np.float64).tobytes() for k in names])], names=["name", "value"])
 
-    got = dict(map(tuple, rows.repartition(1).mapInArrow(learn, "name string, value binary").collect()))
+    rows = rows.repartition(1).sortWithinPartitions("_key", "text").drop("_key")
+    got = dict(map(tuple, rows.mapInArrow(learn, "name string, value binary").collect()))
     if not got:
         return fit_model(pa.array([], pa.large_string()), np.zeros(0))
     model = {k: np.frombuffer(v, np.float64) for k, v in got.items()}
@@ -292,7 +306,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted, spans for every row: whole texts, no shuffle.
+    """doc_id, score, predicted, spans (start and end in characters, largest marginal) for every
+    row: whole texts, no shuffle.
 
     Null texts are empty and score as texts without any word; repeated rows and null ids
     are kept; an empty table gives no rows. Other columns are ignored.
@@ -332,12 +347,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def op10_toxicity(spark, sf_dir):
-    """Scores of all documents; learns from labelled rows whose crc32(id) mod 5 is not 0."""
+    """Scores and toxic spans of all documents; learns from labelled rows whose crc32(id) mod 5
+    is not 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_documents(docs, model)
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return out.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
 
 
 QUERIES = {"op10_toxicity": op10_toxicity}

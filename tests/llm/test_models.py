@@ -149,3 +149,35 @@ def test_scores_do_not_read_other_columns(spark, sf):
     a = {r[0]: r[1] for r in toxicity.score_documents(docs, model).collect()}
     b = {r[0] - 7: r[1] for r in toxicity.score_documents(docs.withColumn("doc_id", F.col("doc_id") + 7).withColumn("lang", F.lit("x")).repartition(3), model).collect()}
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+
+
+def test_query_of_toxicity_returns_offsets(spark):
+    sf = "/root/testdata/sf0.01"
+    out = toxicity.op10_toxicity(spark, sf)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "spans"]
+    texts = {r[0]: r[1] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    marked = Counter()
+    for r in rows:
+        assert r["held_out"] is (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == (r["score"] >= 0.5)
+        for s in r["spans"]:
+            assert 0 <= s["start"] < s["end"] <= len(texts[r["doc_id"]]) and s["p"] >= 0.5
+            marked[texts[r["doc_id"]][s["start"] : s["end"]].lower()] += 1
+    assert marked and any(r["spans"] for r in rows if r["predicted"]) and all(not w.isspace() for w in marked)
+
+
+def test_fit_takes_whole_documents_up_to_its_bytes(spark, sf, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 0)
+    assert not toxicity.fit(docs, labels)["word"].any()
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 60_000)
+    assert toxicity.fit(docs, labels)["word"].any()
+
+
+def test_query_of_the_language_model(spark, sf):
+    out = maxent.op8_maxent_scores(spark, sf)
+    assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    want = brute_base([tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
+    got = sorted((tuple(r) for r in out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score").collect()), key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(g[5] == pytest.approx(w[5], rel=1e-9) for g, w in zip(got, want, strict=True))
