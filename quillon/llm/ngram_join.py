@@ -116,10 +116,9 @@ def _frequencies(profile: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(docs: DataFrame, size: int, percent: int, counts: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, size: int, percent: int, known) -> DataFrame:
     """(key, sid, n, most): the rarest n-grams of every set, once a task for equal sets, and
-    the largest partner by the n-gram's place."""
-    known = docs.sparkSession.sparkContext.broadcast(counts)
+    the largest partner by the n-gram's place. known: the frequencies, broadcast."""
 
     def run(batches):
         tokens.forget()
@@ -158,9 +157,8 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
 
 
-def _only_marked(rows: DataFrame, bits: np.ndarray, column: int) -> DataFrame:
-    """Rows whose key in that column may be in the bitmap."""
-    known = rows.sparkSession.sparkContext.broadcast(bits)
+def _only_marked(rows: DataFrame, known, column: int) -> DataFrame:
+    """Rows whose key in that column may be in the (broadcast) bitmap."""
 
     def run(batches):
         for batch in batches:
@@ -169,9 +167,8 @@ def _only_marked(rows: DataFrame, bits: np.ndarray, column: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _sets(docs: DataFrame, size: int, owners: np.ndarray) -> DataFrame:
-    """(sid, grams) of documents (row, text) whose row may be in the bitmap of owners."""
-    known = docs.sparkSession.sparkContext.broadcast(owners)
+def _sets(docs: DataFrame, size: int, known) -> DataFrame:
+    """(sid, grams) of documents (row, text) whose row may be in the (broadcast) bitmap of owners."""
 
     def run(batches):
         for batch in batches:
@@ -399,9 +396,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     both = materialise(_profile(docs, size), "ngram-profile")
     profile = both.where("chunk is null").select("doc_id", "th", "n", "sid")
-    pref = materialise(_prefixes(docs, size, percent, _frequencies(both)), "ngram-prefixes")
+    known = spark.sparkContext.broadcast(_frequencies(both))
+    pref = materialise(_prefixes(docs, size, percent, known), "ngram-prefixes")
+    known.destroy()  # the workers of later stages need its memory
     shared = pref.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
-    rows = materialise(_only_marked(pref, _bitmap(shared), 0).distinct(), "ngram-rows")
+    known = spark.sparkContext.broadcast(_bitmap(shared))
+    rows = materialise(_only_marked(pref, known, 0).distinct(), "ngram-rows")
+    known.destroy()
     drop(pref)
 
     every = materialise(_viable(_classes(rows, None), percent).drop("class"), "ngram-viable")
@@ -409,7 +410,9 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
 
     owner = profile.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("o"))
     owner = owner.join(every.select("sid").distinct(), "sid", "left_semi").select(F.xxhash64("o.doc_id", "o.th").alias("row"))
-    sets = materialise(_sets(docs.select(F.xxhash64("doc_id", "th").alias("row"), "text"), size, _bitmap(owner)), "ngram-sets")
+    known = spark.sparkContext.broadcast(_bitmap(owner))
+    sets = materialise(_sets(docs.select(F.xxhash64("doc_id", "th").alias("row"), "text"), size, known), "ngram-sets")
+    known.destroy()
 
     def find(rows, pairs=False):
         rows = materialise(rows, "ngram-round")
