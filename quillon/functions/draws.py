@@ -24,3 +24,17 @@ def lcg(seed: Column, k: Column) -> Column:
         return F.when(k.cast("long").bitwiseAND(x["bit"].cast("long")) != 0, jumped).otherwise(s)
 
     return F.aggregate(F.array(*jumps), F.pmod(seed.cast("long"), F.lit(MODULUS)), step) / float(MODULUS)
+
+
+def stream(seed: int, skip: int, n: int) -> list[float]:
+    """Draws skip + 1 .. skip + n of the generator; the first ones are jumped over."""
+    a, c, s, k = MULTIPLIER, INCREMENT, int(seed) % MODULUS, skip
+    while k:
+        if k & 1:
+            s = (a * s + c) % MODULUS
+        a, c, k = a * a % MODULUS, (a * c + c) % MODULUS, k >> 1
+    out = []
+    for _ in range(n):
+        s = (MULTIPLIER * s + INCREMENT) % MODULUS
+        out.append(s / MODULUS)
+    return out
