@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators import order
 from quillon.session import materialise
 
 
@@ -68,6 +69,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return now.withColumnRenamed("c", "component")
 
 
+def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): components numbered from 0 in the order of their smallest nodes."""
+    at = materialise(components(nodes, edges), "components")
+    number = order.numbered(at.select("component").distinct(), ["component"], "_number")
+    return at.join(number, "component").select("node", F.col("_number").alias("component"))
+
+
 def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(src, dst, hops) of reachable pairs, by frontier joins; `limit` stops at so many hops.
 
@@ -96,13 +104,12 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None)
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(q): of labels (node, label); 0 without edges. Self-loops are skipped."""
+    """(q): of labels (node, label); 0 without edges. Self-loops are skipped. One pass over the
+    edges' ends counts degrees and inner links of every label; their sum is the total."""
     e = edges.where("src != dst")
     a, b = (labels.select(F.col("node").alias(n), F.col("label").alias(f"_{n}")) for n in ("src", "dst"))
-    e = e.join(a, "src").join(b, "dst")
-    total = e.agg(F.count("*").alias("m"))
-    ends = e.select(F.col("_src").alias("label")).union(e.select("_dst")).groupBy("label").agg(F.count("*").alias("d"))
-    inside = e.where("_src = _dst").groupBy(F.col("_src").alias("label")).agg(F.count("*").alias("i"))
-    parts = ends.join(inside, "label", "left").join(F.broadcast(total))
-    part = F.coalesce("i", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), F.lit(2))
-    return parts.agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("q"))
+    inside = F.when(F.col("_src") == F.col("_dst"), 0.5).otherwise(0.0).alias("i")
+    ends = e.join(a, "src").join(b, "dst").select(F.explode(F.array("_src", "_dst")).alias("label"), inside)
+    by_label = ends.groupBy("label").agg(F.count("*").alias("d"), F.sum("i").alias("i"))
+    sums = by_label.agg(F.sum("i").alias("i"), F.sum("d").alias("d"), F.sum(F.col("d").cast("double") * F.col("d")).alias("d2"))
+    return sums.select(F.coalesce(2 * F.col("i") / F.col("d") - F.col("d2") / (F.col("d").cast("double") * F.col("d")), F.lit(0.0)).alias("q"))

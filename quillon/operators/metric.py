@@ -161,15 +161,17 @@ def magnitudes(df: DataFrame, value: str, floor: float = 1e-12) -> DataFrame:
 
 
 def procrustes(layout: DataFrame, target: DataFrame) -> DataFrame:
-    """(node, x, y) of `layout` turned, mirrored or not, and moved onto `target` by node.
+    """(node, x, y), and z as it is where `layout` has it: `layout` turned, mirrored or not, and
+    moved onto `target` by node.
 
     Means and cross moments are one aggregation; the best of rotations and of reflections
     has a closed form in the plane.
     """
+    rest = ["z"] if "z" in layout.columns else []
     both = layout.select("node", "x", "y").join(target.select("node", F.col("x").alias("u"), F.col("y").alias("v")), "node")
     mean = both.agg(*[F.avg(c).alias(f"_{c}") for c in "xyuv"])
     m = both.join(F.broadcast(mean)).select("*", *[(F.col(c) - F.col(f"_{c}")).alias(f"d{c}") for c in "xyuv"])
     s = m.agg(*[F.sum(F.col(f"d{a}") * F.col(f"d{b}")).alias(a + b) for a, b in ("xu", "xv", "yu", "yv")])
     turn, mirror = (F.hypot(F.expr("xu + yv"), F.expr("xv - yu")), F.hypot(F.expr("xu - yv"), F.expr("xv + yu")))
     s = s.select(F.when(turn >= mirror, 1.0).otherwise(-1.0).alias("_f"), F.when(turn >= mirror, F.expr("atan2(xv - yu, xu + yv)")).otherwise(F.expr("atan2(xv + yu, xu - yv)")).alias("_w"))
-    return layout.select("node", "x", "y").join(F.broadcast(mean)).join(F.broadcast(s)).selectExpr("node", "_u + cos(_w) * (x - _x) - _f * sin(_w) * (y - _y) as x", "_v + sin(_w) * (x - _x) + _f * cos(_w) * (y - _y) as y")
+    return layout.select("node", "x", "y", *rest).join(F.broadcast(mean)).join(F.broadcast(s)).selectExpr("node", "_u + cos(_w) * (x - _x) - _f * sin(_w) * (y - _y) as x", "_v + sin(_w) * (x - _x) + _f * cos(_w) * (y - _y) as y", *rest)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import ship
+
 
 def gaussian_kernel(sigma: float, order: int) -> list[float]:
     """Weights of a Gaussian or its first or second derivative, of half-width ceil(4 sigma),
@@ -23,42 +27,50 @@ def gaussian_kernel(sigma: float, order: int) -> list[float]:
     return [w / sum(v * j * j / 2 for j, v in zip(at, raw, strict=True)) for w in raw]
 
 
+def _reflected(x: np.ndarray, h: int, odd: bool) -> np.ndarray:
+    """x with h samples more on both sides, mirrored or point-reflected about its ends, as often as
+    that takes: the extension has period 2(n-1), over which an odd one rises by its ends'
+    difference, twice."""
+    n = len(x)
+    at = np.arange(-h, n + h)
+    if n == 1:
+        return np.where((at == 0) | (not odd), x[0], 0.0)
+    turn, place = np.divmod(at, 2 * (n - 1))
+    back = place >= n
+    out = x[np.where(back, 2 * (n - 1) - place, place)]
+    return np.where(back, 2 * x[-1] - out, out) + 2 * (x[-1] - x[0]) * turn if odd else out
+
+
+def _filtered(series: DataFrame, kernels: list[tuple[str, list[float], bool]]) -> DataFrame:
+    """(id, t, name, ...): each kernel's answer, all in one pass over arrays of whole series."""
+    ship(series.sparkSession)
+    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
+    names = [name for name, _, _ in kernels]
+
+    def run(batches):
+        for batch in batches:
+            for key, row in zip(batch.column(0), batch.column(1), strict=True):
+                x = row.values.to_numpy()
+                cols = []
+                for _, kernel, odd in kernels:
+                    h = len(kernel) // 2
+                    flat = len(x) == 1 and odd
+                    cols.append(np.zeros(1) if flat else np.correlate(_reflected(x, h, odd), np.array(kernel), "valid"))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(x), batch.schema.types[0]), pa.array(np.arange(len(x), dtype=np.int32)), *map(pa.array, cols)], names=["id", "t", *names])
+
+    kind = dict(series.dtypes)["id"]
+    return arrays.mapInArrow(run, f"id {kind}, t int, " + ", ".join(f"{n} double" for n in names))
+
+
 def convolve_reflect(series: DataFrame, kernel: list[float], odd: bool = False) -> DataFrame:
-    """(id, t, y): correlation with the kernel, mirrored (even) or point-reflected (odd) ends.
-
-    The extension has period 2(n-1): the place p = (t + i) mod 2(n-1) is p or its mirror.
-    A point reflection turns the sign about the end and adds its rise over each period.
-    Each series is one array, so the join is by series. A series of one sample is a level:
-    y = x for an even kernel sum, 0 for odd reflection.
-    """
-    h = len(kernel) // 2
-    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s"))
-    arrays = arrays.select("id", F.col("s.x").alias("v"), F.size("s").alias("n"))
-    weights = F.array(*[F.lit(float(w)) for w in kernel])
-
-    def term(w, i, t, v, n):
-        j = t + i - h
-        span = F.greatest(F.lit(1), 2 * (n - 1))
-        p = F.pmod(j, span)
-        inside = p < n
-        x = F.get(v, F.when(inside, p).otherwise(span - p).cast("int"))
-        if not odd:
-            return w * x
-        first, last = F.get(v, F.lit(0)), F.get(v, n - 1)
-        rise = 2 * (last - first) * F.floor(j / span)
-        return w * (F.when(inside, x).otherwise(2 * last - x) + rise)
-
-    body = lambda v, n: F.transform(v, lambda _, t: F.aggregate(F.transform(weights, lambda w, i: term(w, i, t, v, n)), F.lit(0.0), lambda a, b: a + b))
-    out = arrays.select("id", F.posexplode(body(F.col("v"), F.col("n"))).alias("t", "y"))
-    return out
+    """(id, t, y): correlation with the kernel, mirrored (even) or point-reflected (odd) ends. A series
+    of one sample is a level: y = x times the kernel's sum, or 0 for odd reflection."""
+    return _filtered(series, [("y", kernel, odd)])
 
 
 def smoothed(series: DataFrame, sigma: float = 1.5) -> DataFrame:
-    """(id, t, level, d1, d2)."""
-    out = convolve_reflect(series, gaussian_kernel(sigma, 0)).withColumnRenamed("y", "level")
-    for name, order, odd in (("d1", 1, True), ("d2", 2, False)):
-        out = out.join(convolve_reflect(series, gaussian_kernel(sigma, order), odd).withColumnRenamed("y", name), ["id", "t"])
-    return out
+    """(id, t, level, d1, d2); of a series of one sample the derivatives are 0."""
+    return _filtered(series, [(name, gaussian_kernel(sigma, k), k == 1) for k, name in enumerate(("level", "d1", "d2"))])
 
 
 def inflections(smooth: DataFrame, floor: float) -> DataFrame:
@@ -75,13 +87,20 @@ def momentum(smooth: DataFrame) -> DataFrame:
 
 
 def dft(series: DataFrame) -> DataFrame:
-    """(id, k, period, power) for k = 1..n/2, the mean removed."""
-    w = Window.partitionBy("id")
-    s = series.select("id", "t", (F.col("x") - F.avg("x").over(w)).alias("v"), F.count("*").over(w).alias("n")).where("n > 1")
-    s = s.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("n div 2"))).alias("k"))
-    angle = 2 * math.pi * F.col("k") * F.col("t") / F.col("n")
-    out = s.groupBy("id", "n", "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
-    return out.select("id", "k", (F.col("n") / F.col("k")).alias("period"), (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"))
+    """(id, k, period, power) for k = 1..n/2, the mean removed; one fast transform for a series."""
+    ship(series.sparkSession)
+    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
+
+    def run(batches):
+        for batch in batches:
+            for key, row in zip(batch.column(0), batch.column(1), strict=True):
+                x = row.values.to_numpy()
+                n = len(x)
+                f = np.fft.rfft(x - x.mean())[1 : n // 2 + 1]
+                k = np.arange(1, len(f) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(k), batch.schema.types[0]), pa.array(k), pa.array(n / k), pa.array(f.real**2 + f.imag**2)], names=["id", "k", "period", "power"])
+
+    return arrays.mapInArrow(run, f"id {dict(series.dtypes)['id']}, k long, period double, power double")
 
 
 def dominant_rhythm(series: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import materialise, ship
+
 KAPPA_MAX = 1000.0
 
 
@@ -49,27 +53,44 @@ def benjamini_hochberg(df: DataFrame, key: str, p: str) -> DataFrame:
     return out.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(down))).drop("_k", "_v")
 
 
+def _best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[int, float, float]:
+    """The lag of the strongest |r| (the first of equals), r and z; 0s where no lag counts."""
+    n, best = min(len(a), len(b)), (0, 0.0, 0.0)
+    for lag in range(-max_lag, max_lag + 1):
+        start, stop = max(0, -lag), min(n, n - lag)
+        if stop - start < 4:
+            continue
+        x, y = a[start:stop], b[start + lag : stop + lag]
+        x, y = x - x.mean(), y - y.mean()
+        xx, yy = float(x @ x), float(y @ y)
+        if xx and yy and abs(r := float(x @ y) / math.sqrt(xx * yy)) > abs(best[1]):
+            best = (lag, r, math.atanh(max(-0.999999, min(0.999999, r))) * math.sqrt(max(0, stop - start - 3)))
+    return best
+
+
 def lagged_correlation(series: DataFrame, max_lag: int, pairs: DataFrame | None = None) -> DataFrame:
-    """(a, b, lag, r, z) for pairs a < b of series (id, t, x): the strongest |r| of all lags.
+    """(a, b, lag, r, z) for pairs a < b of series (id, t, x), dense in t from 0: the strongest |r| of
+    all lags of b against a, over the samples that both have.
 
-    Overlaps below four and those without variance do not count; of equal |r| (to twelve
-    places) the first lag wins; without any lag all are 0. pairs: (a, b); None takes all.
+    Overlaps below four and those without variance do not count; of equal |r| the first lag
+    wins; without any lag all are 0. pairs: (a, b); None takes all. Each series is one array,
+    and a pair shuffles its two arrays, not their products.
     """
-    ids = series.select("id").distinct()
+    ship(series.sparkSession)
+    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
+    arrays = materialise(arrays, "series")
     if pairs is None:
-        pairs = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.expr("a < b"))
-    means = series.groupBy("id").agg(F.avg("x").alias("m"))
-    s = series.join(means, "id").select("id", "t", (F.col("x") - F.col("m")).alias("x"))
-    lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    left = pairs.join(s.select(F.col("id").alias("a"), "t", F.col("x").alias("xa")), "a").select("a", "b", "t", "xa", lags)
-    right = s.select(F.col("id").alias("b"), F.col("t").alias("_t"), F.col("x").alias("xb"))
-    each = left.withColumn("_t", F.col("t") + F.col("lag")).join(right, ["b", "_t"]).groupBy("a", "b", "lag")
-    r = F.try_divide(F.covar_pop("xa", "xb"), F.stddev_pop("xa") * F.stddev_pop("xb"))
-    each = each.agg(F.count("*").alias("m"), r.alias("r")).where("m >= 4 and r is not null")
-    best = each.groupBy("a", "b").agg(F.max(F.struct(F.round(F.abs("r"), 12).alias("s"), (-F.col("lag")).alias("l"), "r", "m")).alias("w"))
-    clipped = F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("w.r")))
-    out = best.select("a", "b", (-F.col("w.l")).alias("lag"), F.col("w.r").alias("r"), (F.atanh(clipped) * F.sqrt(F.greatest(F.lit(0), F.col("w.m") - 3))).alias("z"))
-    return pairs.join(out, ["a", "b"], "left").fillna(0, ["lag", "r", "z"])
+        pairs = arrays.select(F.col("id").alias("a")).join(arrays.select(F.col("id").alias("b")), F.expr("a < b"))
+    both = pairs.select("a", "b").join(arrays.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(arrays.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
+    kinds = dict(both.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            found = [_best_lag(x.values.to_numpy(), y.values.to_numpy(), max_lag) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            lag, r, z = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lag, pa.int64()), pa.array(r, pa.float64()), pa.array(z, pa.float64())], names=["a", "b", "lag", "r", "z"])
+
+    return both.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, lag long, r double, z double")
 
 
 def von_mises_fit(df: DataFrame, key: str, k: str, weight: str, directions: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import ship
+from quillon.session import materialise, ship
 
 #: Rows of a year's field; the least peak of a river, its step, its most steps, the
 #: slope at which it stops, the distance at which it joins another.
@@ -134,7 +134,8 @@ def trace_rivers(corners: DataFrame, **how) -> DataFrame:
         parts = [pd.DataFrame({"field": key[0], "river": k, "pos": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "h": p[:, 2]}) for k, p in enumerate(rivers)]
         return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in ("field", "river", "pos", "x", "y", "h")})
 
-    return corners.groupBy("field").cogroup(peaks(corners, how["min_peak"]).groupBy("field")).applyInPandas(run, f"field {kind}, river long, pos long, x double, y double, h double")
+    top = materialise(peaks(corners, how["min_peak"]), "peaks")
+    return corners.groupBy("field").cogroup(top.groupBy("field")).applyInPandas(run, f"field {kind}, river long, pos long, x double, y double, h double")
 
 
 def _point(x: Column, y: Column, z: Column) -> Column:

@@ -144,11 +144,25 @@ def dft_power(spark, sf_dir):
 
 
 def dominant_rhythm(spark, sf_dir):
+    """The rhythm of every nation's orders under a wave of about a quarter, whole cycles of it."""
     s = roster(spark, sf_dir)
-    s = s.select("id", "t", (F.col("x") + 400 * F.sin(2 * 3.141592653589793 * F.col("t") / 13)).alias("x"))
+    n = F.count("*").over(Window.partitionBy("id"))
+    s = s.select("id", "t", (F.col("x") + 8 * F.sin(2 * 3.141592653589793 * F.floor(n / 13) * F.col("t") / n)).alias("x"))
     return signal.dominant_rhythm(s).select("id", r6(F.col("period"), "period"), (F.round("ratio", 4) + 0.0).alias("ratio"))
 
 
+def inflections(spark, sf_dir):
+    return signal.inflections(signal.smoothed(roster(spark, sf_dir), SIGMA), 0.05).select("id", F.col("t").cast("long").alias("t"))
+
+
+def weekly(spark, sf_dir):
+    """Sums of sevens of every user's daily events from the first day on, days without any as 0."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"), F.to_date("ts").alias("day"))
+    span = e.agg(F.min("day").alias("_first"))
+    daily = e.join(F.broadcast(span)).groupBy("id", F.datediff("day", "_first").cast("long").alias("t")).agg(F.count("*").cast("double").alias("x"))
+    return signal.weekly(daily).select("id", "week", r6(F.col("x"), "x"))
+
+
 def trade(spark, sf_dir):
     """nodes (node) and edges: parts joined through an order of two lines or more, chained.
 
@@ -178,10 +192,17 @@ def diffuse_3_steps(spark, sf_dir):
 
 
 def components(spark, sf_dir):
-    return graph.components(*trade(spark, sf_dir))
+    """Components numbered from 0 in the order of their smallest parts."""
+    return graph.numbered_components(*trade(spark, sf_dir)).select("node", F.col("component").cast("long").alias("component"))
+
+
+def adjacency(spark, sf_dir):
+    """Neighbours of every part in the order of the links, as text."""
+    return graph.adjacency(*trade(spark, sf_dir)).select("node", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
 def hop_distances(spark, sf_dir):
+    """Hops of all reachable pairs of parts."""
     return graph.hop_distances(*trade(spark, sf_dir)).select("src", "dst", F.col("hops").cast("int").alias("hops"))
 
 
@@ -190,7 +211,7 @@ def modularity_by_label(spark, sf_dir):
     return graph.modularity(edges, nodes.select("node", (F.col("node") % 9).alias("label"))).select(r6(F.col("q"), "q"))
 
 
-QUERIES = {f.__name__: f for f in (moon_age, true_moon_age, orbit_elements, orbit_positions, camera, shading, von_mises_density, entropy, zscore, average_ranks, correlations, bh_qvalues, von_mises_fit, lagged_correlation, smoothed, momentum, dft_power, dominant_rhythm, degree, laplacian_apply, diffuse_3_steps, components, hop_distances, modularity_by_label)}
+QUERIES = {f.__name__: f for f in (moon_age, true_moon_age, orbit_elements, orbit_positions, camera, shading, von_mises_density, entropy, zscore, average_ranks, correlations, bh_qvalues, von_mises_fit, lagged_correlation, smoothed, momentum, dft_power, dominant_rhythm, inflections, weekly, degree, adjacency, laplacian_apply, diffuse_3_steps, components, hop_distances, modularity_by_label)}
 
 _MS = "ms as (select distinct cast(epoch_ms(o_orderdate) as double) as ms from orders)"
 _R = "round({}, 6) + 0e0"
@@ -200,7 +221,7 @@ n as (select id, week, cast(count(*) as double) as x from o group by id, week),
 g as (select i.id, w.week, w.lo from (select distinct id from n) i, (select min(week) as lo, unnest(range(min(week), max(week) + 1)) as week from n) w),
 s as (select g.id, g.week - g.lo as t, coalesce(n.x, 0e0) as x from g left join n on g.id = n.id and g.week = n.week)"""
 _TRADE = """
-e as (select a.l_orderkey as edge_id, a.l_partkey as src, b.l_partkey as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = 1 and b.l_linenumber = 2),
+e as (select l_orderkey * 16777216 + row_number() over w as edge_id, l_partkey as src, lead(l_partkey) over w as dst from lineitem where l_orderkey is not null window w as (partition by l_orderkey order by l_linenumber, l_partkey) qualify dst is not null),
 y as (select src, dst from e where src <> dst union all select dst, src from e where src <> dst),
 d as (select p_partkey as node, count(src) as degree from part left join y on src = p_partkey group by p_partkey)"""
 _L = _TRADE + """,
@@ -209,12 +230,14 @@ l as (select y.src as row_, y.dst as col_, -1e0 / sqrt(a.degree * b.degree) as v
 x0 as (select node, cast(node % 17 as double) as x from d)"""
 
 
-def _kernel_sql(name, order):
-    return f"{name} as (select * from (values {', '.join(f'({i - len(k) // 2}, {w!r}::double)' for i, w in enumerate(k))}) v(i, w))" if (k := signal.gaussian_kernel(SIGMA, order)) else ""
-
-
+# Sampled Gaussian weights from their definition: order 0 sums to one, 1 answers a unit ramp with
+# one, 2 answers t^2 / 2 with one.
+_KERNELS = f"""gi as (select unnest(range(-6, 7)) as i), g0 as (select i, exp(-i * i / (2e0 * {SIGMA} * {SIGMA})) as g from gi),
+gm as (select sum(g) as s, sum(i * i * g) as s2, sum(i * i * i * i * g) as s4 from g0),
+k0 as (select i, g / s as w from g0, gm), k1 as (select i, i * g / s2 as w from g0, gm),
+k2 as (select i, 2 * (i * i - s2 / s) * g / (s4 - s2 * s2 / s) as w from g0, gm)"""
 _FOLD = "case when s.t + k.i < 0 then -(s.t + k.i) when s.t + k.i >= c.n then 2 * c.n - 2 - (s.t + k.i) else s.t + k.i end"
-_SMOOTH = f"""{_ROSTER}, {_kernel_sql("k0", 0)}, {_kernel_sql("k1", 1)}, {_kernel_sql("k2", 2)},
+_SMOOTH = f"""{_ROSTER}, {_KERNELS},
 c as (select id, count(*) as n, arg_min(x, t) as x0, arg_max(x, t) as x1 from s group by id),
 v0 as (select s.id, s.t, sum(k.w * j.x) as v from s join c on s.id = c.id cross join k0 k join s j on j.id = s.id and j.t = {_FOLD} group by all),
 v2 as (select s.id, s.t, sum(k.w * j.x) as v from s join c on s.id = c.id cross join k2 k join s j on j.id = s.id and j.t = {_FOLD} group by all),
@@ -265,18 +288,21 @@ select c_custkey, round(least(1e0, min(p * m / k) over (partition by c_nationkey
     "von_mises_fit": """with w as (select o_orderpriority, dayofweek(o_orderdate) as k, sum(o_totalprice) as w from orders group by all),
 s as (select o_orderpriority, sum(w * cos(2 * pi() * k / 7)) / sum(w) as c, sum(w * sin(2 * pi() * k / 7)) / sum(w) as s from w group by 1), r as (select *, least(1e0, sqrt(c * c + s * s)) as r, atan2(s, c) as m from s)
 select o_orderpriority, round(case when m < 0 then m + 2 * pi() else m end, 6) + 0e0 as mu, round(least(1000e0, case when r < 0.53e0 then 2 * r + pow(r, 3) + 5 * pow(r, 5) / 6 when r < 0.85e0 then -0.4e0 + 1.39e0 * r + 0.43e0 / (1 - r) else 1 / (pow(r, 3) - 4 * pow(r, 2) + 3 * r) end), 6) + 0e0 as kappa, round(r, 6) + 0e0 as r from r""",
-    "lagged_correlation": f"""with {_ROSTER}, m as (select s.id, s.t, s.x - avg(x) over (partition by id) as x from s where id < 8),
+    "lagged_correlation": f"""with {_ROSTER}, m as (select s.id, s.t, s.x - avg(x) over (partition by id) as x from s),
 l as (select a.id as a, b.id as b, k.lag, covar_pop(a.x, b.x) / nullif(stddev_pop(a.x) * stddev_pop(b.x), 0) as r, count(*) as m from m a cross join (select unnest(range(-7, 8)) as lag) k join m b on a.id < b.id and b.t = a.t + k.lag group by all having count(*) >= 4),
-w as (select *, row_number() over (partition by a, b order by round(abs(r), 12) desc, lag) as n from l where r is not null)
+w as (select *, row_number() over (partition by a, b order by abs(r) desc, lag) as n from l where r is not null)
 select a, b, cast(lag as integer) as lag, round(r, 6) + 0e0 as r, round(atanh(greatest(-0.999999e0, least(0.999999e0, r))) * sqrt(greatest(0, m - 3)), 6) + 0e0 as z from w where n = 1""",
     "smoothed": f"with {_SMOOTH} select v0.id, v0.t, round(v0.v, 6) + 0e0 as level_, round(v1.v, 6) + 0e0 as d1, round(v2.v, 6) + 0e0 as d2 from v0 join v1 on v0.id = v1.id and v0.t = v1.t join v2 on v0.id = v2.id and v0.t = v2.t",
     "momentum": f"with {_SMOOTH} select id, round(greatest(-1e0, least(1e0, coalesce(arg_max(v, t) / nullif(stddev_pop(v), 0), 0e0))), 6) + 0e0 as momentum from v1 group by id",
     "dft_power": f"with {_ROSTER}, {_DFT} select id, k, round(period, 6) + 0e0 as period, round(power, 3) + 0e0 as power from p",
-    "dominant_rhythm": f"with {_ROSTER.replace('), 0e0) as x', '), 0e0) as x')}, s0 as (select id, t, x + 400 * sin(2 * pi() * t / 13) as x from s where id < 5), {_DFT.replace('from s ', 'from s0 s ')}, q as (select *, row_number() over (partition by id order by power desc, k) as r, lead(power) over (partition by id order by power desc, k) as nx from p) select id, round(period, 6) + 0e0 as period, round(power / nx, 4) + 0e0 as ratio from q where r = 1 and power / nx >= 2",
+    "dominant_rhythm": f"with {_ROSTER}, s0 as (select id, t, x + 8 * sin(2 * pi() * floor(count(*) over (partition by id) / 13e0) * t / count(*) over (partition by id)) as x from s), {_DFT.replace('from s ', 'from s0 s ')}, q as (select *, row_number() over (partition by id order by power desc, k) as r, lead(power) over (partition by id order by power desc, k) as nx from p) select id, round(period, 6) + 0e0 as period, round(power / nx, 4) + 0e0 as ratio from q where r = 1 and power / nx >= 2",
+    "inflections": f"with {_SMOOTH}, f as (select v1.id, v1.t, v1.v as d1, sign(v2.v) as s, lag(sign(v2.v)) over (partition by v1.id order by v1.t) as p from v1 join v2 on v1.id = v2.id and v1.t = v2.t) select id, t from f where s * p < 0 and abs(d1) > 0.05e0",
+    "weekly": "with d as (select user_id as id, date_diff('day', min(cast(ts as date)) over (), cast(ts as date)) as t from events) select id, cast(t // 7 as bigint) as week, cast(count(*) as double) as x from d group by 1, 2",
+    "adjacency": f"with {_TRADE}, b as (select edge_id, src, dst from e where src <> dst union all select edge_id, dst, src from e where src <> dst), l as (select src, string_agg(dst, ',' order by edge_id, dst) as n from b group by src) select p_partkey as node, coalesce(n, '') as neighbours from part left join l on src = p_partkey",
     "degree": f"with {_TRADE} select node, degree from d",
     "laplacian_apply": f"with {_L} select row_ as node, round(sum(val * x), 6) + 0e0 as x from l join x0 on col_ = node group by row_",
     "diffuse_3_steps": f"with {_L}, " + ", ".join(f"x{k} as (select p.node, 0.9e0 * (p.x - 0.25e0 * coalesce(q.x, 0e0)) as x from x{k - 1} p left join (select row_ as node, sum(val * x) as x from l join x{k - 1} on col_ = node group by row_) q on p.node = q.node)" for k in (1, 2, 3)) + " select node, round(x, 6) + 0e0 as x from x3",
-    "components": f"with recursive {_TRADE}, c as (select p_partkey as node, p_partkey as root from part union select y.dst, c.root from c join y on y.src = c.node where c.root <= y.dst) select node, min(root) as component from c group by node",
-    "hop_distances": f"with {_TRADE}, u as (select distinct src, dst from y), h as (select p_partkey as src, p_partkey as dst, 0 as hops from part union all select src, dst, 1 from u union all select a.src, b.dst, 2 from u a join u b on a.dst = b.src) select src, dst, cast(min(hops) as integer) as hops from h group by src, dst",
+    "components": f"with recursive {_TRADE}, c as (select p_partkey as node, p_partkey as root from part union select y.dst, c.root from c join y on y.src = c.node where c.root <= y.dst) select node, dense_rank() over (order by min(root)) - 1 as component from c group by node",
+    "hop_distances": f"with recursive {_TRADE}, u as (select distinct src, dst from y), h(src, dst, hops) using key (src, dst) as (select p_partkey, p_partkey, 0 from part union select h.src, u.dst, min(h.hops) + 1 from h join u on h.dst = u.src left join recurring.h r on r.src = h.src and r.dst = u.dst where r.src is null group by h.src, u.dst) select src, dst, cast(hops as integer) as hops from h",
     "modularity_by_label": f"with {_TRADE}, m as (select count(*) as m from e where src <> dst), t as (select src % 9 as label, count(*) as d, count(*) filter (src % 9 = dst % 9) as i2 from y group by 1) select round(sum(i2 / 2e0 / m - pow(d / (2e0 * m), 2)), 6) + 0e0 as q from t, m",
 }
