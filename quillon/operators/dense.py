@@ -29,7 +29,11 @@ def _cells(key, a: np.ndarray, names=("row", "col", "val")) -> pd.DataFrame:
 def _by_key(matrix: DataFrame, solve, schema: str) -> DataFrame:
     ship(matrix.sparkSession)
     kind = dict(matrix.dtypes)["key"]
-    return matrix.groupBy("key").applyInPandas(lambda k, p: solve(k[0], p), f"key {kind}, {schema}")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return solve(key[0], pdf)
+
+    return matrix.groupBy("key").applyInPandas(run, f"key {kind}, {schema}")
 
 
 def cholesky(matrix: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def solve_cholesky(factor: DataFrame, right: DataFrame) -> DataFrame:
     ship(factor.sparkSession)
     kind = dict(factor.dtypes)["key"]
 
-    def solve(key, low: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, low: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(low):
             return pd.DataFrame({"key": [], "row": [], "val": []})
         a = _matrix(low, True)

@@ -126,7 +126,7 @@ def trace_rivers(corners: DataFrame, **how) -> DataFrame:
     how = {**RIVERS, **how}
     kind = dict(corners.dtypes)["field"]
 
-    def run(key, field: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, field: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         h = np.zeros((int(field["r"].max()) + 1, int(field["c"].max()) + 1))
         h[field["r"], field["c"]] = field["h"]
         top = top.assign(order=-top["h"].round(12)).sort_values(["order", "r", "c"])

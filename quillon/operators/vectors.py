@@ -54,7 +54,7 @@ def pair_cosines(vectors: DataFrame, edges: DataFrame | None = None, min_sim: fl
     links = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     links = links.select("a", "b", block("a").alias("own"), block("b").alias("other")).select("a", "b", *pair)
 
-    def solve(key, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         parts = [rows[rows["own"] == k] for k in key]
         names = [p["node"].to_numpy() for p in parts]

@@ -62,7 +62,7 @@ def scalogram(series: DataFrame, scales: list[float] | None = None, count: int =
     ship(series.sparkSession)
     kind = dict(series.dtypes)["id"]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["x"].to_numpy()
         own = scales if scales is not None else morlet_scales(len(x), count)
         power, room = power_of(x, own, omega)

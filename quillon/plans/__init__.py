@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import core, metric, weekly
+from quillon.plans import core, metric, more, weekly
 
-_MODULES = (weekly, core, metric)
+_MODULES = (weekly, core, metric, more)
 
 
 def queries():

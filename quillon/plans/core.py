@@ -262,7 +262,38 @@ def _newton(source, m, out):
 _PM = "((({0}) % {1}) + {1}) % {1}"
 _TAU = "(2 * pi())"
 
+_MS_DAY = "86400000e0"
+
+
+def _moon_sql(k):
+    """Unix ms of the true new moon k, from the series of sky's fixed values."""
+    t = f"({k} / 1236.85e0)"
+    poly = lambda c: f"({c[0]!r}::double + {c[1]!r}::double * {k} + {c[2]!r}::double * pow({t}, 2) + {c[3]!r}::double * pow({t}, 3) + {c[4]!r}::double * pow({t}, 4))"
+    e = f"(1 - 0.002516e0 * {t} - 0.0000074e0 * pow({t}, 2))"
+    args = [poly(c) for c in (sky.SUN, sky.MOON, sky.LATITUDE, sky.NODE)]
+    terms = [f"{size!r}::double * pow({e}, {power}) * sin(radians({' + '.join(f'{m} * {a}' for m, a in zip(times, args, strict=True) if m)}))" for size, power, *times in sky.TERMS]
+    return f"(({poly(sky.JDE)} + {' + '.join(terms)} - 2440587.5e0) * {_MS_DAY})"
+
+
+_FENCE = lambda lo, hi, size, drift, edge, far: f"(({lo} + {hi}) / 2 * (1 - z) + {size} * {drift}) * (1 - t) + ({size} * {edge} - {far} * z) * t"
+
 ORACLES = {
+    # The true age is that of the last of the moons about the date's own.
+    "true_moon_age": f"""with {_MS}, k as (select ms, floor((ms / {_MS_DAY} + 2440587.5e0 - 2451545) / 365.25e0 * 12.3685e0 + 0.5e0) as k0 from ms), n as (select ms, k0 + j as k from k, (select unnest([-2, -1, 0, 1]) as j)), m as (select ms, {_moon_sql('k')} as moon from n)
+select ms, round((ms - max(moon)) / {_MS_DAY}, 6) + 0e0 as age from m where moon <= ms group by ms""",
+    "camera": f"""with s as (select s_suppkey, s_acctbal as x, 1 + (s_suppkey % 7) / 4e0 as z, least(1e0, greatest(0e0, (s_suppkey % 7) / 4e0 / 1.5e0)) as t, s_acctbal - 50 as x0, s_acctbal + 60 as x1 from supplier),
+a as (select *, 1 + (-144 * (x - 3) - 7.68e0) / 120 as v1 from s), b as (select *, x + v1 / 120 as y1 from a), c as (select *, v1 + (-144 * (y1 - 3) - 7.68e0 * v1) / 120 as v2 from b), d as (select *, y1 + v2 / 120 as y2 from c),
+e as (select *, v2 + (-144 * (y2 - 3) - 7.68e0 * v2) / 120 as v3 from d), f as (select *, y2 + v3 / 120 as y3 from e)
+select s_suppkey, round(5 + (s.x - 5) * exp(-16 / 67.1e0), 6) + 0e0 as followed, round(y3, 6) + 0e0 as x, round(v3, 6) + 0e0 as v, round({_FENCE('x0', 'x1', 800, '-0.08e0', '0.32e0', 'x1')}, 6) + 0e0 as min_x, round({_FENCE('x0', 'x1', 800, '0.08e0', '0.68e0', 'x0')}, 6) + 0e0 as max_x,
+round({_FENCE('10', '20e0', 600, '-0.06e0', '0.3e0', '20')}, 6) + 0e0 as min_y, round({_FENCE('10', '20e0', 600, '0.06e0', '0.55e0', '10')}, 6) + 0e0 as max_y from f s""",
+    "shading": """with p as (select s_suppkey, s_suppkey % 3 * 1e0 as ax, s_suppkey % 6 * 1e0 as ay, s_nationkey % 4 * 1e0 as az, s_suppkey % 4 * 1e0 as bx, s_suppkey % 7 * 1e0 as by_, s_nationkey % 5 * 1e0 as bz, s_suppkey % 6 * 1e0 as cx, s_suppkey % 9 * 1e0 as cy, s_nationkey % 7 * 1e0 as cz from supplier),
+c as (select s_suppkey, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) as x, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) as y, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) as z from p),
+n as (select s_suppkey, x, y, z, sqrt(x * x + y * y + z * z) as s, case when z < 0 then -1 else 1 end as f from c),
+u as (select s_suppkey, case when s > 0 then f * x / s else 0e0 end as x, case when s > 0 then f * y / s else 0e0 end as y, case when s > 0 then f * z / s else 1e0 end as z from n)
+select s_suppkey, round(x, 6) + 0e0 as x, round(y, 6) + 0e0 as y, round(z, 6) + 0e0 as z, round(0.6e0 + 0.4e0 * greatest(0e0, 0.48e0 * u.x + 0.6e0 * u.y + 0.64e0 * u.z), 6) + 0e0 as light from u""",
+    # The Bessel function by its integral, the mean of exp(kappa (cos - 1)) over the circle.
+    "von_mises_density": """with g as (select unnest(range(0, 40)) as id), n as (select unnest(range(0, 2000)) as j), i as (select id, avg(exp(id * 1.3e0 * (cos(2 * pi() * j / 2000) - 1))) as mean from g, n group by id)
+select id, round(exp(id * 1.3e0 * (cos(id / 7e0 - 1) - 1)) / (2 * pi() * mean), 6) + 0e0 as density from i""",
     "moon_age": f"""with {_MS}, a as (select ms, {_PM.format('(ms - 947182440000e0) / 86400000e0', '29.53058867e0')} as age from ms),
 k as (select *, cos(2 * pi() * age / 29.53058867e0) as k from a), x as (select *, least(1e0, greatest(0e0, ((1 - k) / 2 - 0.93e0) / 0.06e0)) as x from k)
 select ms, round(age, 6) + 0e0 as age, ['new moon','waxing crescent','first quarter','waxing gibbous','full moon','waning gibbous','last quarter','waning crescent'][1 + cast(floor(age / 29.53058867e0 * 8 + 0.5e0) as bigint) % 8] as phase,
