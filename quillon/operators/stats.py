@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillon.session import materialise, ship
 
 KAPPA_MAX = 1000.0
+#: Correlations nearer than this are equal: they differ by the rounding of sums.
+ROUNDING = 1e-12
 
 
 def zscore(df: DataFrame, key: str, x: str) -> DataFrame:
@@ -63,7 +65,7 @@ def _best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[int, float, f
         x, y = a[start:stop], b[start + lag : stop + lag]
         x, y = x - x.mean(), y - y.mean()
         xx, yy = float(x @ x), float(y @ y)
-        if xx and yy and abs(r := float(x @ y) / math.sqrt(xx * yy)) > abs(best[1]):
+        if xx and yy and abs(r := float(x @ y) / math.sqrt(xx * yy)) > abs(best[1]) + ROUNDING:
             best = (lag, r, math.atanh(max(-0.999999, min(0.999999, r))) * math.sqrt(max(0, stop - start - 3)))
     return best
 
@@ -72,8 +74,8 @@ def lagged_correlation(series: DataFrame, max_lag: int, pairs: DataFrame | None
     """(a, b, lag, r, z) for pairs a < b of series (id, t, x), dense in t from 0: the strongest |r| of
     all lags of b against a, over the samples that both have.
 
-    Overlaps below four and those without variance do not count; of equal |r| the first lag
-    wins; without any lag all are 0. pairs: (a, b); None takes all. Each series is one array,
+    Overlaps below four and those without variance do not count; of |r| equal within rounding
+    the first lag wins; without any lag all are 0. pairs: (a, b); None takes all. Each series is one array,
     and a pair shuffles its two arrays, not their products.
     """
     ship(series.sparkSession)
