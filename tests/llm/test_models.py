@@ -62,19 +62,83 @@ def test_probabilities_sum_to_one(spark, sf):
     h = table.hash[table.count > 0]
     counts = dict(zip(h.tolist(), table.count[table.count > 0].tolist(), strict=True))
     rows = model.vocabulary.where(F.col("hash") != int(maxent.END_HASH.view(np.int64))).collect()
-    frequent, rare = np.zeros(maxent.GROUPS), np.zeros(maxent.GROUPS)
+    frequent, rare, top = np.zeros(maxent.GROUPS), np.zeros(maxent.GROUPS), set(table.top.tolist())
     for r in rows:
         g = table.group[r["word_end"]]
+        if r["hash"] % (1 << 64) in top:
+            continue
         if r["hash"] % (1 << 64) in counts:
             frequent[g] += r["c"] / table.frequent[g]
         else:
             rare[g] += (r["c"] - maxent.DISCOUNT) / table.rare[g]
     used = frequent > 0
+    assert len(top) == maxent.TOP and top <= set(counts)
     assert np.allclose(frequent[used], 1) and np.allclose(rare + table.unseen, 1)
     slots = np.random.default_rng(0).integers(0, 1 << maxent.FEATURE_BITS, (50, maxent.FEATURES))
     assert np.allclose(np.exp(maxent.class_logs(model.weights, table.bias, slots)).sum(1), 1, atol=1e-5)
 
 
+SMALL = [(k, " ".join(w)) for k, w in enumerate(["the cat sat on the mat".split(), "the dog sat on the cat the end".split(), "a cat and a dog ran".split(), [], "the the the mat".split()] * 3)]
+
+
+def test_weights_and_scores_equal_brute_force(spark):
+    """Weights by two steps over counts in dictionaries, and scores token by token."""
+    docs = spark.createDataFrame([(*r, "s") for r in [*SMALL, (99, "an unseen thing on the mat"), (None, None)]], "doc_id long, text string, source string")
+    known = docs.where("doc_id < 50")
+    model = maxent.train(known, key_col="doc_id")
+    table, share = model.table, np.exp(model.table.bias.astype(float))
+    share /= share.sum()
+    half = {r[0]: r[1] for r in known.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    tokens = {i: table.sequence(pa.array([t])) for i, t in SMALL}
+    w = {}
+    for step in range(maxent.ROUNDS):
+        seen, hoped = Counter(), Counter()
+        for i, (_, _, cls, *_, slots) in tokens.items():
+            if step and half[i] != step % 2:
+                continue
+            for c, fs in zip(cls.tolist(), slots.tolist(), strict=True):
+                z = np.log(share) + sum(w.get(f, np.zeros(maxent.CLASSES)) for f in fs)
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                for f in fs:
+                    seen[f, c] += 1
+                    for k in range(maxent.CLASSES):
+                        hoped[f, k] += p[k]
+        for f in {f for f, _ in hoped}:
+            o, e = (np.array([x[f, k] for k in range(maxent.CLASSES)]) for x in (seen, hoped))
+            w[f] = w.get(f, np.zeros(maxent.CLASSES)) + maxent.RATES[min(step, 1)] * np.log((o + maxent.SMOOTH * share) / (e + maxent.SMOOTH * share))
+    for f, row in w.items():
+        assert np.allclose(model.weights[f], row, atol=1e-4)
+    counts = {r["hash"] % (1 << 64): r["c"] for r in model.vocabulary.collect()}
+    got = {r["doc_id"]: r["score"] for r in maxent.score(docs, model).collect()}
+    for i, t in [*SMALL, (99, "an unseen thing on the mat"), (None, None)]:
+        hashes, _, cls, often, _, groups, alone, slots = table.sequence(pa.array([t], pa.string()))
+        total = 0.0
+        for h, c, known_, g, single, fs in zip(hashes.tolist(), cls, often, groups, alone, slots, strict=True):
+            z = table.bias.astype(float) + sum(model.weights[f].astype(float) for f in fs)
+            total += (z[c] - np.log(np.exp(z).sum())) / np.log(10)
+            if g >= 0 and not single:
+                if known_:
+                    total += log10(counts[h] / table.frequent[g])
+                else:
+                    total += log10((counts[h] - maxent.DISCOUNT) / table.rare[g] if h in counts else table.unseen[g])
+        assert got[i] == pytest.approx(total, rel=1e-5), (i, t)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scores = []
+    for n in (1, 16, 128):
+        dealt = docs.repartition(n)
+        model = maxent.train(dealt.where(~maxent.held_out()), key_col="doc_id")
+        rows = maxent.score(dealt, model).select("doc_id", maxent.held_out(), "n_tokens", "score").collect()
+        scores.append({r[0]: r[3] for r in rows})
+        held = [r for r in rows if r[1]]
+        assert -sum(r[3] for r in held) / sum(r[2] for r in held) / log10(2) < 10.8
+    for other in scores[1:]:
+        assert other.keys() == scores[0].keys() and all(other[k] == pytest.approx(v, rel=1e-6) for k, v in scores[0].items())
+
+
 def test_model_does_not_depend_on_the_words_in_the_table(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute_base([tuple(r) for r in docs.select("doc_id", "text").collect()])
