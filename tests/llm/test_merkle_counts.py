@@ -130,22 +130,60 @@ def count():
     return lambda pieces: [len(b) // 4 for b in encode(pieces)]
 
 
-def test_random_edits(count):
+def check_tree(tree):
+    for k in range(1, tree.base):
+        assert tree.chars[k] == tree.chars[2 * k] + tree.chars[2 * k + 1] and tree.tokens[k] == tree.tokens[2 * k] + tree.tokens[2 * k + 1]
+    assert tree.chars[1] == len(tree.text)
+
+
+@pytest.mark.parametrize("letters", ["abé ,.'\ń<|I", "漢字。、中国ab\n", "ab.,!", "x"])
+def test_random_edits(count, letters, monkeypatch):
     from tokenizers import Tokenizer
     import public_tokenizers
 
+    monkeypatch.setattr(token_counts, "SEGMENT", 40)
     full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rnd = random.Random(4)
-    for _ in range(25):
-        text = "".join(rnd.choices("abé ,.'\ń<|I", weights=[9, 5, 2, 4, 1, 1, 1, 1, 1, 1, 1, 1], k=rnd.randint(0, 3000)))
+    for _ in range(20):
+        text = "".join(rnd.choices(letters, k=rnd.randint(0, 3000)))
         tree = token_counts.SegmentTree(token_counts.segments(text, 40), count)
         for _ in range(12):
             a = rnd.randint(0, len(text))
             b = min(len(text), a + rnd.choice([0, 0, 1, 3, 50, 700]))
-            new = rnd.choice(["", " ", "x", "́", "don't ", "<|endoftext|>", "word " * 200])
+            new = rnd.choice(["", " ", "x", "\u0301", "don't ", "<|endoftext|>", "word " * 200, ".", "。", "<", "|endoftext|>", "!?"])
             text = text[:a] + new + text[b:]
             assert tree.edit(a, b, new) == len(full.encode(text, add_special_tokens=False).ids)
             assert tree.text == text
+            check_tree(tree)
+            tree = token_counts.SegmentTree.kept(tree.text, tree.chars, tree.tokens, count)
+
+
+def test_texts_without_spaces_have_segments(count):
+    for text in ("漢字仮名。" * 4000, "line\n" * 4000, "word,word." * 3000):
+        pieces = token_counts.segments(text)
+        tree = token_counts.SegmentTree(pieces, count)
+        assert len(pieces) > len(text) // 700
+        tree.edit(len(text) // 2, len(text) // 2, "x")
+        assert tree.reencoded < 3000
+
+
+def test_later_edits_start_from_kept_trees(spark, hard, count, tmp_path, monkeypatch):
+    for most in (1 << 14, 0):
+        monkeypatch.setattr(token_counts, "BROADCAST_EDITS", most)
+        trees = token_counts.keep_trees(token_counts.build_trees(hard), f"{tmp_path}/first-{most}")
+        first = spark.createDataFrame([(7, 0, 100, 120, "new words"), (7, 1, 0, 5, ""), (2, 0, 50, 90, " end"), (77, 0, 0, 0, "x"), (None, 0, 0, 3, "y")], "doc_id long, seq int, start int, stop int, new string")
+        edited = token_counts.keep_trees(token_counts.apply_edits(token_counts.with_edits(trees, first)).select("doc_id", "text", "chars", "tokens"), f"{tmp_path}/second-{most}")
+        later = spark.createDataFrame([(7, 5, 1000, 1001, None), (2, 0, 0, 0, "start ")], "doc_id long, seq int, start int, stop int, new string")
+        rows = token_counts.apply_edits(token_counts.with_edits(edited, later)).collect()
+        want = {7: ("word " * 30000), 2: "a b c d e f g"}
+        w = want[7][:100] + "new words" + want[7][120:]
+        w = w[5:]
+        want = {7: w[:1000] + w[1001:], 2: "start " + want[2] + " end"}
+        assert len(rows) == hard.count()
+        for r in rows:
+            assert r["edited_tokens"] == count([r["text"]])[0] and r["edited_chars"] == len(r["text"])
+            if r["doc_id"] in want:
+                assert r["text"] == want[r["doc_id"]] and (r["doc_id"] != 7 or r["reencoded_chars"] < 3000)
 
 
 def test_counts(spark, sf, hard, none, count):
