@@ -29,3 +29,8 @@ def read_file(uri: str):
     """A random-access file."""
     system, path = open_fs(uri)
     return system.open_input_file(path)
+
+
+def exists(uri: str) -> bool:
+    system, path = open_fs(uri)
+    return system.get_file_info(path).type == fs.FileType.File

@@ -3,8 +3,11 @@
 Every partition of pages becomes one archive of gzip members, one for each record. Of
 equal payloads one record holds the payload (response), the others refer to it (revisit).
 Archives are read back task by task; each gives a locally sorted run of captures. Runs
-are merged by URL key and time in a loser tree, `FAN_IN` at a time, and in the last pass
-by key ranges in parallel, which gives globally ordered capture histories.
+are merged by URL key and time in a loser tree, `FAN_IN` at a time and in every pass by
+ranges of that order, so that each pass has as many tasks as the session has partitions or
+more; the last pass gives globally ordered capture histories. Ranges are cut at places of the
+whole order, so one URL of many captures is several ranges. Files have names by pass, run and
+range, so the driver holds a few numbers and at most `CUTS` sampled captures.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import storage
-from quillon.session import new_path, partitions, ship
+from quillon.session import materialise, new_path, partitions, ship
 
 MIN_BYTES = 0
 FAN_IN = 64
 GROUP_ROWS = 2048
 SAMPLES = 16
+CUTS = 4096
 BROADCAST_GROUPS = 1 << 18
 EPOCH = datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)
 CAPTURE = pa.schema(
@@ -88,8 +92,8 @@ def archive_name(folder: str, part: int) -> str:
     return f"{folder}/part-{part:06d}.warc.gz"
 
 
-def write_archives(rows: DataFrame) -> tuple[str, list[int]]:
-    """Write what `classify` gives; returns the folder and the numbers of its archives."""
+def write_archives(rows: DataFrame) -> tuple[str, int]:
+    """Write what `classify` gives; returns the folder and one more than its last archive's number."""
     spark = rows.sparkSession
     ship(spark)
     folder = new_path(spark, "warc")
@@ -104,8 +108,9 @@ def write_archives(rows: DataFrame) -> tuple[str, list[int]]:
                     n += 1
         yield pa.RecordBatch.from_pydict({"part": [part], "n": [n]})
 
-    made = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "part long, n long").collect()
-    return folder, sorted(part for part, n in made if n)
+    made = rows.select("page_id", "url", "payload", "refers_to").mapInArrow(write, "part long, n long")
+    last = made.agg(F.max("part")).first()[0]
+    return folder, 0 if last is None else last + 1
 
 
 def read_records(f):
@@ -211,66 +216,104 @@ def _table(rows):
     return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CAPTURE.types, strict=True)], schema=CAPTURE)
 
 
-def _read_run(uri: str, low: str | None, high: str | None):
-    """Captures of a run with low <= key < high, read by row group."""
+def _read_run(uri: str, low: tuple | None, high: tuple | None):
+    """Captures of a run with low <= their order < high, read by row group."""
     with storage.read_file(uri) as f:
         file = pq.ParquetFile(f)
         for g in range(file.num_row_groups):
             s = file.metadata.row_group(g).column(0).statistics
-            if s is not None and s.has_min_max and (high is not None and s.min >= high or low is not None and s.max < low):
+            if s is not None and s.has_min_max and (high is not None and s.min > high[0] or low is not None and s.max < low[0]):
                 continue
             for row in zip(*(c.to_pylist() for c in file.read_row_group(g).columns), strict=True):
-                if (low is None or row[0] >= low) and (high is None or row[0] < high):
+                at = order(row)
+                if high is not None and at >= high:
+                    return
+                if low is None or at >= low:
                     yield row
 
 
-def capture_runs(spark, folder: str, parts: list[int]) -> tuple[str, list[str], list[str]]:
-    """Read archives back into sorted runs: the runs' folder, their names, sampled keys."""
+class Runs:
+    """Sorted runs of one pass: `n` of them, each in as many files as the cuts divide the order into."""
+
+    def __init__(self, folder: str, level: int, n: int, cuts: list[tuple]):
+        self.folder, self.level, self.n, self.cuts = folder, level, n, cuts
+
+    def name(self, run: int, part: int) -> str:
+        return f"{self.folder}/run-{self.level}-{run:06d}-{part:06d}.parquet"
+
+    def bounds(self) -> list[tuple[tuple | None, tuple | None]]:
+        return list(zip([None, *self.cuts], [*self.cuts, None], strict=True))
+
+    def read(self, run: int, low: tuple | None, high: tuple | None):
+        """Captures of a run in a range, from those of its files that reach into it."""
+        for part, (first, last) in enumerate(self.bounds()):
+            if (high is None or first is None or first < high) and (low is None or last is None or low < last) and storage.exists(self.name(run, part)):
+                yield from _read_run(self.name(run, part), low, high)
+
+    def merged(self, group: int, low: tuple | None, high: tuple | None):
+        """Captures of `FAN_IN` runs in a range, merged."""
+        return LoserTree([self.read(k, low, high) for k in range(group * FAN_IN, min(self.n, (group + 1) * FAN_IN))])
+
+
+def capture_runs(spark, folder: str, archives: int) -> tuple[Runs, list[tuple]]:
+    """Read archives back into sorted runs; also at most `CUTS` of their captures' places, sorted."""
     ship(spark)
-    runs = new_path(spark, "captures")
-    if not parts:
-        return runs, [], []
+    runs = Runs(new_path(spark, "captures"), 0, archives, [])
+    if not archives:
+        return runs, []
 
     def read(batches):
         for which in batches:
             for k in which.column(0).to_pylist():
-                archive = archive_name(folder, parts[k])
+                archive = archive_name(folder, k)
+                if not storage.exists(archive):  # of a partition without rows
+                    continue
                 with storage.read_file(archive) as f:
                     rows = sorted(captures(f, archive.rpartition("/")[2]), key=order)
-                _write_run(f"{runs}/run-0-{k:06d}.parquet", rows)
-                yield pa.RecordBatch.from_pydict({"k": [k], "keys": [[r[0] for r in rows[:: max(1, len(rows) // SAMPLES)]]]})
+                _write_run(runs.name(k, 0), rows)
+                some = [order(r) for r in rows[:: max(1, len(rows) // SAMPLES)]]
+                if some:
+                    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], names=list("abcdef"))
+
+    made = materialise(spark.range(0, archives, 1, archives).mapInArrow(read, "a string, b string, c boolean, d long, e string, f long"), "captures-sample")
+    taken = made.orderBy(F.xxhash64(*"abcdef")).limit(CUTS).collect()
+    return runs, sorted(map(tuple, taken))
 
-    made = spark.range(0, len(parts), 1, len(parts)).mapInArrow(read, "k long, keys array<string>").collect()
-    return runs, [f"run-0-{r['k']:06d}.parquet" for r in sorted(made, key=lambda r: r["k"])], sorted(x for r in made for x in r["keys"])
 
+def _cuts(places: list[tuple], n: int) -> list[tuple]:
+    """Places that cut the order into n ranges or fewer."""
+    n = min(n, max(1, len(places)))
+    return sorted({places[len(places) * i // n] for i in range(1, n)})
 
-def merge_runs(spark, folder: str, names: list[str], keys: list[str]) -> DataFrame:
+
+def merge_runs(spark, runs: Runs, places: list[tuple]) -> DataFrame:
     """Captures in global order by URL key and time, over all partitions."""
     ship(spark)
-    level = 0
-    while len(names) > FAN_IN:
-        level += 1
-        groups = [names[i : i + FAN_IN] for i in range(0, len(names), FAN_IN)]
+    while runs.n > FAN_IN:
+        groups = -(-runs.n // FAN_IN)
+        after = Runs(runs.folder, runs.level + 1, groups, _cuts(places, -(-partitions(spark) // groups)))
+        ranges = after.bounds()
 
-        def join(batches, groups=groups, level=level):
+        def join(batches, runs=runs, after=after, ranges=ranges):
             for which in batches:
                 for k in which.column(0).to_pylist():
-                    _write_run(f"{folder}/run-{level}-{k:06d}.parquet", LoserTree([_read_run(f"{folder}/{n}", None, None) for n in groups[k]]))
+                    group, part = divmod(k, len(ranges))
+                    _write_run(after.name(group, part), runs.merged(group, *ranges[part]))
                     yield pa.RecordBatch.from_pydict({"k": [k]})
 
-        spark.range(0, len(groups), 1, len(groups)).mapInArrow(join, "k long").collect()
-        names = [f"run-{level}-{k:06d}.parquet" for k in range(len(groups))]
-    if not names:
+        tasks = groups * len(ranges)
+        spark.range(0, tasks, 1, tasks).mapInArrow(join, "k long").agg(F.count("*")).collect()
+        runs = after
+    if not runs.n:
         return spark.createDataFrame([], DDL)
-    n = min(partitions(spark), max(1, len(keys)))
-    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)})
-    bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
+    last = Runs(runs.folder, runs.level + 1, 1, _cuts(places, partitions(spark))).bounds()
 
     def merge(batches):
         for which in batches:
             for k in which.column(0).to_pylist():
                 some = []
-                for row in LoserTree([_read_run(f"{folder}/{n}", *bounds[k]) for n in names]):
+                for row in runs.merged(0, *last[k]):
                     some.append(row)
                     if len(some) == GROUP_ROWS:
                         yield from _table(some).to_batches()
@@ -278,7 +321,7 @@ def merge_runs(spark, folder: str, names: list[str], keys: list[str]) -> DataFra
                 if some:
                     yield from _table(some).to_batches()
 
-    return spark.range(0, len(bounds), 1, len(bounds)).mapInArrow(merge, DDL)
+    return spark.range(0, len(last), 1, len(last)).mapInArrow(merge, DDL)
 
 
 def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -287,15 +330,27 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     Null URLs are empty; an empty table gives no captures; repeated rows are captures each.
     """
     spark = pages.sparkSession
-    folder, parts = write_archives(classify(pages, id_col, url_col, payload_col, min_bytes))
-    return merge_runs(spark, *capture_runs(spark, folder, parts))
+    folder, archives = write_archives(classify(pages, id_col, url_col, payload_col, min_bytes))
+    return merge_runs(spark, *capture_runs(spark, folder, archives))
 
 
 def op2_warc(spark, sf_dir):
-    """All pages through archives and the merged index."""
+    """All pages through archives and the merged index, in its order."""
     out = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
 
+#: Digests: 40 hexadecimal digits are eight fives, each four digits of base 32.
+ORACLE = r"""
+with p as (select page_id, url, coalesce(html, '') as html from pages),
+d as (select page_id, url, octet_length(encode(html)) as payload_bytes, sha1(html) as sha, max(page_id) over (partition by sha1(html)) as best from p),
+h as (select *, list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(sha, 1 + cast(i // 4 as integer) * 5, 5) as bigint) >> cast(15 - 5 * (i % 4) as integer)) & 31 as integer), 1)) as b from d),
+u as (select *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host, regexp_replace(url, '^[^:/?#]*://[^/?#]*', '') as rest from h),
+k as (select *, regexp_extract(rest, '^([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query from u)
+select page_id, cast(payload_bytes as bigint) as payload_bytes, array_to_string(b, '') as payload_digest, case when page_id = best then 'response' else 'revisit' end as record_type, case when page_id <> best then best end as refers_to,
+array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(case when path = '' then '/' else path end) || case when query <> '' then '?' || lower(query) else '' end as url_key,
+strftime(timestamp '2024-01-01' + to_seconds(page_id % 100000000), '%Y-%m-%dT%H:%M:%SZ') as captured_at from k
+""".replace("\\\\", "\\")
 
 QUERIES = {"op2_warc": op2_warc}
-ORACLES = {}
+ORACLES = {"op2_warc": ORACLE}

@@ -175,3 +175,19 @@ def test_loser_tree_and_many_runs(spark, sf, monkeypatch):
     assert len(out) == spark.read.parquet(f"{sf}/pages.parquet").count()
     keys = [warc.order(tuple(r)) for r in out]
     assert keys == sorted(keys)
+
+
+def test_passes_merge_by_ranges(spark, monkeypatch):
+    """One URL of many captures, in more runs than a pass merges at once."""
+    monkeypatch.setattr(warc, "FAN_IN", 2)
+    monkeypatch.setattr(warc, "GROUP_ROWS", 3)
+    pages = spark.range(90).selectExpr("id as page_id", "if(id % 3 = 0, concat('http://b.c/', id), 'http://a.b/') as url", "cast(id % 40 as string) as html").repartition(9)
+    spans = []
+    real = warc._cuts
+    monkeypatch.setattr(warc, "_cuts", lambda places, n: spans.append((n, len(real(places, n)))) or real(places, n))
+    out = warc.archive_pages(pages)
+    rows = out.collect()
+    keys = [warc.order(tuple(r)) for r in rows]
+    assert keys == sorted(keys) and sorted(r["page_id"] for r in rows) == list(range(90))
+    assert len(spans) == 4 and [n for n, _ in spans] == [1, 2, 2, 4] and spans[-1][1] == 3
+    assert len({r["p"] for r in out.selectExpr("url_key", "spark_partition_id() as p").where("url_key = 'b,a)/'").collect()}) > 1
