@@ -189,5 +189,8 @@ def von_mises_density(theta: Column, mu: Column, kappa: Column) -> Column:
 
 
 def str_hash(s: Column) -> Column:
-    """h = 31 h + code, modulo 2^32, over the characters of the basic plane."""
-    return F.aggregate(F.transform(F.split(s, ""), F.ascii), F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(4294967296)))
+    """h = 31 h + unit, modulo 2^32, over the text's UTF-16 units."""
+    units = F.hex(F.encode(s, "UTF-16BE"))
+    places = F.when(F.length(units) > 0, F.sequence(F.lit(1), (F.length(units) - 3).cast("int"), F.lit(4))).otherwise(F.array().cast("array<int>"))
+    code = lambda i: F.conv(F.substring(units, i, F.lit(4)), 16, 10).cast("long")
+    return F.aggregate(places, F.lit(0).cast("long"), lambda h, i: F.pmod(h * 31 + code(i), F.lit(4294967296)))

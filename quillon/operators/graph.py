@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import order
-from quillon.session import materialise
+from quillon.session import materialise, ship
+
+#: Most links, and most nodes, of a graph that is broadcast (about 100 MB).
+DENSE_LINKS = 1 << 22
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -76,16 +81,61 @@ def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return at.join(number, "component").select("node", F.col("_number").alias("component"))
 
 
-def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """(src, dst, hops) of reachable pairs, by frontier joins; `limit` stops at so many hops.
-
-    Sources go in blocks of 64 neighbouring numbers, a bit each, so that a link carries a
-    block in one row. Nodes are whole numbers.
+def _hops_in_tasks(own: DataFrame, links: DataFrame, limit: int | None) -> DataFrame:
+    """(node, block, bits, hops): breadth-first search of four blocks of sources in a task, with the
+    links broadcast; the caller has checked how many there are."""
+    spark = links.sparkSession
+    ship(spark)
+    table = links.toArrow()
+    src, dst = table["src"].to_numpy().astype(np.int64), table["dst"].to_numpy().astype(np.int64)
+    names = np.unique(own.select(F.col("node").cast("long").alias("node")).toArrow()["node"].to_numpy())
+    by = np.argsort(src, kind="stable")
+    at, start = np.unique(np.searchsorted(names, src[by]), return_index=True)
+    known = spark.sparkContext.broadcast((names, at, start, np.searchsorted(names, dst[by])))
+
+    def run(batches):
+        names, at, start, near = known.value
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for i in range(0, len(blocks), 4):
+                some = blocks[i : i + 4]
+                front = np.zeros((len(names), len(some)), np.uint64)
+                mine = np.searchsorted(some, names >> 6)
+                hit = (mine < len(some)) & (some[np.minimum(mine, len(some) - 1)] == names >> 6)
+                front[np.flatnonzero(hit), mine[hit]] = np.uint64(1) << (names[hit] & 63).astype(np.uint64)
+                seen, hops = front.copy(), 0
+                while front.any():
+                    row, col = np.nonzero(front)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(some[col]), pa.array(front[row, col].view(np.int64)), pa.array(np.full(len(row), hops, np.int32))], names=["node", "block", "bits", "hops"])
+                    if limit is not None and hops == limit or not len(near):
+                        break
+                    reach = np.zeros_like(front)
+                    reach[at] = np.bitwise_or.reduceat(front[near], start, axis=0)
+                    front = reach & ~seen
+                    seen |= front
+                    hops += 1
+
+    n = own.select("block").distinct()
+    groups = max(1, -(-n.count() // 4))
+    blocks = n.select("block").orderBy("block").repartitionByRange(groups, "block").sortWithinPartitions("block")
+    return blocks.mapInArrow(run, "node long, block long, bits long, hops int")
+
+
+def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None, dense: int = DENSE_LINKS) -> DataFrame:
+    """(src, dst, hops) of reachable pairs; `limit` stops at so many hops.
+
+    Sources go in blocks of 64 neighbouring numbers, a bit each. Up to `dense` links (both
+    directions) and as many nodes, links are broadcast and blocks are searched in tasks of
+    their own; beyond, frontiers meet the links in joins, in which a link carries a block in
+    one row. Nodes are whole numbers.
     """
     links = materialise(symmetric(edges).distinct(), "links")
     kind = dict(nodes.dtypes)["node"]
     own = nodes.select("node", F.expr("shiftright(cast(node as bigint), 6)").alias("block"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bits"))
-    seen = front = materialise(own, "hops")
+    own = materialise(own, "hops")
+    if links.limit(dense + 1).count() <= dense and own.limit(dense + 1).count() <= dense:
+        return _pairs(_hops_in_tasks(own, links, limit), kind)
+    seen = front = own
     found = [front]
     while limit is None or len(found) <= limit:
         reach = front.join(links, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "block").agg(F.bit_or("bits").alias("_new"))
@@ -97,12 +147,17 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None)
         seen = materialise(seen.union(front).groupBy("node", "block").agg(F.bit_or("bits").alias("bits")), "seen")
     out = None
     for k, f in enumerate(found):
-        bit = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1L)")).alias("_bit")
-        pairs = f.select("node", "block", bit).select(F.expr(f"cast(shiftleft(block, 6) + _bit as {kind})").alias("src"), F.col("node").alias("dst"), F.lit(k).alias("hops"))
+        pairs = _pairs(f.select(F.col("node").cast("long").alias("node"), "block", "bits", F.lit(k).alias("hops")), kind)
         out = pairs if out is None else out.union(pairs)
     return out
 
 
+def _pairs(bits: DataFrame, kind: str) -> DataFrame:
+    """(src, dst, hops) of rows (node, block, bits, hops)."""
+    bit = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(bits, i) & 1L = 1L)")).alias("_bit")
+    return bits.select("node", "block", "hops", bit).select(F.expr(f"cast(shiftleft(block, 6) + _bit as {kind})").alias("src"), F.col("node").cast(kind).alias("dst"), "hops")
+
+
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(q): of labels (node, label); 0 without edges. Self-loops are skipped. One pass over the
     edges' ends counts degrees and inner links of every label; their sum is the total."""

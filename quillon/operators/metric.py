@@ -36,11 +36,18 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
-    """Least cost of moving masses a to masses b of the same sum.
+    """Least cost of moving masses a to masses b of the same sum."""
+    return transport(a, b, cost)[0]
+
+
+def transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> tuple[float, int, int]:
+    """Least cost of moving masses a to masses b of the same sum, and the work done: paths along
+    which mass was sent, and rounds of relaxing that found them.
 
     Mass is sent along cheapest residual paths, found for all senders at once by relaxing
     the whole cost matrix, until no mass is left.
     """
+    routes = rounds = 0
     left, need = np.array(a, float), np.array(b, float)
     flow = np.zeros(cost.shape)
     tiny = EPS * max(1.0, left.sum())
@@ -49,6 +56,7 @@ def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
         row, back = np.where(left > tiny, 0.0, np.inf), np.full(len(left), -1)
         col, via = np.full(len(need), np.inf), np.full(len(need), -1)
         while True:
+            rounds += 1
             there = row[:, None] + cost
             by = there.argmin(axis=0)
             new = there[by, np.arange(len(col))]
@@ -72,22 +80,18 @@ def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
             amount = min(amount, flow[p, back[p]])
             path.append((p, back[p], -1.0))
             q = back[p]
+        routes += 1
         left[p] -= amount
         need[at] -= amount
         for i, j, sign in path:
             flow[i, j] += sign * amount
             total += sign * amount * cost[i, j]
-    return total
+    return float(total), routes, rounds
 
 
-def curvature(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, lengths: bool = False) -> DataFrame:
-    """(edge_id, kappa): one less the transport cost of the lazy walks at a link's two ends.
-
-    A walk keeps `alpha` and spreads the rest evenly over its neighbours, parallel links
-    counted. With `lengths` costs are shortest paths over the column length and kappa is per
-    length. A self-loop has 0, equal walks 1. Mass that both walks share stays, by one
-    aggregation; transport is solved in one group for each link.
-    """
+def _transports(nodes: DataFrame, edges: DataFrame, alpha: float, lengths: bool) -> tuple[DataFrame, DataFrame]:
+    """Links that are no loops (edge_id, ..., _len), and for those whose ends' walks differ
+    (edge_id, cost, routes, rounds)."""
     ship(edges.sparkSession)
     e = edges.where("src != dst").withColumn("_len", F.col("length") if lengths else F.lit(1.0)).select("edge_id", "src", "dst", "_len")
     d = graph.degree(nodes, edges)
@@ -106,24 +110,55 @@ def curvature(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, lengths: b
         q, cols = pd.factorize(pdf["dst"], sort=True)
         a, b, c = np.zeros(len(rows)), np.zeros(len(cols)), np.zeros((len(rows), len(cols)))
         a[p], b[q], c[p, q] = pdf["give"], pdf["take"], pdf["dist"]
-        return pd.DataFrame({"edge_id": [pdf["edge_id"].iloc[0]], "cost": [transport_cost(a, b, c)]})
+        cost, routes, rounds = transport(a, b, c)
+        return pd.DataFrame({"edge_id": [pdf["edge_id"].iloc[0]], "cost": [cost], "routes": [routes], "rounds": [rounds]})
 
     kind = dict(edges.dtypes)["edge_id"]
-    cost = pairs.groupBy("edge_id").applyInPandas(solve, f"edge_id {kind}, cost double")
+    return e, pairs.groupBy("edge_id").applyInPandas(solve, f"edge_id {kind}, cost double, routes long, rounds long")
+
+
+def curvature(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, lengths: bool = False) -> DataFrame:
+    """(edge_id, kappa): one less the transport cost of the lazy walks at a link's two ends.
+
+    A walk keeps `alpha` and spreads the rest evenly over its neighbours, parallel links
+    counted. With `lengths` costs are shortest paths over the column length and kappa is per
+    length. A self-loop has 0, equal walks 1. Mass that both walks share stays, by one
+    aggregation; transport is solved in one group for each link.
+    """
+    e, cost = _transports(nodes, edges, alpha, lengths)
     known = e.join(cost, "edge_id", "left").select("edge_id", (1 - F.coalesce("cost", F.lit(0.0)) / F.col("_len")).alias("kappa"))
     return known.union(edges.where("src = dst").select("edge_id", F.lit(0.0)))
 
 
-def ricci_flow(nodes: DataFrame, edges: DataFrame, steps: int, alpha: float = 0.5, step: float = 0.5, floor: float = 0.1, ceil: float = 16.0) -> DataFrame:
-    """(edge_id, src, dst, length, kappa): lengths start at 1, shrink with curvature within
-    [floor, ceil] and are scaled to mean 1 in each step; kappa is that of the last step."""
+def transport_tally(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """(problems, routes, rises): transports solved for a graph's curvature, paths along which they
+    sent mass, and rounds of relaxing, in all."""
+    _, cost = _transports(nodes, edges, alpha, False)
+    zero = F.lit(0).cast("long")
+    return cost.agg(F.count("*").alias("problems"), F.coalesce(F.sum("routes"), zero).alias("routes"), F.coalesce(F.sum("rounds"), zero).alias("rises"))
+
+
+#: Fixed values of the flow: laziness, share of curvature taken in a step, shortest and longest link.
+ALPHA, STEP, FLOOR, CEIL = 0.5, 0.5, 0.1, 16.0
+
+
+def ricci_flow_step(nodes: DataFrame, edges: DataFrame, alpha: float = ALPHA, step: float = STEP, floor: float = FLOOR, ceil: float = CEIL) -> DataFrame:
+    """(edge_id, src, dst, length, kappa) after one step from edges with lengths: each changes by its
+    curvature within [floor, ceil], then all are scaled to mean 1; kappa is what drove the step."""
+    now = edges.select("edge_id", "src", "dst", F.col("length").cast("double").alias("length"))
+    k = curvature(nodes, now, alpha, lengths=True)
+    moved = now.join(k, "edge_id").withColumn("length", F.least(F.lit(float(ceil)), F.greatest(F.lit(float(floor)), F.col("length") * (1 - step * F.col("kappa")))))
+    moved = materialise(moved, "flow")
+    mean = moved.agg(F.avg("length").alias("_mean"))
+    return materialise(moved.join(F.broadcast(mean)).select("edge_id", "src", "dst", (F.col("length") / F.col("_mean")).alias("length"), "kappa"), "flow")
+
+
+def ricci_flow(nodes: DataFrame, edges: DataFrame, steps: int, alpha: float = ALPHA, step: float = STEP, floor: float = FLOOR, ceil: float = CEIL) -> DataFrame:
+    """(edge_id, src, dst, length, kappa) after `steps` steps from lengths of 1; kappa is that of the
+    last step."""
     now = edges.select("edge_id", "src", "dst", F.lit(1.0).alias("length"), F.lit(0.0).alias("kappa"))
     for _ in range(steps):
-        k = curvature(nodes, now, alpha, lengths=True)
-        moved = now.drop("kappa").join(k, "edge_id").withColumn("length", F.least(F.lit(float(ceil)), F.greatest(F.lit(float(floor)), F.col("length") * (1 - step * F.col("kappa")))))
-        moved = materialise(moved, "flow")
-        mean = moved.agg(F.avg("length").alias("_mean"))
-        now = materialise(moved.join(F.broadcast(mean)).select("edge_id", "src", "dst", (F.col("length") / F.col("_mean")).alias("length"), "kappa"), "flow")
+        now = ricci_flow_step(nodes, now, alpha, step, floor, ceil)
     return now
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import draws
@@ -37,7 +38,33 @@ def tree_heat(spark, sf_dir):
     return metric.heat_kernel_signature(*nations(spark, sf_dir)).select("node", "t", r6(F.col("hks"), "hks"))
 
 
-QUERIES = {f.__name__: f for f in (lcg_draws, magnitudes, tree_curvature, tree_heat)}
+def rings(spark, sf_dir):
+    """Suppliers of a nation, each linked with the next two of them and the last with the first, so
+    that there are cycles and triangles."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("node"), "s_nationkey")
+    w = Window.partitionBy("s_nationkey").orderBy("node")
+    first = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    one = s.select((F.col("node") * 2).alias("edge_id"), F.col("node").alias("src"), F.coalesce(F.lead("node").over(w), first).alias("dst"))
+    two = s.select((F.col("node") * 2 + 1).alias("edge_id"), F.col("node").alias("src"), F.lead("node", 2).over(w).alias("dst")).where("dst is not null")
+    return s.select("node"), one.union(two)
+
+
+def ring_curvature(spark, sf_dir):
+    """Curvature of all links of the rings of suppliers."""
+    return metric.curvature(*rings(spark, sf_dir)).select("edge_id", r6(F.col("kappa"), "kappa"))
+
+
+def ring_heat(spark, sf_dir):
+    """Heat-kernel signatures of all suppliers in their rings."""
+    return metric.heat_kernel_signature(*rings(spark, sf_dir)).select("node", "t", r6(F.col("hks"), "hks"))
+
+
+def ring_transports(spark, sf_dir):
+    """Work of the curvature of the rings."""
+    return metric.transport_tally(*rings(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (lcg_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports)}
 
 _LCG = "c_custkey"
 for _ in range(5):

@@ -17,13 +17,16 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors and the driver share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary folder of this process is used and set.
+    A cluster names it in ``spark.checkpoint.dir``; only in local mode may that be unset, and
+    then a temporary folder of this process is used. On a cluster such a folder would not
+    be shared, so that is an error.
     """
     global _OWN_DIR
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _OWN_DIR

@@ -77,3 +77,93 @@ def test_procrustes_undoes_a_turn_and_a_mirror(spark):
         one, two = (spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(q)], "node long, x double, y double") for q in (a, b))
         got = np.array([(r.x, r.y) for r in metric.procrustes(one, two).orderBy("node").collect()])
         assert np.allclose(got, b)
+
+
+def brute_curvature(n, pairs, alpha=0.5):
+    """Curvature by networks of unit masses: walks as multiples of one share, matched at best cost."""
+    near = {i: [] for i in range(n)}
+    for a, b in pairs:
+        if a != b:
+            near[a].append(b)
+            near[b].append(a)
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b in pairs:
+        if a != b:
+            d[a, b] = d[b, a] = 1
+    for k in range(n):
+        d = np.minimum(d, d[:, [k]] + d[[k], :])
+    out = {}
+    for e, (a, b) in enumerate(pairs):
+        if a == b:
+            out[e] = 0.0
+            continue
+        share = math.lcm(2, 2 * len(near[a]), 2 * len(near[b]))
+        masses = []
+        for x in (a, b):
+            m = [x] * int(share * alpha)
+            for y in near[x]:
+                m += [y] * (share // (2 * len(near[x])))
+            masses.append(m)
+        # Shortest augmenting matching of unit masses, by relaxing a small cost matrix.
+        left, right = masses
+        cost = np.array([[d[i, j] for j in right] for i in left])
+        u, v, match = np.zeros(len(left)), np.zeros(len(right)), [-1] * len(right)
+        for i in range(len(left)):
+            best, back, used, cur, j0 = np.full(len(right), np.inf), [-1] * len(right), [False] * len(right), i, -1
+            while True:
+                slack = cost[cur] - u[cur] - v
+                for j in range(len(right)):
+                    if not used[j] and slack[j] < best[j]:
+                        best[j], back[j] = slack[j], j0
+                j1 = min((j for j in range(len(right)) if not used[j]), key=lambda j: best[j])
+                step = best[j1]
+                u[i] += step
+                for j in range(len(right)):
+                    if used[j]:
+                        u[match[j]] += step
+                        v[j] -= step
+                    else:
+                        best[j] -= step
+                used[j1], j0 = True, j1
+                if match[j1] < 0:
+                    break
+                cur = match[j1]
+            while j0 >= 0:
+                match[j0] = match[back[j0]] if back[j0] >= 0 else i
+                j0 = back[j0]
+        out[e] = 1 - sum(cost[match[j], j] for j in range(len(right))) / share
+    return out
+
+
+def test_curvature_of_a_graph_with_cycles_equals_matching(spark):
+    rng = np.random.default_rng(11)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 9, (16, 2))] + [(0, 1), (0, 1), (2, 2)]
+    got = {r.edge_id: r.kappa for r in metric.curvature(*graph(spark, 9, pairs)).collect()}
+    want = brute_curvature(9, pairs)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_tally_and_one_step_of_the_flow(spark):
+    pairs = [*itertools.combinations(range(4), 2), (3, 4), (4, 5)]
+    nodes, edges = graph(spark, 6, pairs)
+    problems, routes, rises = metric.transport_tally(nodes, edges).first()
+    assert 0 < problems <= len(pairs) and routes >= problems and rises >= routes
+    one = metric.ricci_flow_step(nodes, edges.withColumn("length", F.lit(1.0))).orderBy("edge_id").collect()
+    kappa = brute_curvature(6, pairs)
+    raw = [min(16, max(0.1, 1 - 0.5 * kappa[k])) for k in range(len(pairs))]
+    assert [r.length for r in one] == pytest.approx([x / np.mean(raw) for x in raw])
+
+
+def test_text_hash_counts_utf16_units(spark):
+    def brute(t):
+        h, b = 0, t.encode("utf-16-be")
+        for i in range(0, len(b), 2):
+            h = (31 * h + b[i] * 256 + b[i + 1]) % 2**32
+        return h
+
+    from quillon.functions import sky
+
+    texts = ["", "a", "Supplier#1", "é漢", "😀x😀", "x" * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", sky.str_hash(F.col("t")).alias("h")).collect()
+    assert {r.t: r.h for r in got} == {t: brute(t) for t in texts}

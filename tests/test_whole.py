@@ -1,5 +1,7 @@
 """Queries against the whole job, where the catalogue's SQL states a part of it."""
 
+import itertools
+
 import duckdb
 import pytest
 from test_core import TABLES, rows
@@ -76,8 +78,8 @@ def test_hops_of_all_pairs_equal_bfs(spark):
     edges = spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "edge_id long, src long, dst long")
     want = bfs(names, links)
     assert max(want.values()) > 6
-    for limit in (None, 0, 1, 3):
-        got = graph.hop_distances(nodes, edges, limit).collect()
+    for limit, dense in itertools.product((None, 0, 1, 3), (graph.DENSE_LINKS, 0)):
+        got = graph.hop_distances(nodes, edges, limit, dense).collect()
         assert len(got) == len({(r.src, r.dst) for r in got})
         assert {(r.src, r.dst): r.hops for r in got} == {k: v for k, v in want.items() if limit is None or v <= limit}
 
