@@ -88,13 +88,13 @@ def test_weights_and_scores_equal_brute_force(spark):
     model = maxent.train(known, key_col="doc_id")
     table, share = model.table, np.exp(model.table.bias.astype(float))
     share /= share.sum()
-    half = {r[0]: r[1] for r in known.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()}
+    shard = {r[0]: r[1] for r in known.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(maxent.SHARDS))).collect()}
     tokens = {i: table.sequence(pa.array([t])) for i, t in SMALL}
     w = {}
     for step in range(maxent.ROUNDS):
         seen, hoped = Counter(), Counter()
         for i, (_, _, cls, *_, slots) in tokens.items():
-            if step and half[i] != step % 2:
+            if step and shard[i] != step % maxent.SHARDS:
                 continue
             for c, fs in zip(cls.tolist(), slots.tolist(), strict=True):
                 z = np.log(share) + sum(w.get(f, np.zeros(maxent.CLASSES)) for f in fs)
