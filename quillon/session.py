@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = None
+_PATHS: list[str] = []
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -28,13 +31,24 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _OWN_DIR is None:
-        _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        folder = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN_DIR = "file://" + folder
     return _OWN_DIR
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/quillon/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/quillon/{label}-{uuid.uuid4().hex}"
+    _PATHS.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this process has written to the shared folder so far; results that read it
+    must have been written or collected."""
+    while _PATHS:
+        remove(spark, _PATHS.pop())
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
