@@ -26,7 +26,7 @@ from quillon.llm import token_files, tokens, words
 from quillon.session import drop, materialise, partitions, ship
 
 CAPACITY = 4096
-SLICE = 1 << 20
+SLICE = 1 << 21
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,12 +35,12 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     ship(docs.sparkSession)
 
     def cut(batches):
-        encode = tokens.encoder(tokenizer)
+        encode = tokens.column_encoder(tokenizer)
         for batch in batches:
             for i, j in words.slices(batch.column(1), SLICE):
                 some = batch.slice(i, j - i)
                 out = ([], [], [], [], [])
-                for doc_id, ids in zip(some.column(0).to_pylist(), token_files.encoded(some.column(1).to_pylist(), encode), strict=True):
+                for doc_id, ids in zip(some.column(0).to_pylist(), token_files.encoded(some.column(1), encode), strict=True):
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         part = ids[at : at + capacity]
                         for to, x in zip(out, (doc_id, k, at, len(part), zlib.crc32(part)), strict=True):

@@ -25,7 +25,7 @@ from quillon.session import new_path, partitions, ship
 
 LENGTH = 2048
 BATCH = 128
-SLICE = 1 << 20
+SLICE = 1 << 21
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -90,10 +90,10 @@ def sequence(path: str, k: int):
     return ids.to_numpy(zero_copy_only=True), mask
 
 
-def encoded(texts: list, encode) -> list[np.ndarray]:
-    """Ids of texts with the end id; null is empty."""
-    end = np.array([tokens.END_ID], "<u4").tobytes()
-    return [np.frombuffer(b + end, "<u4") for b in encode([t or "" for t in texts])]
+def encoded(texts, encode) -> list[np.ndarray]:
+    """Ids of a column of texts with the end id; null is empty."""
+    end = np.array([tokens.END_ID], "<u4")
+    return [np.concatenate([ids, end]) for ids in encode(texts)]
 
 
 def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH):
@@ -109,20 +109,21 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def write(batches):
         part = TaskContext.get().partitionId()
-        encode = tokens.encoder(tokenizer)
+        encode = tokens.column_encoder(tokenizer)
         wide = tokens.vocabulary(tokenizer) > 1 << 16
         with storage.new_file(name(folder, part)) as out:
             writer = Writer(out, length, wide)
             for batch in batches:
                 for i, j in words.slices(batch.column(1), SLICE):
                     some = batch.slice(i, j - i)
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encoded(some.column(1).to_pylist(), encode), strict=True):
+                    for doc_id, ids in zip(some.column(0).to_pylist(), encoded(some.column(1), encode), strict=True):
                         writer.add(doc_id, ids)
             writer.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [writer.docs], "tokens": [writer.total]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(2 * partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # By the text's first characters too, so that many rows of one id (or of none) are many partitions.
+    rows = rows.repartitionByRange(2 * partitions(spark), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     manifest = rows.mapInArrow(write, "part long, docs long, tokens long").collect()
     return folder, sorted(map(tuple, manifest))
 

@@ -4,6 +4,8 @@ No pre-token and no normalisation of these tokenizers crosses a space or line en
 text's ids are those of its words on end. The first `CACHE_WORDS` words that a process
 meets stay in its cache, which thereby holds the frequent ones; others are encoded once
 a batch. A text with an angle-bracket bar, the mark of special tokens, is encoded whole.
+Columns of texts are taken apart by arrays: words are told apart by their hashes, only
+different ones become Python strings, and ids are gathered from theirs.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 200_000
-#: Pre-tokens kept for words that are not; together the two take about 70 MB of a process.
-CACHE_PARTS = 100_000
+from quillon.llm.words import utf8
+from quillon.llm.words import words as split_words
+
+#: Words, and pre-tokens of other words, that a process keeps, about 120 MB in all.
+CACHE_WORDS, CACHE_PARTS = 400_000, 200_000
 #: Pre-tokens encoded in one call: the library holds about 100 bytes for each of their tokens.
 ENCODE_AT_ONCE = 10_000
 END_ID = 1
@@ -63,10 +67,11 @@ class Words:
             self.plain = Tokenizer(self.full.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {"": b""}
+        self.hashed: dict[int, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [pack(e.ids) for e in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, some: list[str]) -> list[bytes]:
+        return [pack(e.ids) for e in self.full.encode_batch_fast(some, add_special_tokens=False)]
 
     def joined(self, parts: list[str]) -> list[bytes]:
         """Ids of plain pre-tokens, encoded as one text with spaces between: the last token
@@ -83,23 +88,29 @@ class Words:
     def fresh(self, words: list[str]) -> dict[str, bytes]:
         if self.plain is None:
             return dict(zip(words, self.whole(words), strict=True))
-        bare = [w for w in words if w.isalpha() and w.isascii()]
+        bare, marked, rest = [], [], []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                bare.append(w)
+            elif m := _PLAIN.fullmatch(w):
+                marked.append((w, m[1].lower(), m[2]))
+            else:
+                rest.append(w)
         low = [w.lower() for w in bare]
-        other = [(w, _PLAIN.fullmatch(w)) for w in words if not (w.isalpha() and w.isascii())]
-        marked = [(w, m[1].lower(), m[2]) for w, m in other if m]
-        rest = [w for w, m in other if not m]
         known = self.parts
         parts = set(low)
         parts.update(a for _, a, _ in marked)
         parts.update(b for _, _, b in marked)
         parts = list(parts.difference(known))
-        known.update(zip(parts, self.joined(parts), strict=True))
-        out = dict(zip(bare, map(known.__getitem__, low), strict=True))
-        out.update((w, known[a] + known[b]) for w, a, b in marked)
+        more = dict(zip(parts, self.joined(parts), strict=True))
+        if len(known) + len(more) <= CACHE_PARTS:
+            known.update(more)
+        have = known.get
+        out = dict(zip(bare, [b if (b := have(w)) is not None else more[w] for w in low], strict=True))
+        for w, a, stop in marked:
+            x, y = have(a), have(stop)
+            out[w] = (more[a] if x is None else x) + (more[stop] if y is None else y)
         out.update(zip(rest, self.whole(rest), strict=True))
-        if len(known) > CACHE_PARTS:
-            for p in parts:
-                del known[p]
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -111,17 +122,59 @@ class Words:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cache = self.cache
+        get = cache.get
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        new.update(*(ws for ws in split if ws is not None))
-        new = new.difference(cache)  # walks `new`; difference_update would walk the cache
-        if new:
-            cache.update(self.fresh(list(new)))
-        get = cache.__getitem__
-        out = [self.whole([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, split, strict=True)]
-        if len(cache) > CACHE_WORDS:
-            for w in new:
-                del cache[w]
+        # One look-up a word; only words that the cache lacks are gone through again.
+        found = [None if ws is None else list(map(get, ws)) for ws in split]
+        lacking: set[str] = set()
+        for ws, fs in zip(split, found, strict=True):
+            if fs is not None and None in fs:
+                lacking.update([w for w, f in zip(ws, fs, strict=True) if f is None])
+        more = self.fresh(list(lacking)) if lacking else {}
+        out = []
+        for t, ws, fs in zip(texts, split, found, strict=True):
+            if fs is None:
+                out.append(self.whole([t])[0])
+            elif None in fs:
+                out.append(b"".join([more[w] if f is None else f for w, f in zip(ws, fs, strict=True)]))
+            else:
+                out.append(b"".join(fs))
+        if len(cache) + len(more) <= CACHE_WORDS:
+            cache.update(more)
+        return out
+
+
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids (32 bits) of each text of a column; null is empty."""
+        data, offsets = utf8(column)
+        found = list(split_words(data, offsets, fold=False))
+        n = len(column)
+        h, doc, start, end = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4))
+        kinds, first, which = np.unique(h, return_index=True, return_inverse=True)
+        get = self.hashed.get
+        values = [get(x) for x in kinds.tolist()]
+        lacking = [k for k, v in enumerate(values) if v is None]
+        if lacking:
+            raw = data.tobytes()
+            at = first[lacking]
+            words = [raw[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            more = self.fresh(words)
+            for k, w in zip(lacking, words, strict=True):
+                values[k] = more[w]
+            if len(self.hashed) + len(lacking) <= CACHE_WORDS:
+                self.hashed.update(zip(kinds[lacking].tolist(), [more[w] for w in words], strict=True))
+        flat = np.frombuffer(b"".join(values), "<u4")
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begin = np.cumsum(size) - size
+        sizes = size[which]
+        upto = np.cumsum(sizes)
+        place = np.repeat(begin[which] - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
+        ids = flat[place]
+        cuts = np.concatenate([[0], upto])[np.searchsorted(doc, np.arange(n + 1))] if len(doc) else np.zeros(n + 1, np.int64)
+        out = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        mark = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        for k in np.unique(np.searchsorted(offsets, mark, side="right") - 1).tolist() if len(mark) else ():
+            out[k] = np.frombuffer(self.whole([data[offsets[k] : offsets[k + 1]].tobytes().decode()])[0], "<u4")
         return out
 
 
@@ -162,3 +215,9 @@ def encoder(path: str | None = None):
     """
     trim()
     return _kept(path).encode
+
+
+def column_encoder(path: str | None = None):
+    """A function from a column of texts to a list of arrays of ids; see `encoder`."""
+    trim()
+    return _kept(path).encode_column

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import packing, token_files, tokens, warc
@@ -27,13 +28,18 @@ def test_encoder_equals_the_library(spark, sf, tokenizer, hard):
     encode = tokens.encoder()
     for t, got in zip(texts, encode(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    texts += ["a\tb\x0bc\x0cd\re", "<|", "x <| y", "  ", "\n"]
+    for _ in range(2):
+        for t, got in zip([*texts, None], tokens.column_encoder()(pa.array([*texts, None])), strict=True):
+            assert got.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert tokens.column_encoder()(pa.array([], pa.string())) == [] and [x.tolist() for x in tokens.column_encoder()(pa.array(["", None]))] == [[], []]
 
 
 def test_encoder_forgets_rare_words(monkeypatch, tokenizer):
     monkeypatch.setattr(tokens, "CACHE_WORDS", 3)
     w = tokens.Words(None)
     for t in ["a b c", "d e f g", "a d e", "h i"]:
-        assert np.frombuffer(w.encode([t])[0], "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(w.encode([t])[0], "<u4").tolist() == w.encode_column(pa.array([t]))[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     assert len(w.cache) <= 8
 
 
