@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,16 @@ from quillon.session import drop, free_name, materialise, partitions, ship
 
 SIZE = 5
 PERCENT = 75
-FREQUENCY_BITS = 22
+FREQUENCY_BITS = 24
 CHUNK = 1 << 18
 BLOCK = 1 << 21
-CLUSTER = 1 << 16
-PARTS = 32
+CLUSTER = 1 << 20
+PARTS = 8
+#: Rows of an n-gram from which it is hot and its sets are told by sizes first.
+HOT_KEY = 1 << 16
 #: Most rows that are broadcast (of three numbers, about 25 MB in memory).
 BROADCAST_ROWS = 1 << 18
-#: Bits of a bitmap of keys, 16 MB whatever the input.
+#: Bits of a bitmap of keys, 16 MB whatever the input; a key sets two of them.
 BITMAP_BITS = 27
 
 
@@ -90,29 +93,31 @@ def _profile(docs: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), nulls, pa.nulls(len(n), pa.binary())], names=["doc_id", "th", "n", "sid", "chunk", "counts"])
         counts = np.minimum(counts, 255).astype(np.uint8)  # a task tells no more than 255 apart
         for k in range(len(counts) // CHUNK):
-            one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k], pa.int32()), pa.array([counts[k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())]
+            one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([k], pa.int32()), pa.array([zlib.compress(counts[k * CHUNK : (k + 1) * CHUNK].tobytes(), 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(one, names=["doc_id", "th", "n", "sid", "chunk", "counts"])
 
     return docs.mapInArrow(run, "doc_id long, th long, n long, sid long, chunk int, counts binary")
 
 
 def _frequencies(profile: DataFrame) -> np.ndarray:
-    """The summed table: 2^FREQUENCY_BITS counts, whatever the input."""
+    """The summed table: 2^FREQUENCY_BITS counts, whatever the input, as 16 times the log of base 2
+    of one more (255 at most)."""
 
     def add(batches):
         sums = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, np.uint8).astype(np.int32)
+                c = np.frombuffer(zlib.decompress(c), np.uint8).astype(np.int64)
                 sums[k] = sums[k] + c if k in sums else c
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+            logs = [np.minimum(255, np.round(16 * np.log2(1 + s))).astype(np.uint8) for s in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in logs], pa.binary())], names=["chunk", "counts"])
 
     chunks = (1 << FREQUENCY_BITS) // CHUNK
     rows = profile.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk").mapInArrow(add, "chunk int, counts binary").collect()
-    out = np.zeros(1 << FREQUENCY_BITS, np.int32)
+    out = np.zeros(1 << FREQUENCY_BITS, np.uint8)
     for k, c in rows:
-        out[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(c, np.int32)
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(c, np.uint8)
     return out
 
 
@@ -139,11 +144,12 @@ def _prefixes(docs: DataFrame, size: int, percent: int, known) -> DataFrame:
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the low `BITMAP_BITS` of all keys (one column of longs), as bytes.
+    """Bits of the lowest and the next `BITMAP_BITS` of all keys (one column of longs), as bytes.
 
     Keys are dealt by bucket, each bucket is 4 KB, and the driver gets 16 MB at most.
     """
-    low = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)).alias("low"))
+    key = F.col(keys.columns[0])
+    low = keys.select(F.explode(F.array(*[F.shiftright(key, k * BITMAP_BITS).bitwiseAND(F.lit((1 << BITMAP_BITS) - 1)) for k in (0, 1)])).alias("low"))
     low = low.select(F.shiftright("low", 15).cast("int").alias("bucket"), F.col("low").bitwiseAND(F.lit(32767)).alias("bit"))
     parts = low.repartition(partitions(keys.sparkSession), "bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(1 << BITMAP_BITS - 3, np.uint8)
@@ -153,8 +159,11 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys & ((1 << BITMAP_BITS) - 1)
-    return (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+    out = np.ones(len(keys), bool)
+    for k in (0, 1):
+        low = (keys >> (k * BITMAP_BITS)) & ((1 << BITMAP_BITS) - 1)
+        out &= (bits[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def _only_marked(rows: DataFrame, known, column: int) -> DataFrame:
@@ -313,6 +322,22 @@ def _viable(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(((F.col("c") > 1) & (F.col("most") >= F.col("n"))) | (F.col("larger") <= F.col("most")) | below).select("key", "sid", "n", "most", "class")
 
 
+def _viable_in_place(rows: DataFrame, percent: int) -> DataFrame:
+    """What `_viable` gives for distinct rows (key, sid, n, most) whose sets are classes of their own, by
+    one exchange for all: each n-gram's sets in order of size, in one task, so not for hot ones."""
+    rows = rows.repartition("key").distinct()
+    whole = Window.partitionBy("key")
+    up, down = whole.orderBy("n"), whole.orderBy(F.col("n").desc())
+    before, after = (w.rangeBetween(Window.unboundedPreceding, -1) for w in (up, down))
+    rows = rows.select(
+        "key", "sid", "n", "most",
+        F.max("n").over(before).alias("smaller"), F.max("most").over(before).alias("reach"), F.count("*").over(up.rangeBetween(0, 0)).alias("c"),
+        F.min("n").over(after).alias("larger"), (F.min("sid").over(whole) < F.max("sid").over(whole)).alias("mixed"),
+    ).where("mixed")
+    below = (F.col("smaller") * 100 >= F.col("n") * percent) & (F.col("reach") >= F.col("n"))
+    return rows.where(((F.col("c") > 1) & (F.col("most") >= F.col("n"))) | (F.col("larger") <= F.col("most")) | below).select("key", "sid", "n", "most")
+
+
 def _links(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links found in blocks (block, sid, class)."""
     spark = blocks.sparkSession
@@ -399,14 +424,21 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     known = spark.sparkContext.broadcast(_frequencies(both))
     pref = materialise(_prefixes(docs, size, percent, known), "ngram-prefixes")
     known.destroy()  # the workers of later stages need its memory
-    shared = pref.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
-    known = spark.sparkContext.broadcast(_bitmap(shared))
-    rows = materialise(_only_marked(pref, known, 0).distinct(), "ngram-rows")
+    shared = pref.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c")
+    shared = materialise(shared, "ngram-shared")
+    known = spark.sparkContext.broadcast(_bitmap(shared.select("key")))
+    rows = _only_marked(pref, known, 0)
+    hot = shared.where(F.col("c") > HOT_KEY).select("key")
+    if hot.isEmpty():
+        every = _viable_in_place(rows, percent)
+    else:
+        # At most one n-gram in `HOT_KEY` rows is hot.
+        few = _viable_in_place(rows.join(_broadcast_few(hot), "key", "left_anti"), percent)
+        every = few.union(_viable(_classes(rows.join(_broadcast_few(hot), "key", "left_semi").distinct(), None), percent).select(*few.columns))
+    every = materialise(every, "ngram-viable")
     known.destroy()
     drop(pref)
-
-    every = materialise(_viable(_classes(rows, None), percent).drop("class"), "ngram-viable")
-    drop(rows)
+    drop(shared)
 
     owner = profile.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("o"))
     owner = owner.join(every.select("sid").distinct(), "sid", "left_semi").select(F.xxhash64("o.doc_id", "o.th").alias("row"))
@@ -505,5 +537,15 @@ def op4_ngram_jaccard(spark, sf_dir):
     return link_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p where 100 * c >= 75 * (na + nb - c)), y as (select a, b from l union all select b, a from l),
+cc(node, root) using key (node) as (select doc_id, doc_id from documents union select y.b, min(cc.root) from cc join y on y.a = cc.node join recurring.cc r on r.node = y.b where cc.root < r.root group by y.b)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, cc.root as component_id from s join cc on s.doc_id = cc.node
+"""
+
 QUERIES = {"op4_ngram_jaccard": op4_ngram_jaccard}
-ORACLES = {}
+ORACLES = {"op4_ngram_jaccard": ORACLE}

@@ -54,6 +54,13 @@ def test_hard(hard, none):
     assert got(none) == []
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_ngrams_are_told_by_sizes(spark, sf, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT_KEY", hot)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert got(docs) == brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
+
+
 @pytest.mark.parametrize("block, cluster, parts", [(1 << 21, 1 << 20, 8), (1 << 21, 500, 1000), (300, 150, 1000), (1 << 21, 500, 0), (300, 1, 0)])
 def test_families_and_shared_passages(spark, monkeypatch, block, cluster, parts):
     monkeypatch.setattr(ngram_join, "PARTS", parts)
@@ -113,4 +120,4 @@ def test_bitmap(spark, monkeypatch):
     keys = rng.integers(-(1 << 63), 1 << 63, 3000)
     bits = ngram_join._bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"))
     assert len(bits) == 1 << 24 and ngram_join._marked(bits, keys).all()
-    assert ngram_join._marked(bits, rng.integers(-(1 << 63), 1 << 63, 10000)).mean() < 0.01
+    assert ngram_join._marked(bits, rng.integers(-(1 << 63), 1 << 63, 10000)).mean() < 0.001
