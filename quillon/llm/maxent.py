@@ -6,12 +6,12 @@ words are a class each, so that features choose them as words; other words are p
 class of frequent words and one of rare and unseen words; the end is a class of its own.
 The class softmax has hashed n-gram and skip features (the word before, the two before as a
 pair, the words two and three before). It is trained by distributed gradient updates, in
-`ROUNDS` rounds: tasks sum how often each feature met each class and how often the model of
-the round before expects it to; the difference of the two sums is the gradient of the
-likelihood, and one step of iterative scaling from the smoothed sums updates the weights for
-all. The first round takes all training documents (at weights of 0 its expectations have a
-closed form), later ones one of `SHARDS` shares of them, dealt by a hash of the document. Sums do not
-depend on how documents lie in partitions, so neither do the weights, up to rounding.
+`ROUNDS` rounds, each over all training documents: tasks sum how often each feature met each
+class, which is the same in every round, and how often the model of the round before expects
+it to (at weights of 0 that has a closed form); the difference of the two sums is the gradient
+of the likelihood, and one step of iterative scaling from the smoothed sums updates the weights
+for all. Sums do not depend on how documents lie in partitions, so neither do the weights, up
+to rounding.
 P(word | class) is the softmax of a bias for each word, whose optimum is the relative
 count; rare classes keep an absolute discount for unseen words.
 
@@ -42,9 +42,12 @@ CLASSES = END + 1 + TOP
 FEATURE_BITS = 16
 FEATURES = 4
 #: Of the first round and of later ones: the share of a whole step, and documents a feature must
-#: outweigh.
-ROUNDS, SHARDS, RATES, SMOOTH = 2, 4, (0.5, 0.2), 10.0
+#: outweigh. One shard: a round takes all documents.
+ROUNDS, SHARDS, RATES, SMOOTH = 2, 1, (0.5, 0.2), 10.0
 STEP = 8192
+TURNS = 16
+#: Tasks that send sums of fixed size (17 MB each); two a core where that is more.
+SENDERS = 16
 DISCOUNT = 0.5
 CHUNK = 1 << 10
 #: Shares of a document's words are whole multiples of this, so that their sums are exact.
@@ -242,59 +245,70 @@ def class_logs(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.n
 
 
 def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> None:
-    """Adds to `out` (features, classes) how often the model expects each, for tokens."""
+    """Adds to `out` (features, classes) how often the model expects each, for tokens.
+
+    A feature's tokens are added by turns: its first, its second and so on, each turn for all
+    features that have one; from the `TURNS`-th on, feature by feature.
+    """
     for i in range(0, len(slots), STEP):
         some = slots[i : i + STEP]
-        p = np.exp(class_logs(weights, bias, some))
-        flat = some.T.ravel()
+        p = class_logs(weights, bias, some)
+        np.exp(p, out=p)
+        flat = some.T.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        sorted_ = flat[order]
-        start = np.flatnonzero(np.diff(sorted_, prepend=-1))
-        out[sorted_[start]] += np.add.reduceat(p[order % len(some)], start, axis=0)
-
-
-def _sums(docs: DataFrame, table, weights: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
-    """(observed, expected) counts of features and classes over all tasks; expected only with
-    weights."""
+        flat, token = flat[order], order % len(some)
+        start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+        count = np.diff(np.append(start, len(flat)))
+        longest = np.argsort(-count, kind="stable")
+        start, count = start[longest], count[longest]
+        sums = p[token[start]]
+        for k in range(1, TURNS):
+            n = int(np.searchsorted(-count, -k))
+            sums[:n] += p[token[start[:n] + k]]
+        for j in range(int(np.searchsorted(-count, -TURNS))):
+            sums[j] += p[token[start[j] + TURNS : start[j] + count[j]]].sum(0)
+        out[flat[start]] += sums
+
+
+def _sums(docs: DataFrame, table, weights: np.ndarray | None) -> np.ndarray:
+    """Counts of features and classes over all tasks: observed ones, or with weights expected ones."""
     spark = docs.sparkSession
     now = spark.sparkContext.broadcast(weights)
-    cells = CHUNK * CLASSES
+    size = np.uint32 if weights is None else np.float32
 
     def run(batches):
         known, w = table.value, now.value
-        seen = np.zeros(CLASSES << FEATURE_BITS, np.int64)
-        hoped = None if w is None else np.zeros((1 << FEATURE_BITS, CLASSES))
+        sums = np.zeros((1 << FEATURE_BITS, CLASSES), np.int64 if w is None else np.float64)
         for batch in batches:
             for a, b in words.slices(batch.column(0)):
                 _, _, cls, *_, slots = known.sequence(batch.column(0).slice(a, b - a))
-                for k in range(FEATURES):
-                    np.add.at(seen, slots[:, k].astype(np.int64) * CLASSES + cls, 1)
-                if w is not None:
-                    expect(hoped, w, known.bias, slots)
-        chunks = (1 << FEATURE_BITS) // CHUNK
-        for k in range(chunks):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k * cells : (k + 1) * cells].astype(np.uint32).tobytes()])], names=["chunk", "sums"])
-            if hoped is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([k + chunks], pa.int32()), pa.array([hoped[k * CHUNK : (k + 1) * CHUNK].astype(np.float32).tobytes()])], names=["chunk", "sums"])
+                if w is None:
+                    for k in range(FEATURES):
+                        np.add.at(sums.reshape(-1), slots[:, k].astype(np.int64) * CLASSES + cls, 1)
+                else:
+                    expect(sums, w, known.bias, slots)
+        for k in range((1 << FEATURE_BITS) // CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k * CHUNK : (k + 1) * CHUNK].astype(size).tobytes()])], names=["chunk", "sums"])
 
     def add(batches):
-        sums, chunks = {}, (1 << FEATURE_BITS) // CHUNK
+        sums = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, np.uint32 if k < chunks else np.float32)
+                c = np.frombuffer(c, size)
                 if k not in sums:
-                    sums[k] = np.zeros(len(c), np.int64 if k < chunks else np.float64)
+                    sums[k] = np.zeros(len(c), np.int64 if size is np.uint32 else np.float64)
                 sums[k] += c
         for k, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.astype(np.float64).tobytes()])], names=["chunk", "sums"])
 
     chunks = (1 << FEATURE_BITS) // CHUNK
-    rows = docs.select("text").mapInArrow(run, "chunk int, sums binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, sums binary")
-    out = np.zeros((2, 1 << FEATURE_BITS, CLASSES))
+    few = docs.select("text").coalesce(max(SENDERS, 2 * spark.sparkContext.defaultParallelism))
+    rows = few.mapInArrow(run, "chunk int, sums binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, sums binary")
+    out = np.zeros((1 << FEATURE_BITS, CLASSES))
     for k, c in rows.toLocalIterator():
-        out[k // chunks, k % chunks * CHUNK : (k % chunks + 1) * CHUNK] = np.frombuffer(c, np.float64).reshape(CHUNK, CLASSES)
+        out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(c, np.float64).reshape(CHUNK, CLASSES)
     now.destroy()
-    return out[0], out[1] if weights is not None else None
+    return out
 
 
 def scaled(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray | None, bias: np.ndarray, rate: float) -> np.ndarray:
@@ -315,13 +329,13 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", key_col: str | None = None) -> Model:
-    """Train on every row of `docs`. Null texts are empty: their end is a token too.
+    """Train on every row of `docs`, in every round. Null texts are empty: their end is a token too.
 
-    key_col: a column whose hash deals documents to shards; None deals by text.
+    key_col is not read: no round leaves documents out, so none are dealt.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(key_col or text_col), F.lit(SHARDS)).alias("shard"))
+    docs = docs.select(F.col(text_col).alias("text"))
     raw = materialise(_count(docs), "lm-counts")
     vocabulary = materialise(raw.where("chunk is null").groupBy("hash").agg(F.sum("n").alias("c"), F.min("word_end").alias("word_end")).where("c > 0"), "lm-words")
     group = cluster(_add(raw.where("chunk is not null"), 1).get(0, np.zeros(PIVOTS << END_BITS)).reshape(-1, PIVOTS))
@@ -341,9 +355,9 @@ def train(docs: DataFrame, text_col: str = "text", key_col: str | None = None) -
     made = Table(h, c, e, group, rare_sum, rare_types, n, v, end)
     table = spark.sparkContext.broadcast(made)
     weights = np.zeros((1 << FEATURE_BITS, CLASSES), np.float32)
+    observed = _sums(docs, table, None)
     for k in range(ROUNDS):
-        some = docs.where(F.col("shard") == k % SHARDS) if k else docs
-        weights = scaled(weights, *_sums(some, table, weights if k else None), made.bias, RATES[min(k, 1)])
+        weights = scaled(weights, observed, _sums(docs, table, weights) if k else None, made.bias, RATES[min(k, 1)])
     table.unpersist()
     return Model(made, weights, vocabulary)
 

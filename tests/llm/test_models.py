@@ -125,6 +125,29 @@ def test_weights_and_scores_equal_brute_force(spark):
         assert got[i] == pytest.approx(total, rel=1e-5), (i, t)
 
 
+def test_every_round_takes_every_document(spark, monkeypatch):
+    """Each round's sums run over all documents, and expected counts are those of a plain sum."""
+    docs = spark.createDataFrame(SMALL, "doc_id long, text string")
+    seen, sums = [], maxent._sums
+
+    def watched(some, table, weights):
+        seen.append((some.count(), weights is None))
+        return sums(some, table, weights)
+
+    monkeypatch.setattr(maxent, "_sums", watched)
+    model = maxent.train(docs, key_col="doc_id")
+    assert seen == [(len(SMALL), k == 0) for k in range(maxent.ROUNDS)]
+    rng = np.random.default_rng(3)
+    slots = np.minimum(rng.geometric(0.01, (3 * maxent.STEP + 7, maxent.FEATURES)) - 1, 65535).astype(np.int32)
+    weights = rng.normal(size=(1 << maxent.FEATURE_BITS, maxent.CLASSES)).astype(np.float32)
+    got, want = np.zeros((2, 1 << maxent.FEATURE_BITS, maxent.CLASSES))
+    maxent.expect(got, weights, model.table.bias, slots)
+    p = np.exp(maxent.class_logs(weights, model.table.bias, slots))
+    for k in range(maxent.FEATURES):
+        np.add.at(want, slots[:, k], p)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
+
+
 def test_scores_do_not_depend_on_partitions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     scores = []
