@@ -11,9 +11,9 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Steps:
    partner's size (what is left of both must hold the overlap); sets without a partner of
    fitting size under any n-gram are done.
 3. Blocks of sets are joined in prefix trees: the sets, ordered by how many of the block
-   hold an n-gram, form a trie with compressed paths; a query descends with the overlap
-   counted so far, and a subtree is pruned when the remaining lengths cannot reach the
-   overlap needed. Sets of one class are not compared again. Sets that shared n-grams
+   hold an n-gram, form a trie with compressed paths; n-grams of one set only stay out of it.
+   A subtree at the top is pruned when the remaining lengths cannot reach the overlap needed;
+   in others a query counts the overlap of every path at once, a shared part once. Sets that shared n-grams
    connect are a cluster; one of more than `CLUSTER` n-grams is cut into bands of size,
    two neighbouring bands a block, as sets of other sizes cannot link. A block still larger
    is dealt over parts of about `CLUSTER` n-grams: each part is joined alone, then one set
@@ -192,22 +192,26 @@ def _sets(docs: DataFrame, size: int, known) -> DataFrame:
     return docs.mapInArrow(run, "sid long, grams binary")
 
 
-class Node:
-    __slots__ = ("alive", "children", "depth", "leaf", "longest", "parent", "part", "shortest")
-
-
 class Trie:
-    """Sets as ascending ranks in a prefix tree with compressed paths."""
+    """Sets as ascending ranks in a prefix tree with compressed paths, its nodes in the order of a
+    walk (a subtree is a run of nodes), their parts one behind another.
+
+    sizes: of the whole sets, where ranks without a second holder are left out.
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.leaves = sets, [None] * len(sets)
+    def __init__(self, sets: list[np.ndarray], sizes: list[int] | None = None):
+        sizes = [len(s) for s in sets] if sizes is None else sizes
+        self.held = np.zeros(1 + max((int(s[-1]) for s in sets if len(s)), default=0), np.int32)
         raw = [s.astype(">u4").tobytes() for s in sets]
-        self.order = sorted(range(len(sets)), key=raw.__getitem__)
-        self.roots = []
-        stack = [(0, len(sets), 0, None)]
+        order = sorted((k for k in range(len(sets)) if len(sets[k])), key=raw.__getitem__)
+        parts, leaf, after, tops = [], [], [], []
+        stack = [(0, len(order), 0, True)] if order else []
         while stack:
-            lo, hi, depth, parent = stack.pop()
-            first, last = sets[self.order[lo]], sets[self.order[hi - 1]]
+            lo, hi, depth, top = stack.pop()
+            if lo < 0:
+                after[hi] = len(parts)
+                continue
+            first, last = sets[order[lo]], sets[order[hi - 1]]
             if hi - lo == 1:
                 end = len(first)
             else:
@@ -215,58 +219,75 @@ class Trie:
                 differ = np.flatnonzero(first[depth:m] != last[depth:m])
                 end = depth + int(differ[0]) if len(differ) else m
             if end > depth or hi - lo == 1:
-                node = Node()
-                node.part, node.depth, node.parent, node.leaf, node.children = first[depth:end], end, parent, None, []
-                lens = [len(sets[k]) for k in self.order[lo:hi]]
-                node.shortest, node.longest, node.alive = min(lens), max(lens), hi - lo
-                (self.roots if parent is None else parent.children).append(node)
-            else:
-                node = parent
+                if top:
+                    tops.append((len(parts), lo, hi))
+                stack.append((-1, len(parts), 0, False))  # comes up once the subtree is done
+                parts.append(first[depth:end])
+                leaf.append(order[lo] if hi - lo == 1 else -1)
+                after.append(0)
+                top = False
             if hi - lo == 1:
-                node.leaf = self.order[lo]
-                self.leaves[node.leaf] = node
                 continue
             at = lo
             while at < hi:
-                s = sets[self.order[at]]
+                s = sets[order[at]]
                 to = at + 1
                 if len(s) > end:
-                    while to < hi and sets[self.order[to]][end] == s[end]:
+                    while to < hi and sets[order[to]][end] == s[end]:
                         to += 1
-                stack.append((at, to, end, node))
+                stack.append((at, to, end, top))
                 at = to
+        self.leaf, self.after = np.array(leaf, np.int64), np.array(after, np.int64)
+        self.first = np.cumsum([0, *map(len, parts)])
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.sizes, self.alive = np.array(sizes, np.int64), np.ones(len(sets), bool)
+        self.top, self.top_of = [t[0] for t in tops], np.full(len(sets), -1)
+        self.top_alive = np.array([hi - lo for _, lo, hi in tops], np.int64)
+        self.shortest, self.longest, self.deepest = np.zeros((3, len(tops)), np.int64)
+        for k, (_, lo, hi) in enumerate(tops):
+            below = order[lo:hi]
+            self.top_of[below] = k
+            self.shortest[k], self.longest[k] = self.sizes[below].min(), self.sizes[below].max()
+            self.deepest[k] = max(len(sets[x]) for x in below)
 
     def retire(self, k: int) -> None:
         """Set k is no longer met by queries."""
-        node = self.leaves[k]
-        while node is not None:
-            node.alive -= 1
-            node = node.parent
-
-    def meet(self, q: np.ndarray, percent: int, same):
-        """Sets k with `same(k)` false that reach the threshold with q, as found."""
-        stack = [(node, 0) for node in self.roots]
-        n = len(q)
-        while stack:
-            node, got = stack.pop()
-            if not node.alive or 100 * node.longest < percent * n or 100 * n < percent * node.shortest:
-                continue
-            if node.leaf is not None and same(node.leaf):
+        self.alive[k] = False
+        if self.top_of[k] >= 0:
+            self.top_alive[self.top_of[k]] -= 1
+
+    def meet(self, q: np.ndarray, percent: int, same, size: int | None = None):
+        """Sets k with `same(k)` false that reach the threshold with q (of `size` in all), as found. A
+        subtree at the top is left out when what it and q have left cannot reach the overlap; in
+        others, each part is met once, for all sets below it."""
+        n = len(q) if size is None else size
+        fits = (self.top_alive > 0) & (100 * self.longest >= percent * n) & (100 * n >= percent * self.shortest)
+        if not len(q) or not fits.any():
+            return
+        self.held[q] = 1
+        found = []
+        for k in np.flatnonzero(fits).tolist():
+            node = self.top[k]
+            part = self.flat[self.first[node] : self.first[node + 1]]
+            got, rest = int(self.held[part].sum()), len(q) - int(np.searchsorted(q, part[-1], side="right"))
+            if got + min(rest, int(self.deepest[k]) - len(part)) < needed(n, int(self.shortest[k]), percent):
                 continue
-            part = node.part
-            if len(part):
-                at = np.searchsorted(q, part)
-                got += int(np.count_nonzero(q[np.minimum(at, n - 1)] == part))
-                rest = n - int(np.searchsorted(q, part[-1], side="right"))
-            else:
-                rest = n
-            if got + min(rest, node.longest - node.depth) < needed(n, node.shortest, percent):
-                continue
-            if node.leaf is not None:
-                if got >= needed(n, len(self.sets[node.leaf]), percent):
-                    yield node.leaf
-            else:
-                stack += [(child, got) for child in node.children]
+            to = int(self.after[node])
+            first = self.first[node : to + 1]
+            sums = np.zeros(first[-1] - first[0] + 1, np.int32)
+            np.cumsum(self.held[self.flat[first[0] : first[-1]]], out=sums[1:])
+            hits = np.diff(sums[first - first[0]])
+            # What a node holds counts from it to the end of its subtree.
+            path = np.cumsum(hits - np.bincount(self.after[node:to] - node, hits, to - node + 1)[:-1])
+            leaf = self.leaf[node:to]
+            at = np.flatnonzero(leaf >= 0)
+            sets = leaf[at]
+            links = self.alive[sets] & (path[at] * (100 + percent) >= percent * (n + self.sizes[sets]))
+            found += sets[links].tolist()
+        self.held[q] = 0
+        for k in found:
+            if not same(k):
+                yield k
 
 
 def join_block(sids: list[int], classes: list[int], sets: list[np.ndarray], percent: int = PERCENT):
@@ -285,20 +306,20 @@ def join_block(sids: list[int], classes: list[int], sets: list[np.ndarray], perc
     grams, inverse, freq = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(grams), np.int64)
     rank[np.argsort(-freq, kind="stable")] = np.arange(len(grams))
-    ranked = [np.sort(r) for r in np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])]
-    trie = Trie(ranked)
+    shared = int(np.count_nonzero(freq > 1))  # n-grams of one set only are no overlap
+    ranked = [np.sort(r[r < shared]) for r in np.split(rank[inverse], np.cumsum([len(s) for s in sets])[:-1])]
+    trie = Trie(ranked, [len(s) for s in sets])
     members: dict[int, list[int]] = {}
     for k, c in enumerate(classes):
         members.setdefault(c, []).append(k)
     # Every pair of classes has a side in front of the last, the largest class.
     for c in sorted(members, key=lambda c: (len(members[c]), c))[:-1]:
         for k in members[c]:
-            for x in trie.meet(ranked[k], percent, lambda x, c=c: find(classes[x]) == find(c)):
+            for x in trie.meet(ranked[k], percent, lambda x, c=c: find(classes[x]) == find(c), len(sets[k])):
                 a, b = find(c), find(classes[x])
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    count -= 1
-                    yield sids[k], sids[x]
+                root[max(a, b)] = min(a, b)
+                count -= 1
+                yield sids[k], sids[x]
             if count == 1:
                 return
             trie.retire(k)

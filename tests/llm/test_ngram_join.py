@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,30 @@ def test_trie_finds_all_links():
             assert set(trie.meet(q, 75, lambda k: False)) == want
 
 
+def test_a_large_family_is_joined_in_time():
+    """900 sets about as far from each other as links reach: all their classes, in a part of the time
+    that a search node by node takes (20 s and more)."""
+    rng = np.random.default_rng(6)
+    base, sets = rng.integers(1, 1 << 62, 396, dtype=np.uint64), []
+    for _ in range(900):
+        d = int(rng.integers(20, 90))
+        sets.append(np.unique(np.concatenate([rng.permutation(base)[d:], rng.integers(1, 1 << 62, d, dtype=np.uint64)])))
+    began = time.process_time()
+    links = list(ngram_join.join_block(list(range(900)), list(range(900)), sets))
+    assert time.process_time() - began < 8
+    held = np.array([np.isin(base, s) for s in sets]).astype(np.float32)
+    overlap, size = held @ held.T, np.array([len(s) for s in sets])
+    near = (100 * overlap >= 75 * (size[:, None] + size - overlap)) | np.eye(900, dtype=bool)
+    want, root = np.arange(900), list(range(900))
+    while (least := np.where(near, want, 900).min(1)).tolist() != want.tolist():
+        want = least
+    for a, b in links:
+        assert near[a, b]
+        lo, hi = sorted((root[a], root[b]))
+        root = [lo if r == hi else r for r in root]
+    assert root == want.tolist() and 1 < len(set(root)) < 900
+
+
 def test_drop_near_copies(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     left = ngram_join.drop_near_copies(docs)
