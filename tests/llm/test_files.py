@@ -43,6 +43,63 @@ def test_encoder_forgets_rare_words(monkeypatch, tokenizer):
     assert len(w.cache) <= 8
 
 
+def test_runs_hold_what_finds_room():
+    rng = np.random.default_rng(3)
+    runs, told = tokens.Runs(500, np.uint16), {}
+
+    def make(some):
+        sizes = np.array([told[int(x)][0] for x in h[some]])
+        return np.concatenate([np.full(n, told[int(x)][1], np.uint16) for n, x in zip(sizes, h[some], strict=True)]), sizes
+
+    pool = rng.integers(1, 1 << 63, 2000, dtype=np.uint64) << np.uint64(1)
+    pool[:300] >>= np.uint64(12)  # these meet in few places
+    for x in pool.tolist():
+        told[x] = int(rng.integers(0, 300 if x % 97 == 0 else 6)), int(rng.integers(1, 1 << 16))
+    for _ in range(60):
+        h = rng.choice(pool[: rng.integers(1, 2000)], 200)
+        at, size = runs.where(h, make)
+        for x, a, n in zip(h.tolist(), at.tolist(), size.tolist(), strict=True):
+            assert (n, set(runs.ids[a : a + n].tolist())) == (told[x][0], {told[x][1]} if told[x][0] else set())
+    assert 300 < runs.count == np.count_nonzero(runs.find(pool) >= 0) <= 500 and len(runs.ids) <= 500 * tokens.KEPT_IDS + 60000
+
+
+def test_columns_of_odd_words_equal_the_library(monkeypatch, tokenizer):
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 20)
+    monkeypatch.setattr(tokens, "KEPT_PARTS", 8)
+    monkeypatch.setattr(tokens, "FRESH_BYTES", 64)
+    rng, signs = np.random.default_rng(4), list("aZéÀÞß×÷ÿ.,;:!?'1é日") + ["Łł", "x" * 300, "É" * 150]
+    texts = [" ".join("".join(rng.choice(signs, rng.integers(1, 6))) for _ in range(n)) for n in rng.integers(0, 60, 80)]
+    w = tokens.Words(None)
+    for _ in range(2):
+        for t, got in zip(texts, w.encode_column(pa.array(texts)), strict=True):
+            assert got.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_many_words_are_encoded_once(tokenizer):
+    class Counted:
+        calls = 0
+
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, *a, **b):
+            Counted.calls += 1
+            return self.inner.encode_batch_fast(*a, **b)
+
+    w = tokens.Words(None)
+    w.plain, w.full = Counted(w.plain), Counted(w.full)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = ["".join(letters[k // 26**j % 26] for j in range(4)) for k in range(450_000)]
+    column = pa.array([" ".join(some[k : k + 1000]) for k in range(0, len(some), 1000)])
+    first = w.encode_column(column)
+    assert first[449].tolist() == tokenizer.encode(column[449].as_py(), add_special_tokens=False).ids
+    before = Counted.calls
+    # At most what a full place of the tables turned away is encoded again.
+    again = w.encode_column(column)
+    assert all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+    assert Counted.calls - before <= 1 and np.count_nonzero(w.words.hash) > 440_000
+
+
 def expected_token_rows(rows, tokenizer):
     at, out = 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
