@@ -111,6 +111,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ship(spark)
 
     def rank(batches):
+        tokens.forget()  # all is encoded; what runs next needs the memory
         part, last, seen = TaskContext.get().partitionId(), -1, 0
         for batch in batches:
             length = batch.column("length").to_numpy()
@@ -139,6 +140,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     known = spark.sparkContext.broadcast((start, table))
 
     def place(batches):
+        tokens.forget()
         start, table = known.value
         for batch in batches:
             length, part, local = (batch.column(c).to_numpy() for c in ("length", "part", "local"))

@@ -157,55 +157,78 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _types(texts):
+    """Different words (hashes) of a string column and their features; of all words the type and
+    the document, 32 bits each."""
+    data, offsets = words.utf8(texts)
+    parts = []
+    for h, doc, start, end in words.words(data, offsets, True, SPACE):
+        some, rep, which = np.unique(h, return_index=True, return_inverse=True)
+        parts.append((some, start[rep], end[rep], which.astype(np.int32), doc.astype(np.int32)))
+    if not parts:
+        e = np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros((0, KINDS), np.uint64), e, e
+    types, rep = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+    start, end = (np.concatenate([p[k] for p in parts])[rep] for k in (1, 2))
+    kind = np.concatenate([np.searchsorted(types, p[0]).astype(np.int32)[p[3]] for p in parts])
+    return types, features(data, start, end, types), kind, np.concatenate([p[4] for p in parts])
+
+
 def fit_model(texts, toxic: np.ndarray) -> dict:
     """The chain's weights and the score's, from texts (a string column) and 0/1 labels."""
-    h, doc, start, end, data, offsets = tokenise(texts)
     n = len(texts)
     toxic = np.asarray(toxic, np.float64)
     model = {"word": np.zeros(1 << BITS, np.float32), "before": np.zeros(1 << BITS, np.float32), "after": np.zeros(1 << BITS, np.float32), "move": np.array([[0.0, -3.0], [0.0, 0.0]]), "begin": -3.0, "bias": -4.0, "score": np.array([-4.0, 0.0, 0.0])}
-    if not len(h) or not toxic.any() or toxic.all():
+    types, tf, kind, doc = _types(texts)
+    if not len(kind) or not toxic.any() or toxic.all():
         model["score"][0] = 6.0 if n and toxic.all() else -6.0
         return model
-    types, rep, kind = np.unique(h, return_index=True, return_inverse=True)
-    kind = kind.astype(np.int32)
-    tf = features(data, start[rep], end[rep], types)
+    first = np.flatnonzero(np.diff(doc, prepend=np.int32(-1)))
+    size = len(kind)
+    last = np.append(first[1:], size) - 1
+    # Runs of whole documents, so that a step's memory does not follow the sample.
+    cuts = [0, *(int(k) for k in first[np.flatnonzero(np.diff(first // FIT_RUN)) + 1]), size]
+    runs = list(zip(cuts[:-1], cuts[1:], strict=True))
     # Documents that hold a feature, toxic and not.
     marked = np.zeros(len(types), bool)
     for k in range(5):
         if k in (1, 2):
             continue  # three or four bytes are too short to tell
         groups, of_type = np.unique(tf[:, k], return_inverse=True)
-        pairs = np.unique(of_type[kind].astype(np.int64) * n + doc)
-        bad = np.bincount(pairs // n, weights=toxic[pairs % n], minlength=len(groups))
-        seen = np.bincount(pairs // n, minlength=len(groups))
+        bad, seen = np.zeros(len(groups)), np.zeros(len(groups))
+        for i, j in runs:
+            pairs = np.unique(of_type[kind[i:j]].astype(np.int64) * n + doc[i:j])
+            bad += np.bincount(pairs // n, weights=toxic[pairs % n], minlength=len(groups))
+            seen += np.bincount(pairs // n, minlength=len(groups))
         marked |= ((bad >= SUPPORT) & (bad >= PURITY * seen))[of_type]
-    y = (marked[kind] & (toxic[doc] > 0)).astype(np.float64)
+    y = marked[kind] & (toxic > 0)[doc]
     told = np.bincount(doc, weights=y, minlength=n)
     use = ((toxic == 0) | (told > 0))[doc]
-    first = np.flatnonzero(np.diff(doc, prepend=-1))
-    last = np.append(first[1:], len(h)) - 1
-    before, after = neighbours(h, first, last)
-    slots, bslot, aslot = _slot(tf), _slot(before), _slot(after)
-    del before, after, tf, h, data
-    moves = (2 * np.append(0, y[:-1]) + y).astype(int)
+    slots = _slot(tf)
+    # Neighbours' features by type; 0 at a document's ends.
+    bslot, aslot = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    bslot[1:], aslot[:-1] = _slot(words.mix(types ^ _SALTS[6]))[kind[:-1]], _slot(words.mix(types ^ _SALTS[7]))[kind[1:]]
+    bslot[first], aslot[last] = 0, 0
+    n_types = len(types)
+    del tf, types
+    moves = 2 * np.append(False, y[:-1]).astype(np.int8) + y
     moves[first] = -1
     told_moves = np.bincount(moves[use & (moves >= 0)], minlength=4).astype(np.float64)
-    del start, end, moves
-    # Runs of whole documents, so that a step's memory does not follow the sample.
-    size = len(kind)
-    cuts = [0, *(int(k) for k in first[np.flatnonzero(np.diff(first // FIT_RUN)) + 1]), size]
+    del moves
 
-    def step():
+    def step(keep: np.ndarray | None = None):
+        """Gaps of all words and sums of pairs; marginals go to `keep`."""
         gap, pairs = np.empty(size), np.zeros(4)
         emit = model["word"][slots].sum(1) + model["bias"]
-        p = np.empty(size)
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        for i, j in runs:
             u = emit[kind[i:j]] + model["before"][bslot[i:j]] + model["after"][aslot[i:j]]
             in_run = (first >= i) & (first < j)
-            p[i:j], pair = marginals(u, first[in_run] - i, last[in_run] - i, model["move"], model["begin"])
-            gap[i:j] = np.where(use[i:j], p[i:j] - y[i:j], 0.0)
+            p, pair = marginals(u, first[in_run] - i, last[in_run] - i, model["move"], model["begin"])
+            gap[i:j] = np.where(use[i:j], p - y[i:j], 0.0)
             pairs += pair[use[i:j]].sum(0)
-        return p, gap, pairs
+            if keep is not None:
+                keep[i:j] = p
+        return gap, pairs
 
     squares = {k: np.full(1 << BITS, 1e-8) for k in ("word", "before", "after")}
     small = np.full(6, 1e-8)
@@ -218,8 +241,8 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
         w -= (rate * g / np.sqrt(squares[name])).astype(np.float32)
 
     for _ in range(ROUNDS):
-        _, gap, pairs = step()
-        by_type = np.bincount(kind, weights=gap, minlength=len(types))
+        gap, pairs = step()
+        by_type = np.bincount(kind, weights=gap, minlength=n_types)
         descend("word", sum(np.bincount(slots[:, k], weights=by_type, minlength=1 << BITS) for k in range(KINDS)), 0.02)
         descend("before", np.bincount(bslot, weights=gap, minlength=1 << BITS), 0.5)
         descend("after", np.bincount(aslot, weights=gap, minlength=1 << BITS), 0.5)
@@ -229,7 +252,9 @@ def fit_model(texts, toxic: np.ndarray) -> dict:
         model["move"] -= change[:4].reshape(2, 2)
         model["bias"] -= change[4]
         model["begin"] -= change[5]
-    p, _, _ = step()
+    del gap
+    p = np.empty(size)
+    step(p)
     model["score"] = _logistic(aggregates(p, doc, n), toxic)
     return model
 
@@ -292,7 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         tokens.forget()
         table = pa.Table.from_batches(list(within(batches)), schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())]))
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        model = fit_model(pc.cast(table["text"].combine_chunks(), pa.large_string()), table["toxic"].to_numpy())
+        texts, toxic = pc.cast(table["text"].combine_chunks(), pa.large_string()), table["toxic"].to_numpy()
+        del table
+        model = fit_model(texts, toxic)
         names = list(model)
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([np.asarray(model[k], np.float64).tobytes() for k in names])], names=["name", "value"])
 

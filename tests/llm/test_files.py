@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import sys
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +184,18 @@ def test_packing_of_nothing(none):
     assert packing.pack_documents(none).collect() == []
 
 
+def test_packing_frees_the_encoder_when_all_is_encoded(spark, monkeypatch):
+    made, frame = [], type(spark.range(0))
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, *a, whole=frame.mapInArrow: made.append(f) or whole(df, f, *a))
+    assert packing.pack(spark.createDataFrame([(1, 0, 0, 5, 7)], packing.PIECE)).count() == 1
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    assert len(made) == 2
+    for run in made:
+        tokens.column_encoder()
+        assert "_quillon_tokens" in sys.__dict__
+        assert list(run(iter([]))) == [] and "_quillon_tokens" not in sys.__dict__
+
+
 def test_match_equals_best_fit_by_hand():
     rng = np.random.default_rng(3)
     for _ in range(30):

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -262,6 +263,19 @@ def test_fit_takes_whole_documents_up_to_its_bytes(spark, sf, monkeypatch):
     assert toxicity.fit(docs, labels)["word"].any()
 
 
+def test_fit_takes_few_bytes_a_word(monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    rng, n = np.random.default_rng(6), 1_500_000
+    some = rng.choice([f"w{k}" for k in range(5000)], n)
+    toxic = np.arange(500) % 5 == 0
+    texts = pa.array([" ".join(some[k :: 500]) + " vile" * int(bad) for k, bad in enumerate(toxic)])
+    tracemalloc.start()
+    model = toxicity.fit_model(texts, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model["score"].any() and peak < 100 * n, peak / n
+
+
 def test_query_of_the_language_model(spark, sf):
     out = maxent.op8_maxent_scores(spark, sf)
     assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
