@@ -44,7 +44,9 @@ FEATURES = 4
 #: Of the first round and of later ones: the share of a whole step, and documents a feature must
 #: outweigh. One shard: a round takes all documents.
 ROUNDS, SHARDS, RATES, SMOOTH = 2, 1, (0.5, 0.2), 10.0
-STEP = 8192
+STEP = 32768
+#: Tokens whose weights are summed at once, so that they stay in the processor's cache.
+ROWS = 1024
 TURNS = 16
 #: Tasks that send sums of fixed size (17 MB each); two a core where that is more.
 SENDERS = 16
@@ -233,27 +235,53 @@ class Table:
         return out
 
 
+def small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no sum of a token's weights is so large or so low that its exponential leaves 32 bits."""
+    return FEATURES * max(weights.max(), -weights.min()) + np.abs(bias).max() < 80
+
+
+def class_sums(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Sums of weights of each token's features, one row for each token; the largest is 0 unless
+    weights are known to be `small`."""
+    z = np.empty((len(slots), CLASSES), np.float32)
+    for i in range(0, len(slots), ROWS):
+        some = slots[i : i + ROWS]
+        part = weights.take(some[:, 0], axis=0)
+        for k in range(1, FEATURES):
+            part += weights.take(some[:, k], axis=0)
+        np.add(part, bias, out=z[i : i + ROWS])
+    if not safe:
+        z -= z.max(1, keepdims=True)
+    return z
+
+
 def class_logs(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Natural logs of class probabilities, one row for each token."""
-    z = weights[slots[:, 0]]
-    for k in range(1, FEATURES):
-        z += weights[slots[:, k]]
-    z += bias
-    z -= z.max(1, keepdims=True)
+    z = class_sums(weights, bias, slots)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z
 
 
+def own_logs(weights: np.ndarray, bias: np.ndarray, slots: np.ndarray, cls: np.ndarray, safe: bool = False) -> np.ndarray:
+    """Natural logs of the probabilities of the tokens' own classes."""
+    z = class_sums(weights, bias, slots, safe)
+    own = z[np.arange(len(z)), cls]
+    np.exp(z, out=z)
+    return own - np.log(z @ np.ones(CLASSES, np.float32))
+
+
 def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, slots: np.ndarray) -> None:
     """Adds to `out` (features, classes) how often the model expects each, for tokens.
 
     A feature's tokens are added by turns: its first, its second and so on, each turn for all
     features that have one; from the `TURNS`-th on, feature by feature.
     """
+    safe, ones = small(weights, bias), np.ones(CLASSES, np.float32)
     for i in range(0, len(slots), STEP):
         some = slots[i : i + STEP]
-        p = class_logs(weights, bias, some)
+        p = class_sums(weights, bias, some, safe)
         np.exp(p, out=p)
+        p *= (1 / (p @ ones))[:, None]
         flat = some.T.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
         flat, token = flat[order], order % len(some)
@@ -261,13 +289,16 @@ def expect(out: np.ndarray, weights: np.ndarray, bias: np.ndarray, slots: np.nda
         count = np.diff(np.append(start, len(flat)))
         longest = np.argsort(-count, kind="stable")
         start, count = start[longest], count[longest]
-        sums = p[token[start]]
+        sums = p.take(token[start], axis=0)
         for k in range(1, TURNS):
             n = int(np.searchsorted(-count, -k))
-            sums[:n] += p[token[start[:n] + k]]
+            sums[:n] += p.take(token[start[:n] + k], axis=0)
         for j in range(int(np.searchsorted(-count, -TURNS))):
-            sums[j] += p[token[start[j] + TURNS : start[j] + count[j]]].sum(0)
-        out[flat[start]] += sums
+            sums[j] += p.take(token[start[j] + TURNS : start[j] + count[j]], axis=0).sum(0)
+        rows = flat[start]
+        total = out.take(rows, axis=0)
+        total += sums
+        out[rows] = total
 
 
 def _sums(docs: DataFrame, table, weights: np.ndarray | None) -> np.ndarray:
@@ -382,6 +413,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         row = TaskContext.get().partitionId() << 40
         log_base = np.log10(table.base)
         log_in = np.log10(table.frequent)
+        safe = small(weights, table.bias)
         for batch in batches:
             for a, b in words.slices(batch.column(1)):
                 n = b - a
@@ -389,8 +421,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 hashes, doc, cls, often, count, groups, alone, slots = table.sequence(some.column(1))
                 logs = np.empty(len(cls))
                 for i in range(0, len(cls), STEP):
-                    z = class_logs(weights, table.bias, slots[i : i + STEP])
-                    logs[i : i + STEP] = z[np.arange(len(z)), cls[i : i + STEP]]
+                    logs[i : i + STEP] = own_logs(weights, table.bias, slots[i : i + STEP], cls[i : i + STEP], safe)
                 logs /= np.log(10)
                 inside = often & ~alone  # a class of one word holds it with certainty
                 logs[inside] += np.log10(count[inside]) - log_in[groups[inside]]

@@ -263,6 +263,27 @@ def test_fit_takes_whole_documents_up_to_its_bytes(spark, sf, monkeypatch):
     assert toxicity.fit(docs, labels)["word"].any()
 
 
+@pytest.mark.parametrize("size", [1, 60])
+def test_sums_of_small_and_of_large_weights(monkeypatch, size):
+    monkeypatch.setattr(maxent, "ROWS", 7)
+    monkeypatch.setattr(maxent, "STEP", 50)
+    rng, n = np.random.default_rng(8), 120
+    weights = rng.normal(0, size, (1 << maxent.FEATURE_BITS, maxent.CLASSES)).astype(np.float32)
+    bias = rng.normal(0, 1, maxent.CLASSES).astype(np.float32)
+    slots, cls = rng.integers(0, 40, (n, maxent.FEATURES)).astype(np.int32), rng.integers(0, maxent.CLASSES, n)
+    safe = maxent.small(weights, bias)
+    assert safe == (size == 1)
+    z = weights[slots].astype(np.float64).sum(1) + bias
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    assert maxent.own_logs(weights, bias, slots, cls, safe) == pytest.approx(z[np.arange(n), cls], rel=1e-5, abs=1e-4)
+    out, want = np.zeros(weights.shape), np.zeros(weights.shape)
+    maxent.expect(out, weights, bias, slots)
+    for k in range(maxent.FEATURES):
+        np.add.at(want, slots[:, k], np.exp(z))
+    assert np.abs(out - want).max() < 1e-4 and out.sum() == pytest.approx(n * maxent.FEATURES, rel=1e-6)
+
+
 def test_fit_takes_few_bytes_a_word(monkeypatch):
     monkeypatch.setattr(toxicity, "ROUNDS", 1)
     rng, n = np.random.default_rng(6), 1_500_000
