@@ -26,7 +26,8 @@ from quillon.llm import token_files, tokens, words
 from quillon.session import drop, materialise, partitions, ship
 
 CAPACITY = 4096
-SLICE = 1 << 21
+#: Bytes of texts encoded at once: four times as many take 38 MB more of a process and no less time.
+SLICE = 1 << 19
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
