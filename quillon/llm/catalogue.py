@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.llm import exact_dedup, maxent, merkle, mixing, ngram_join, packing, prefix_trie, token_counts, token_files, toxicity, voronoi_knn, warc
+from quillon.llm import exact_dedup, maxent, merkle, mixing, ngram_join, packing, prefix_trie, token_counts, token_files, toxicity, vector_codes, voronoi_knn, warc
 
-_MODULES = (mixing, warc, exact_dedup, ngram_join, merkle, token_counts, token_files, maxent, packing, toxicity, voronoi_knn, prefix_trie)
+_MODULES = (mixing, warc, exact_dedup, ngram_join, merkle, token_counts, token_files, maxent, packing, toxicity, voronoi_knn, prefix_trie, vector_codes)
 
 
 def queries():
