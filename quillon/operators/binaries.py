@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.functions.draws import stream
 from quillon.operators import order, stats
@@ -39,12 +42,26 @@ def null_strengths(series: DataFrame, pairs: DataFrame, max_lag: int, draws: int
     return sorted(abs(r[0]) for r in each.select("r").collect())
 
 
+def _with_p(seen: DataFrame, null: list[float]) -> DataFrame:
+    """Adds p: one more than the draws that reach |r|, over one more than all of them, by binary
+    search in the sorted draws."""
+    known = np.array(null)
+
+    def run(batches):
+        for batch in batches:
+            r = np.abs(batch.column("r").to_numpy())
+            p = (1 + len(known) - np.searchsorted(known, r - stats.ROUNDING, side="left")) / (1.0 + len(known))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
+
+    return seen.mapInArrow(run, T.StructType([*seen.schema.fields, T.StructField("p", T.DoubleType())]))
+
+
 def find_binaries(series: DataFrame, max_lag: int = MAX_LAG, min_active: int = MIN_ACTIVE, min_r: float = MIN_R, fdr: float = FDR, draws: int = DRAWS, seed: int = SEED) -> DataFrame:
     """(a, b, lag, r, p, q) of disjoint pairs of series (id, t, x), dense in t from 0.
 
     r is the strongest lagged correlation, p its place among the pooled null, q its share of
     false discoveries over all pairs. Pairs with |r| >= min_r and q <= fdr are taken from the
-    strongest on (|r| down, then a, b), each series once: in rounds, a pair that is the best
+    strongest on (|r| to twelve places down, then a, b), each series once: in rounds, a pair that is the best
     of both its series is taken, which gives the same pairs as going down the list.
     """
     spark = series.sparkSession
@@ -54,12 +71,11 @@ def find_binaries(series: DataFrame, max_lag: int = MAX_LAG, min_active: int = M
         return none
     null = null_strengths(series, pairs, max_lag, draws, seed)
     seen = stats.lagged_correlation(series, max_lag, pairs.select("a", "b"))
-    above = F.size(F.filter(F.array(*[F.lit(x) for x in null]), lambda x: x >= F.abs("r"))) if null else F.lit(0)
-    judged = stats.benjamini_hochberg(seen.withColumn("p", (1 + above) / (1.0 + len(null))).withColumn("_all", F.lit(1)), "_all", "p")
+    judged = stats.benjamini_hochberg_whole(materialise(_with_p(seen, null), "judged"), "p", ["a", "b"])
     left = judged.where((F.abs("r") >= min_r) & (F.col("q") <= fdr)).select("a", "b", F.col("lag").cast("long").alias("lag"), "r", "p", "q")
     left, found = materialise(left, "binaries"), []
     while not left.isEmpty():
-        ends = left.select(F.explode(F.array("a", "b")).alias("id"), F.struct((-F.abs("r")).alias("s"), "a", "b").alias("k"))
+        ends = left.select(F.explode(F.array("a", "b")).alias("id"), F.struct((-F.round(F.abs("r"), 12)).alias("s"), "a", "b").alias("k"))
         best = ends.groupBy("id").agg(F.min("k").alias("k")).groupBy("k.a", "k.b").count().where("count = 2").select("a", "b")
         taken = materialise(left.join(best, ["a", "b"], "left_semi"), "binaries")
         found.append(taken)

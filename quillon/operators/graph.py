@@ -12,6 +12,8 @@ from quillon.session import materialise, ship
 
 #: Most links, and most nodes, of a graph that is broadcast (about 100 MB).
 DENSE_LINKS = 1 << 22
+#: Most links that one task takes as a whole to label components (4 MB).
+ONE_TASK = 1 << 18
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -58,20 +60,53 @@ def diffuse(u: DataFrame, matrix: DataFrame, dt: float, steps: int, decay: float
     return u
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node of its component, by rounds of minimum labels with
-    pointer jumping, each written to shared storage."""
-    links = materialise(symmetric(edges), "links")
+def _labels_in_a_task(batches):
+    """All links -> (node, component), by rounds of minimum labels over arrays."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    src, dst = (np.concatenate(p) for p in zip(*parts, strict=True))
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    label = np.arange(len(names))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, label[a], label[b])
+        np.minimum.at(new, label[b], label[a])
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["node", "c"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, component): smallest node of its component. Nodes are of any ordered type; null
+    nodes are left out, and so are links that miss a node.
+
+    Up to `one_task` links are labelled in one task, if nodes are whole numbers; more by
+    rounds of minimum labels with pointer jumping, each written to shared storage, until a
+    round changes no row.
+    """
+    nodes = nodes.where("node is not null").select("node")
+    links = edges.where("src != dst").select("src", "dst")
+    links = links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    links = materialise(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    kind = dict(nodes.dtypes)["node"]
+    if kind in ("int", "bigint") and dict(links.dtypes)["src"] == kind and links.limit(one_task + 1).count() <= one_task:
+        ship(links.sparkSession)
+        found = links.coalesce(1).mapInArrow(_labels_in_a_task, f"node {kind}, c {kind}")
+        return materialise(nodes.join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component")), "labels")
+    links = links.union(links.select("dst", "src"))
     now = materialise(nodes.select("node", F.col("node").alias("c")), "labels")
     while True:
-        near = links.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("m"))
-        step = now.join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"))
+        near = links.join(now.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("m"))
+        step = now.select("node", "c").join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
         jump = step.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
-        step = materialise(step.join(jump, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c")), "labels")
-        same = step.agg(F.sum("c")).first() == now.agg(F.sum("c")).first()
-        now = step
-        if same:
-            return now.withColumnRenamed("c", "component")
+        now = materialise(step.join(jump, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c"), (F.col("_c") != F.col("was")).alias("moved")), "labels")
+        if now.where("moved").isEmpty():
+            return now.select("node", F.col("c").alias("component"))
 
 
 def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,11 +162,11 @@ def hop_distances(nodes: DataFrame, edges: DataFrame, limit: int | None = None,
     Sources go in blocks of 64 neighbouring numbers, a bit each. Up to `dense` links (both
     directions) and as many nodes, links are broadcast and blocks are searched in tasks of
     their own; beyond, frontiers meet the links in joins, in which a link carries a block in
-    one row. Nodes are whole numbers.
+    one row. Nodes are whole numbers; null nodes are left out, on either way.
     """
     links = materialise(symmetric(edges).distinct(), "links")
     kind = dict(nodes.dtypes)["node"]
-    own = nodes.select("node", F.expr("shiftright(cast(node as bigint), 6)").alias("block"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bits"))
+    own = nodes.where("node is not null").select("node", F.expr("shiftright(cast(node as bigint), 6)").alias("block"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bits"))
     own = materialise(own, "hops")
     if links.limit(dense + 1).count() <= dense and own.limit(dense + 1).count() <= dense:
         return _pairs(_hops_in_tasks(own, links, limit), kind)

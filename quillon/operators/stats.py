@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import order
 from quillon.session import materialise, ship
 
 KAPPA_MAX = 1000.0
@@ -55,6 +56,18 @@ def benjamini_hochberg(df: DataFrame, key: str, p: str) -> DataFrame:
     return out.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(down))).drop("_k", "_v")
 
 
+def benjamini_hochberg_whole(df: DataFrame, p: str, ties: list[str]) -> DataFrame:
+    """Adds q as `benjamini_hochberg` does, the whole table being one family; `ties` are columns that
+    tell rows of equal p apart. Rows are ranged by p, and no task holds more than a range. A
+    null p has a null q and is not in the family."""
+    have = df.where(F.col(p).isNotNull())
+    ranked = materialise(order.numbered(have, [p, *ties], "_k"), "family")
+    m = float(ranked.count())
+    least = order.minimum_from_end(ranked.withColumn("_v", F.col(p) * m / (F.col("_k") + 1)), ["_k"], "_v", "q")
+    out = least.withColumn("q", F.least(F.lit(1.0), "q")).select(*df.columns, "q")
+    return out.union(df.where(F.col(p).isNull()).select("*", F.lit(None).cast("double")))
+
+
 def _best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[int, float, float]:
     """The lag of the strongest |r| (the first of equals), r and z; 0s where no lag counts."""
     n, best = min(len(a), len(b)), (0, 0.0, 0.0)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import core, metric, more, weekly
+from quillon.plans import core, metric, more, relations, weekly
 
-_MODULES = (weekly, core, metric, more)
+_MODULES = (weekly, core, metric, more, relations)
 
 
 def queries():

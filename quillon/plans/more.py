@@ -170,8 +170,9 @@ def language_space(spark, sf_dir):
 def _line(spark, sf_dir):
     """All suppliers in one line by key, a link as long as their balances differ."""
     s, _ = _chains(spark, sf_dir)
-    w = Window.orderBy("node")
-    e = s.select(F.col("node").alias("edge_id"), F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), F.abs(F.lead("s_acctbal").over(w) - F.col("s_acctbal")).alias("length")).where("dst is not null")
+    at = order.numbered(s.select("node", "s_acctbal"), ["node"])
+    to = at.select((F.col("index") - 1).alias("index"), F.col("node").alias("dst"), F.col("s_acctbal").alias("_to"))
+    e = at.join(to, "index").select(F.col("node").alias("edge_id"), F.col("node").alias("src"), "dst", F.abs(F.col("_to") - F.col("s_acctbal")).alias("length"))
     return s.select("node"), e.drop("length"), e.select("edge_id", "length")
 
 
@@ -194,7 +195,7 @@ def _notes(spark, sf_dir):
     notes = p.select(F.col("p_partkey").alias("pos"), note.alias("id"), course.alias("course"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_size").cast("double")).alias("week"))
     li = _table(spark, sf_dir, "lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    e = li.where("l_orderkey % 16 = 5").select((F.shiftleft("l_orderkey", 8) + F.row_number().over(w)).alias("pos"), F.col("l_partkey").alias("_a"), F.lead("l_partkey").over(w).alias("_b")).where("_b is not null")
+    e = li.select((F.shiftleft("l_orderkey", 8) + F.row_number().over(w)).alias("pos"), F.col("l_partkey").alias("_a"), F.lead("l_partkey").over(w).alias("_b")).where("_b is not null")
     a, b = (notes.select(F.col("pos").alias(f"_{c}"), F.col("id").alias(c)) for c in "ab")
     return notes, e.join(a, "_a").join(b, "_b").select("pos", "a", "b")
 
@@ -336,15 +337,15 @@ def _documents_of(rows, key, item):
 
 
 def feed_days(spark, sf_dir):
-    """Days of every order priority from JSON with bad dates, numbers as text and markup in names."""
+    """Days of every customer from JSON with bad dates, numbers as text and markup in names."""
     o = _table(spark, sf_dir, "orders")
     date = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy/MM/dd")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
     count = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('"'), F.col("o_custkey").cast("string"), F.lit('"'))).when(F.col("o_orderkey") % 3 == 1, F.col("o_custkey").cast("string")).otherwise(F.lit('"many"'))
     name = F.when(F.col("o_orderkey") % 4 == 0, F.lit("<b>x</b>")).otherwise(F.col("o_orderstatus"))
     item = F.concat(F.lit('{"date":"'), date, F.lit('","level":'), (F.col("o_orderkey") % 5).cast("string"), F.lit(',"count":'), count, F.lit(',"d":{"c":[["'), name, F.lit('",2],["(private)",1]]}}'))
-    days = _documents_of(o.select(F.col("o_orderkey").alias("pos"), item.alias("item"), "o_orderpriority"), "o_orderpriority", F.col("item"))
-    out = days.select("o_orderpriority", F.explode(feeds.days(F.col("json"))).alias("d"))
-    return out.groupBy("o_orderpriority", "d.date").agg(F.count("*").alias("days"), r6(F.sum("d.level"), "level_"), r6(F.sum("d.count"), "count_"), F.sum(F.size("d.d.c")).cast("long").alias("names"))
+    days = _documents_of(o.select(F.col("o_orderkey").alias("pos"), item.alias("item"), "o_custkey"), "o_custkey", F.col("item"))
+    out = days.select("o_custkey", F.explode(feeds.days(F.col("json"))).alias("d"))
+    return out.groupBy("o_custkey", "d.date").agg(F.count("*").alias("days"), r6(F.sum("d.level"), "level_"), r6(F.sum("d.count"), "count_"), F.sum(F.size("d.d.c")).cast("long").alias("names"))
 
 
 def feed_graph(spark, sf_dir):
@@ -467,7 +468,7 @@ q as (select cut, count(*) as n, sum(inside / g.m - pow(d / (2e0 * g.m), 2)) as
 select cast(n as bigint) as count, {_R('cut', 'cut')}, {_R('q', 'q')}, cast(n - 1 as bigint) as parted from q order by round(q.q, 12) desc, q.cut limit 1""",
     "cut_line_labels": f"with {_LINE} select node, cast(sum(case when length > 3000 then 1 else 0 end) over (order by i) as bigint) as label from s",
     "notes_links": """with n as (select p_partkey as pos, case when p_partkey % 89 = 0 then p_partkey || '/' || substr(p_brand, 7, 9) || '.qmd' else p_partkey::varchar end as id, p_partkey % 89 = 0 as land, p_partkey % 3 <> 1 and p_partkey % 89 <> 0 as star from part),
-e as (select l_orderkey * 256 + row_number() over w as pos, l_partkey as a, lead(l_partkey) over w as b from lineitem where l_orderkey % 16 = 5 window w as (partition by l_orderkey order by l_linenumber, l_partkey) qualify b is not null),
+e as (select l_orderkey * 256 + row_number() over w as pos, l_partkey as a, lead(l_partkey) over w as b from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey) qualify b is not null),
 k as (select e.pos, a.id as a, b.id as b, a.star as sa, b.star as sb, a.land as la, b.land as lb from e join n a on e.a = a.pos join n b on e.b = b.pos),
 h as (select pos, b as hidden, a as star from k where sa and not sb and not lb union all select pos, a, b from k where sb and not sa and not la),
 o as (select *, min(pos) over (partition by hidden) as met, row_number() over (partition by hidden order by pos) as i, count(*) over (partition by hidden) as c from h),
@@ -502,7 +503,7 @@ select s_suppkey, cast(pos as bigint) as pos, {_R('x', 'x')}, {_R('y', 'y')}, {_
     "wavelet_scales": f"with n as (select count(*) as n, 4 * pi() / (6 + sqrt(38e0)) as p from supplier), s as (select k, p, 2 / p * pow(n / 4e0, k / 23e0) as s from n, (select unnest(range(0, 24)) as k)) select k, {_R('s', 'scale')}, {_R('s * p', 'period')} from s",
     "weekly_entropy": f"""with e as (select cast(floor(date_diff('day', date '2024-01-01', cast(ts as date)) / 7e0) as bigint) as week, event_type from events), w as (select week, event_type, count(*) * 1e0 as w from e group by all), p as (select week, w / sum(w) over (partition by week) as p from w),
 b as (select week, -sum(p * log2(p)) as bits from p group by week), k as (select unnest(range(min(week), max(week) + 1)) as week from e) select k.week, {_R('coalesce(bits, 0e0)', 'bits')} from k left join b on k.week = b.week""",
-    "feed_days": f"""select o_orderpriority, strftime(o_orderdate, '%Y-%m-%d') as date, count(*) as days, {_R('sum(o_orderkey % 5) * 1e0', 'level_')}, {_R('sum(case when o_orderkey % 3 < 2 then o_custkey else 0 end) * 1e0', 'count_')}, cast(sum(case when o_orderkey % 4 = 0 then 1 else 2 end) as bigint) as names from orders where o_orderkey % 5 <> 0 group by 1, 2""",
+    "feed_days": f"""select o_custkey, strftime(o_orderdate, '%Y-%m-%d') as date, count(*) as days, {_R('sum(o_orderkey % 5) * 1e0', 'level_')}, {_R('sum(case when o_orderkey % 3 < 2 then o_custkey else 0 end) * 1e0', 'count_')}, cast(sum(case when o_orderkey % 4 = 0 then 1 else 2 end) as bigint) as names from orders where o_orderkey % 5 <> 0 group by 1, 2""",
     "feed_graph": f"""with s as (select *, s_suppkey % 6 <> 0 as there from supplier), e as (select a.s_nationkey as n, count(*) as c from s a join s b on b.s_suppkey = a.s_suppkey + 25 and a.s_nationkey = b.s_nationkey and a.there and b.there group by 1)
 select cast(s_nationkey as bigint) as nation, cast(count(*) filter (there) as bigint) as nodes, cast(coalesce(any_value(e.c), 0) as bigint) as edges, {_R('coalesce(sum(s_suppkey) filter (there and s_suppkey % 2 = 1), 0) * 1e0', 'weeks')} from s left join e on s_nationkey = e.n group by 1""",
     "shortest_paths": f"""with s as (select s_suppkey as node, s_nationkey as n, coalesce(sum(1e0 + s_suppkey % 4) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding), 0e0) as at from supplier)
