@@ -25,44 +25,89 @@ def candidate_cuts(lengths: DataFrame) -> list[float]:
     return sorted(r[0] * UNDER for r in ranked.where(F.col("index").isin(list(places))).select("length").collect())
 
 
+def merge_tree(nodes: DataFrame, links: DataFrame, levels: int) -> tuple[DataFrame, DataFrame]:
+    """How a graph grows together as links of level 0, 1, .. `levels` - 1 join: merges (level,
+    component, child, weight), the children of each component that a level makes, named by
+    their smallest nodes, and joins (level, links), how many links have both ends in one
+    component from that level on.
+
+    nodes: (node, weight), numbered from 0 without gaps; links: (a, b, level). Links of `levels` or more
+    never join. The range of levels is halved again and again. A half's problem has the
+    components of all levels below as its nodes: a link whose ends meet in the lower half
+    goes there, any other to the upper half between components. So each link is in one
+    problem of a round, all problems of a round are labelled at once, and there are as many
+    rounds as `levels` has binary digits.
+    """
+    size = 1 << max(0, levels - 1).bit_length()
+    n = F.lit(max(1, nodes.count()))
+    v = nodes.select(F.lit(0).cast("long").alias("low"), F.col("node").cast("long").alias("node"), F.col("weight").cast("long").alias("weight"))
+    e = materialise(links.where("a != b").select(F.lit(0).cast("long").alias("low"), "a", "b", F.col("level").cast("long").alias("level")), "tree-links")
+    small = e.limit(graph.ONE_TASK + 1).count() <= graph.ONE_TASK
+    place = lambda c: F.col("low") * n + F.col(c)
+    while True:
+        half = size // 2
+        joint = e.where(F.col("level") < F.col("low") + max(half, 1)).select(place("a").alias("src"), place("b").alias("dst"))
+        label = graph.linked_components(joint, small)
+        top = lambda name, at: label.select(F.col("node").alias(at), (F.col("c") % n).alias(name))
+        grown = v.withColumn("at", place("node")).join(top("top", "_at"), F.col("at") == F.col("_at"), "left").select("low", "node", "weight", F.col("top").isNotNull().alias("moved"), F.coalesce("top", "node").alias("top"))
+        ends = e.withColumns({"_a": place("a"), "_b": place("b")}).join(top("ta", "_ta"), F.col("_a") == F.col("_ta"), "left").join(top("tb", "_tb"), F.col("_b") == F.col("_tb"), "left")
+        ends = ends.select("low", "a", "b", "level", F.coalesce("ta", "a").alias("ta"), F.coalesce("tb", "b").alias("tb"))
+        met = F.col("ta") == F.col("tb")
+        if size == 1:
+            merges = grown.where(F.col("moved") & (F.col("low") < levels)).select(F.col("low").alias("level"), F.col("top").alias("component"), F.col("node").alias("child"), "weight")
+            return merges, ends.where(met & (F.col("low") < levels)).groupBy(F.col("low").alias("level")).agg(F.count("*").alias("links"))
+        up = F.col("low") + half
+        e = materialise(ends.select(F.when(met, F.col("low")).otherwise(up).alias("low"), F.when(met, F.col("a")).otherwise(F.col("ta")).alias("a"), F.when(met, F.col("b")).otherwise(F.col("tb")).alias("b"), "level"), "tree-links")
+        # Nodes that the lower half leaves alone make no components there.
+        above = grown.groupBy("low", "top").agg(F.sum("weight").alias("weight")).select(up.alias("low"), F.col("top").alias("node"), "weight")
+        v = materialise(grown.where("moved").select("low", "node", "weight").union(above), "tree-nodes")
+        size = half
+
+
 def cut_communities(nodes: DataFrame, edges: DataFrame, lengths: DataFrame, cut: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels (node, label) and one row (count, cut, q, parted): links longer than a cut are taken
     away, and components of the cut with the best modularity (the smallest of equals, to twelve
     places) are the communities, numbered from 0 in order of their smallest node. `parted`
     is how many the cut made beyond the graph's own components.
 
-    All cuts are tried at once: components of one graph in which each cut has its own copy
-    of the nodes, and modularities grouped by cut. lengths: (edge_id, length).
+    The cuts are levels of one merge tree: what a level joins changes how many components
+    there are, the squares of their degrees and the links inside them, and running sums over at most 65
+    levels are the modularities. lengths: (edge_id, length).
     """
     spark = edges.sparkSession
     cuts = [cut] if cut is not None else candidate_cuts(lengths)
-    table = spark.createDataFrame([(k, float(c)) for k, c in enumerate(cuts)], "k long, cut double")
-    at = materialise(order.numbered(nodes.select("node").distinct(), ["node"]), "cut-nodes")
-    n = at.count()
+    at = materialise(order.numbered(nodes.where("node is not null").select("node").distinct(), ["node"]), "cut-nodes")
     links = edges.join(lengths, "edge_id").join(at.select(F.col("node").alias("src"), F.col("index").alias("a")), "src").join(at.select(F.col("node").alias("dst"), F.col("index").alias("b")), "dst")
-    links = materialise(links.select("edge_id", "a", "b", "length"), "cut-links")
-    place = lambda c: (F.col("k") * n + F.col(c)).alias(c)
-    kept = links.join(F.broadcast(table), F.col("length") <= F.col("cut")).select("k", place("a"), place("b"))
-    every = at.select("index").crossJoin(F.broadcast(table.select("k"))).select((F.col("k") * n + F.col("index")).alias("node"))
-    comp = graph.components(every, kept.select(F.lit(0).alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst")))
-    comp = materialise(comp.select(F.expr(f"node div {max(n, 1)}").alias("k"), (F.col("node") % max(n, 1)).alias("index"), "component"), "cut-labels")
-    whole = links.where("a != b").select("a", "b")
-    ends = whole.crossJoin(F.broadcast(table.select("k"))).join(comp.select("k", F.col("index").alias("a"), F.col("component").alias("ca")), ["k", "a"]).join(comp.select("k", F.col("index").alias("b"), F.col("component").alias("cb")), ["k", "b"])
-    inside = F.when(F.col("ca") == F.col("cb"), 1).otherwise(0)
-    sides = ends.select("k", F.explode(F.array(F.struct(F.col("ca").alias("c"), inside.alias("i")), F.struct(F.col("cb").alias("c"), inside.alias("i")))).alias("e"))
-    degree = sides.groupBy("k", "e.c").agg(F.count("*").alias("d"), (F.sum("e.i") / 2).alias("i"))
-    m = F.lit(float(max(1, whole.count())))
-    q = degree.groupBy("k").agg(F.sum(F.col("i") / m - F.pow(F.col("d") / (2 * m), F.lit(2))).alias("q"))
-    count = comp.groupBy("k").agg(F.countDistinct("component").alias("count"))
-    best = table.join(count, "k").join(q, "k", "left").select("k", "cut", "count", F.coalesce("q", F.lit(0.0)).alias("q"))
-    best = best.orderBy(F.round("q", 12).desc(), "cut").limit(1).first()
-    own = graph.components(nodes, edges).select("component").distinct().count()
+    level = F.coalesce(F.array_min(F.array(*[F.when(F.col("length") <= F.lit(float(c)), F.lit(k)) for k, c in enumerate(cuts)])), F.lit(len(cuts)))
+    links = materialise(links.select("a", "b", level.cast("long").alias("level")), "cut-links")
+    both = links.where("a != b").select(F.explode(F.array("a", "b")).alias("index")).groupBy("index").agg(F.count("*").alias("degree"))
+    weighed = materialise(at.join(both, "index", "left").select(F.col("index").alias("node"), F.coalesce("degree", F.lit(0)).alias("weight")), "cut-degrees")
+    n, start = weighed.agg(F.count("*"), F.coalesce(F.sum(F.col("weight").cast("double") * F.col("weight")), F.lit(0.0))).first()
+    m = links.where("a != b").count()
+    # One more level holds all longer links: the graph's own components.
+    merges, joins = merge_tree(weighed, links, len(cuts) + 1)
+    w = F.col("weight").cast("double")
+    groups = merges.groupBy("level", "component").agg((F.count("*") - 1).alias("fewer"), (F.pow(F.sum(w), 2) - F.sum(w * w)).alias("more"))
+    change = {r.level: r for r in groups.groupBy("level").agg(F.sum("fewer").alias("fewer"), F.sum("more").alias("more")).collect()}
+    inner = {r.level: r.links for r in joins.collect()}
+    count, squares, inside, best = n, start, 0, None
+    for k in range(len(cuts) + 1):
+        count -= change[k].fewer if k in change else 0
+        if k == len(cuts):
+            own = count
+            break
+        squares += change[k].more if k in change else 0
+        inside += inner.get(k, 0)
+        q = inside / m - squares / (4.0 * m * m) if m else 0.0
+        if n and (best is None or round(q, 12) > round(best[2], 12)):
+            best = (count, cuts[k], q, k)
     if best is None:
-        return nodes.select("node", F.lit(0).cast("long").alias("label")), spark.createDataFrame([(1, cuts[0], 0.0, 0)], "count long, cut double, q double, parted long")
-    mine = comp.where(F.col("k") == best["k"])
+        return nodes.select("node", F.lit(0).cast("long").alias("label")), spark.createDataFrame([(1, float(cuts[0]), 0.0, 0)], "count long, cut double, q double, parted long")
+    kept = links.where(F.col("level") <= best[3]).select(F.lit(0).alias("edge_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    mine = materialise(graph.components(at.select(F.col("index").alias("node")), kept).withColumnRenamed("node", "index"), "cut-labels")
     label = order.numbered(mine.select("component").distinct(), ["component"], "label")
     labels = mine.join(label, "component").join(at, "index").select("node", "label")
-    return labels, spark.createDataFrame([(best["count"], best["cut"], best["q"], max(0, best["count"] - own))], "count long, cut double, q double, parted long")
+    return labels, spark.createDataFrame([(best[0], float(best[1]), float(best[2]), max(0, best[0] - own))], "count long, cut double, q double, parted long")
 
 
 def is_landing(note_id: Column, course: Column) -> Column:

@@ -81,32 +81,39 @@ def _labels_in_a_task(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["node", "c"])
 
 
+def linked_components(links: DataFrame, in_one_task: bool) -> DataFrame:
+    """(node, c): smallest node of its component for every end of links (src, dst), written. One
+    task labels all links, which are whole numbers of one type then, or rounds of minimum labels with
+    pointer jumping do, each written to shared storage, until a round changes no row."""
+    kind = dict(links.dtypes)["src"]
+    if in_one_task:
+        ship(links.sparkSession)
+        return materialise(links.coalesce(1).mapInArrow(_labels_in_a_task, f"node {kind}, c {kind}"), "labels")
+    links = materialise(symmetric(links).distinct(), "links")
+    now = materialise(links.select(F.col("src").alias("node"), F.col("src").alias("c")).distinct(), "labels")
+    while True:
+        near = links.join(now.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("m"))
+        step = now.select("node", "c").join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
+        jump = step.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
+        now = materialise(step.join(jump, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c"), (F.col("_c") != F.col("was")).alias("moved")), "labels")
+        if now.where("moved").isEmpty():
+            return now.select("node", "c")
+
+
 def components(nodes: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): smallest node of its component. Nodes are of any ordered type; null
     nodes are left out, and so are links that miss a node.
 
-    Up to `one_task` links are labelled in one task, if nodes are whole numbers; more by
-    rounds of minimum labels with pointer jumping, each written to shared storage, until a
-    round changes no row.
+    Up to `one_task` links are labelled in one task, if nodes are whole numbers; more by rounds over
+    all links.
     """
     nodes = nodes.where("node is not null").select("node")
     links = edges.where("src != dst").select("src", "dst")
     links = links.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    links = materialise(links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "links")
+    links = materialise(links.select("src", "dst"), "links")
     kind = dict(nodes.dtypes)["node"]
-    if kind in ("int", "bigint") and dict(links.dtypes)["src"] == kind and links.limit(one_task + 1).count() <= one_task:
-        ship(links.sparkSession)
-        found = links.coalesce(1).mapInArrow(_labels_in_a_task, f"node {kind}, c {kind}")
-        return materialise(nodes.join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component")), "labels")
-    links = links.union(links.select("dst", "src"))
-    now = materialise(nodes.select("node", F.col("node").alias("c")), "labels")
-    while True:
-        near = links.join(now.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("c").alias("m"))
-        step = now.select("node", "c").join(near, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
-        jump = step.select(F.col("node").alias("_n"), F.col("c").alias("_c"))
-        now = materialise(step.join(jump, F.col("c") == F.col("_n")).select("node", F.col("_c").alias("c"), (F.col("_c") != F.col("was")).alias("moved")), "labels")
-        if now.where("moved").isEmpty():
-            return now.select("node", F.col("c").alias("component"))
+    small = kind in ("int", "bigint") and {t for _, t in links.dtypes} == {kind} and links.limit(one_task + 1).count() <= one_task
+    return materialise(nodes.join(linked_components(links, small), "node", "left").select("node", F.coalesce("c", "node").alias("component")), "labels")
 
 
 def numbered_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

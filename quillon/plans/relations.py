@@ -18,7 +18,7 @@ def event_before(spark, sf_dir):
     e = _events(spark, sf_dir)
     errors = e.where("event_type = 'error'").select("user_id", F.col("ts").alias("error_ts"), F.col("event_id").alias("error_id"))
     met = joins.asof_join(e, errors, ["user_id"], "ts", "error_ts", exact=False)
-    gap = (F.unix_micros("ts") - F.unix_micros("error_ts")) / 1e6
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("error_ts").cast("timestamp"))) / 1e6
     return met.select("event_id", F.coalesce("error_id", F.lit(-1).cast("long")).alias("error_id"), r6(F.coalesce(gap, F.lit(-1.0)), "gap"))
 
 
