@@ -1,4 +1,4 @@
-"""Graphs with link lengths: shortest paths, transport between walks, curvature, flow, heat."""
+"""Graphs with link lengths: shortest paths, curvature, flow, heat."""
 
 from __future__ import annotations
 
@@ -6,136 +6,182 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import graph
-from quillon.session import materialise, ship
+from quillon.operators import graph, near, transport
+from quillon.session import materialise, partitions, ship
 
 EPS = 1e-12
+#: Most links of a graph that is broadcast (both directions in arrays, some 50 MB).
+DENSE = 1 << 20
 #: Default times of the heat kernel and the largest component decomposed.
 HKS_TIMES, HKS_MAX_DENSE = (1.0, 10.0), 600
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst, length): the shortest of parallel links, in both directions, without loops."""
+    e = edges.where("src != dst")
+    return e.select("src", "dst", "length").union(e.select("dst", "src", "length")).groupBy("src", "dst").agg(F.min("length").alias("length"))
+
+
+def _is_small(edges: DataFrame, dense: int) -> bool:
+    return edges.limit(dense + 1).count() <= dense
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, dense: int = DENSE) -> DataFrame:
     """(src, dst, dist) of reachable pairs over edges (edge_id, src, dst, length).
 
-    Rounds relax only the pairs that the round before made shorter. Lengths must be
-    positive; pairs apart have no row.
+    Lengths must be positive; pairs apart have no row; null nodes are left out. Up to `dense` links of whole
+    numbers, the links are broadcast and sources are searched in tasks; beyond, see `paths_within`.
     """
-    e = edges.where("src != dst")
-    both = e.select("src", "dst", "length").union(e.select("dst", "src", "length")).groupBy("src", "dst").agg(F.min("length").alias("length"))
-    links = materialise(both.select(F.col("src").alias("_mid"), F.col("dst").alias("_to"), "length"), "links")
-    best = front = materialise(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("dist")), "paths")
+    spark = edges.sparkSession
+    kind = dict(nodes.dtypes)["node"]
+    nodes = nodes.where("node is not null").select("node")
+    links = materialise(edges.where("src != dst").select(F.lit(0).alias("edge_id"), F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.col("length").cast("double").alias("length")), "links")
+    if kind not in ("int", "bigint") or not _is_small(links, dense):
+        return paths_within(nodes, links, None)
+    ship(spark)
+    known = spark.sparkContext.broadcast(near.net(links))
+
+    def run(batches):
+        net = known.value
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                i = int(net.at(np.int64(name)))
+                found = net.search(i) if i < len(net.names) and net.names[i] == name else None
+                at, far = (net.names[list(found)], list(found.values())) if found else ([name], [0.0])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(far), pa.int64()), pa.array(at, pa.int64()), pa.array(far, pa.float64())], names=["src", "dst", "dist"])
+
+    found = nodes.repartition(partitions(spark)).select(F.col("node").cast("long").alias("node")).mapInArrow(run, "src long, dst long, dist double")
+    return found.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "dist")
+
+
+def paths_within(nodes: DataFrame, edges: DataFrame, radius: DataFrame | None) -> DataFrame:
+    """(src, dst, dist) of pairs no farther than their source's radius (node, radius; None: any).
+
+    Rounds relax only the pairs that the round before made shorter, and only within the
+    radius, so what a round writes are the pairs near their sources.
+    """
+    links = materialise(_both_ways(edges).select(F.col("src").alias("_mid"), F.col("dst").alias("_to"), "length"), "links")
+    start = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("dist"))
+    if radius is None:
+        start = start.withColumn("radius", F.lit(float("inf")))
+    else:
+        start = start.join(radius.select(F.col("node").alias("src"), "radius"), "src")
+    best = front = materialise(start, "paths")
     while not front.isEmpty():
-        near = front.withColumnRenamed("dst", "_mid").join(links, "_mid").groupBy("src", F.col("_to").alias("dst")).agg(F.min(F.col("dist") + F.col("length")).alias("_new"))
-        both = best.join(near, ["src", "dst"], "full").select("src", "dst", F.least("dist", "_new").alias("dist"), F.coalesce(F.col("_new") < F.col("dist"), F.col("dist").isNull()).alias("_less"))
+        step = front.withColumnRenamed("dst", "_mid").join(links, "_mid").withColumn("_new", F.col("dist") + F.col("length")).where("_new <= radius")
+        step = step.groupBy("src", F.col("_to").alias("dst")).agg(F.min("_new").alias("_new"), F.min("radius").alias("_radius"))
+        both = best.join(step, ["src", "dst"], "full").select("src", "dst", F.least("dist", "_new").alias("dist"), F.coalesce("radius", "_radius").alias("radius"), F.coalesce(F.col("_new") < F.col("dist"), F.col("dist").isNull()).alias("_less"))
         both = materialise(both, "paths")
         best, front = both.drop("_less"), both.where("_less").drop("_less")
-    return best
+    return best.drop("radius")
 
 
-def transport_cost(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> float:
-    """Least cost of moving masses a to masses b of the same sum."""
-    return transport(a, b, cost)[0]
+def _reach(edges: DataFrame) -> DataFrame:
+    """(node, radius): how far the other end's neighbours can be from a node next to a link's end."""
+    links = materialise(_both_ways(edges), "reach")
+    most = links.groupBy(F.col("src").alias("dst")).agg(F.max("length").alias("_most"))
+    two = materialise(links.join(most, "dst").groupBy("src").agg(F.max(F.col("length") + F.col("_most")).alias("two")), "reach")
+    three = links.join(two.select(F.col("src").alias("dst"), F.col("two").alias("_two")), "dst").groupBy("src").agg(F.max(F.col("length") + F.col("_two")).alias("three"))
+    return two.join(three, "src").select(F.col("src").alias("node"), (F.greatest("two", "three") * (1 + 1e-9)).alias("radius"))
 
 
-def transport(a: np.ndarray, b: np.ndarray, cost: np.ndarray) -> tuple[float, int, int]:
-    """Least cost of moving masses a to masses b of the same sum, and the work done: paths along
-    which mass was sent, and rounds of relaxing that found them.
+def _solved(edge_id: pa.Array, problems) -> pa.RecordBatch:
+    """Transports of a batch of links: None where both walks are equal."""
+    done = [None if p is None else transport.Plan(*p) for p in problems]
+    cols = [pa.array([None if d is None else f(d) for d in done], t) for f, t in ((lambda d: d.total, pa.float64()), (lambda d: d.routes, pa.int64()), (lambda d: d.rises, pa.int64()))]
+    return pa.RecordBatch.from_arrays([edge_id, *cols], names=["edge_id", "cost", "routes", "rises"])
 
-    Mass is sent along cheapest residual paths, found for all senders at once by relaxing
-    the whole cost matrix, until no mass is left.
-    """
-    routes = rounds = 0
-    left, need = np.array(a, float), np.array(b, float)
-    flow = np.zeros(cost.shape)
-    tiny = EPS * max(1.0, left.sum())
-    total = 0.0
-    while (left > tiny).any() and (need > tiny).any():
-        row, back = np.where(left > tiny, 0.0, np.inf), np.full(len(left), -1)
-        col, via = np.full(len(need), np.inf), np.full(len(need), -1)
-        while True:
-            rounds += 1
-            there = row[:, None] + cost
-            by = there.argmin(axis=0)
-            new = there[by, np.arange(len(col))]
-            better = new < col - EPS
-            if not better.any():
-                break
-            col[better], via[better] = new[better], by[better]
-            home = np.where(flow > tiny, col[None, :] - cost, np.inf)
-            by = home.argmin(axis=1)
-            new = home[np.arange(len(row)), by]
-            better = new < row - EPS
-            row[better], back[better] = new[better], by[better]
-        at = int(np.where(need > tiny, col, np.inf).argmin())
-        path, q, amount = [], at, need[at]
-        while True:
-            p = via[q]
-            path.append((p, q, 1.0))
-            if back[p] < 0:
-                amount = min(amount, left[p])
-                break
-            amount = min(amount, flow[p, back[p]])
-            path.append((p, back[p], -1.0))
-            q = back[p]
-        routes += 1
-        left[p] -= amount
-        need[at] -= amount
-        for i, j, sign in path:
-            flow[i, j] += sign * amount
-            total += sign * amount * cost[i, j]
-    return float(total), routes, rounds
-
-
-def _transports(nodes: DataFrame, edges: DataFrame, alpha: float, lengths: bool) -> tuple[DataFrame, DataFrame]:
+
+def _transports(nodes: DataFrame, edges: DataFrame, alpha: float, lengths: bool, dense: int) -> tuple[DataFrame, DataFrame]:
     """Links that are no loops (edge_id, ..., _len), and for those whose ends' walks differ
-    (edge_id, cost, routes, rounds)."""
-    ship(edges.sparkSession)
-    e = edges.where("src != dst").withColumn("_len", F.col("length") if lengths else F.lit(1.0)).select("edge_id", "src", "dst", "_len")
+    (edge_id, cost, routes, rises).
+
+    Up to `dense` links they are broadcast, and tasks take links by ranges of their source, so
+    that a task's searches serve its next links. Beyond, walks and distances meet in joins
+    and each link's places come to it as arrays. Either way many links are solved in one
+    Arrow batch.
+    """
+    spark = edges.sparkSession
+    ship(spark)
+    e = edges.where("src != dst").withColumn("_len", F.col("length").cast("double") if lengths else F.lit(1.0)).select("edge_id", "src", "dst", "_len")
+    kind = dict(edges.dtypes)["edge_id"]
+    schema = f"edge_id {kind}, cost double, routes long, rises long"
+    whole = dict(edges.dtypes)["src"] in ("int", "bigint") and dict(edges.dtypes)["dst"] in ("int", "bigint")
+    e = materialise(e, "transport")
+    if not whole or not _is_small(e, dense):
+        return e, _transports_by_joins(nodes, edges, e, alpha, lengths).mapInArrow(_solve_arrays, schema)
+    known = spark.sparkContext.broadcast(near.net(e.select("src", "dst", F.col("_len").alias("length"))))
+
+    def problem(net, u, v):
+        (a, x), (b, y) = net.walk(u, alpha), net.walk(v, alpha)
+        places, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        m = np.bincount(at, np.concatenate([x, -y]))
+        give, take = places[m > EPS], places[m < -EPS]
+        if not len(give) or not len(take):
+            return None
+        return m[m > EPS], -m[m < -EPS], net.lengths(give, take) if lengths else net.hops(give, take)
+
+    def run(batches):
+        net = known.value
+        for batch in batches:
+            u, v = (net.at(batch.column(c).to_numpy()) for c in ("src", "dst"))
+            yield _solved(batch.column("edge_id"), (problem(net, p, q) for p, q in zip(u.tolist(), v.tolist(), strict=True)))
+
+    dealt = e.repartitionByRange(4 * partitions(spark), "src", "dst").sortWithinPartitions("src", "dst").select("edge_id", "src", "dst")
+    return e, dealt.mapInArrow(run, schema).where("cost is not null")
+
+
+def _transports_by_joins(nodes: DataFrame, edges: DataFrame, e: DataFrame, alpha: float, lengths: bool) -> DataFrame:
+    """(edge_id, places): for each link whose walks differ, its pairs of places with the mass that
+    one gives, the mass that the other takes and the distance."""
     d = graph.degree(nodes, edges)
     step = graph.symmetric(edges).join(d.withColumnRenamed("node", "src"), "src").groupBy("src", "dst").agg(F.sum((1 - alpha) / F.col("degree")).alias("mass"))
     walk = materialise(step.union(nodes.select("node", "node", F.lit(float(alpha)))).groupBy(F.col("src").alias("_end"), F.col("dst").alias("at")).agg(F.sum("mass").alias("mass")), "walks")
     ends = e.select("edge_id", F.col("src").alias("_end"), F.lit(1.0).alias("_sign")).union(e.select("edge_id", "dst", F.lit(-1.0)))
     surplus = materialise(ends.join(walk, "_end").groupBy("edge_id", "at").agg(F.sum(F.col("_sign") * F.col("mass")).alias("m")).where(F.abs("m") > EPS), "surplus")
-    far = shortest_paths(nodes, edges) if lengths else graph.hop_distances(nodes, edges, 2).withColumnRenamed("hops", "dist")
+    far = paths_within(nodes, edges, _reach(edges)) if lengths else graph.hop_distances(nodes, edges, 2).withColumnRenamed("hops", "dist")
     give = surplus.where("m > 0").select("edge_id", F.col("at").alias("src"), F.col("m").alias("give"))
     take = surplus.where("m < 0").select("edge_id", F.col("at").alias("dst"), (-F.col("m")).alias("take"))
     # Without lengths no two places of a link are over three hops apart.
     pairs = give.join(take, "edge_id").join(far, ["src", "dst"], "left").select("edge_id", "src", "dst", "give", "take", F.coalesce(F.col("dist").cast("double"), F.lit(3.0)).alias("dist"))
+    return pairs.groupBy("edge_id").agg(*[F.sort_array(F.collect_list(F.struct("src", "dst", *[c for c in ("give", "take", "dist")]))).alias("l")]).select("edge_id", *[F.col(f"l.{c}").alias(c) for c in ("src", "dst", "give", "take", "dist")])
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, rows = pd.factorize(pdf["src"], sort=True)
-        q, cols = pd.factorize(pdf["dst"], sort=True)
-        a, b, c = np.zeros(len(rows)), np.zeros(len(cols)), np.zeros((len(rows), len(cols)))
-        a[p], b[q], c[p, q] = pdf["give"], pdf["take"], pdf["dist"]
-        cost, routes, rounds = transport(a, b, c)
-        return pd.DataFrame({"edge_id": [pdf["edge_id"].iloc[0]], "cost": [cost], "routes": [routes], "rounds": [rounds]})
 
-    kind = dict(edges.dtypes)["edge_id"]
-    return e, pairs.groupBy("edge_id").applyInPandas(solve, f"edge_id {kind}, cost double, routes long, rounds long")
+def _solve_arrays(batches):
+    for batch in batches:
+        rows = (tuple(np.array(batch.column(c)[k].as_py()) for c in ("src", "dst", "give", "take", "dist")) for k in range(batch.num_rows))
+        problems = []
+        for src, dst, give, take, dist in rows:
+            (_, p), (_, q) = np.unique(src, return_inverse=True), np.unique(dst, return_inverse=True)
+            a, b, c = np.zeros(p.max() + 1), np.zeros(q.max() + 1), np.zeros((p.max() + 1, q.max() + 1))
+            a[p], b[q], c[p, q] = give, take, dist
+            problems.append((a, b, c))
+        yield _solved(batch.column("edge_id"), problems)
 
 
-def curvature(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, lengths: bool = False) -> DataFrame:
+def curvature(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, lengths: bool = False, dense: int = DENSE) -> DataFrame:
     """(edge_id, kappa): one less the transport cost of the lazy walks at a link's two ends.
 
     A walk keeps `alpha` and spreads the rest evenly over its neighbours, parallel links
     counted. With `lengths` costs are shortest paths over the column length and kappa is per
-    length. A self-loop has 0, equal walks 1. Mass that both walks share stays, by one
-    aggregation; transport is solved in one group for each link.
+    length. A self-loop has 0, equal walks 1. Mass that both walks share stays; so the
+    distances that count are near the link, and nothing asks for those of all pairs.
     """
-    e, cost = _transports(nodes, edges, alpha, lengths)
+    e, cost = _transports(nodes, edges, alpha, lengths, dense)
     known = e.join(cost, "edge_id", "left").select("edge_id", (1 - F.coalesce("cost", F.lit(0.0)) / F.col("_len")).alias("kappa"))
     return known.union(edges.where("src = dst").select("edge_id", F.lit(0.0)))
 
 
-def transport_tally(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5) -> DataFrame:
+def transport_tally(nodes: DataFrame, edges: DataFrame, alpha: float = 0.5, dense: int = DENSE) -> DataFrame:
     """(problems, routes, rises): transports solved for a graph's curvature, paths along which they
-    sent mass, and rounds of relaxing, in all."""
-    _, cost = _transports(nodes, edges, alpha, False)
+    sent mass, and times that their prices rose, in all."""
+    _, cost = _transports(nodes, edges, alpha, False, dense)
     zero = F.lit(0).cast("long")
-    return cost.agg(F.count("*").alias("problems"), F.coalesce(F.sum("routes"), zero).alias("routes"), F.coalesce(F.sum("rounds"), zero).alias("rises"))
+    return cost.agg(F.count("*").alias("problems"), F.coalesce(F.sum("routes"), zero).alias("routes"), F.coalesce(F.sum("rises"), zero).alias("rises"))
 
 
 #: Fixed values of the flow: laziness, share of curvature taken in a step, shortest and longest link.

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import draws
-from quillon.operators import metric
+from quillon.operators import communities, metric
 from quillon.plans.core import r6
 
 
@@ -64,17 +64,100 @@ def ring_transports(spark, sf_dir):
     return metric.transport_tally(*rings(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (lcg_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports)}
+def cycles(spark, sf_dir):
+    """Suppliers of a nation in a cycle by key; each with a link as long as balances differ, and one."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("node"), "s_nationkey", "s_acctbal")
+    w = Window.partitionBy("s_nationkey").orderBy("node")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    to = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    e = s.select(F.col("node").alias("edge_id"), F.col("node").alias("src"), to("node").alias("dst"), (1 + F.abs(to("s_acctbal") - F.col("s_acctbal"))).alias("length"))
+    return s.select("node"), e
+
+
+def cycle_curvature(spark, sf_dir):
+    """Curvature of the links of the cycles of suppliers."""
+    nodes, e = cycles(spark, sf_dir)
+    return metric.curvature(nodes, e.drop("length")).select("edge_id", r6(F.col("kappa"), "kappa"))
+
+
+def cycle_heat(spark, sf_dir):
+    """Heat-kernel signatures of the suppliers in their cycles."""
+    nodes, e = cycles(spark, sf_dir)
+    return metric.heat_kernel_signature(nodes, e).select("node", "t", r6(F.col("hks"), "hks"))
+
+
+def cycle_flow(spark, sf_dir):
+    """Three steps of the flow on the cycles of suppliers."""
+    nodes, e = cycles(spark, sf_dir)
+    return metric.ricci_flow(nodes, e.drop("length"), 3).select("edge_id", r6(F.col("length"), "length"), r6(F.col("kappa"), "kappa"))
+
+
+def cut_cycles(spark, sf_dir):
+    """Communities of the cycles of suppliers: the best cut of their lengths."""
+    nodes, e = cycles(spark, sf_dir)
+    _, one = communities.cut_communities(nodes, e.drop("length"), e.select("edge_id", "length"))
+    return one.select("count", r6(F.col("cut"), "cut"), r6(F.col("q"), "q"), "parted")
+
+
+def parts(spark, sf_dir):
+    """All parts, each linked with the next dearer one of its brand and of its size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("node"), "p_brand", "p_size", "p_retailprice")
+    links = None
+    for k, by in enumerate(("p_brand", "p_size")):
+        w = Window.partitionBy(by).orderBy("p_retailprice", "node")
+        e = p.select((F.col("node") * 2 + k).alias("edge_id"), F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).where("dst is not null")
+        links = e if links is None else links.union(e)
+    return p.select("node"), links
+
+
+def part_curvature(spark, sf_dir):
+    """Curvature of all links of the parts."""
+    return metric.curvature(*parts(spark, sf_dir)).select("edge_id", r6(F.col("kappa"), "kappa"))
+
+
+def part_flow(spark, sf_dir):
+    """Three steps of the flow on the links of the parts."""
+    return metric.ricci_flow(*parts(spark, sf_dir), 3).select("edge_id", r6(F.col("length"), "length"), r6(F.col("kappa"), "kappa"))
+
+
+def part_communities(spark, sf_dir):
+    """The best cut of the parts' links after two steps of the flow."""
+    nodes, e = parts(spark, sf_dir)
+    flow = metric.ricci_flow(nodes, e, 2)
+    _, one = communities.cut_communities(nodes, e, flow.select("edge_id", "length"))
+    return one.select("count", r6(F.col("cut"), "cut"), r6(F.col("q"), "q"), "parted")
+
+
+QUERIES = {f.__name__: f for f in (lcg_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
 
 _LCG = "c_custkey"
 for _ in range(5):
     _LCG = f"(({_LCG})::hugeint * 1664525 + 1013904223) % 4294967296"
+#: Suppliers in cycles of n with their places i; a link's curvature follows from its cycle's size.
+_CYCLES = """y as (select s_suppkey as node, s_nationkey as r, row_number() over w - 1 as i, count(*) over (partition by s_nationkey) as n,
+  1 + abs(coalesce(lead(s_acctbal) over w, first_value(s_acctbal) over w) - s_acctbal) as length from supplier window w as (partition by s_nationkey order by s_suppkey)),
+k as (select *, case when n = 1 then 0e0 when n = 2 then 1e0 when n < 6 then (6 - n) / 4e0 else 0e0 end as kappa from y)"""
 _D = "d as (select n_regionkey as r, count(*) as d from nation group by 1)"
 ORACLES = {
     "lcg_draws": f"select c_custkey, round(({_LCG})::double / 4294967296, 6) + 0e0 as draw from customer",
     "magnitudes": "select p_partkey, round(-2.5 * log10(greatest(p_retailprice, 1e-12) / max(p_retailprice) over ()), 6) + 0e0 as magnitude from part",
     # In a tree a link's curvature is the sum of its ends' inverse degrees less one, here 1/1 + 1/d - 1.
     "tree_curvature": f"with {_D} select cast(n_nationkey as bigint) as edge_id, round(1e0 / d, 6) + 0e0 as kappa from nation join d on n_regionkey = r",
+    "cycle_curvature": f"with {_CYCLES} select node as edge_id, round(k.kappa, 6) + 0e0 as kappa from k",
+    # A cycle has the eigenvalues 1 - cos(2 pi j / n), a node without links 1; of parallel links one counts in the matrix: 1/2 and 3/2.
+    "cycle_heat": f"""with {_CYCLES}, t as (select unnest([1e0, 10e0]) as t)
+select node, t, round(case when n = 1 then exp(-t) else (exp(-t / 2) + exp(-3 * t / 2)) / 2 end, 6) + 0e0 as hks from k, t where n < 3
+union all select node, t, round(sum(exp(-t * (1 - cos(2 * pi() * j / n)))) / any_value(n), 6) + 0e0 from k, t, (select unnest(range(0, 100000)) as j) where j < n and n > 2 group by 1, 2""",
+    "cycle_flow": f"with {_CYCLES} select node as edge_id, round(pow(1 - k.kappa / 2, 3) / avg(pow(1 - k.kappa / 2, 3)) over (), 6) + 0e0 as length, round(k.kappa, 6) + 0e0 as kappa from k",
+    "cut_cycles": f"""with {_CYCLES}, a as (select length as l, row_number() over (order by length) - 1 as k, count(*) over () as n from (select distinct length from y where length > (select avg(length) from y))),
+cuts as (select distinct l * (1 - 1e-9) as cut from a where n <= 64 or k in (select i * (n - 1) // 63 from (select unnest(range(0, 64)) as i))),
+c as (select cut, node, r, i, n, sum(case when length > cut then 1 else 0 end) over (partition by cut, r order by i) - case when length > cut then 1 else 0 end as c, sum(case when length > cut then 1 else 0 end) over (partition by cut, r) as all_ from y, cuts),
+lab as (select *, case when all_ > 0 then c % all_ else 0 end as label from c),
+ins as (select a.cut, a.r, a.label, a.n, a.label = b.label and a.n > 1 as inside from lab a join lab b on a.cut = b.cut and a.r = b.r and b.i = (a.i + 1) % a.n),
+m as (select sum(case when n > 1 then 1 else 0 end) * 1e0 as m, count(distinct r) as rings from y),
+q as (select cut, r, label, sum(case when n > 1 then 2 else 0 end) as d, sum(case when inside then 1 else 0 end) as inside from ins group by 1, 2, 3),
+s as (select cut, count(*) as count, sum(inside / m - pow(d / (2 * m), 2)) as q, any_value(rings) as rings from q, m group by cut)
+select cast(count as bigint) as count, round(s.cut, 6) + 0e0 as cut, round(s.q, 6) + 0e0 as q, cast(count - rings as bigint) as parted from s order by round(s.q, 12) desc, s.cut limit 1""",
     # Stars have the eigenvalues 0, 1 and 2.
     "tree_heat": f"""with {_D}, t as (select unnest([1e0, 10e0]) as t)
 select cast(n_nationkey as bigint) as node, t, round((1 + exp(-2 * t)) / (2 * d) + (d - 1e0) / d * exp(-t), 6) + 0e0 as hks from nation join d on n_regionkey = r, t

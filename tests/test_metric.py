@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import draws
-from quillon.operators import metric
+from quillon.operators import metric, transport
 
 NODES, EDGES = "node long", "edge_id long, src long, dst long"
 
@@ -30,7 +30,7 @@ def test_transport_equals_the_best_assignment():
     for n in (1, 2, 4, 5):
         cost = rng.integers(0, 4, (n, n)) + rng.random((n, n)) * (n % 2)
         best = min(sum(cost[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n))) / n
-        assert metric.transport_cost(np.full(n, 1 / n), np.full(n, 1 / n), cost) == pytest.approx(best, abs=1e-12)
+        assert transport.transport_cost(np.full(n, 1 / n), np.full(n, 1 / n), cost) == pytest.approx(best, abs=1e-12)
 
 
 def test_two_cliques_and_a_bridge(spark):
@@ -148,13 +148,94 @@ def test_tally_and_one_step_of_the_flow(spark):
     pairs = [*itertools.combinations(range(4), 2), (3, 4), (4, 5)]
     nodes, edges = graph(spark, 6, pairs)
     problems, routes, rises = metric.transport_tally(nodes, edges).first()
-    assert 0 < problems <= len(pairs) and routes >= problems and rises >= routes
+    assert 0 < problems <= len(pairs) and problems <= routes and rises <= 2 * len(pairs)
     one = metric.ricci_flow_step(nodes, edges.withColumn("length", F.lit(1.0))).orderBy("edge_id").collect()
     kappa = brute_curvature(6, pairs)
     raw = [min(16, max(0.1, 1 - 0.5 * kappa[k])) for k in range(len(pairs))]
     assert [r.length for r in one] == pytest.approx([x / np.mean(raw) for x in raw])
 
 
+def test_work_stays_within_its_budgets(spark):
+    """Some 190 nodes and 1,300 links: at most one transport, two rises and 32 routes a link; with
+    three hubs of 90 links routes stay near what the places of the walks need."""
+    rng = np.random.default_rng(191)
+    clusters = [(g * 16 + i, g * 16 + j) for g in range(11) for i, j in itertools.combinations(range(16), 2)]
+    bridges = [(int(a), int(b)) for a, b in rng.integers(0, 176, (60, 2)) if a != b]
+    hubs = [(hub, int(k)) for hub in (0, 1, 2) for k in rng.choice(np.arange(3, 176), 90, replace=False)]
+    for pairs, most in ((clusters + bridges, 32), (clusters + bridges + hubs, 60)):
+        nodes, edges = graph(spark, 176, pairs)
+        problems, routes, rises = metric.transport_tally(nodes, edges).first()
+        assert problems <= len(pairs) and rises <= 2 * len(pairs) and routes <= most * len(pairs)
+    assert metric.transport_tally(nodes, edges.limit(0)).first()[:] == (0, 0, 0)
+
+
+def floyd(n, pairs, lengths):
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for (a, b), x in zip(pairs, lengths, strict=True):
+        d[a, b] = d[b, a] = min(d[a, b], x)
+    for k in range(n):
+        d = np.minimum(d, d[:, [k]] + d[[k], :])
+    return d
+
+
+@pytest.mark.parametrize("dense", [metric.DENSE, 3])
+def test_three_steps_of_the_flow_equal_all_pairs(spark, dense, monkeypatch):
+    """Broadcast or joined, the flow on a graph with cycles is that of all shortest paths."""
+    rng = np.random.default_rng(5)
+    n, pairs = 12, [(0, 1), (0, 1), (5, 5)]
+    pairs += [tuple(map(int, p)) for p in rng.integers(0, 12, (20, 2)) if p[0] != p[1]]
+    nodes, edges = graph(spark, n, pairs)
+    now, lengths = edges.withColumn("length", F.lit(1.0)), np.ones(len(pairs))
+    monkeypatch.setattr(metric, "curvature", lambda *a, **k: REAL_CURVATURE(*a, **k, dense=dense))
+    near = [[b if a == i else a for a, b in pairs if a != b and i in (a, b)] for i in range(n)]
+    for _ in range(3):
+        now = metric.ricci_flow_step(nodes, now)
+        d, kappa = floyd(n, pairs, lengths), []
+        for (a, b), x in zip(pairs, lengths, strict=True):
+            if a == b:
+                kappa.append(0.0)
+                continue
+            m = np.zeros((2, n))
+            for k, i in enumerate((a, b)):
+                m[k, i] += 0.5
+                for j in near[i]:
+                    m[k, j] += 0.5 / len(near[i])
+            over = m[0] - m[1]
+            give, take = np.flatnonzero(over > 1e-12), np.flatnonzero(over < -1e-12)
+            kappa.append(1 - (transport.transport_cost(over[give], -over[take], d[np.ix_(give, take)]) if len(give) else 0.0) / x)
+        lengths = np.clip(lengths * (1 - 0.5 * np.array(kappa)), 0.1, 16)
+        lengths /= lengths.mean()
+        got = now.orderBy("edge_id").collect()
+        assert [r.kappa for r in got] == pytest.approx(kappa, abs=1e-9) and [r.length for r in got] == pytest.approx(lengths.tolist(), abs=1e-9)
+
+
+REAL_CURVATURE = metric.curvature
+
+
+def test_curvature_by_joins_equals_that_by_broadcast(spark):
+    rng = np.random.default_rng(12)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 15, (30, 2))]
+    nodes, edges = graph(spark, 15, pairs)
+    a, b = ({r.edge_id: r.kappa for r in metric.curvature(nodes, edges, dense=k).collect()} for k in (0, metric.DENSE))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_paths_by_rounds_and_by_searches(spark):
+    rng = np.random.default_rng(2)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 14, (20, 2))]
+    lengths = rng.uniform(0.1, 3, 20).round(2).tolist()
+    nodes, edges = graph(spark, 14, pairs)
+    edges = edges.join(spark.createDataFrame(list(enumerate(lengths)), "edge_id long, length double"), "edge_id")
+    d = floyd(14, pairs, [0.0 if a == b else x for (a, b), x in zip(pairs, lengths, strict=True)])
+    want = {(i, j): d[i, j] for i in range(14) for j in range(14) if d[i, j] < np.inf}
+    for dense in (0, metric.DENSE):
+        got = {(r.src, r.dst): r.dist for r in metric.shortest_paths(nodes, edges, dense).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    near = metric.paths_within(nodes, edges, nodes.withColumn("radius", F.lit(1.5)))
+    assert {(r.src, r.dst) for r in near.collect()} == {k for k, x in want.items() if x <= 1.5}
+
+
 def test_text_hash_counts_utf16_units(spark):
     def brute(t):
         h, b = 0, t.encode("utf-16-be")
