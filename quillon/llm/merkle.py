@@ -1,12 +1,15 @@
 """Document fingerprints: Merkle trees over passages, paragraphs and sections.
 
-A passage ends at a line end, after a word whose hash is a multiple of `PASSAGE` or, in a
-text of at most `SHORT` characters, after every word; a paragraph is a line; a section
-ends at a blank line or after a paragraph whose digest is a multiple of `SECTION`. A run
-of more than `RUN` bytes without such an end gets ends by the bytes before them (windows of
-`WINDOW` bytes), and only what is still longer than `LONGEST` is cut at fixed distances: a
-run that repeats itself, whose pieces are then equal anyway. All ends depend on the text near
-them, so an edit changes the branches above it and no others.
+A passage ends at a line end or after a word whose hash is a multiple of 2^k, where k grows
+with the number of words before it (a quarter of which 2^k never exceeds, nor `MOST`, or twice that from `FAR` words on), and
+after 2^(k+1) words without such an end; so leaves are single words at a text's start and
+some 16 to 30 words far from it, whatever the text's length, and texts of any two lengths
+share the leaves of what they share. A paragraph is a line; a section ends at a blank line
+or after a paragraph whose digest is a multiple of `SECTION`. A word of more than `WORD`
+bytes gets ends by the bytes before them (windows of `WINDOW` bytes), the rarer the more
+bytes come before, and what is still longer than `LONGEST` is cut at fixed distances. Ends depend on the text near them and,
+in steps of powers of two, on how much of it comes before; so an edit changes the branches above it and at most
+one leaf at each step after it.
 
 A passage's digest is BLAKE2b of its bytes; a paragraph's digest is that of its passages'
 digests, a section's that of its paragraphs', the root's that of its sections'. Roots decide
@@ -34,10 +37,11 @@ from pyspark.sql import functions as F
 from quillon.llm import words
 from quillon.session import new_path, partitions, ship
 
-PASSAGE = 12
-SHORT = 400
 SECTION = 8
-RUN = 1024
+#: Most words a leaf has by its hashes; twice as many from `FAR` words on.
+MOST, FAR = 16, 512
+#: Bytes of a word that gets ends inside.
+WORD = 64
 WINDOW = 8
 LONGEST = 4095
 SLICE = 256
@@ -49,29 +53,48 @@ _DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _VALUE = {chr(c): k for k, c in enumerate(_DIGITS)}
 
 
-def _inner_ends(part: np.ndarray) -> np.ndarray:
-    """Ends within a long run, by the bytes before them; no character is cut."""
+def _log2(n: np.ndarray) -> np.ndarray:
+    """Binary digits after the first one of whole numbers from 1 on."""
+    return np.frexp(n.astype(np.float64))[1] - 1
+
+
+def _inner_ends(part: np.ndarray, before: int) -> np.ndarray:
+    """Ends within a long word, by the bytes before them; no character is cut. `before` bytes of
+    the text come before the word."""
     n = len(part) - WINDOW
     h = np.zeros(n, np.uint64)
     for j in range(WINDOW):
         h = h * np.uint64(0x100000001B3) + part[j : j + n].astype(np.uint64) + np.uint64(1)
-    at = np.flatnonzero((words.mix(h) % np.uint64(64) == 0) & ((part[WINDOW:] & 0xC0) != 0x80)) + WINDOW
-    return at
+    at = np.arange(WINDOW, len(part))
+    step = np.clip(_log2(before + at) - 2, 3, 6).astype(np.uint64)
+    return at[(words.mix(h) & ((np.uint64(1) << step) - np.uint64(1)) == 0) & ((part[WINDOW:] & 0xC0) != 0x80)]
 
 
-def _ends(data: np.ndarray, offsets: np.ndarray, short: np.ndarray) -> np.ndarray:
+def _ends(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of all passages of a batch, ascending; every document's end among them."""
-    ends = [offsets[1:], np.flatnonzero(data == 10) + 1]
-    for h, doc, _, end in words.words(data, offsets, fold=False):
-        ends.append(end[(h % np.uint64(PASSAGE) == 0) | short[doc]])
+    lines = np.flatnonzero(data == 10) + 1
+    ends = [offsets[1:], lines]
+    parts = list(words.words(data, offsets, fold=False))
+    if parts:
+        h, doc, start, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+        n = np.arange(len(h))
+        new = np.ones(len(h), bool)
+        new[1:] = doc[1:] != doc[:-1]
+        place = n - np.maximum.accumulate(np.where(new, n, 0))
+        most = np.where(place >= FAR, MOST.bit_length(), MOST.bit_length() - 1)
+        step = np.minimum(_log2(np.maximum(place, 4)) - 2, most).astype(np.uint64)
+        own = h & ((np.uint64(1) << step) - np.uint64(1)) == 0
+        line = np.searchsorted(lines, start, side="right")
+        new[1:] |= (line[1:] != line[:-1]) | own[:-1]
+        inside = n - np.maximum.accumulate(np.where(new, n, 0))
+        ends.append(end[own | ((inside + 1) % (np.int64(2) << step.astype(np.int64)) == 0)])
+        for k in np.flatnonzero(end - start > WORD):
+            ends.append(start[k] + _inner_ends(data[start[k] : end[k]], int(start[k] - offsets[doc[k]])))
     ends = np.unique(np.concatenate(ends))
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]])
-    long = np.flatnonzero(ends - starts > RUN)
+    long = np.flatnonzero(ends - starts > LONGEST)
     if len(long):
-        ends = np.unique(np.concatenate([ends, *(starts[k] + _inner_ends(data[starts[k] : ends[k]]) for k in long)]))
-        starts = np.concatenate([[0], ends[:-1]])
-        long = np.flatnonzero(ends - starts > LONGEST)
         ends = np.unique(np.concatenate([ends, *(np.arange(starts[k] + LONGEST, ends[k], LONGEST) for k in long)]))
     return ends
 
@@ -84,8 +107,7 @@ def trees(texts: list[str]):
     """Per text: its sections (digest, paragraphs), each paragraph (digest, passages' digests
     of 8 bytes on end, passages' lengths)."""
     data, offsets = words.utf8(pa.array(texts, pa.large_string()))
-    short = np.fromiter((len(t) <= SHORT for t in texts), bool, len(texts))
-    ends = _ends(data, offsets, short)
+    ends = _ends(data, offsets)
     raw, at = data.tobytes(), ends.tolist()
     blake = hashlib.blake2b
     digests = [blake(raw[a:b], digest_size=8).digest() for a, b in zip([0, *at[:-1]], at, strict=True)] if at else []

@@ -38,9 +38,47 @@ def test_hard(spark, hard, none):
     check(merkle.fingerprint_edits(lone).collect(), [(4, "abc def")])
 
 
-def test_short_texts_are_near_their_edits(spark, sf):
-    rows = [r for r in merkle.op5_merkle_fingerprints(spark, sf).collect() if 60 <= r["n_chars"] <= 400]
-    assert rows and sum(r["near_edited"] > 0.4 for r in rows) >= 0.9 * len(rows)
+def _edited(text: str, following: str) -> str:
+    n = len(text)
+    return text[: n - n // 3] + following[: n // 3]
+
+
+def test_texts_of_every_length_are_near_their_edits(spark, sf):
+    """Cuts of real texts from 1 to 1,000 characters and beyond, their next ones short, long or none."""
+    rnd = random.Random(11)
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r[0]]
+    bands = {}
+    for n in [*range(60, 1001, 4), *range(1000, 4000, 50)]:
+        for _ in range(3):
+            t = rnd.choice([t for t in texts if len(t) > 300])
+            at = rnd.randrange(len(t))
+            t = (t[at:] + " " + t + " " + rnd.choice(texts) + " " + rnd.choice(texts))[:n]
+            for f in ("", rnd.choice(texts)[: rnd.randint(1, 40)], rnd.choice(texts)):
+                a, b, c = merkle.fingerprints([t, _edited(t, f), f])
+                bands.setdefault(min(n // 100, 10), []).append((merkle.likeness(a, b), merkle.likeness(a, c)))
+    for band, found in bands.items():
+        assert sum(x > 0.4 for x, _ in found) >= 0.9 * len(found), band
+        assert sum(x < 0.3 for _, x in found) >= 0.9 * len(found), band
+    for n in range(1, 60):
+        t = texts[0][:n]
+        one, two = merkle.fingerprints([t, _edited(t, texts[1])])
+        assert 0 <= merkle.likeness(one, two) <= 1 and merkle.likeness(one, one) == 1
+
+
+@pytest.mark.parametrize("word", ["a", "word", "zweiundzwanzig", "漢字", "x" * 90])
+def test_repeated_words_are_near_their_edits(word):
+    for n in (30, 100, 401, 450, 620, 3000, 9000):
+        t = " ".join([word] * n)
+        for f in ("", "other words here", "other words here " * n):
+            assert merkle.likeness(*merkle.fingerprints([t, _edited(t, f)])) > 0.4
+
+
+def test_a_text_shares_leaves_with_its_beginning(spark, sf):
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r[0] and len(r[0]) > 500]
+    far = [merkle.likeness(*merkle.fingerprints([t[:450], t[:400]])) for t in texts]
+    assert sum(x > 0.6 for x in far) >= 0.95 * len(far) and sum(x > 0.75 for x in far) >= 0.8 * len(far)
+    shifted = [merkle.likeness(*merkle.fingerprints([t[:3000], "some new words before " + t[:3000]])) for t in texts if len(t) > 3000]
+    assert sum(x > 0.75 for x in shifted) >= 0.9 * len(shifted)
 
 
 def _rebuilt(text: str):
