@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillon.plans import core, metric, more, relations, weekly
+from quillon.plans import core, feeds, metric, more, relations, weekly
 
-_MODULES = (weekly, core, metric, more, relations)
+_MODULES = (weekly, core, metric, more, relations, feeds)
 
 
 def queries():
