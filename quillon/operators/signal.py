@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from quillon.session import ship
 
+#: Samples of a piece of a series.
+PIECE = 1 << 14
+
 
 def gaussian_kernel(sigma: float, order: int) -> list[float]:
     """Weights of a Gaussian or its first or second derivative, of half-width ceil(4 sigma),
@@ -41,36 +44,59 @@ def _reflected(x: np.ndarray, h: int, odd: bool) -> np.ndarray:
     return np.where(back, 2 * x[-1] - out, out) + 2 * (x[-1] - x[0]) * turn if odd else out
 
 
-def _filtered(series: DataFrame, kernels: list[tuple[str, list[float], bool]]) -> DataFrame:
-    """(id, t, name, ...): each kernel's answer, all in one pass over arrays of whole series."""
+def pieces(series: DataFrame, halo: int, size: int) -> DataFrame:
+    """(id, piece, t, x): pieces of `size` samples of each series as arrays, with up to `halo` samples
+    more on both sides. Null x counts as 0; rows without t are left out."""
+    t = F.col("t").cast("long")
+    first, last = F.greatest(F.lit(0).cast("long"), F.floor((t - halo) / size)), F.floor((t + halo) / size)
+    rows = series.where("t is not null").select("id", t.alias("t"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"), F.explode(F.sequence(first, last)).alias("piece"))
+    lists = rows.groupBy("id", "piece").agg(F.sort_array(F.collect_list(F.struct("t", "x"))).alias("s"))
+    return lists.select("id", "piece", F.col("s.t").alias("t"), F.col("s.x").alias("x"))
+
+
+def _filtered(series: DataFrame, kernels: list[tuple[str, list[float], bool]], size: int) -> DataFrame:
+    """(id, t, name, ...): each kernel's answer, all in one pass over pieces of series with halos.
+    A piece that reaches its series' end, which it knows from its halo, is mirrored there."""
     ship(series.sparkSession)
-    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
     names = [name for name, _, _ in kernels]
+    halo = max(len(kernel) // 2 for _, kernel, _ in kernels)
+    size = max(size, 2 * halo + 1)
+
+    def answer(x, kernel, odd, at_start, at_end):
+        h = len(kernel) // 2
+        if len(x) == 1 and at_start and at_end and odd:
+            return np.zeros(1)
+        if at_start and at_end:
+            return np.correlate(_reflected(x, h, odd), np.array(kernel), "valid")
+        left = _reflected(x, h, odd)[:h] if at_start else np.zeros(h)
+        right = _reflected(x, h, odd)[-h:] if at_end else np.zeros(h)
+        return np.correlate(np.concatenate([left, x, right]), np.array(kernel), "valid")
 
     def run(batches):
         for batch in batches:
-            for key, row in zip(batch.column(0), batch.column(1), strict=True):
-                x = row.values.to_numpy()
-                cols = []
-                for _, kernel, odd in kernels:
-                    h = len(kernel) // 2
-                    flat = len(x) == 1 and odd
-                    cols.append(np.zeros(1) if flat else np.correlate(_reflected(x, h, odd), np.array(kernel), "valid"))
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(x), batch.schema.types[0]), pa.array(np.arange(len(x), dtype=np.int32)), *map(pa.array, cols)], names=["id", "t", *names])
+            for key, piece, t, x in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                t, x = t.values.to_numpy(), x.values.to_numpy()
+                own = (t >= piece * size) & (t < (piece + 1) * size)
+                if not own.any():
+                    continue
+                ends = t[0] == 0, t[-1] < (piece + 1) * size + halo - 1
+                cols = [pa.array(answer(x, kernel, odd, *ends)[own]) for _, kernel, odd in kernels]
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * int(own.sum()), batch.schema.types[0]), pa.array(t[own].astype(np.int32)), *cols], names=["id", "t", *names])
 
     kind = dict(series.dtypes)["id"]
-    return arrays.mapInArrow(run, f"id {kind}, t int, " + ", ".join(f"{n} double" for n in names))
+    return pieces(series, halo, size).mapInArrow(run, f"id {kind}, t int, " + ", ".join(f"{n} double" for n in names))
 
 
-def convolve_reflect(series: DataFrame, kernel: list[float], odd: bool = False) -> DataFrame:
+def convolve_reflect(series: DataFrame, kernel: list[float], odd: bool = False, size: int = PIECE) -> DataFrame:
     """(id, t, y): correlation with the kernel, mirrored (even) or point-reflected (odd) ends. A series
-    of one sample is a level: y = x times the kernel's sum, or 0 for odd reflection."""
-    return _filtered(series, [("y", kernel, odd)])
+    of one sample is a level: y = x times the kernel's sum, or 0 for odd reflection. Null x
+    counts as 0. Series are cut into pieces of `size` samples, so their length has no bound."""
+    return _filtered(series, [("y", kernel, odd)], size)
 
 
-def smoothed(series: DataFrame, sigma: float = 1.5) -> DataFrame:
-    """(id, t, level, d1, d2); of a series of one sample the derivatives are 0."""
-    return _filtered(series, [(name, gaussian_kernel(sigma, k), k == 1) for k, name in enumerate(("level", "d1", "d2"))])
+def smoothed(series: DataFrame, sigma: float = 1.5, size: int = PIECE) -> DataFrame:
+    """(id, t, level, d1, d2); of a series of one sample the derivatives are 0. Null x counts as 0."""
+    return _filtered(series, [(name, gaussian_kernel(sigma, k), k == 1) for k, name in enumerate(("level", "d1", "d2"))], size)
 
 
 def inflections(smooth: DataFrame, floor: float) -> DataFrame:
@@ -87,9 +113,10 @@ def momentum(smooth: DataFrame) -> DataFrame:
 
 
 def dft(series: DataFrame) -> DataFrame:
-    """(id, k, period, power) for k = 1..n/2, the mean removed; one fast transform for a series."""
+    """(id, k, period, power) for k = 1..n/2, the mean removed; one fast transform for a series, which is
+    one array for that. Null x counts as 0."""
     ship(series.sparkSession)
-    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
+    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
 
     def run(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators import order
+from quillon.operators import order, signal
 from quillon.session import materialise, ship
 
 KAPPA_MAX = 1000.0
@@ -68,44 +68,88 @@ def benjamini_hochberg_whole(df: DataFrame, p: str, ties: list[str]) -> DataFram
     return out.union(df.where(F.col(p).isNull()).select("*", F.lit(None).cast("double")))
 
 
-def _best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[int, float, float]:
-    """The lag of the strongest |r| (the first of equals), r and z; 0s where no lag counts."""
-    n, best = min(len(a), len(b)), (0, 0.0, 0.0)
-    for lag in range(-max_lag, max_lag + 1):
-        start, stop = max(0, -lag), min(n, n - lag)
-        if stop - start < 4:
-            continue
-        x, y = a[start:stop], b[start + lag : stop + lag]
-        x, y = x - x.mean(), y - y.mean()
-        xx, yy = float(x @ x), float(y @ y)
-        if xx and yy and abs(r := float(x @ y) / math.sqrt(xx * yy)) > abs(best[1]) + ROUNDING:
-            best = (lag, r, math.atanh(max(-0.999999, min(0.999999, r))) * math.sqrt(max(0, stop - start - 3)))
-    return best
-
-
-def lagged_correlation(series: DataFrame, max_lag: int, pairs: DataFrame | None = None) -> DataFrame:
+def _lag_sums(batches, max_lag: int, size: int):
+    """Pieces of pairs -> for each pair and lag the number, sums, squares and products of the samples
+    that meet in this piece, by one product of all lags' windows."""
+    names = ["a", "b", "lag", "m", "x", "y", "xx", "yy", "xy"]
+    lags = np.arange(-max_lag, max_lag + 1)
+    for batch in batches:
+        cols = [batch.column(c) for c in ("piece", "n", "ta", "xa", "tb", "xb")]
+        sums = []
+        for piece, n, ta, xa, tb, xb in zip(*cols, strict=True):
+            lo = piece.as_py() * size
+            ta, xa, tb, xb = (c.values.to_numpy() for c in (ta, xa, tb, xb))
+            own = (ta >= lo) & (ta < min(lo + size, n.as_py()))
+            a, first = xa[own], lo
+            window = np.zeros((3, len(a) + 2 * max_lag))
+            at = tb - (first - max_lag)
+            here = (at >= 0) & (at < window.shape[1]) & (tb < n.as_py())
+            window[0, at[here]], window[1, at[here]], window[2, at[here]] = 1.0, xb[here], xb[here] ** 2
+            if not len(a):
+                sums.append(np.zeros((6, len(lags))))
+                continue
+            v, y, yy = (np.lib.stride_tricks.sliding_window_view(w, len(a)) for w in window)
+            sums.append(np.stack([v.sum(1), v @ a, y.sum(1), v @ (a * a), yy.sum(1), y @ a]))
+        if sums:
+            many = np.stack(sums)
+            ends = [batch.column(c).take(pa.array(np.repeat(np.arange(len(sums)), len(lags)))) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(np.tile(lags, len(sums))), *[pa.array(np.ascontiguousarray(many[:, k]).ravel()) for k in range(6)]], names=names)
+
+
+def _strongest(batches):
+    """Sums of all lags of a pair -> the first lag of the strongest |r| within rounding, r and z."""
+    for batch in batches:
+        out = []
+        for row in batch.column("l").to_pylist():
+            lag, m, x, y, xx, yy, xy = (np.array([s[c] for s in row]) for c in ("lag", "m", "x", "y", "xx", "yy", "xy"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                vx, vy = xx - x * x / m, yy - y * y / m
+                # What is left of squares by rounding is no variance.
+                good = (m >= 4) & (vx > ROUNDING * xx) & (vy > ROUNDING * yy)
+                r = np.where(good, (xy - x * y / m) / np.sqrt(np.where(good, vx * vy, 1.0)), 0.0)
+            if not good.any():
+                out.append((0, 0.0, 0.0))
+                continue
+            k = int(np.flatnonzero(good & (np.abs(r) >= np.abs(r).max() - ROUNDING))[0])
+            out.append((int(lag[k]), float(r[k]), math.atanh(max(-0.999999, min(0.999999, r[k]))) * math.sqrt(max(0.0, m[k] - 3))))
+        lag, r, z = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(lag, pa.int64()), pa.array(r, pa.float64()), pa.array(z, pa.float64())], names=["a", "b", "lag", "r", "z"])
+
+
+def lagged_correlation(series: DataFrame, max_lag: int, pairs: DataFrame | None = None, size: int = signal.PIECE) -> DataFrame:
     """(a, b, lag, r, z) for pairs a < b of series (id, t, x), dense in t from 0: the strongest |r| of
     all lags of b against a, over the samples that both have.
 
     Overlaps below four and those without variance do not count; of |r| equal within rounding
-    the first lag wins; without any lag all are 0. pairs: (a, b); None takes all. Each series is one array,
-    and a pair shuffles its two arrays, not their products.
+    the first lag wins; without any lag all are 0. Null x counts as 0. pairs: (a, b); None takes all.
+    Series are cut into pieces of `size` samples with a halo of `max_lag`; a pair's pieces
+    meet by their place, and sums over pieces, of samples less their series' mean, give r. So no row holds a
+    whole series.
     """
     ship(series.sparkSession)
-    arrays = series.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", F.col("x").cast("double").alias("x")))).alias("s")).select("id", F.col("s.x").alias("v"))
-    arrays = materialise(arrays, "series")
+    size = max(size, max_lag + 1)
+    series = series.where("t is not null").select("id", "t", F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("x"))
+    cut = signal.pieces(series, max_lag, size)
+    own = F.filter(F.arrays_zip("t", "x"), lambda s: (s["t"] >= F.col("piece") * size) & (s["t"] < (F.col("piece") + 1) * size))
+    cut = materialise(cut.withColumn("_own", own), "series")
+    total = F.aggregate("_own", F.lit(0.0), lambda s, e: s + e["x"])
+    whole = materialise(cut.groupBy("id").agg(F.sum(F.size("_own")).alias("n"), (F.sum(total) / F.sum(F.size("_own"))).alias("mean")), "series-means")
+    cut = cut.drop("_own")
     if pairs is None:
-        pairs = arrays.select(F.col("id").alias("a")).join(arrays.select(F.col("id").alias("b")), F.expr("a < b"))
-    both = pairs.select("a", "b").join(arrays.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(arrays.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb")
+        pairs = whole.select(F.col("id").alias("a")).join(whole.select(F.col("id").alias("b")), F.expr("a < b"))
+    side = lambda c: whole.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("mean").alias(f"mean{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = materialise(both.select("a", "b", F.least("na", "nb").alias("n"), "meana", "meanb"), "series-pairs")
+    # A pair's pieces: those that begin before the shorter series ends.
+    asked = both.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))).alias("piece"))
+    less = lambda c: F.transform("x", lambda x: x - F.col(f"mean{c}")).alias(f"x{c}")
+    met = asked.join(cut.select(F.col("id").alias("a"), "piece", F.col("t").alias("ta"), "x"), ["a", "piece"]).select("a", "b", "n", "piece", "ta", less("a"), "meanb")
+    met = met.join(cut.select(F.col("id").alias("b"), "piece", F.col("t").alias("tb"), "x"), ["b", "piece"]).select("a", "b", "n", "piece", "ta", "xa", "tb", less("b"))
     kinds = dict(both.dtypes)
-
-    def run(batches):
-        for batch in batches:
-            found = [_best_lag(x.values.to_numpy(), y.values.to_numpy(), max_lag) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            lag, r, z = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lag, pa.int64()), pa.array(r, pa.float64()), pa.array(z, pa.float64())], names=["a", "b", "lag", "r", "z"])
-
-    return both.mapInArrow(run, f"a {kinds['a']}, b {kinds['b']}, lag long, r double, z double")
+    sums = met.mapInArrow(lambda it: _lag_sums(it, max_lag, size), f"a {kinds['a']}, b {kinds['b']}, lag long, " + ", ".join(f"{c} double" for c in ("m", "x", "y", "xx", "yy", "xy")))
+    sums = sums.groupBy("a", "b", "lag").agg(*[F.sum(c).alias(c) for c in ("m", "x", "y", "xx", "yy", "xy")])
+    by_pair = sums.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("lag", "m", "x", "y", "xx", "yy", "xy"))).alias("l"))
+    return by_pair.mapInArrow(_strongest, f"a {kinds['a']}, b {kinds['b']}, lag long, r double, z double")
 
 
 def von_mises_fit(df: DataFrame, key: str, k: str, weight: str, directions: int) -> DataFrame:

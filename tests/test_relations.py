@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import communities, dense, graph, joins, layout, metric, order, stats
+from quillon.operators import communities, graph, joins, layout, metric, order, signal, stats
 
 rng = np.random.default_rng(11)
 
@@ -95,3 +95,55 @@ def test_null_nodes_are_left_out_of_hops(spark):
     edges = spark.createDataFrame([(0, 0, 1), (1, 1, 2), (2, None, 2)], "edge_id long, src long, dst long")
     a, b = (sorted(map(tuple, graph.hop_distances(nodes, edges, dense=d).collect())) for d in (0, 100))
     assert a == b and len(a) == 9
+
+
+def series_of(spark, rows, kind="long"):
+    return spark.createDataFrame([(i, t, x) for i, xs in rows.items() for t, x in enumerate(xs)], f"id {kind}, t int, x double").repartition(3)
+
+
+def test_pieces_of_any_size_answer_as_the_whole(spark):
+    rows = {0: rng.normal(size=157).tolist(), 1: [3.0], 2: [1.0, 2.0], 3: rng.normal(size=20).tolist(), 4: [0.5] * 41}
+    df = series_of(spark, rows)
+    whole = {(r.id, r.t): (r.level, r.d1, r.d2) for r in signal.smoothed(df).collect()}
+    assert len(whole) == sum(map(len, rows.values()))
+    h = len(signal.gaussian_kernel(1.5, 0)) // 2
+    for k, x in rows.items():
+        if len(x) > 1:
+            want = np.correlate(signal._reflected(np.array(x), h, True), np.array(signal.gaussian_kernel(1.5, 1)), "valid")
+            assert [whole[k, t][1] for t in range(len(x))] == pytest.approx(want.tolist())
+    for size in (1, 14, 20, 39, 100):
+        got = {(r.id, r.t): (r.level, r.d1, r.d2) for r in signal.smoothed(df, size=size).collect()}
+        assert got.keys() == whole.keys() and all(got[k] == pytest.approx(whole[k], abs=1e-12) for k in got)
+
+
+def test_lags_of_pieces_equal_those_of_the_whole(spark):
+    base = rng.normal(size=130)
+    rows = {0: base[5:125].tolist(), 1: base[:120].tolist(), 2: rng.normal(size=37).tolist(), 3: [1.0] * 50, 4: [2.0, 3.0], 5: (1e6 + base[:77]).tolist()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a < b:
+                n, best = min(len(rows[a]), len(rows[b])), []
+                for lag in range(-6, 7):
+                    lo, hi = max(0, -lag), min(n, n - lag)
+                    if hi - lo >= 4:
+                        x, y = np.array(rows[a][lo:hi]), np.array(rows[b][lo + lag : hi + lag])
+                        if x.std() > 0 and y.std() > 0:
+                            best.append((lag, float(np.corrcoef(x, y)[0, 1])))
+                top = max((abs(r) for _, r in best), default=0.0)
+                want[a, b] = next(((lag, r) for lag, r in best if abs(r) >= top - 1e-12), (0, 0.0))
+    assert want[0, 1][0] == 5
+    for size in (7, 30, 1 << 14):
+        got = {(r.a, r.b): (r.lag, r.r) for r in stats.lagged_correlation(series_of(spark, rows), 6, size=size).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=1e-7) for k in want)
+
+
+def test_null_samples_count_as_nothing(spark):
+    rows = {0: [1.0, None, 3.0, 4.0, None, 2.0, 7.0], 1: [None] * 6 + [2.0]}
+    zero = {k: [x or 0.0 for x in v] for k, v in rows.items()}
+    a, b = series_of(spark, rows), series_of(spark, zero)
+    lost = spark.createDataFrame([(0, None, 5.0)], "id long, t int, x double")
+    for f in (signal.smoothed, signal.dft, lambda d: signal.convolve_reflect(d, [0.25, 0.5, 0.25]), lambda d: stats.lagged_correlation(d, 2)):
+        assert sorted(map(str, f(a).collect())) == sorted(map(str, f(b).collect()))
+    assert signal.smoothed(a.union(lost)).count() == 14 and signal.smoothed(a.limit(0)).count() == 0 == stats.lagged_correlation(a.limit(0), 2).count()
