@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.functions import draws
+from quillon.functions import draw_table, draws
 from quillon.operators import communities, metric
 from quillon.plans.core import r6
 
@@ -16,6 +16,12 @@ def lcg_draws(spark, sf_dir):
     return c.select("c_custkey", r6(draws.lcg(F.col("c_custkey"), F.lit(5)), "draw"))
 
 
+def customer_draws(spark, sf_dir):
+    """Up to four draws for every customer, from the third on, by the table function."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+    return draw_table.with_draws(c, "c_custkey", "2", "1 + c_nationkey % 4").select("c_custkey", "k", r6(F.col("draw"), "draw"))
+
+
 def magnitudes(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
     return metric.magnitudes(p, "p_retailprice").select("p_partkey", r6(F.col("magnitude"), "magnitude"))
@@ -128,7 +134,7 @@ def part_communities(spark, sf_dir):
     return one.select("count", r6(F.col("cut"), "cut"), r6(F.col("q"), "q"), "parted")
 
 
-QUERIES = {f.__name__: f for f in (lcg_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
+QUERIES = {f.__name__: f for f in (lcg_draws, customer_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
 
 _LCG = "c_custkey"
 for _ in range(5):
@@ -140,6 +146,8 @@ k as (select *, case when n = 1 then 0e0 when n = 2 then 1e0 when n < 6 then (6
 _D = "d as (select n_regionkey as r, count(*) as d from nation group by 1)"
 ORACLES = {
     "lcg_draws": f"select c_custkey, round(({_LCG})::double / 4294967296, 6) + 0e0 as draw from customer",
+    "customer_draws": "with " + ", ".join(f"s{k} as (select c_custkey, c_nationkey, ({'c_custkey::hugeint' if k == 1 else 'st'} * 1664525 + 1013904223) % 4294967296 as st from {'customer' if k == 1 else f's{k - 1}'})" for k in range(1, 7))
+    + " " + " union all ".join(f"select c_custkey, {k}::bigint as k, round(st::double / 4294967296, 6) + 0e0 as draw from s{k} where c_nationkey % 4 >= {k - 3}" for k in range(3, 7)),
     "magnitudes": "select p_partkey, round(-2.5 * log10(greatest(p_retailprice, 1e-12) / max(p_retailprice) over ()), 6) + 0e0 as magnitude from part",
     # In a tree a link's curvature is the sum of its ends' inverse degrees less one, here 1/1 + 1/d - 1.
     "tree_curvature": f"with {_D} select cast(n_nationkey as bigint) as edge_id, round(1e0 / d, 6) + 0e0 as kappa from nation join d on n_regionkey = r",

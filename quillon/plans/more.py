@@ -208,9 +208,16 @@ def notes_links(spark, sf_dir):
 # Pairs, systems and orbits
 
 
+def _paired(spark, sf_dir):
+    """Weekly orders of nations; those of an odd nation follow the one before, some weeks later."""
+    s = roster(spark, sf_dir)
+    near = s.where("id % 2 = 0").select((F.col("id") + 1).alias("id"), (F.col("t") + (F.col("id") + 1).cast("long") % 7).alias("t"), (3 * F.col("x")).alias("more"))
+    return s.join(near, ["id", "t"], "left").select("id", "t", (F.col("x") + F.coalesce("more", F.lit(0.0))).alias("x"))
+
+
 def binaries(spark, sf_dir):
     """Pairs of nations whose weekly orders move together."""
-    return pairs_of_series.find_binaries(roster(spark, sf_dir), min_r=0.1, fdr=1.0, draws=400).select("a", "b", "lag", r6(F.col("r"), "r"), r6(F.col("p"), "p"), r6(F.col("q"), "q"))
+    return pairs_of_series.find_binaries(_paired(spark, sf_dir)).select("a", "b", "lag", r6(F.col("r"), "r"), r6(F.col("p"), "p"), r6(F.col("q"), "q"))
 
 
 def _bodies(spark, sf_dir):
@@ -302,7 +309,7 @@ def snow_caps(spark, sf_dir):
 
 def scalogram(spark, sf_dir):
     """Wavelet power of every nation's weekly orders, and each sample's trusted scale."""
-    s = wavelets.scalogram(roster(spark, sf_dir), count=12)
+    s = wavelets.scalogram(roster(spark, sf_dir))
     return s.select("id", "k", "t", r6(F.col("scale"), "scale"), (F.round("power", 5) + 0.0).alias("power"), r6(F.col("coi"), "coi"))
 
 
@@ -424,7 +431,35 @@ tt as (select case when hypot_a >= hypot_b then 1e0 else -1e0 end as f, case whe
 
 _TURN = f"{_R('mu + cos(w) * (x - mx) - f * sin(w) * (y - my)', 'x')}, {_R('mv + sin(w) * (x - mx) + f * cos(w) * (y - my)', 'y')}"
 
+_WAVES = f"""{_ROSTER}, m as (select id, avg(x) as mean, var_pop(x) as var, count(*) as n from s group by id),
+k as (select id, k, n, mean, var, 2 / p * pow(n / 4e0, k / 23e0) as scale from m, (select 4 * pi() / (6 + sqrt(38e0)) as p), (select unnest(range(0, 24)) as k)),
+j as (select k.*, unnest(range(-cast(ceil(4 * scale) as bigint), cast(ceil(4 * scale) as bigint) + 1)) as j from k),
+w as (select *, exp(-j * j / (2 * scale * scale)) * cos(6 * j / scale) as re, exp(-j * j / (2 * scale * scale)) * sin(6 * j / scale) as im from j),
+i as (select w.id, w.k, w.scale, w.n, w.var, t.t, (abs(t.t + w.j) % (2 * (w.n - 1))) as f, sum(re) as re, sum(im) as im from w join (select id, t from s) t on t.id = w.id group by all),
+wv as (select i.id, i.k, i.t, any_value(scale) as scale, (pow(sum((s.x - m.mean) * re), 2) + pow(sum((s.x - m.mean) * im), 2)) / (any_value(scale) * sqrt(pi())) / any_value(i.var) as power, least(i.t, any_value(i.n) - 1 - i.t) as reach
+  from i join m on m.id = i.id join s on s.id = i.id and s.t = case when f < i.n then f else 2 * (i.n - 1) - f end group by i.id, i.k, i.t),
+v as (select *, coalesce(max(case when sqrt(2e0) * scale <= reach then scale end) over (partition by id, t), 0e0) as coi from wv)"""
 ORACLES = {
+    "binaries": f"""with recursive {_ROSTER}, y as (select s.id, s.t, s.x + coalesce(3 * b.x, 0) as x, count(*) over (partition by s.id) as n from s left join s as b on s.id % 2 = 1 and b.id = s.id - 1 and b.t = s.t - s.id % 7),
+act as (select id, any_value(n) as n from y group by id having count(*) filter (x <> 0) >= 8),
+pr as (select a.id as a, b.id as b, b.n, row_number() over (order by a.id, b.id) - 1 as i, count(*) over () as m from act a join act b on a.id < b.id),
+lg as (select unnest(range(-7, 8)) as lag),
+cr as (select pr.a, pr.b, lag, corr(u.x, v.x) as r from pr cross join lg join y u on u.id = pr.a join y v on v.id = pr.b and v.t = u.t + lag group by all having count(*) >= 4),
+seen as (select a, b, arg_min(lag, lag) filter (abs(r) >= top - 1e-12) as lag, arg_min(r, lag) filter (abs(r) >= top - 1e-12) as r from (select *, max(abs(r)) over (partition by a, b) as top from cr where isfinite(r)) group by a, b),
+d(k, st) as (select 0, (1664525::hugeint + 1013904223) % 4294967296 union all select k + 1, (st * 1664525 + 1013904223) % 4294967296 from d where k < 999),
+dr as (select k, pr.a, pr.b, pr.n, 7 + cast(floor(st::double / 4294967296 * (pr.n - 14)) as bigint) as shift from d join pr on pr.i = d.k % pr.m),
+nu as (select k, max(abs(r)) as r from (select k, lag, corr(u.x, v.x) as r from dr cross join lg join y u on u.id = dr.a join y v on v.id = dr.b and u.t + lag between 0 and dr.n - 1 and v.t = (u.t + lag + dr.shift) % dr.n group by all having count(*) >= 4) where isfinite(r) group by k),
+pv as (select a, b, lag, r, (1 + (select count(*) from nu where nu.r >= abs(seen.r) - 1e-12)) / 1001e0 as p from seen),
+rk as (select *, row_number() over (order by p, a, b) as k, count(*) over () as m from pv),
+q as (select *, least(1e0, min(p * m / k) over (order by k rows between current row and unbounded following)) as q from rk),
+c as (select *, row_number() over (order by round(abs(r), 12) desc, a, b) as i from q where abs(r) >= 0.3 and q <= 0.1),
+gr(i, used, hit) as (select 0::bigint, []::bigint[], false union all select c.i, case when list_contains(used, c.a) or list_contains(used, c.b) then used else list_concat(used, [c.a::bigint, c.b::bigint]) end, not (list_contains(used, c.a) or list_contains(used, c.b)) from gr join c on c.i = gr.i + 1)
+select a, b, cast(lag as bigint) as lag, {_R('c.r', 'r')}, {_R('c.p', 'p')}, {_R('c.q', 'q')} from c join gr on gr.i = c.i and gr.hit""",
+    "scalogram": f"with {_WAVES} select id, k, t, {_R('v.scale', 'scale')}, round(v.power, 5) + 0e0 as power, {_R('v.coi', 'coi')} from v",
+    "ridge": f"""with {_WAVES}, b as (select *, lag(power) over o as p0, lead(power) over o as p2, lag(scale) over o as s0, lead(scale) over o as s2 from v window o as (partition by id, t order by k)),
+c as (select *, row_number() over (partition by id, t order by scale <= coi desc, power desc, k) as r, max(case when scale <= coi then k end) over (partition by id, t) as edge from b),
+e as (select id, t, scale <= coi and power > 0 and k <> edge as good, power, scale * case when p0 is not null and p0 - 2 * power + p2 <> 0 then pow(s2 / s0, (p0 - p2) / (4 * (p0 - 2 * power + p2))) else 1 end as top_ from c where r = 1)
+select id, t, round(case when good then top_ * 4 * pi() / (6 + sqrt(38e0)) else 0 end, 4) + 0e0 as period, round(case when good then power else 0 end, 4) + 0e0 as power from e""",
     "semantic_links": f"with {_SIMS} select a, b, {_R('sim', 'sim')} from p where {_UNLINKED} and sim >= 0.25 order by round(p.sim, 12) desc, a, b limit 40",
     "nearest_cosines": f"with {_SIMS} select b as node, {_R('sim', 'sim')} from p where b = a + 1",
     "semantic_agreement": """with c as (select c_nationkey as node, [count(*) filter (o_orderpriority like '1%'), count(*) filter (o_orderpriority like '2%'), count(*) filter (o_orderpriority like '3%'), count(*) filter (o_orderpriority like '4%'), count(*) filter (o_orderpriority like '5%')]::double[] as v from orders join customer on o_custkey = c_custkey group by 1),
