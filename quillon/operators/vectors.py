@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.draws import stream
 from quillon.operators import graph, layout, metric, order
-from quillon.session import materialise, ship
+from quillon.session import materialise, partitions, ship
 
 #: Vectors of a block; two blocks meet in one task.
 BLOCK = 2048
+#: Most cells, and rows drawn for their pivots.
+PIVOTS = 256
 #: Most nodes whose rank matrices are broadcast (two of 8 n^2 bytes) for relabellings.
 DENSE = 1500
 #: The pairs listed, the least similarity and the quota of a node (0: none).
@@ -22,7 +25,9 @@ PERMUTATIONS, SEED = 200, 1
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """Inner product; missing and null numbers count as 0."""
+    number = lambda x: F.coalesce(x.cast("double"), F.lit(0.0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: number(x) * number(y)), F.lit(0.0), lambda s, x: s + x)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -31,77 +36,174 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def known(vectors: DataFrame) -> DataFrame:
-    """Vectors other than zero."""
-    return vectors.where(dot(F.col("v"), F.col("v")) > 0)
+    """Vectors other than zero, of a node."""
+    return vectors.where(F.col("node").isNotNull() & (dot(F.col("v"), F.col("v")) > 0))
 
 
-def pair_cosines(vectors: DataFrame, edges: DataFrame | None = None, min_sim: float = -2.0, top: int | None = None) -> DataFrame:
-    """(a, b, sim) for nodes a < b with sim >= min_sim that no edge joins.
+def _unit(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a column (zeros at the end of shorter ones) and their sizes."""
+    sizes = np.diff(np.asarray(column.offsets))
+    x = np.zeros((len(sizes), width))
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x[np.repeat(np.arange(len(sizes)), sizes), at] = np.nan_to_num(np.asarray(column.flatten().cast(pa.float64()).fill_null(0.0)))
+    return x, np.sqrt((x * x).sum(1))
+
 
-    Vectors are dealt to blocks of about `BLOCK`; each pair of blocks is one matrix product in
-    one task, and with `top` it gives only its strongest pairs. So the work is n^2 / 2
-    products, spread over all pairs of blocks, no pair of rows is shuffled, and a task holds
-    two blocks. Zero vectors have no pairs. Nodes are whole numbers.
+class Blocks:
+    """Vectors in blocks of near ones, and all pairs of blocks with the largest cosine they can have.
+
+    Pivots are a bounded sample of rows; a vector goes to the pivot at the least angle, and a cell of more than
+    `BLOCK` vectors is several blocks. By the triangle inequality on angles two blocks hold no pair
+    nearer than the angle of their pivots less both largest angles to them.
     """
-    spark = vectors.sparkSession
-    ship(spark)
-    some = materialise(known(vectors).select(F.col("node").cast("long").alias("node"), F.col("v").cast("array<double>").alias("v")), "vectors")
-    blocks = max(1, -(-some.count() // BLOCK))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
-    left = some.select("node", "v", block("node").alias("own")).select("node", "v", "own", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("node", "v", "own", *pair)
-    links = spark.createDataFrame([], "src long, dst long") if edges is None else edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
-    links = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    links = links.select("a", "b", block("a").alias("own"), block("b").alias("other")).select("a", "b", *pair)
-
-    def solve(key: tuple, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("node")
-        parts = [rows[rows["own"] == k] for k in key]
-        names = [p["node"].to_numpy() for p in parts]
-        if not len(names[0]) or not len(names[1]):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        x, y = (np.array(p["v"].tolist()) for p in parts)
-        sim = (x @ y.T) / np.sqrt((x * x).sum(1)[:, None] * (y * y).sum(1)[None, :])
-        if key[0] == key[1]:
-            sim[np.tril_indices(len(sim))] = -9
-        if len(joined):
+
+    def __init__(self, vectors: DataFrame):
+        spark = vectors.sparkSession
+        ship(spark)
+        some = materialise(known(vectors).select(F.col("node").cast("long").alias("node"), F.col("v").cast("array<double>").alias("v")), "vectors")
+        n, width = some.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+        cells = min(PIVOTS, max(1, -(-2 * n // BLOCK)))
+        rows = some.orderBy(F.xxhash64("node"), "node").limit(cells).select("v").collect()
+        pivots = np.zeros((max(1, len(rows)), width))
+        for k, r in enumerate(rows):
+            pivots[k, : len(r.v)] = [x or 0.0 for x in r.v]
+            pivots[k] /= np.linalg.norm(pivots[k])
+
+        def assign(batches):
+            for batch in batches:
+                x, size = _unit(batch.column("v"), width)
+                cos = np.clip(x @ pivots.T / size[:, None], -1.0, 1.0) if len(x) else np.zeros((0, 1))
+                cell = cos.argmax(1) if len(x) else np.zeros(0, np.int64)
+                angle = np.arccos(cos[np.arange(len(x)), cell])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("v"), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["node", "v", "cell", "angle"])
+
+        placed = materialise(some.mapInArrow(assign, "node long, v array<double>, cell int, angle double"), "vectors-cells")
+        # At most `PIVOTS` rows.
+        parts = {r.cell: max(1, -(-r["count"] // BLOCK)) for r in placed.groupBy("cell").count().collect()}
+        first, self.count = {}, 0
+        for cell in sorted(parts):
+            first[cell] = self.count
+            self.count += parts[cell]
+        table = spark.createDataFrame([(c, first[c], parts[c]) for c in sorted(parts)], "cell int, first int, parts int")
+        self.places = placed.join(F.broadcast(table), "cell").withColumn("own", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+        self.width, self.vectors = width, materialise(self.places.select("node", "v", "own", "cell", "angle"), "vectors-blocks")
+        turn = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+        between = spark.createDataFrame([(i, j, float(turn[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "ca int, cb int, turn double")
+        reach = materialise(self.vectors.groupBy("own").agg(F.max("angle").alias("reach"), F.first("cell").alias("cell")), "vectors-reach")
+        side = lambda c: reach.select(F.col("own").alias(c), F.col("reach").alias(f"r{c}"), F.col("cell").alias(f"c{c}"))
+        pairs = side("a").select("a", "ra", "ca", F.explode(F.sequence("a", F.lit(max(0, self.count - 1)))).alias("b")).join(side("b"), "b").join(F.broadcast(between), ["ca", "cb"])
+        least = F.greatest(F.lit(0.0), F.col("turn") - F.col("ra") - F.col("rb") - 1e-7)
+        self.pairs = materialise(pairs.select(F.col("a").alias("p"), F.col("b").alias("q"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.cos(F.least(least, F.lit(float(np.pi))))).alias("most")), "vectors-pairs")
+
+    def solve(self, pairs: DataFrame, edges: DataFrame | None, min_sim: float, top: int | None) -> DataFrame:
+        """(a, b, sim) of the vectors of pairs of blocks (p, q): each pair is one product in one task."""
+        spark, width = pairs.sparkSession, self.width
+        block = self.vectors.select("node", "v", "own")
+        ends = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("own"))
+        left = block.join(ends, "own").select("node", "v", "own", "p", "q")
+        links = spark.createDataFrame([], "src long, dst long") if edges is None else edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
+        links = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+        home = lambda c: block.select(F.col("node").alias(c), F.col("own").alias(f"o{c}"))
+        links = links.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.least("oa", "ob").alias("p"), F.greatest("oa", "ob").alias("q"))
+
+        def run(key: tuple, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("node")
+            parts = [rows[rows["own"] == k] for k in key]
+            names = [p["node"].to_numpy() for p in parts]
+            if not len(names[0]) or not len(names[1]):
+                return pd.DataFrame({"a": [], "b": [], "sim": []})
+            x, y = (_unit(pa.array(p["v"], pa.list_(pa.float64())), width) for p in parts)
+            sim = (x[0] @ y[0].T) / (x[1][:, None] * y[1][None, :])
+            if key[0] == key[1]:
+                sim[np.tril_indices(len(sim))] = -9
             for a, b in ((joined["a"], joined["b"]), (joined["b"], joined["a"])):
                 i, j = (np.searchsorted(n, c.to_numpy()) for n, c in zip(names, (a, b), strict=True))
                 here = (i < len(names[0])) & (j < len(names[1]))
                 i, j, a, b = i[here], j[here], a.to_numpy()[here], b.to_numpy()[here]
                 here = (names[0][i] == a) & (names[1][j] == b)
                 sim[i[here], j[here]] = -9
-        i, j = np.nonzero(sim >= max(min_sim, -2.0))
-        a, b, s = names[0][i], names[1][j], sim[i, j]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        if top is not None and len(s) > top:
-            best = np.lexsort((b, a, -np.round(s, 12)))[:top]
-            a, b, s = a[best], b[best], s[best]
-        return pd.DataFrame({"a": a, "b": b, "sim": s})
+            i, j = np.nonzero(sim >= max(min_sim, -2.0))
+            a, b, s = names[0][i], names[1][j], sim[i, j]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            if top is not None and len(s) > top:
+                best = np.lexsort((b, a, -np.round(s, 12)))[:top]
+                a, b, s = a[best], b[best], s[best]
+            return pd.DataFrame({"a": a, "b": b, "sim": s})
+
+        return left.groupBy("p", "q").cogroup(links.groupBy("p", "q")).applyInPandas(run, "a long, b long, sim double")
 
-    return left.groupBy("p", "q").cogroup(links.groupBy("p", "q")).applyInPandas(solve, "a long, b long, sim double")
+
+def pair_cosines(vectors: DataFrame, edges: DataFrame | None = None, min_sim: float = -2.0) -> DataFrame:
+    """(a, b, sim) for nodes a < b with sim >= min_sim that no edge joins.
+
+    Pairs of blocks that cannot reach `min_sim` are left out; each other pair is one matrix product in one
+    task, no pair of rows is shuffled, and a task holds two blocks. Zero vectors have no
+    pairs; shorter vectors end in zeros, null numbers are 0. Nodes are whole numbers; null ones are left out.
+    """
+    blocks = Blocks(vectors)
+    return blocks.solve(blocks.pairs.where(F.col("most") >= min_sim), edges, min_sim, None)
+
+
+def strongest_pairs(vectors: DataFrame, edges: DataFrame, count: int, min_sim: float) -> tuple[DataFrame, dict[str, int]]:
+    """The `count` strongest pairs that no edge joins, of at least `min_sim`, as `similar_links` orders
+    them, and how many pairs of blocks there are and were solved.
+
+    The pairs of blocks that may hold the strongest go first; each round's weakest listed
+    pair is the bound below which the next round's pairs of blocks are skipped, and rounds
+    take four times as many as the one before.
+    """
+    blocks = Blocks(vectors)
+    total = blocks.pairs.count()
+    ranked = order.numbered(blocks.pairs.withColumn("_down", -F.col("most")), ["_down", "p", "q"], "_at")
+    ranked = materialise(ranked, "vectors-ranked")
+    place = [F.round("sim", 12).desc(), "a", "b"]
+    best, least, start, size, solved = None, min_sim, 0, max(blocks.count, 4 * partitions(vectors.sparkSession)), 0
+    while start < total:
+        now = ranked.where((F.col("_at") >= start) & (F.col("_at") < start + size) & (F.col("most") >= least - 1e-9))
+        some = now.count()
+        if not some:
+            break  # they come in order of what they can reach
+        solved += some
+        found = blocks.solve(now.select("p", "q"), edges, min_sim, count)
+        best = materialise((found if best is None else best.union(found)).orderBy(*place).limit(count), "vectors-best")
+        if count and best.count() == count:
+            least = max(min_sim, best.agg(F.min("sim")).first()[0])
+        start, size = start + size, 4 * size
+    if best is None:
+        best = vectors.sparkSession.createDataFrame([], "a long, b long, sim double")
+    return best.orderBy(*place), {"pairs": total, "solved": solved}
+
+
+def _within_quota(pairs: DataFrame, per_node: int) -> DataFrame:
+    """Of pairs (a, b, sim) those that a greedy pass down the list takes, a pair if both its nodes are in fewer
+    than `per_node` taken before: in rounds, each takes the pairs that are, at both ends, among as
+    many of the node's best as the node has places left."""
+    left, out = materialise(pairs.withColumns({"fa": F.lit(per_node), "fb": F.lit(per_node)}), "quota"), None
+    while not left.isEmpty():
+        key = F.struct((-F.round("sim", 12)).alias("s"), "a", "b")
+        ends = left.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("fa").alias("free")), F.struct(F.col("b").alias("node"), F.col("fb").alias("free")))).alias("e"), key.alias("k"))
+        rank = F.row_number().over(Window.partitionBy("node").orderBy("k"))
+        good = ends.select("a", "b", "e.node", "e.free", "k").withColumn("rank", rank).where("rank <= free").groupBy("a", "b").count().where("count = 2").select("a", "b")
+        taken = materialise(left.join(good, ["a", "b"], "left_semi").select("a", "b", "sim"), "quota-taken")
+        out = taken if out is None else out.union(taken)
+        used = materialise(taken.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("used")), "quota-used")
+        rest = left.join(taken.select("a", "b"), ["a", "b"], "left_anti")
+        for c in "ab":
+            rest = rest.join(used.select(F.col("node").alias(c), F.col("used").alias(f"u{c}")), c, "left").withColumn(f"f{c}", F.col(f"f{c}") - F.coalesce(f"u{c}", F.lit(0))).drop(f"u{c}")
+        left = materialise(rest.where("fa > 0 and fb > 0").select("a", "b", "sim", "fa", "fb"), "quota")
+    return pairs if out is None else out
 
 
 def similar_links(vectors: DataFrame, edges: DataFrame, count: int = COUNT, min_sim: float = MIN_SIM, per_node: int = PER_NODE) -> DataFrame:
     """(a, b, sim) of the `count` strongest pairs that no edge joins, of at least `min_sim`.
 
-    Order: sim (to twelve places) down, then a, then b. With `per_node`, the list is taken
-    greedily in that order, and a pair goes in while both nodes are in fewer than `per_node`
-    pairs: the sorted pairs are read one partition at a time until the list is full.
+    Order: sim (to twelve places) down, then a, then b. With `per_node`, a pair is listed
+    only while both nodes are in fewer than `per_node` pairs before it.
     """
-    pairs = pair_cosines(vectors, edges, min_sim, None if per_node else count)
-    ordered = pairs.orderBy(F.round("sim", 12).desc(), "a", "b")
     if not per_node:
-        return ordered.limit(count)
-    used: dict[int, int] = {}
-    out = []
-    for a, b, s in materialise(ordered, "similar").orderBy(F.round("sim", 12).desc(), "a", "b").toLocalIterator():
-        if len(out) == count:
-            break
-        if used.get(a, 0) < per_node and used.get(b, 0) < per_node:
-            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-            out.append((a, b, s))
-    return vectors.sparkSession.createDataFrame(out, "a long, b long, sim double")
+        return strongest_pairs(vectors, edges, count, min_sim)[0]
+    kept = _within_quota(pair_cosines(vectors, edges, min_sim), per_node)
+    return kept.orderBy(F.round("sim", 12).desc(), "a", "b").limit(count)
 
 
 def relabellings(n: int, trials: range, seed: int) -> np.ndarray:

@@ -461,6 +461,10 @@ c as (select *, row_number() over (partition by id, t order by scale <= coi desc
 e as (select id, t, scale <= coi and power > 0 and k <> edge as good, power, scale * case when p0 is not null and p0 - 2 * power + p2 <> 0 then pow(s2 / s0, (p0 - p2) / (4 * (p0 - 2 * power + p2))) else 1 end as top_ from c where r = 1)
 select id, t, round(case when good then top_ * 4 * pi() / (6 + sqrt(38e0)) else 0 end, 4) + 0e0 as period, round(case when good then power else 0 end, 4) + 0e0 as power from e""",
     "semantic_links": f"with {_SIMS} select a, b, {_R('sim', 'sim')} from p where {_UNLINKED} and sim >= 0.25 order by round(p.sim, 12) desc, a, b limit 40",
+    "semantic_quota": f"""with recursive {_SIMS}, c as materialized (select a, b, sim from p where {_UNLINKED} and sim >= 0.2),
+g(i, used, a, b, sim) as (select 0, []::bigint[], null::bigint, null::bigint, null::double union all
+  select g.i + 1, list_concat(g.used, [t.a, t.b]), t.a, t.b, t.sim from g, lateral (select c.a, c.b, c.sim from c where not list_contains(g.used, c.a) and not list_contains(g.used, c.b) order by round(c.sim, 12) desc, c.a, c.b limit 1) t where g.i < 30)
+select a, b, {_R('g.sim', 'sim')} from g where i > 0""",
     "nearest_cosines": f"with {_SIMS} select b as node, {_R('sim', 'sim')} from p where b = a + 1",
     "semantic_agreement": """with c as (select c_nationkey as node, [count(*) filter (o_orderpriority like '1%'), count(*) filter (o_orderpriority like '2%'), count(*) filter (o_orderpriority like '3%'), count(*) filter (o_orderpriority like '4%'), count(*) filter (o_orderpriority like '5%')]::double[] as v from orders join customer on o_custkey = c_custkey group by 1),
 k as (select n_nationkey as node, n_regionkey as r, v from nation join c on n_nationkey = c.node where list_dot_product(v, v) > 0),

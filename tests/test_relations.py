@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import communities, graph, joins, layout, metric, order, signal, stats
+from quillon.operators import communities, graph, joins, layout, metric, order, signal, stats, vectors
 
 rng = np.random.default_rng(11)
 
@@ -147,3 +147,29 @@ def test_null_samples_count_as_nothing(spark):
     for f in (signal.smoothed, signal.dft, lambda d: signal.convolve_reflect(d, [0.25, 0.5, 0.25]), lambda d: stats.lagged_correlation(d, 2)):
         assert sorted(map(str, f(a).collect())) == sorted(map(str, f(b).collect()))
     assert signal.smoothed(a.union(lost)).count() == 14 and signal.smoothed(a.limit(0)).count() == 0 == stats.lagged_correlation(a.limit(0), 2).count()
+
+
+def test_pairs_of_far_blocks_are_skipped(spark, monkeypatch):
+    """Vectors in narrow cones: the same pairs as all pairs give, and most pairs of blocks are never solved."""
+    monkeypatch.setattr(vectors, "BLOCK", 12)
+    cones = rng.normal(size=(9, 8))
+    v = (cones[np.arange(360) % 9] + rng.normal(size=(360, 8)) * 0.02).tolist()
+    df = spark.createDataFrame(list(enumerate(v)), "node long, v array<double>")
+    edges = spark.createDataFrame([(0, 0, 9), (1, 18, 9), (2, 5, 5)], "edge_id long, src long, dst long")
+    got, work = vectors.strongest_pairs(df, edges, 10, 0.5)
+    x = np.array(v)
+    sim = x @ x.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    want = sorted(((a, b, sim[a, b]) for a in range(360) for b in range(a + 1, 360) if (a, b) not in ((0, 9), (9, 18))), key=lambda p: (-round(p[2], 12), p[0], p[1]))[:10]
+    assert [(r.a, r.b) for r in got.collect()] == [p[:2] for p in want]
+    assert work["solved"] < 0.5 * work["pairs"]
+    assert vectors.pair_cosines(df, edges, 0.9).count() == sum(sim[a, b] >= 0.9 and (a, b) not in ((0, 9), (9, 18)) for a in range(360) for b in range(a + 1, 360))
+
+
+def test_vectors_of_unequal_length_and_nulls(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [2.0]), (3, [None, 1.0]), (4, []), (5, None), (None, [1.0]), (6, [0.0, 3.0, None]), (7, [0.0])]
+    df = spark.createDataFrame(rows, "node long, v array<double>")
+    none = spark.createDataFrame([], "edge_id long, src long, dst long")
+    assert [tuple(r) for r in vectors.similar_links(df, none, 10, 0.5).collect()] == [(1, 2, 1.0), (3, 6, 1.0)]
+    assert vectors.similar_links(df, none, 10, 0.5, 1).count() == 2 and vectors.similar_links(df.limit(0), none).count() == 0
+    got = df.where("node in (1, 3)").crossJoin(df.where("node = 6").select(F.col("v").alias("w"))).select(vectors.cosine(F.col("v"), F.col("w")).alias("c"))
+    assert sorted(r.c for r in got.collect()) == [0.0, 1.0]
