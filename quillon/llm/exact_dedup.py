@@ -7,9 +7,9 @@ row all of whose bits are set twice is possibly repeated. Only such rows shuffle
 hash; all others go straight to the result. False positives merely shuffle, so results are
 exact (texts are equal when their SHA-256 is).
 
-The filter is broadcast up to `BROADCAST_WORDS` words. A larger one is cut into shards by
-the word's leading bits: the compact hash rows (never the texts) are then written once by
-shard, and each shard is looked up in a broadcast of its own part of the filter.
+The filter is broadcast up to `BROADCAST_WORDS` words. A larger one meets the compact hash
+rows (never the texts) in one join by word; the rows of words that more than one row in 1,024 has,
+so those of hot hashes, meet theirs in a broadcast instead.
 Groups of more than `HOT` rows meet their result in a broadcast (there are at most rows /
 `HOT` of them, and `HOT` grows with the rows beyond 2^22), so no task gets a large group.
 """
@@ -19,11 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import drop, free_name, materialise, new_path, partitions
+from quillon.llm.lookup import look_up
+from quillon.session import free_name, materialise
 
 PROBES = 2
 BITS_PER_ROW = 32
-#: Most words of a filter, or of a shard of it, that are broadcast.
+#: Most words of a filter that are broadcast.
 BROADCAST_WORDS = 1 << 20
 #: Rows of a group from which it is hot, while there are at most 2^16 times as many rows.
 HOT = 64
@@ -62,42 +63,26 @@ def _probes(slots: int) -> list[Column]:
 
 
 def repeated_words(rows: DataFrame) -> DataFrame:
-    """The sparse filter: (word, bits), the bits that two rows or more have set.
+    """The sparse filter: (word, bits, refs), the bits that two rows or more have set, and how often
+    rows set them.
 
     rows: (word, mask). Equal pairs are counted before the shuffle.
     """
     each = rows.groupBy("word", "mask").agg(F.count("*").alias("c"))
     bit = F.explode(F.expr("filter(sequence(0, 63), i -> shiftright(mask, i) & 1L = 1L)")).alias("bit")
     twice = each.select("word", "c", bit).groupBy("word", "bit").agg(F.sum("c").alias("c")).where("c > 1")
-    return twice.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    return twice.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"), F.sum("c").alias("refs"))
 
 
-def _looked_up(rows: DataFrame, filter_: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, text_sha256, word, mask) with `maybe`, by a broadcast of the filter."""
-    out = rows.join(F.broadcast(filter_.withColumnRenamed("word", "_word")), F.col("word") == F.col("_word"), "left")
-    return out.select("doc_id", "n", "text_sha256", F.expr("coalesce(bits & mask = mask, false)").alias("maybe"))
-
-
-def _flagged(rows: DataFrame, slots: int) -> DataFrame:
-    """Rows (doc_id, n, text_sha256) with `maybe`: whether the filter holds them."""
-    spark = rows.sparkSession
+def _flagged(rows: DataFrame, slots: int, n: int) -> DataFrame:
+    """The `n` rows (doc_id, n, text_sha256) with `maybe`: whether the filter holds them."""
     probed = rows.select("doc_id", "n", "text_sha256", *_probes(slots))
-    filter_ = materialise(repeated_words(probed), "exact-filter")
-    held = filter_.count()
-    if held <= BROADCAST_WORDS:
-        return _looked_up(probed, filter_)
-    shards = 1 << (held // max(1, BROADCAST_WORDS)).bit_length() + 1
-    width = -(-max(1, slots // 64) // shards)
-    shard = F.expr(f"word div {width}L").cast("int")
-    by_shard, out = new_path(spark, "exact-shards"), new_path(spark, "exact-flagged")
-    # A hot hash is one word of a shard, so each shard is dealt over several tasks by id too.
-    dealt = probed.withColumn("shard", shard).repartition(max(partitions(spark), shards), "shard", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    dealt.write.partitionBy("shard").parquet(by_shard)
-    there = spark.read.parquet(by_shard)
-    for k in range(shards):
-        part = there.where(F.col("shard") == k).drop("shard")
-        _looked_up(part, filter_.where(shard == k)).write.mode("append").parquet(out)
-    return spark.read.parquet(out)
+    filter_ = materialise(repeated_words(probed).withColumnRenamed("word", "_word"), "exact-filter")
+    if filter_.count() <= BROADCAST_WORDS:
+        met = probed.join(F.broadcast(filter_.drop("refs")), F.col("word") == F.col("_word"), "left")
+    else:  # a row sets at most `PROBES` bits
+        met = materialise(look_up(probed, "word", filter_, "_word", "refs", PROBES * n), "exact-flagged")
+    return met.select("doc_id", "n", "text_sha256", F.expr("coalesce(bits & mask = mask, false)").alias("maybe"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +96,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = materialise(hashed(docs, id_col, text_col), "exact-rows")
     n = rows.count()
-    flagged = _flagged(rows, 1 << max(16, (n * BITS_PER_ROW).bit_length()))
+    flagged = _flagged(rows, 1 << max(16, (n * BITS_PER_ROW).bit_length()), n)
     maybe = flagged.where("maybe").drop("maybe")
     group = maybe.groupBy(F.col("text_sha256").alias("_sha")).agg(
         F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").alias("keep_id"))).alias("best"), F.count("*").alias("group_size")

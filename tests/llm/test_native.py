@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import exact_dedup, mixing
+from quillon.llm import exact_dedup, lookup, mixing
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -28,6 +28,14 @@ def test_exact_groups(hard, none, monkeypatch, words):
     assert exact_dedup.exact_groups(none).collect() == []
 
 
+def test_a_filter_that_is_joined_finds_the_same(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_WORDS", 3)
+    monkeypatch.setattr(lookup, "SHARE", 8)
+    assert sorted(map(tuple, exact_dedup.exact_groups(docs).collect())) == want
+
+
 @pytest.mark.parametrize("hot", [0, 2, 64])
 def test_exact_groups_survive_a_full_filter(hard, monkeypatch, hot):
     monkeypatch.setattr(exact_dedup, "HOT", hot)
