@@ -50,6 +50,8 @@ ROWS = 1024
 TURNS = 16
 #: Tasks that send sums of fixed size (17 MB each); two a core where that is more.
 SENDERS = 16
+#: Partitions of the scan that one task sums up; senders whose sums one task adds up.
+EACH, BRANCHES = 4, 64
 DISCOUNT = 0.5
 CHUNK = 1 << 10
 #: Shares of a document's words are whole multiples of this, so that their sums are exact.
@@ -321,20 +323,26 @@ def _sums(docs: DataFrame, table, weights: np.ndarray | None) -> np.ndarray:
         for k in range((1 << FEATURE_BITS) // CHUNK):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[k * CHUNK : (k + 1) * CHUNK].astype(size).tobytes()])], names=["chunk", "sums"])
 
-    def add(batches):
+    def add(batches, kind):
         sums = {}
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.frombuffer(c, size)
+                c = np.frombuffer(c, kind)
                 if k not in sums:
-                    sums[k] = np.zeros(len(c), np.int64 if size is np.uint32 else np.float64)
+                    sums[k] = np.zeros(len(c), np.int64 if kind is np.uint32 else np.float64)
                 sums[k] += c
         for k, c in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c.astype(np.float64).tobytes()])], names=["chunk", "sums"])
 
     chunks = (1 << FEATURE_BITS) // CHUNK
-    few = docs.select("text").coalesce(max(SENDERS, 2 * spark.sparkContext.defaultParallelism))
-    rows = few.mapInArrow(run, "chunk int, sums binary").repartition(chunks, "chunk").mapInArrow(add, "chunk int, sums binary")
+    senders = max(SENDERS, 2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // EACH)
+    sent = docs.select("text").coalesce(senders).mapInArrow(run, "chunk int, sums binary")
+    kind = size
+    if senders > BRANCHES:  # sums of some senders first, so that no task adds up those of all
+        some = -(-senders // BRANCHES)
+        dealt = sent.withColumn("branch", F.pmod(F.spark_partition_id(), F.lit(some))).repartition(chunks * some, "chunk", "branch").select("chunk", "sums")
+        sent, kind = dealt.mapInArrow(lambda it: add(it, size), "chunk int, sums binary"), np.float64
+    rows = sent.repartition(chunks, "chunk").mapInArrow(lambda it: add(it, kind), "chunk int, sums binary")
     out = np.zeros((1 << FEATURE_BITS, CLASSES))
     for k, c in rows.toLocalIterator():
         out[k * CHUNK : (k + 1) * CHUNK] = np.frombuffer(c, np.float64).reshape(CHUNK, CLASSES)
