@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quillon.session import materialise, ship
 
-#: Most columns whose cross products the driver decomposes.
-MOST_LANGUAGES = 4096
+#: Most columns whose cross products the driver decomposes (8 MB).
+MOST_LANGUAGES = 1024
 
 
 def _matrix(pdf: pd.DataFrame, square: bool = False) -> np.ndarray:
@@ -112,41 +112,101 @@ def svd(matrix: DataFrame) -> DataFrame:
     return _by_key(matrix, solve, "k long, s double, side string, at long, x double")
 
 
+def _times(share: DataFrame, mean: DataFrame, w: DataFrame, n: int, r: int) -> DataFrame:
+    """(lang, w0, ..): cross products of the centred columns times w, through the repos."""
+    cols = [f"w{k}" for k in range(r)]
+    c = mean.join(w, "lang").agg(*[F.sum(F.col("m") * F.col(x)).alias(f"c{x}") for x in cols])
+    y = share.join(w, "lang").groupBy("repo").agg(*[F.sum(F.col("a") * F.col(x)).alias(x) for x in cols])
+    y = materialise(y.join(F.broadcast(c)).select("repo", *[(F.col(x) - F.col(f"c{x}")).alias(x) for x in cols]), "languages-repos")
+    one = y.agg(*[F.sum(x).alias(f"s{x}") for x in cols])
+    z = share.join(y, "repo").groupBy("lang").agg(*[F.sum(F.col("a") * F.col(x)).alias(x) for x in cols])
+    return materialise(z.join(mean, "lang").join(F.broadcast(one)).select("lang", *[(F.col(x) - F.col("m") * F.col(f"s{x}")).alias(x) for x in cols]), "languages-step")
+
+
+def _mixed(w: DataFrame, by: np.ndarray) -> DataFrame:
+    """w times a small matrix."""
+    return w.select("lang", *[sum((F.col(f"w{j}") * float(by[j, k]) for j in range(len(by))), F.lit(0.0)).alias(f"w{k}") for k in range(by.shape[1])])
+
+
+def _inner(v: DataFrame, w: DataFrame, r: int) -> np.ndarray:
+    """Inner products of the columns of two tables, r squared numbers."""
+    both = v.join(w.select("lang", *[F.col(f"w{k}").alias(f"u{k}") for k in range(r)]), "lang")
+    row = both.agg(*[F.sum(F.col(f"w{i}") * F.col(f"u{j}")) for i in range(r) for j in range(r)]).first()
+    return np.array([x or 0.0 for x in row]).reshape(r, r)
+
+
+def _iterated(share: DataFrame, mean: DataFrame, n: int, r: int = 6, steps: int = 100) -> DataFrame:
+    """(lang, w0, w1): the two strongest directions by iteration of a block of `r`, made orthonormal
+    by its own inner products in each step; only r squared numbers reach the driver."""
+    draw = lambda k: (F.xxhash64("lang", F.lit(k)) / F.lit(2.0**63)).alias(f"w{k}")
+    w, old = materialise(mean.select("lang", *[draw(k) for k in range(r)]), "languages-start"), None
+    for _ in range(steps):
+        values, vectors = np.linalg.eigh(_inner(w, w, r))
+        good = values > values.max() * 1e-13
+        w = materialise(_mixed(w, vectors[:, good] / np.sqrt(values[good])), "languages-unit")
+        r = int(good.sum())
+        z = _times(share, mean, w, n, r)
+        values, vectors = np.linalg.eigh(_inner(w, z, r))
+        w = _mixed(z, vectors[:, ::-1])
+        done = old is not None and len(old) == len(values) and np.abs(values - old).max() <= 1e-14 * np.abs(values).max()
+        if done:
+            break
+        old = values
+    # The last product is that of the directions, in order, times their strengths.
+    w = materialise(w, "languages-last")
+    size = np.sqrt(np.maximum(np.diag(_inner(w, w, r)), 1e-300))
+    return w.select("lang", *[(F.col(f"w{k}") / float(size[k]) if k < r else F.lit(0.0)).alias(f"w{k}") for k in range(2)])
+
+
+def _solved(share: DataFrame, mean: DataFrame, n: int) -> DataFrame:
+    """(lang, w0, w1): the two strongest directions from all cross products, by one small matrix."""
+    spark = share.sparkSession
+    table = mean.toArrow()
+    names = sorted(table["lang"].to_pylist())
+    at = {x: k for k, x in enumerate(names)}
+    m = np.zeros(len(names))
+    m[[at[x] for x in table["lang"].to_pylist()]] = table["m"].to_numpy()
+    gram = -n * np.outer(m, m)
+    one, two = share.select("repo", F.col("lang").alias("l"), F.col("a").alias("x")), share.select("repo", F.col("lang").alias("k"), F.col("a").alias("y"))
+    sums = one.join(two, "repo").where("l <= k").groupBy("l", "k").agg(F.sum(F.col("x") * F.col("y")).alias("s")).toArrow()
+    i, j = ([at[x] for x in sums[c].to_pylist()] for c in "lk")
+    part = np.zeros_like(gram)
+    part[i, j] = sums["s"].to_numpy()
+    gram += part + np.triu(part, 1).T + np.tril(part, -1).T
+    _, vectors = np.linalg.eigh(gram)
+    loads = np.zeros((len(names), 2))
+    k = min(2, len(names), n)
+    loads[:, :k] = vectors[:, ::-1][:, :k]
+    return spark.createDataFrame([(x, *map(float, loads[k])) for x, k in at.items()], "lang string, w0 double, w1 double")
+
+
 def language_space(sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Places (repo, pc1, pc2) and one row (neg, pos), the languages at the ends of the first
     direction, from sizes (repo, lang, bytes).
 
-    Rows are shares of log(1 + bytes), columns centred. Cross products of columns are sums
-    over the repos' own languages; only they, at most `MOST_LANGUAGES` squared, reach the
-    driver. A direction's largest loading (the first language of equals) is positive. A repo
-    without bytes stands where a row of zeros does. Without a second direction pc2 is 0.
+    Rows are shares of log(1 + bytes), columns centred. Up to `MOST_LANGUAGES` languages
+    their cross products are one small matrix; more are iterated by joins. A direction's largest loading (the
+    first language of equals) is positive. A repo without bytes stands where a row of zeros
+    does. Without a second direction pc2 is 0. Rows without a repo or a language are left out.
     """
     spark = sizes.sparkSession
+    sizes = sizes.where("repo is not null and lang is not null")
     logs = sizes.groupBy("repo", "lang").agg(F.log1p(F.greatest(F.lit(0.0), F.max(F.coalesce("bytes", F.lit(0)).cast("double")))).alias("v"))
     total = logs.groupBy("repo").agg(F.sum("v").alias("t"))
     share = materialise(logs.join(total, "repo").select("repo", "lang", F.coalesce(F.try_divide("v", "t"), F.lit(0.0)).alias("a")), "languages")
-    names = sorted(r[0] for r in share.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     n = share.select("repo").distinct().count()
-    at = {x: k for k, x in enumerate(names)}
-    mean = np.zeros(len(names))
-    for lang, m in share.groupBy("lang").agg(F.sum("a")).collect():
-        mean[at[lang]] = m / n
-    gram = -n * np.outer(mean, mean)
-    one, two = share.select("repo", F.col("lang").alias("l"), F.col("a").alias("x")), share.select("repo", F.col("lang").alias("m"), F.col("a").alias("y"))
-    for a, b, s in one.join(two, "repo").where("l <= m").groupBy("l", "m").agg(F.sum(F.col("x") * F.col("y"))).collect():
-        gram[at[a], at[b]] += s
-        if a != b:
-            gram[at[b], at[a]] += s
-    _, vectors = np.linalg.eigh(gram) if names else (None, np.zeros((0, 0)))
-    loads = np.zeros((len(names), 2))
-    for pc in range(min(2, len(names), n)):
-        v = vectors[:, -1 - pc]
-        loads[:, pc] = v * (-1 if v[int(np.argmax(np.abs(np.round(v, 12))))] < 0 else 1)
-    rows = [(x, *map(float, loads[k])) for x, k in at.items()]
-    table = spark.createDataFrame(rows, "lang string, _w1 double, _w2 double")
-    shift = (mean @ loads).tolist()
-    xy = share.join(F.broadcast(table), "lang").groupBy("repo").agg(*[((F.sum(F.col("a") * F.col(f"_w{k}")) - shift[k - 1]) / max(n, 1) ** 0.5).alias(f"pc{k}") for k in (1, 2)])
-    ends = [(names[int(np.argmin(loads[:, 0]))], names[int(np.argmax(loads[:, 0]))])] if names else []
-    return xy, spark.createDataFrame(ends, "neg string, pos string")
+    if not n:
+        return share.select("repo", F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2")), spark.createDataFrame([], "neg string, pos string")
+    mean = materialise(share.groupBy("lang").agg((F.sum("a") / n).alias("m")), "languages-means")
+    small = mean.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES
+    w = materialise(_solved(share, mean, n) if small else _iterated(share, mean, n), "languages-directions")
+    # The sign of each direction: its largest loading, the first of equals within rounding.
+    top = w.agg(*[F.min_by(F.col(f"w{k}"), F.struct(-F.round(F.abs(F.col(f"w{k}")), 12), F.col("lang"))).alias(f"t{k}") for k in range(2)])
+    w = w.join(F.broadcast(top)).select("lang", *[(F.col(f"w{k}") * F.when(F.col(f"t{k}") < 0, -1.0).otherwise(1.0)).alias(f"w{k}") for k in range(2)])
+    w = materialise(w, "languages-directions")
+    shift = mean.join(w, "lang").agg(*[F.sum(F.col("m") * F.col(f"w{k}")).alias(f"s{k}") for k in range(2)])
+    met = F.broadcast(w) if small else w
+    xy = share.join(met, "lang").groupBy("repo").agg(*[F.sum(F.col("a") * F.col(f"w{k}")).alias(f"p{k}") for k in range(2)])
+    xy = xy.join(F.broadcast(shift)).select("repo", *[((F.col(f"p{k}") - F.col(f"s{k}")) / float(n) ** 0.5).alias(f"pc{k + 1}") for k in range(2)])
+    ends = w.agg(F.min_by("lang", F.struct(F.round("w0", 12), "lang")).alias("neg"), F.min_by("lang", F.struct(-F.round("w0", 12), F.col("lang"))).alias("pos"))
+    return xy, ends

@@ -92,6 +92,12 @@ def cycle_heat(spark, sf_dir):
     return metric.heat_kernel_signature(nodes, e).select("node", "t", r6(F.col("hks"), "hks"))
 
 
+def cycle_transports(spark, sf_dir):
+    """Work of the curvature of the cycles: transports, routes of mass and rises of prices."""
+    nodes, e = cycles(spark, sf_dir)
+    return metric.transport_tally(nodes, e.drop("length"))
+
+
 def cycle_flow(spark, sf_dir):
     """Three steps of the flow on the cycles of suppliers."""
     nodes, e = cycles(spark, sf_dir)
@@ -134,7 +140,7 @@ def part_communities(spark, sf_dir):
     return one.select("count", r6(F.col("cut"), "cut"), r6(F.col("q"), "q"), "parted")
 
 
-QUERIES = {f.__name__: f for f in (lcg_draws, customer_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
+QUERIES = {f.__name__: f for f in (lcg_draws, customer_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_transports, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
 
 _LCG = "c_custkey"
 for _ in range(5):
@@ -152,6 +158,8 @@ ORACLES = {
     # In a tree a link's curvature is the sum of its ends' inverse degrees less one, here 1/1 + 1/d - 1.
     "tree_curvature": f"with {_D} select cast(n_nationkey as bigint) as edge_id, round(1e0 / d, 6) + 0e0 as kappa from nation join d on n_regionkey = r",
     "cycle_curvature": f"with {_CYCLES} select node as edge_id, round(k.kappa, 6) + 0e0 as kappa from k",
+    # In a triangle one mass moves one step; in larger cycles two move, at one price up to five nodes.
+    "cycle_transports": f"with {_CYCLES} select count(*) filter (n > 2) as problems, coalesce(sum(case when n = 3 then 1 when n > 3 then 2 else 0 end), 0)::bigint as routes, count(*) filter (n > 5) as rises from k",
     # A cycle has the eigenvalues 1 - cos(2 pi j / n), a node without links 1; of parallel links one counts in the matrix: 1/2 and 3/2.
     "cycle_heat": f"""with {_CYCLES}, t as (select unnest([1e0, 10e0]) as t)
 select node, t, round(case when n = 1 then exp(-t) else (exp(-t / 2) + exp(-3 * t / 2)) / 2 end, 6) + 0e0 as hks from k, t where n < 3

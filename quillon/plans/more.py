@@ -58,8 +58,8 @@ def _nations(spark, sf_dir):
 
 
 def semantic_agreement(spark, sf_dir):
-    """How far nations' vectors and their regions agree (the test's p has no SQL)."""
-    return vectors.agreement(*_nations(spark, sf_dir), permutations=200).select(r6(F.col("rho"), "rho"), F.col("known").cast("long").alias("known"))
+    """How far nations' vectors and their regions agree, and how many of 200 relabellings agree as much."""
+    return vectors.agreement(*_nations(spark, sf_dir), permutations=200).select(r6(F.col("rho"), "rho"), r6(F.col("p"), "p"), F.col("known").cast("long").alias("known"))
 
 
 def _circle(v):
@@ -112,6 +112,14 @@ def spring_step(spark, sf_dir):
     return out.select("node", *[r6(F.col(c), c) for c in ("x", "y", "px", "py", "outside_mean")])
 
 
+def kicked_bodies(spark, sf_dir):
+    """Suppliers as bodies after a kick of their own."""
+    k = F.col("node")
+    b = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("node"), (F.col("s_acctbal") / 10).alias("x"), (F.col("s_suppkey") % 53 * 4.1).alias("y")).withColumns({"px": F.col("x") - 1, "py": F.col("y") + 2})
+    out = layout.impulse(b, lambda: ((k % 3) * 0.5, (k % 5) * -0.25))
+    return out.select("node", *[r6(F.col(c), c) for c in ("x", "y", "px", "py")])
+
+
 # Matrices
 
 
@@ -205,6 +213,12 @@ def notes_links(spark, sf_dir):
     return communities.notes_graph(*_notes(spark, sf_dir))[1].select(F.col("ord").cast("long").alias("ord"), "a", "b")
 
 
+def notes_hosts(spark, sf_dir):
+    """Hidden notes and the stars that they host, in the order met."""
+    hosts = communities.notes_graph(*_notes(spark, sf_dir))[2]
+    return hosts.select("hidden", F.col("pos").cast("long").alias("pos"), "star")
+
+
 # Pairs, systems and orbits
 
 
@@ -395,7 +409,7 @@ def order_numbers(spark, sf_dir):
     return ranked.select("o_orderkey", (F.col("total") - 1).alias("place"), r6(F.col("rank"), "rank_"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_links, semantic_quota, nearest_cosines, semantic_agreement, semantic_layout, spectral_layout, boxed, spring_step, cholesky_by_brand, solve_by_brand, eigen_by_brand, singular_values, without_trend, language_space, cut_line, cut_line_labels, notes_links, binaries, orbit_energy, leapfrog_step, phase_shifts, kepler_fit, corner_heights, field_heights, rivers, river_springs, snow_caps, scalogram, ridge, wavelet_scales, weekly_entropy, feed_days, feed_graph, shortest_paths, ricci_flow, procrustes, order_numbers)}
+QUERIES = {f.__name__: f for f in (semantic_links, semantic_quota, nearest_cosines, semantic_agreement, semantic_layout, spectral_layout, boxed, spring_step, cholesky_by_brand, solve_by_brand, eigen_by_brand, singular_values, without_trend, language_space, cut_line, cut_line_labels, notes_links, notes_hosts, kicked_bodies, binaries, orbit_energy, leapfrog_step, phase_shifts, kepler_fit, corner_heights, field_heights, rivers, river_springs, snow_caps, scalogram, ridge, wavelet_scales, weekly_entropy, feed_days, feed_graph, shortest_paths, ricci_flow, procrustes, order_numbers)}
 
 _R = lambda e, name: f"round({e}, 6) + 0e0 as {name}"
 _SIMS = """v as (select vec_id as node, embedding::double[] as v from embeddings),
@@ -466,11 +480,20 @@ g(i, used, a, b, sim) as (select 0, []::bigint[], null::bigint, null::bigint, nu
   select g.i + 1, list_concat(g.used, [t.a, t.b]), t.a, t.b, t.sim from g, lateral (select c.a, c.b, c.sim from c where not list_contains(g.used, c.a) and not list_contains(g.used, c.b) order by round(c.sim, 12) desc, c.a, c.b limit 1) t where g.i < 30)
 select a, b, {_R('g.sim', 'sim')} from g where i > 0""",
     "nearest_cosines": f"with {_SIMS} select b as node, {_R('sim', 'sim')} from p where b = a + 1",
-    "semantic_agreement": """with c as (select c_nationkey as node, [count(*) filter (o_orderpriority like '1%'), count(*) filter (o_orderpriority like '2%'), count(*) filter (o_orderpriority like '3%'), count(*) filter (o_orderpriority like '4%'), count(*) filter (o_orderpriority like '5%')]::double[] as v from orders join customer on o_custkey = c_custkey group by 1),
-k as (select n_nationkey as node, n_regionkey as r, v from nation join c on n_nationkey = c.node where list_dot_product(v, v) > 0),
-p as (select case when a.r = b.r then 1e0 else (select count(*) from nation) * 1e0 end as a, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 12) as b from k a join k b on a.node < b.node),
-q as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2e0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2e0 as rb from p)
-select round(corr(ra, rb), 6) + 0e0 as rho, (select count(*) from k) as known from q""",
+    "semantic_agreement": """with recursive c as (select c_nationkey as node, [count(*) filter (o_orderpriority like '1%'), count(*) filter (o_orderpriority like '2%'), count(*) filter (o_orderpriority like '3%'), count(*) filter (o_orderpriority like '4%'), count(*) filter (o_orderpriority like '5%')]::double[] as v from orders join customer on o_custkey = c_custkey group by 1),
+k as (select n_nationkey as node, n_regionkey as r, v, row_number() over (order by n_nationkey) - 1 as i, count(*) over () as n from nation join c on n_nationkey = c.node where list_dot_product(v, v) > 0),
+p as (select a.i, b.i as j, case when a.r = b.r then 1e0 else (select count(*) from nation) * 1e0 end as a, round(1 - list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)), 12) as b from k a join k b on a.i < b.i),
+q as (select i, j, rank() over (order by a) + (count(*) over (partition by a) - 1) / 2e0 - (count(*) over () + 1) / 2e0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2e0 - (count(*) over () + 1) / 2e0 as rb from p),
+tot as (select sum(ra * rb) as s, sqrt(sum(ra * ra) * sum(rb * rb)) as size from q),
+both_ as (select i, j, ra from q union all select j, i, ra from q),
+nn as (select max(n) as n from k),
+d(t, st) as (select 0, (1664525::hugeint + 1013904223) % 4294967296 union all select t + 1, (st * 1664525 + 1013904223) % 4294967296 from d, nn where t + 1 < 200 * (n - 1)),
+u as (select t // (n - 1) as trial, t % (n - 1) as step, st::double / 4294967296 as u from d, nn),
+pm(trial, i, p) as (select trial, (select n - 1 from nn), (select range(n) from nn) from (select unnest(range(200)) as trial) union all
+  select pm.trial, pm.i - 1, list_transform(pm.p, lambda x, y: case when y - 1 = pm.i then pm.p[1 + cast(floor(u.u * (pm.i + 1)) as bigint)] when y - 1 = cast(floor(u.u * (pm.i + 1)) as bigint) then pm.p[pm.i + 1] else x end)
+  from pm, nn, u where pm.i >= 1 and u.trial = pm.trial and u.step = n - 1 - pm.i),
+drawn as (select trial, sum(both_.ra * q.rb) as s from pm join q on pm.i = 0 join both_ on both_.i = pm.p[q.i + 1] and both_.j = pm.p[q.j + 1] group by trial)
+select round(s / size, 6) + 0e0 as rho, round((1 + (select count(*) from drawn where drawn.s >= tot.s - 1e-9 * size)) / 201e0, 6) + 0e0 as p, (select count(*) from k) as known from tot""",
     "semantic_layout": f"""with r as (select vec_id as node, embedding[1]::double as x0, embedding[2]::double as y0 from embeddings),
 s as (select least(40 / max(abs(x0)), 30 / max(abs(y0))) as k from r), b as (select node, x0 * k as x, y0 * k as y from r, s),
 t as (select vec_id as node, cos(vec_id % 60 * pi() / 30) * 5 as x, sin(vec_id % 60 * pi() / 30) * 3 as y from embeddings), {_turned('b', 't')}
@@ -514,6 +537,12 @@ o as (select *, min(pos) over (partition by hidden) as met, row_number() over (p
 u as (select 0 as part, pos as o1, 0 as o2, 0 as o3, a, b from k where sa and sb union all select 1, x.met, x.i, y.i, x.star, y.star from o x join o y on x.hidden = y.hidden and x.i < y.i where x.c <= 64),
 f as (select *, row_number() over (partition by least(a, b), greatest(a, b) order by part, o1, o2, o3) as r from u where a <> b)
 select row_number() over (order by part, o1, o2, o3) - 1 as ord, a, b from f where r = 1""",
+    "notes_hosts": """with n as (select p_partkey as pos, case when p_partkey % 89 = 0 then p_partkey || '/' || substr(p_brand, 7, 9) || '.qmd' else p_partkey::varchar end as id, p_partkey % 89 = 0 as land, p_partkey % 3 <> 1 and p_partkey % 89 <> 0 as star from part),
+e as (select l_orderkey * 256 + row_number() over w as pos, l_partkey as a, lead(l_partkey) over w as b from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey) qualify b is not null),
+k as (select e.pos, a.id as a, b.id as b, a.star as sa, b.star as sb, a.land as la, b.land as lb from e join n a on e.a = a.pos join n b on e.b = b.pos),
+h as (select pos, b as hidden, a as star from k where sa and not sb and not lb union all select pos, a, b from k where sb and not sa and not la)
+select hidden, row_number() over (partition by hidden order by pos) - 1 as pos, star from h""",
+    "kicked_bodies": f"select cast(s_suppkey as bigint) as node, {_R('s_acctbal / 10', 'x')}, {_R('s_suppkey % 53 * 4.1e0', 'y')}, {_R('s_acctbal / 10 - 1 - s_suppkey % 3 * 0.5e0', 'px')}, {_R('s_suppkey % 53 * 4.1e0 + 2 + s_suppkey % 5 * 0.25e0', 'py')} from supplier",
     "orbit_energy": f"""with {_STATE} select cast(a.s_nationkey as bigint) as nation, round(any_value(one) - 1e-3 * 4 * pi() * pi() * coalesce(sum(a.m * b.m / sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2))), 0), 2) + 0e0 as energy
 from (select *, sum(0.5e0 * m * (vx * vx + vy * vy) - 4 * pi() * pi() * m / sqrt(x * x + y * y)) over (partition by s_nationkey) as one from w) a left join w b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey group by a.s_nationkey""",
     "leapfrog_step": f"""with {_STATE}, p0 as ({_pull('x', 'y', 'w')}), hv as (select w.*, vx + 5e-5 * ax as hx, vy + 5e-5 * ay as hy from w join p0 using (s_suppkey)), d as (select *, x + 1e-4 * hx as nx, y + 1e-4 * hy as ny from hv),

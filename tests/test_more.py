@@ -268,9 +268,13 @@ def test_svd_rebuilds(spark, shape):
     assert np.allclose(u @ np.diag(s) @ v.T, a) and np.allclose(s, np.linalg.svd(a)[1], atol=1e-6) and (np.diff(s) <= 1e-12).all()
 
 
-def test_language_space(spark):
+@pytest.mark.parametrize("most", [1024, 1])
+def test_language_space(spark, monkeypatch, most):
+    """From one small matrix, and iterated by joins."""
+    monkeypatch.setattr(dense, "MOST_LANGUAGES", most)
     sizes = [("a", "Go", 900), ("a", "C", 80), ("b", "Go", 5000), ("b", "C", 100), ("c", "TS", 700), ("c", "CSS", 90), ("d", "TS", 9000), ("d", "CSS", 300), ("e", "Go", 60), ("f", "TS", 44), ("g", "Go", 0)]
-    xy, ends = dense.language_space(spark.createDataFrame(sizes, "repo string, lang string, bytes long"))
+    lost = [("z", None, 5), (None, "Go", 5)]  # left out
+    xy, ends = dense.language_space(spark.createDataFrame(sizes + lost, "repo string, lang string, bytes long"))
     names, langs = sorted({r[0] for r in sizes}), sorted({r[1] for r in sizes})
     m = np.zeros((len(names), len(langs)))
     for r, l, b in sizes:
@@ -280,7 +284,7 @@ def test_language_space(spark):
     _, _, vt = np.linalg.svd(m)
     vt = vt * np.where(vt[np.arange(len(vt)), np.abs(vt).argmax(1)] < 0, -1, 1)[:, None]
     got = {r["repo"]: (r["pc1"], r["pc2"]) for r in xy.collect()}
-    assert np.allclose([got[r] for r in names], m @ vt[:2].T / math.sqrt(len(names)))
+    assert got.keys() == set(names) and np.allclose([got[r] for r in names], m @ vt[:2].T / math.sqrt(len(names)))
     assert tuple(ends.first()) == (langs[int(vt[0].argmin())], langs[int(vt[0].argmax())])
     assert len({got[r][0] > 0 for r in "ab"} | {got[r][0] < 0 for r in "cd"}) == 1
 
