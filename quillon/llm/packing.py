@@ -32,7 +32,12 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every document: only longer ones are cut, into whole sequences and a rest."""
+    """Pieces of every document: only longer ones are cut, into whole sequences and a rest.
+
+    A null or empty text is its end id alone; null and repeated ids and repeated rows are
+    documents of their own; an empty table gives no rows. Other columns are ignored, whatever
+    their names.
+    """
     ship(docs.sparkSession)
 
     def cut(batches):

@@ -94,3 +94,18 @@ def test_repeated_rows_and_null_ids_through_all_stages(spark, hard, tmp_path):
     from quillon.llm import mixing
 
     assert len(begun) == mixing.mix(left).agg({"copies": "sum"}).first()[0]
+
+
+def _written(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (8, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return sorted(map(str, corpus_pipeline.run(spark, str(folder)).drop("sequence_id", "offset").collect()))
+
+
+def test_an_empty_table_passes_all_stages(spark, none, tmp_path):
+    assert _written(spark, none, tmp_path) == []
+
+
+def test_extra_columns_with_clashing_names_change_nothing(spark, hard, tmp_path):
+    plain = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    assert _written(spark, hard, tmp_path / "a") == _written(spark, plain, tmp_path / "b") != []
