@@ -17,6 +17,8 @@ from quillon.session import materialise, ship
 #: The shift under which the matrix is inverted, the change of a unit vector at
 #: which iteration ends, its most steps, the seed's distance to the third mode's stream.
 SHIFT, TOLERANCE, STEPS, DEPTH_SEED = 1e-3, 1e-8, 200, 1_000_000
+#: Most nodes of a component that is inverted as a dense matrix; most steps in a Krylov space.
+DENSE, LANCZOS = 1200, 120
 #: Fixed values of packing: the margin between components, the ring of lone nodes, its angle.
 MARGIN, RING, GOLDEN = 1.0, 0.6, 2.399963229728653
 #: Strengths of the spring layout, its damping, and the cap of speed with what a
@@ -56,11 +58,76 @@ def modes(laplacian: np.ndarray, degree: np.ndarray, start: list[list[float]]) -
     return np.array(out)
 
 
-def spectral_embedding(nodes: DataFrame, edges: DataFrame, seed: int = 1) -> DataFrame:
+class Sparse:
+    """A connected graph's normalised Laplacian plus `SHIFT` as rows of entries, and solutions with it."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int):
+        key = row * n + col
+        last = len(key) - 1 - np.unique(key[::-1], return_index=True)[1]  # of parallel links one counts
+        last = last[np.argsort(key[last])]
+        self.col, self.val, self.n = col[last], val[last], n
+        self.start = np.searchsorted(row[last], np.arange(n))
+        self.diagonal = np.bincount(row[last], np.where(row[last] == col[last], self.val, 0.0), n) + SHIFT
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.val * x[self.col], self.start) + SHIFT * x
+
+    def solve(self, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """By conjugate gradients from a first guess."""
+        r = b - self.times(x)
+        z = r / self.diagonal
+        p, rz, least = z.copy(), r @ z, 1e-13 * np.linalg.norm(b)
+        for _ in range(20 * self.n + 100):
+            if np.linalg.norm(r) <= least:
+                break
+            q = self.times(p)
+            a = rz / (p @ q)
+            x, r = x + a * p, r - a * q
+            z = r / self.diagonal
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        return x
+
+
+def sparse_modes(matrix: Sparse, degree: np.ndarray, start: list[list[float]]) -> np.ndarray:
+    """What `modes` gives, in memory that grows with the links: inverse iteration from a start stays in
+    the start's Krylov space, and so does the vector that it tends to, which is found there by Lanczos
+    steps with all vectors kept orthogonal."""
+    root = np.sqrt(degree)
+    basis = [root / np.linalg.norm(root)]
+    for draws in start:
+        fixed = np.array(basis)
+        clear = lambda v, f=fixed: v - f.T @ (f @ v)
+        v = clear(clear(np.array(draws) - 0.5))
+        kept, alpha, beta, best = [v / (np.linalg.norm(v) or 1.0)], [], [], None
+        for k in range(min(LANCZOS, matrix.n)):
+            w = clear(matrix.solve(kept[-1], kept[-1] / SHIFT if k == 0 else kept[-1] * alpha[-1]))
+            alpha.append(float(w @ kept[-1]))
+            space = np.array(kept)
+            for _ in range(2):
+                w = clear(w - space.T @ (space @ w))
+            beta.append(float(np.linalg.norm(w)))
+            values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta[:-1], 1) + np.diag(beta[:-1], -1))
+            best = vectors[:, -1]
+            if beta[-1] * abs(best[-1]) <= 1e-11 * values[-1] or beta[-1] <= 1e-13 * values[-1]:
+                break
+            kept.append(w / beta[-1])
+        v = np.array(kept[: len(best)]).T @ best
+        basis.append(v / np.linalg.norm(v))
+    out = []
+    for v in basis[1:]:
+        u = v / root
+        u = u / (np.linalg.norm(u) or 1.0)
+        out.append(u if u[int(np.argmax(np.abs(u)))] > 0 else -u)
+    return np.array(out)
+
+
+def spectral_embedding(nodes: DataFrame, edges: DataFrame, seed: int = 1, dense: int = DENSE) -> DataFrame:
     """(node, x, y, z): three modes of each component, components packed along x, the whole
     centred with root mean square 1 on each axis (an axis of zeros stays).
 
-    Components are solved one in a task, so one must fit it (n^2 numbers). They are numbered
+    Components are solved one in a task: up to `DENSE` nodes by a dense inverse, larger ones in
+    memory that grows with their links. They are numbered
     by their smallest node and take their start vectors in that order from one stream (two
     modes) and another (the third), jumping to their place. Packing: the largest component in
     the middle, others right and left in turn; lone nodes sit on a ring. Parallel links count
@@ -78,15 +145,19 @@ def spectral_embedding(nodes: DataFrame, edges: DataFrame, seed: int = 1) -> Dat
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         at, names = pd.factorize(pdf["row"], sort=True)
-        n = len(names)
-        a, degree = np.zeros((n, n)), np.zeros(n)
-        a[at, np.searchsorted(names, pdf["col"])] = pdf["val"]
+        n, to = len(names), np.searchsorted(names, pdf["col"])
+        degree = np.zeros(n)
         degree[at] = pdf["degree"]
         flat, deep = int(pdf["flat_at"].iloc[0]), int(pdf["deep_at"].iloc[0])
         start = [stream(seed, flat + k * n, n) for k in range(min(2, n - 1))]
         if n > 3:
             start.append(stream(seed + DEPTH_SEED, deep, n))
-        u = modes(a, degree, start)
+        if n <= dense:
+            a = np.zeros((n, n))
+            a[at, to] = pdf["val"]
+            u = modes(a, degree, start)
+        else:
+            u = sparse_modes(Sparse(at, to, pdf["val"].to_numpy(), n), degree, start)
         xyz = np.zeros((3, n))
         xyz[: len(u)] = (u - u.mean(1, keepdims=True)) * math.sqrt(n)
         return pd.DataFrame({"node": names, "component": pdf["component"].iloc[0], "x": xyz[0], "y": xyz[1], "z": xyz[2]})

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import draw_table, draws
-from quillon.operators import communities, metric
+from quillon.operators import communities, layout, metric
 from quillon.plans.core import r6
 
 
@@ -132,6 +132,12 @@ def part_flow(spark, sf_dir):
     return metric.ricci_flow(*parts(spark, sf_dir), 3).select("edge_id", r6(F.col("length"), "length"), r6(F.col("kappa"), "kappa"))
 
 
+def part_layout(spark, sf_dir):
+    """Spectral embedding of all parts: one large component."""
+    out = layout.spectral_embedding(*parts(spark, sf_dir))
+    return out.select("node", r6(F.col("x"), "x"), r6(F.col("y"), "y"), r6(F.col("z"), "z"))
+
+
 def part_communities(spark, sf_dir):
     """The best cut of the parts' links after two steps of the flow."""
     nodes, e = parts(spark, sf_dir)
@@ -140,7 +146,7 @@ def part_communities(spark, sf_dir):
     return one.select("count", r6(F.col("cut"), "cut"), r6(F.col("q"), "q"), "parted")
 
 
-QUERIES = {f.__name__: f for f in (lcg_draws, customer_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_transports, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_communities)}
+QUERIES = {f.__name__: f for f in (lcg_draws, customer_draws, magnitudes, tree_curvature, tree_heat, ring_curvature, ring_heat, ring_transports, cycle_curvature, cycle_transports, cycle_heat, cycle_flow, cut_cycles, part_curvature, part_flow, part_layout, part_communities)}
 
 _LCG = "c_custkey"
 for _ in range(5):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import draws
 from quillon.operators import communities, graph, joins, layout, metric, order, signal, stats, vectors
 
 rng = np.random.default_rng(11)
@@ -173,3 +174,35 @@ def test_vectors_of_unequal_length_and_nulls(spark):
     assert vectors.similar_links(df, none, 10, 0.5, 1).count() == 2 and vectors.similar_links(df.limit(0), none).count() == 0
     got = df.where("node in (1, 3)").crossJoin(df.where("node = 6").select(F.col("v").alias("w"))).select(vectors.cosine(F.col("v"), F.col("w")).alias("c"))
     assert sorted(r.c for r in got.collect()) == [0.0, 1.0]
+
+
+def entries(n, pairs):
+    degree = np.bincount(np.array(pairs).ravel(), minlength=n).astype(float)
+    full, row, col, val = np.eye(n), list(range(n)), list(range(n)), [1.0] * n
+    for a, b in pairs:
+        w = -1 / np.sqrt(degree[a] * degree[b])
+        full[a, b] = full[b, a] = w
+        row, col, val = [*row, a, b], [*col, b, a], [*val, w, w]
+    return full, degree, layout.Sparse(np.array(row), np.array(col), np.array(val), n)
+
+
+@pytest.mark.parametrize("kind", ["random", "cycle"])
+def test_sparse_modes_equal_dense_ones(kind):
+    """600 nodes: a random graph with a path hung on it and parallel links; a cycle, whose eigenvalues
+    repeat. Where the largest entries are as large on both sides, only the sign is open."""
+    n = 600
+    pairs = [(k, (k + 1) % n) for k in range(n)]
+    if kind == "random":
+        pairs = [(int(a), int(b)) for a, b in rng.integers(0, 580, (1500, 2)) if a != b] + [(k, k + 1) for k in range(n - 1)] + [(0, 1), (0, 1)]
+    full, degree, sparse = entries(n, pairs)
+    start = [draws.stream(3, 0, n), draws.stream(3, n, n), draws.stream(3 + layout.DEPTH_SEED, 0, n)]
+    for a, b in zip(layout.modes(full, degree, start), layout.sparse_modes(sparse, degree, start), strict=True):
+        assert min(np.abs(a - b).max(), np.abs(a + b).max()) * np.sqrt(n) < 1e-4
+
+
+def test_an_embedding_by_sparse_modes(spark):
+    pairs = [(k, k + 1) for k in range(30)] + [(31, 32), (33, 34), (34, 35)]
+    nodes = spark.range(37).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "edge_id long, src long, dst long")
+    a, b = (np.array([(r.x, r.y, r.z) for r in layout.spectral_embedding(nodes, edges, 3, d).orderBy("node").collect()]) for d in (layout.DENSE, 3))
+    assert np.allclose((b**2).mean(0), 1) and np.allclose(np.sort(np.abs(a[:31, 1])), np.sort(np.abs(b[:31, 1])), atol=1e-5)
