@@ -1,15 +1,16 @@
 """Document fingerprints: Merkle trees over passages, paragraphs and sections.
 
-A passage ends at a line end or after a word whose hash is a multiple of 2^k, where k grows
-with the number of words before it (a quarter of which 2^k never exceeds, nor `MOST`, or twice that from `FAR` words on), and
-after 2^(k+1) words without such an end; so leaves are single words at a text's start and
-some 16 to 30 words far from it, whatever the text's length, and texts of any two lengths
-share the leaves of what they share. A paragraph is a line; a section ends at a blank line
-or after a paragraph whose digest is a multiple of `SECTION`. A word of more than `WORD`
-bytes gets ends by the bytes before them (windows of `WINDOW` bytes), the rarer the more
-bytes come before, and what is still longer than `LONGEST` is cut at fixed distances. Ends depend on the text near them and,
-in steps of powers of two, on how much of it comes before; so an edit changes the branches above it and at most
-one leaf at each step after it.
+A passage ends at a line end or after a word whose hash is a multiple of 2^k, and after
+2^(k+1) words without such an end. Here k grows with the words before: 2^k is at most a
+quarter of them, and at most `MOST`, or twice that from `FAR` words on. So passages are
+single words at a text's start and some 16 to 30 words far from it, whatever the text's
+length, and texts of any two lengths share the passages of what they share. A paragraph is a
+line; a section ends at a blank line or after a paragraph whose digest is a multiple of
+`SECTION`. A word of more than `WORD` bytes gets ends by the bytes before them (windows of
+`WINDOW` bytes), the rarer the more bytes come before; what is still longer than `LONGEST`
+is cut at fixed distances. Ends depend on the text near them and, in powers of two, on how
+much of it comes before; so an edit changes the branches above it and at most one passage
+at each power after it.
 
 A passage's digest is BLAKE2b of its bytes; a paragraph's digest is that of its passages'
 digests, a section's that of its paragraphs', the root's that of its sections'. Roots decide
