@@ -172,13 +172,13 @@ select node, t, round(case when n = 1 then exp(-t) else (exp(-t / 2) + exp(-3 *
 union all select node, t, round(sum(exp(-t * (1 - cos(2 * pi() * j / n)))) / any_value(n), 6) + 0e0 from k, t, (select unnest(range(0, 100000)) as j) where j < n and n > 2 group by 1, 2""",
     "cycle_flow": f"with {_CYCLES} select node as edge_id, round(pow(1 - k.kappa / 2, 3) / avg(pow(1 - k.kappa / 2, 3)) over (), 6) + 0e0 as length, round(k.kappa, 6) + 0e0 as kappa from k",
     "cut_cycles": f"""with {_CYCLES}, a as (select length as l, row_number() over (order by length) - 1 as k, count(*) over () as n from (select distinct length from y where length > (select avg(length) from y))),
-cuts as (select distinct l * (1 - 1e-9) as cut from a where n <= 64 or k in (select i * (n - 1) // 63 from (select unnest(range(0, 64)) as i))),
+cuts as (select distinct l * (1 - 1e-9) as cut from a where n <= 64 or k in (select i * (n - 1) // 63 from (select unnest(range(0, 64)) as i)) union all select max(length) from y having not exists (select 1 from a)),
 c as (select cut, node, r, i, n, sum(case when length > cut then 1 else 0 end) over (partition by cut, r order by i) - case when length > cut then 1 else 0 end as c, sum(case when length > cut then 1 else 0 end) over (partition by cut, r) as all_ from y, cuts),
 lab as (select *, case when all_ > 0 then c % all_ else 0 end as label from c),
 ins as (select a.cut, a.r, a.label, a.n, a.label = b.label and a.n > 1 as inside from lab a join lab b on a.cut = b.cut and a.r = b.r and b.i = (a.i + 1) % a.n),
 m as (select sum(case when n > 1 then 1 else 0 end) * 1e0 as m, count(distinct r) as rings from y),
 q as (select cut, r, label, sum(case when n > 1 then 2 else 0 end) as d, sum(case when inside then 1 else 0 end) as inside from ins group by 1, 2, 3),
-s as (select cut, count(*) as count, sum(inside / m - pow(d / (2 * m), 2)) as q, any_value(rings) as rings from q, m group by cut)
+s as (select cut, count(*) as count, coalesce(sum(inside / nullif(m, 0) - pow(d / (2 * nullif(m, 0)), 2)), 0e0) as q, any_value(rings) as rings from q, m group by cut)
 select cast(count as bigint) as count, round(s.cut, 6) + 0e0 as cut, round(s.q, 6) + 0e0 as q, cast(count - rings as bigint) as parted from s order by round(s.q, 12) desc, s.cut limit 1""",
     # Stars have the eigenvalues 0, 1 and 2.
     "tree_heat": f"""with {_D}, t as (select unnest([1e0, 10e0]) as t)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillon import plans
 from quillon.functions import sky
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "benchmark")
 
 
 @pytest.fixture(scope="module")
