@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import systems
+from quillon.operators import metric, systems
 
 
 def test_energy_of_two_bodies_in_one_place(spark):
@@ -14,3 +14,30 @@ def test_energy_of_two_bodies_in_one_place(spark):
     states = spark.createDataFrame([(1, 1, 0.5, 1.0, 0.0, 0.0, 1.0), (1, 2, 0.5, 1.0, 0.0, 0.0, 1.0), (2, 3, 0.5, 1.0, 0.0, 0.0, 1.0)], one)
     got = {r.system: r.energy for r in systems.energy(states, 1e-3).collect()}
     assert got[1] == float("-inf") and got[2] == pytest.approx(0.25 - 4 * np.pi**2 * 0.5)
+
+
+def test_heat_by_series_is_heat_by_eigenvectors():
+    rng = np.random.default_rng(3)
+    n = 700
+    a, b = np.concatenate([np.arange(n - 1), rng.integers(0, n, 300)]), np.concatenate([np.arange(1, n), rng.integers(0, n, 300)])
+    a, b = a[a != b], b[a != b]
+    row, col = np.concatenate([a, b]), np.concatenate([b, a])
+    root = np.sqrt(np.bincount(row, minlength=n))
+    row, col, val = np.concatenate([row, np.arange(n)]), np.concatenate([col, np.arange(n)]), np.concatenate([-1 / (root[row] * root[col]), np.ones(n)])
+    m = np.zeros((n, n))
+    m[row, col] = val
+    values, vectors = np.linalg.eigh(m)
+    want = vectors**2 @ np.exp(-np.outer(values, [1.0, 10.0, 60.0]))
+    got = metric._heat_by_series(row, col, val, n, range(5, 690), [1.0, 10.0, 60.0])
+    assert np.abs(got - want[5:690]).max() < 1e-12
+
+
+def test_heat_of_a_large_cycle_has_no_cut(spark):
+    n = 5000
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    edges = nodes.select(F.col("node").alias("edge_id"), F.col("node").alias("src"), ((F.col("node") + 1) % n).alias("dst"))
+    got = metric.heat_kernel_signature(nodes, edges, max_dense=None).groupBy("t").agg(F.count_distinct("node").alias("n"), F.min("hks").alias("low"), F.max("hks").alias("high")).collect()
+    for r in got:
+        want = np.exp(-r.t * (1 - np.cos(2 * np.pi * np.arange(n) / n))).mean()
+        assert r.n == n and r.low == pytest.approx(want, abs=1e-12) and r.high == pytest.approx(want, abs=1e-12)
+    assert len(got) == 2
