@@ -168,13 +168,18 @@ def _first(rows: Column, key: Callable[[Column], Column]) -> Column:
     return let(F.struct(rows.alias("r"), F.transform(rows, key).alias("k")), lambda s: F.filter(s["r"], lambda x, i: F.array_position(s["k"], key(x)) == i + 1))
 
 
+def _up_to(rows: Column, most: int | None) -> Column:
+    """The first rows; all, if there is no cap."""
+    return rows if most is None else F.slice(rows, 1, most)
+
+
 def _parsed(json: Column, body: Callable[[Column], Column]) -> Column:
     return let(F.try_parse_json(json), body)
 
 
-def graph(json: Column) -> Column:
+def graph(json: Column, most_nodes: int | None = NODES, most_edges: int | None = EDGES) -> Column:
     """Notes and links: the first `NODES` items that are objects, and the first `EDGES` links, given
-    as pairs or as objects with from and to, whose ends are notes."""
+    as pairs or as objects with from and to, whose ends are notes. A cap of None takes all."""
 
     def node(n):
         week = part(n, "week")
@@ -186,11 +191,11 @@ def graph(json: Column) -> Column:
         return F.struct(raw_text(F.when(named, F.get(pair, F.lit(0))).otherwise(part(e, "from"))).alias("a"), raw_text(F.when(named, F.get(pair, F.lit(1))).otherwise(part(e, "to"))).alias("b"))
 
     def body(v):
-        nodes = F.transform(F.filter(F.slice(items(part(v, "nodes")), 1, NODES), is_object), node)
+        nodes = F.transform(F.filter(_up_to(items(part(v, "nodes")), most_nodes), is_object), node)
 
         def linked(ns):
             known = F.map_from_entries(F.transform(F.array_distinct(F.transform(ns, lambda n: n["id"])), lambda i: F.struct(i.alias("key"), F.lit(True).alias("value"))))
-            return let(known, lambda ids: F.slice(F.filter(F.transform(items(part(v, "edges")), ends), lambda e: sure(F.try_element_at(ids, e["a"])) & sure(F.try_element_at(ids, e["b"]))), 1, EDGES))
+            return let(known, lambda ids: _up_to(F.filter(F.transform(items(part(v, "edges")), ends), lambda e: sure(F.try_element_at(ids, e["a"])) & sure(F.try_element_at(ids, e["b"]))), most_edges))
 
         return let(nodes, lambda ns: F.struct(ns.cast(f"array<{NODE}>").alias("nodes"), linked(ns).alias("edges")))
 
@@ -259,9 +264,9 @@ def _page(n: Column) -> Column:
     return is_object(n) & sure(units(raw_text(part(n, "html"))).between(1, HTML))
 
 
-def semantic(json: Column) -> Column:
+def semantic(json: Column, most_notes: int | None = NOTES) -> Column:
     """Vectors of one length up to `DIRECTIONS`: of notes with exactly as many finite numbers, the
-    first of each link, up to `NOTES`; dim is 0 if none is left."""
+    first of each link, up to `NOTES` (or another cap; None: all); dim is 0 if none is left."""
 
     def body(v):
         dim = whole(part(v, "dim"))
@@ -270,7 +275,7 @@ def semantic(json: Column) -> Column:
         note = lambda n: F.struct(text(part(n, "html")).alias("html"), F.transform(items(part(n, "v")), finite).alias("v"))
         notes = F.transform(F.filter(F.when(dim > 0, items(part(v, "notes"))).otherwise(F.array().cast("array<variant>")), fits), note)
         model, share = raw_text(part(v, "model")), finite(part(v, "explained"))
-        return let(F.slice(_first(notes, lambda n: n["html"]), 1, NOTES), lambda ns: F.struct(F.when(F.size(ns) > 0, dim).otherwise(0).alias("dim"), F.when(units(model) <= MODEL, model).alias("model"), F.when(share.between(0, 1), share).alias("explained"), ns.alias("notes")))
+        return let(_up_to(_first(notes, lambda n: n["html"]), most_notes), lambda ns: F.struct(F.when(F.size(ns) > 0, dim).otherwise(0).alias("dim"), F.when(units(model) <= MODEL, model).alias("model"), F.when(share.between(0, 1), share).alias("explained"), ns.alias("notes")))
 
     return _parsed(json, body)
 
@@ -288,13 +293,14 @@ def excerpts(json: Column) -> Column:
     return _parsed(json, body)
 
 
-def text_index(json: Column) -> Column:
-    """The manifest of a text index: n shards, exactly n names of files, and ids; all or nothing."""
+def text_index(json: Column, most_ids: int | None = NOTES) -> Column:
+    """The manifest of a text index: n shards, exactly n names of files, and ids, the first `NOTES`
+    (or another cap; None: all); all or nothing."""
 
     def body(v):
         n = whole(part(v, "n"))
         names = F.transform(items(part(v, "shards")), raw_text)
-        ids = F.slice(F.transform(F.filter(items(part(v, "ids")), lambda h: sure(units(raw_text(h)).between(1, HTML))), text), 1, NOTES)
+        ids = _up_to(F.transform(F.filter(items(part(v, "ids")), lambda h: sure(units(raw_text(h)).between(1, HTML))), text), most_ids)
         good = sure(n.between(1, SHARDS) & (F.size(names) == n)) & F.forall(names, lambda s: sure(s.rlike(SHARD))) & (F.size(ids) > 0)
         none = F.array().cast("array<string>")
         return let(good, lambda ok: F.struct(F.lit(1).alias("v"), F.when(ok, n.cast("int")).otherwise(0).alias("n"), F.when(ok, names).otherwise(none).alias("shards"), F.when(ok, ids).otherwise(none).alias("ids")))
@@ -320,18 +326,18 @@ def text_shard(json: Column, id_count: Column | int) -> Column:
     return _parsed(json, body)
 
 
-def flow(json: Column) -> Column:
+def flow(json: Column, most_nodes: int | None = NODES, most_edges: int | None = EDGES) -> Column:
     """A flow's outcome: the first `NODES` notes, the first `EDGES` links of two of them with a length
-    above 0, and its numbers; `parted` only up to the number of clusters."""
+    above 0, and its numbers; `parted` only up to the number of clusters. A cap of None takes all."""
 
     def body(v):
-        nodes = F.slice(F.transform(F.filter(items(part(v, "nodes")), lambda n: sure(units(raw_text(n)).between(1, HTML))), text), 1, NODES)
+        nodes = _up_to(F.transform(F.filter(items(part(v, "nodes")), lambda n: sure(units(raw_text(n)).between(1, HTML))), text), most_nodes)
 
         def feed(ns):
             link = lambda e: F.struct(*[whole(F.get(items(e), F.lit(k))).alias(c) for k, c in enumerate("ij")], finite(F.get(items(e), F.lit(2))).alias("len"))
             good = lambda e: sure(e["i"].between(0, F.size(ns) - 1) & e["j"].between(0, F.size(ns) - 1) & (e["i"] != e["j"]) & (e["len"] > 0))
             links = F.filter(F.transform(F.filter(items(part(v, "edges")), lambda e: is_list(e) & (F.size(items(e)) == 3)), link), good)
-            links = F.transform(F.slice(links, 1, EDGES), lambda e: F.struct(e["i"].cast("int").alias("i"), e["j"].cast("int").alias("j"), e["len"].alias("len")))
+            links = F.transform(_up_to(links, most_edges), lambda e: F.struct(e["i"].cast("int").alias("i"), e["j"].cast("int").alias("j"), e["len"].alias("len")))
             count = lambda c: F.coalesce(F.when(whole(part(v, c)) >= 0, whole(part(v, c))), F.lit(0.0)).cast("long")
             size = lambda c: F.coalesce(F.when(finite(part(v, c)) >= 0, finite(part(v, c))), F.lit(0.0))
             q, parted = finite(part(v, "q")), whole(part(v, "parted"))

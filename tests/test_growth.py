@@ -1,11 +1,11 @@
 """What larger tables brought out: caps, coincidences and ways beyond the small ones."""
 
-import json
-
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import plans
 from quillon.operators import metric, systems
 
 
@@ -41,3 +41,25 @@ def test_heat_of_a_large_cycle_has_no_cut(spark):
         want = np.exp(-r.t * (1 - np.cos(2 * np.pi * np.arange(n) / n))).mean()
         assert r.n == n and r.low == pytest.approx(want, abs=1e-12) and r.high == pytest.approx(want, abs=1e-12)
     assert len(got) == 2
+
+
+#: Queries whose files, one for each nation, once met the caps of their validators.
+FED = ("feed_graph",)
+
+
+@pytest.fixture(scope="session")
+def many_suppliers(tmp_path_factory):
+    """9,000 suppliers of two nations."""
+    d = tmp_path_factory.mktemp("suppliers")
+    with duckdb.connect() as c:
+        c.execute(f"copy (select i::bigint as s_suppkey, 'S' || i as s_name, (i // 25 % 2)::int as s_nationkey, i % 1000 * 1e0 as s_acctbal from range(1, 9001) t(i)) to '{d}/supplier.parquet' (format parquet)")
+    return str(d)
+
+
+@pytest.mark.parametrize("query", FED)
+def test_feeds_without_caps(spark, many_suppliers, query):
+    got = plans.queries()[query](spark, many_suppliers)
+    with duckdb.connect() as c:
+        c.execute(f"create view supplier as select * from '{many_suppliers}/supplier.parquet'")
+        want = sorted(map(str, c.execute(f"select {', '.join(got.columns)} from ({plans.oracle_sql()[query]})").fetchall()))
+    assert sorted(str(tuple(r)) for r in got.collect()) == want
