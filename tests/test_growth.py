@@ -49,10 +49,10 @@ FED = ("feed_graph", "feed_flow", "feed_semantic", "feed_text_index", "feed_lang
 
 @pytest.fixture(scope="session")
 def many_suppliers(tmp_path_factory):
-    """9,000 suppliers of two nations."""
+    """18,000 suppliers of two nations."""
     d = tmp_path_factory.mktemp("suppliers")
     with duckdb.connect() as c:
-        c.execute(f"copy (select i::bigint as s_suppkey, 'S' || i as s_name, (i // 25 % 2)::int as s_nationkey, i % 1000 * 1e0 as s_acctbal from range(1, 9001) t(i)) to '{d}/supplier.parquet' (format parquet)")
+        c.execute(f"copy (select i::bigint as s_suppkey, 'S' || i as s_name, (i // 25 % 2)::int as s_nationkey, i % 1000 * 1e0 as s_acctbal from range(1, 18001) t(i)) to '{d}/supplier.parquet' (format parquet)")
     return str(d)
 
 
@@ -61,5 +61,5 @@ def test_feeds_without_caps(spark, many_suppliers, query):
     got = plans.queries()[query](spark, many_suppliers)
     with duckdb.connect() as c:
         c.execute(f"create view supplier as select * from '{many_suppliers}/supplier.parquet'")
-        want = sorted(map(str, c.execute(f"select {', '.join(got.columns)} from ({plans.oracle_sql()[query]})").fetchall()))
+        want = sorted(map(str, c.execute(f"select {', '.join(f'"{x}"' for x in got.columns)} from ({plans.oracle_sql()[query]})").fetchall()))
     assert sorted(str(tuple(r)) for r in got.collect()) == want
