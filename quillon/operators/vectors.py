@@ -14,6 +14,8 @@ from quillon.session import materialise, partitions, ship
 
 #: Vectors of a block; two blocks meet in one task.
 BLOCK = 2048
+#: Groups of blocks, more of them only where a group would hold more rows than these.
+GROUPS, GROUP_ROWS = 16, 1 << 16
 #: Most cells, and rows drawn for their pivots.
 PIVOTS = 256
 #: Most nodes whose rank matrices are broadcast (two of 8 n^2 bytes) for relabellings.
@@ -86,6 +88,7 @@ class Blocks:
             self.count += parts[cell]
         table = spark.createDataFrame([(c, first[c], parts[c]) for c in sorted(parts)], "cell int, first int, parts int")
         self.places = placed.join(F.broadcast(table), "cell").withColumn("own", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int"))
+        self.rows = n
         self.width, self.vectors = width, materialise(self.places.select("node", "v", "own", "cell", "angle"), "vectors-blocks")
         turn = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
         between = spark.createDataFrame([(i, j, float(turn[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "ca int, cb int, turn double")
@@ -95,26 +98,30 @@ class Blocks:
         least = F.greatest(F.lit(0.0), F.col("turn") - F.col("ra") - F.col("rb") - 1e-7)
         self.pairs = materialise(pairs.select(F.col("a").alias("p"), F.col("b").alias("q"), F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.cos(F.least(least, F.lit(float(np.pi))))).alias("most")), "vectors-pairs")
 
-    def solve(self, pairs: DataFrame, edges: DataFrame | None, min_sim: float, top: int | None) -> DataFrame:
-        """(a, b, sim) of the vectors of pairs of blocks (p, q): each pair is one product in one task."""
+    def solve(self, pairs: DataFrame, edges: DataFrame | None, min_sim: float, top: int | None, per_node: int | None = None) -> DataFrame:
+        """(a, b, sim) of the vectors of pairs of blocks (p, q): each pair is one product.
+
+        Blocks lie in groups, and a task has the pairs of two groups, so that a row is sent once for each
+        group, not for each block: `GROUPS` times, and a task holds two groups of at most `GROUP_ROWS` rows or
+        `GROUPS`. Of a task's pairs the strongest `top` come back, before that of each node `per_node`.
+        """
         spark, width = pairs.sparkSession, self.width
         block = self.vectors.select("node", "v", "own")
-        ends = pairs.select("p", "q", F.explode(F.array_distinct(F.array("p", "q"))).alias("own"))
-        left = block.join(ends, "own").select("node", "v", "own", "p", "q")
+        groups = min(max(1, self.count), max(GROUPS, -(-self.rows // GROUP_ROWS)))
+        group = lambda c, name: F.expr(f"cast(cast({c} as bigint) * {groups} div {max(1, self.count)} as int)").alias(name)
+        some = pairs.select("p", "q", group("p", "gp"), group("q", "gq"))
+        ends = some.select("gp", "gq", F.explode(F.array(F.struct(F.col("p").alias("own"), F.col("q").alias("to")), F.struct(F.col("q").alias("own"), F.lit(None).cast("int").alias("to")))).alias("e"))
+        ends = ends.groupBy("gp", "gq", "e.own").agg(F.sort_array(F.collect_set("e.to")).alias("to"))
+        left = block.join(ends, "own").select("node", "v", "own", "to", "gp", "gq")
         links = spark.createDataFrame([], "src long, dst long") if edges is None else edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src != dst")
         links = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
         home = lambda c: block.select(F.col("node").alias(c), F.col("own").alias(f"o{c}"))
         links = links.join(home("a"), "a").join(home("b"), "b").select("a", "b", F.least("oa", "ob").alias("p"), F.greatest("oa", "ob").alias("q"))
+        links = links.select("a", "b", "p", "q", group("p", "gp"), group("q", "gq"))
 
-        def run(key: tuple, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("node")
-            parts = [rows[rows["own"] == k] for k in key]
-            names = [p["node"].to_numpy() for p in parts]
-            if not len(names[0]) or not len(names[1]):
-                return pd.DataFrame({"a": [], "b": [], "sim": []})
-            x, y = (_unit(pa.array(p["v"], pa.list_(pa.float64())), width) for p in parts)
-            sim = (x[0] @ y[0].T) / (x[1][:, None] * y[1][None, :])
-            if key[0] == key[1]:
+        def product(names, x, joined, same):
+            sim = (x[0][0] @ x[1][0].T) / (x[0][1][:, None] * x[1][1][None, :])
+            if same:
                 sim[np.tril_indices(len(sim))] = -9
             for a, b in ((joined["a"], joined["b"]), (joined["b"], joined["a"])):
                 i, j = (np.searchsorted(n, c.to_numpy()) for n, c in zip(names, (a, b), strict=True))
@@ -123,14 +130,42 @@ class Blocks:
                 here = (names[0][i] == a) & (names[1][j] == b)
                 sim[i[here], j[here]] = -9
             i, j = np.nonzero(sim >= max(min_sim, -2.0))
-            a, b, s = names[0][i], names[1][j], sim[i, j]
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            if top is not None and len(s) > top:
-                best = np.lexsort((b, a, -np.round(s, 12)))[:top]
-                a, b, s = a[best], b[best], s[best]
+            a, b = names[0][i], names[1][j]
+            return np.minimum(a, b), np.maximum(a, b), sim[i, j]
+
+        def run(key: tuple, rows: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
+            parts = {k: r.sort_values("node") for k, r in rows.groupby("own")}
+            near = dict(list(joined.groupby(["p", "q"])))
+            names = {k: r["node"].to_numpy() for k, r in parts.items()}
+            unit = {k: _unit(pa.array(r["v"], pa.list_(pa.float64())), width) for k, r in parts.items()}
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            found = [best]
+            for p, r in parts.items():
+                for q in r["to"].iloc[0]:
+                    if q not in parts:
+                        continue
+                    found.append(product((names[p], names[q]), (unit[p], unit[q]), near.get((p, q), joined.iloc[:0]), p == q))
+                    if top is not None:
+                        best = _strongest(*(np.concatenate([x, y]) for x, y in zip(best, found.pop(), strict=True)), top, per_node)
+            a, b, s = best if top is not None else (np.concatenate(x) for x in zip(*found, strict=True))
             return pd.DataFrame({"a": a, "b": b, "sim": s})
 
-        return left.groupBy("p", "q").cogroup(links.groupBy("p", "q")).applyInPandas(run, "a long, b long, sim double")
+        return left.groupBy("gp", "gq").cogroup(links.groupBy("gp", "gq")).applyInPandas(run, "a long, b long, sim double")
+
+
+def _strongest(a: np.ndarray, b: np.ndarray, s: np.ndarray, top: int, per_node: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first `top` pairs in order, after those are gone that are not among an end's first `per_node`."""
+    if len(s) > top or per_node is not None:
+        at = np.lexsort((b, a, -np.round(s, 12)))
+        if per_node is not None:
+            ends = np.stack([a[at], b[at]], 1).ravel()
+            by = np.argsort(ends, kind="stable")
+            new = np.flatnonzero(np.diff(ends[by], prepend=ends[by][:1] - 1))
+            rank = np.empty(len(ends), np.int64)
+            rank[by] = np.arange(len(ends)) - np.repeat(new, np.diff(new, append=len(ends)))
+            at = at[(rank.reshape(-1, 2) < per_node).all(1)]
+        a, b, s = a[at[:top]], b[at[:top]], s[at[:top]]
+    return a, b, s
 
 
 def pair_cosines(vectors: DataFrame, edges: DataFrame | None = None, min_sim: float = -2.0) -> DataFrame:
@@ -144,13 +179,14 @@ def pair_cosines(vectors: DataFrame, edges: DataFrame | None = None, min_sim: fl
     return blocks.solve(blocks.pairs.where(F.col("most") >= min_sim), edges, min_sim, None)
 
 
-def strongest_pairs(vectors: DataFrame, edges: DataFrame, count: int, min_sim: float) -> tuple[DataFrame, dict[str, int]]:
+def strongest_pairs(vectors: DataFrame, edges: DataFrame, count: int, min_sim: float, per_node: int | None = None) -> tuple[DataFrame, dict[str, int]]:
     """The `count` strongest pairs that no edge joins, of at least `min_sim`, as `similar_links` orders
     them, and how many pairs of blocks there are and were solved.
 
     The pairs of blocks that may hold the strongest go first; each round's weakest listed
     pair is the bound below which the next round's pairs of blocks are skipped, and rounds
-    take four times as many as the one before.
+    take four times as many as the one before. With `per_node`, pairs that are not among the first
+    so many of both ends, by all that is known by then, are not listed.
     """
     blocks = Blocks(vectors)
     total = blocks.pairs.count()
@@ -164,8 +200,12 @@ def strongest_pairs(vectors: DataFrame, edges: DataFrame, count: int, min_sim: f
         if not some:
             break  # they come in order of what they can reach
         solved += some
-        found = blocks.solve(now.select("p", "q"), edges, min_sim, count)
-        best = materialise((found if best is None else best.union(found)).orderBy(*place).limit(count), "vectors-best")
+        found = blocks.solve(now.select("p", "q"), edges, least - 1e-9 if least > min_sim else min_sim, count, per_node)
+        if per_node is None:
+            best = found if best is None else best.union(found)
+        else:
+            best = _first_of_ends(materialise(found if best is None else best.union(found), "vectors-found"), per_node)
+        best = materialise(best.orderBy(*place).limit(count), "vectors-best")
         if count and best.count() == count:
             least = max(min_sim, best.agg(F.min("sim")).first()[0])
         start, size = start + size, 4 * size
@@ -174,6 +214,14 @@ def strongest_pairs(vectors: DataFrame, edges: DataFrame, count: int, min_sim: f
     return best.orderBy(*place), {"pairs": total, "solved": solved}
 
 
+def _first_of_ends(pairs: DataFrame, per_node: int) -> DataFrame:
+    """Of pairs (a, b, sim) those that are, at both ends, among the node's first `per_node`."""
+    key = F.struct((-F.round("sim", 12)).alias("s"), "a", "b")
+    ends = pairs.select("a", "b", "sim", key.alias("k"), F.explode(F.array("a", "b")).alias("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("k"))
+    return ends.withColumn("_rank", rank).where(F.col("_rank") <= per_node).groupBy("a", "b").agg(F.max("sim").alias("sim"), F.count("*").alias("_n")).where("_n = 2").select("a", "b", "sim")
+
+
 def _within_quota(pairs: DataFrame, per_node: int) -> DataFrame:
     """Of pairs (a, b, sim) those that a greedy pass down the list takes, a pair if both its nodes are in fewer
     than `per_node` taken before: in rounds, each takes the pairs that are, at both ends, among as
@@ -202,7 +250,14 @@ def similar_links(vectors: DataFrame, edges: DataFrame, count: int = COUNT, min_
     """
     if not per_node:
         return strongest_pairs(vectors, edges, count, min_sim)[0]
-    kept = _within_quota(pair_cosines(vectors, edges, min_sim), per_node)
+    if not count:
+        return strongest_pairs(vectors, edges, 0, min_sim)[0]
+    # Of the first `count` pairs taken at most `full` nodes are full. A pair that has `full` + `per_node` before it
+    # at one end is not taken: the partners of those not taken were full. And each pair passed over has a full
+    # node, which is in so many of the rest. So the pairs taken are among these strongest ones.
+    full = 2 * count // per_node
+    each = full + per_node
+    kept = _within_quota(strongest_pairs(vectors, edges, count + full * each, min_sim, each)[0], per_node)
     return kept.orderBy(F.round("sim", 12).desc(), "a", "b").limit(count)
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.operators import metric, systems
+from quillon.operators import metric, systems, vectors
 
 
 def test_energy_of_two_bodies_in_one_place(spark):
@@ -63,3 +63,34 @@ def test_feeds_without_caps(spark, many_suppliers, query):
         c.execute(f"create view supplier as select * from '{many_suppliers}/supplier.parquet'")
         want = sorted(map(str, c.execute(f"select {', '.join(f'"{x}"' for x in got.columns)} from ({plans.oracle_sql()[query]})").fetchall()))
     assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_quota_among_hubs_and_copies_is_the_greedy_pass(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    x[20:60] = x[7] + rng.normal(size=(40, 3)) * 1e-3  # one hub's neighbours
+    x[60:100] = x[11]  # copies, all ties
+    rows = spark.createDataFrame([(k, [float(z) for z in v]) for k, v in enumerate(x)], "node long, v array<double>")
+    edges = spark.createDataFrame([(0, 60, 61)], "edge_id long, src long, dst long")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 12)
+    pairs = sorted((-sim[a, b], a, b) for a in range(120) for b in range(a + 1, 120) if sim[a, b] >= 0.2 and (a, b) != (60, 61))
+    for count, quota in ((12, 1), (9, 2)):
+        used, want = np.zeros(120, int), []
+        for _, a, b in pairs:
+            if len(want) < count and used[a] < quota and used[b] < quota:
+                used[[a, b]] += 1
+                want.append((a, b))
+        got = vectors.similar_links(rows, edges, count, 0.2, quota).collect()
+        assert [(r.a, r.b) for r in got] == want
+
+
+def test_rows_go_once_to_each_group_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "GROUPS", 3)
+    x = np.random.default_rng(6).normal(size=(90, 4))
+    blocks = vectors.Blocks(spark.createDataFrame([(k, [float(z) for z in v]) for k, v in enumerate(x)], "node long, v array<double>"))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.a, r.b): r.sim for r in blocks.solve(blocks.pairs, None, -2.0, None).collect()}
+    assert len(got) == 90 * 89 // 2 and blocks.count > 3
+    assert all(abs(s - unit[a] @ unit[b]) < 1e-12 for (a, b), s in got.items())
