@@ -87,11 +87,19 @@ def look_up(spark: SparkSession, index: TextIndex, wanted: list[str] | DataFrame
 
 def search(spark: SparkSession, index: TextIndex, queries: DataFrame) -> DataFrame:
     """(query, id): the documents that hold all words of each query (query, text), by an equi-join of
-    postings and counts of the words met. A query without words finds nothing."""
+    words and lists. A query without words finds nothing.
+
+    Only blocks in which each of a query's words has a list are read for it, and the lists of a query in a block, of at
+    most `BLOCK` ids each, meet in one row; so no task holds more than some words' lists of a block.
+    """
     words = queries.where("query is not null").select("query", F.explode(terms(F.col("text"))).alias("term")).distinct()
     words = materialise(words, "index-words")
     need = words.groupBy("query").agg(F.count("*").alias("need"))
     postings, ids = index.read(spark)
     asked = words.withColumn("shard", index.shard_of(F.col("term")))
-    met = postings.join(asked, ["shard", "term"]).select("query", F.explode("ids").alias("pos")).groupBy("query", "pos").agg(F.count("*").alias("met"))
-    return met.join(need, "query").where("met = need").join(ids, "pos").select("query", "id")
+    hits = postings.join(asked, ["shard", "term"])
+    full = hits.groupBy("query", "block").agg(F.count("*").alias("met")).join(need, "query").where("met = need").select("query", "block")
+    full = materialise(full, "index-blocks")
+    lists = hits.join(full, ["query", "block"]).groupBy("query", "block").agg(F.sort_array(F.collect_list(F.struct(F.size("ids").alias("n"), "ids"))).alias("l"))
+    both = F.aggregate(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1)), F.get("l", F.lit(0))["ids"], lambda a, x: F.array_intersect(a, x["ids"]))
+    return lists.select("query", F.explode(both).alias("pos")).join(ids, "pos").select("query", "id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon import plans
 from quillon.operators import metric, systems, vectors
+from quillon.sources import text_index
 
 
 def test_energy_of_two_bodies_in_one_place(spark):
@@ -109,3 +110,16 @@ def test_bodies_pull_in_blocks_and_not_from_one_place(monkeypatch):
     for cells in (1, 100, 1 << 17):
         monkeypatch.setattr(systems, "CELLS", cells)
         assert np.allclose(systems._accelerate(x, m, 1e-3), want, rtol=1e-12, atol=0)
+
+
+def test_search_meets_lists_of_each_block(spark, monkeypatch):
+    monkeypatch.setattr(text_index, "BLOCK", 8)
+    docs = [(k, " ".join(w for w, p in (("two", 2), ("three", 3), ("seven", 7), ("late", 1)) if k % p == 0 and (w != "late" or k > 60))) for k in range(70)]
+    index = text_index.build(spark.createDataFrame(docs, "doc_id long, text string"))
+    asked = [(1, "two THREE two"), (2, "three seven late"), (3, "two none"), (4, "late"), (5, "")]
+    found = text_index.search(spark, index, spark.createDataFrame(asked, "query long, text string"))
+    want = [(q, k) for q, text in asked for k, words in docs if text and set(text.lower().split()) <= set(words.split())]
+    assert sorted((r.query, r.id) for r in found.collect()) == want
+    # No step counts pairs of a query and a document: what is grouped are blocks.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query" in plan and not any("Aggregate" in line and "pos" in line for line in plan.splitlines())
