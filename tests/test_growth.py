@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.operators import metric, systems, vectors
+from quillon.operators import graph, metric, systems, vectors
 from quillon.sources import text_index
 
 
@@ -123,3 +123,50 @@ def test_search_meets_lists_of_each_block(spark, monkeypatch):
     # No step counts pairs of a query and a document: what is grouped are blocks.
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [query" in plan and not any("Aggregate" in line and "pos" in line for line in plan.splitlines())
+
+
+def test_curvature_of_a_larger_graph_takes_no_pairs_of_nodes(spark, monkeypatch):
+    """Beyond a broadcast, links are solved by blocks: neither hops nor paths of pairs are searched for."""
+
+    def none(*a, **k):
+        raise AssertionError("pairs")
+
+    monkeypatch.setattr(graph, "hop_distances", none)
+    monkeypatch.setattr(metric, "paths_within", none)
+    monkeypatch.setattr(metric, "BLOCK", 8)
+    monkeypatch.setattr(metric, "BLOCK_MOST", 12)
+    rng = np.random.default_rng(4)
+    n = 90
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(i, i + 1) for i in range(0, n - 1, 3)] + [tuple(map(int, p)) for p in rng.integers(0, n, (25, 2))] + [(7, i) for i in range(0, n, 9)]
+    lengths = rng.choice([0.5, 1.0, 2.0], len(pairs)).tolist()
+    nodes = spark.range(n).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(k, *p, x) for k, (p, x) in enumerate(zip(pairs, lengths, strict=True))], "edge_id long, src long, dst long, length double")
+    named = lambda c: F.format_string("n%03d", c).alias(c)
+    text = nodes.select(named("node")), edges.select("edge_id", named("src"), named("dst"), "length")
+    for by_length in (False, True):
+        want = {r.edge_id: r.kappa for r in metric.curvature(nodes, edges, lengths=by_length).collect()}
+        for at in ((nodes, edges), text) if by_length else (text,):
+            got = {r.edge_id: r.kappa for r in metric.curvature(*at, lengths=by_length, dense=0).collect()}
+            assert got == pytest.approx(want, abs=1e-9) and len(got) == len(pairs)
+
+
+def test_components_of_a_long_path_need_few_rounds(spark, monkeypatch):
+    """Rounds of labels once grew with the diameter of a graph in no order."""
+    written, materialise = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    n = 600
+    name = np.random.default_rng(6).permutation(n).tolist()
+    nodes = spark.range(2 * n).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(i, name[i], name[i + 1]) for i in range(n - 1)] + [(n + i, n + i, n + i + 1) for i in range(5)], "edge_id long, src long, dst long")
+    got = {r.node: r.component for r in graph.components(nodes, edges, 0).collect()}
+    assert got == {i: 0 if i < n else n if i <= n + 5 else i for i in range(2 * n)}
+    assert len(written) < 50
+
+
+def test_clusters_are_neighbours_and_bounded(spark):
+    n = 2000
+    links = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst")).union(spark.range(1, 900).select(F.lit(n).alias("src"), (F.col("id") + n).alias("dst")))
+    got = graph.clusters(links, 20, 50).toPandas()
+    assert sorted(got.node) == list(range(n + 900)) and got.groupby("cluster").size().max() < 100
+    ring = got[got.node < n].sort_values("node").cluster.to_numpy()
+    assert (ring != np.roll(ring, 1)).sum() < n / 4
