@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.operators import graph, metric, systems, vectors
+from quillon.operators import communities, graph, metric, systems, vectors
+from quillon.plans import more
 from quillon.sources import text_index
 
 
@@ -170,3 +171,19 @@ def test_clusters_are_neighbours_and_bounded(spark):
     assert sorted(got.node) == list(range(n + 900)) and got.groupby("cluster").size().max() < 100
     ring = got[got.node < n].sort_values("node").cluster.to_numpy()
     assert (ring != np.roll(ring, 1)).sum() < n / 4
+
+
+def test_hosts_of_notes_number_no_links(spark, sf, monkeypatch):
+    """The hosts once waited for all pairs of stars to be written and numbered."""
+    want = communities.notes_graph(*more._notes(spark, sf))[2].count()
+
+    def none(*a, **k):
+        raise AssertionError("numbered")
+
+    monkeypatch.setattr(communities.order, "numbered", none)
+    got = plans.queries()["notes_hosts"](spark, sf)
+    assert got.count() == want > 0
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(plans.oracle_sql()["notes_hosts"]).fetchall())
