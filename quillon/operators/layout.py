@@ -17,8 +17,9 @@ from quillon.session import materialise, ship
 #: The shift under which the matrix is inverted, the change of a unit vector at
 #: which iteration ends, its most steps, the seed's distance to the third mode's stream.
 SHIFT, TOLERANCE, STEPS, DEPTH_SEED = 1e-3, 1e-8, 200, 1_000_000
-#: Most nodes of a component that is inverted as a dense matrix; most steps in a Krylov space.
-DENSE, LANCZOS = 1200, 120
+#: Most nodes of a component that is inverted as a dense matrix; most steps in a Krylov space, and the
+#: shift there, far below the eigenvalues that are told apart.
+DENSE, LANCZOS, NEAR = 1200, 120, 1e-10
 #: Fixed values of packing: the margin between components, the ring of lone nodes, its angle.
 MARGIN, RING, GOLDEN = 1.0, 0.6, 2.399963229728653
 #: Strengths of the spring layout, its damping, and the cap of speed with what a
@@ -59,28 +60,78 @@ def modes(laplacian: np.ndarray, degree: np.ndarray, start: list[list[float]]) -
 
 
 class Sparse:
-    """A connected graph's normalised Laplacian plus `SHIFT` as rows of entries, and solutions with it."""
+    """A connected graph's normalised Laplacian plus a shift as links and grounds, and solutions with it: `SHIFT` where
+    parallel links are, else `NEAR`.
+
+    Nodes of at most two neighbours are eliminated in rounds of nodes apart, whatever the number of nodes, without
+    differences of like numbers: links and grounds stay positive. Conjugate gradients solve what is left."""
 
     def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int):
         key = row * n + col
         last = len(key) - 1 - np.unique(key[::-1], return_index=True)[1]  # of parallel links one counts
-        last = last[np.argsort(key[last])]
-        self.col, self.val, self.n = col[last], val[last], n
-        self.start = np.searchsorted(row[last], np.arange(n))
-        self.diagonal = np.bincount(row[last], np.where(row[last] == col[last], self.val, 0.0), n) + SHIFT
+        self.row, self.col, self.val, self.n = row[last], col[last], val[last], n
 
-    def times(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.val * x[self.col], self.start) + SHIFT * x
+    def factor(self, root: np.ndarray) -> None:
+        """Links between unlike nodes and grounds of root times matrix times root, eliminated."""
+        n, up, own = self.n, self.row < self.col, self.row == self.col
+        a, b, g = self.row[up], self.col[up], -self.val[up] * root[self.row[up]] * root[self.col[up]]
+        ground = np.bincount(self.row[own], self.val[own], n) * root**2 - np.bincount(a, g, n) - np.bincount(b, g, n)
+        ground = np.where(ground > 1e-9 * root**2, ground, 0.0)
+        # With parallel links the roots are no eigenvector, and what is found clear of them depends on the shift.
+        ground += (SHIFT if ground.any() else NEAR) * root**2
+        turn, alive = np.random.default_rng(0).permutation(n), np.ones(n, bool)
+        self.root, self.rounds, left = root, [], n
+        while left:
+            few = alive & (np.bincount(a, minlength=n) + np.bincount(b, minlength=n) <= 2)
+            both = few[a] & few[b]
+            few[np.where(turn[a[both]] > turn[b[both]], a[both], b[both])] = False
+            gone = np.flatnonzero(few)
+            if not len(gone) or len(gone) < left // 100:
+                break
+            near, weight = np.repeat(gone[:, None], 2, axis=1), np.zeros((len(gone), 2))
+            place = np.searchsorted(gone, np.concatenate([a[few[a]], b[few[b]]]))
+            to, by = np.concatenate([b[few[a]], a[few[b]]]), np.concatenate([g[few[a]], g[few[b]]])
+            order_ = np.argsort(place, kind="stable")
+            place, to, by = place[order_], to[order_], by[order_]
+            side = np.arange(len(place)) - np.searchsorted(place, place)
+            near[place, side], weight[place, side] = to, by
+            total = weight.sum(1) + ground[gone]
+            self.rounds.append((gone, near, weight / total[:, None], total))
+            np.add.at(ground, near, weight * (ground[gone] / total)[:, None] * (weight > 0))
+            keep, two = ~(few[a] | few[b]), (weight > 0).all(1)
+            p, q = near[two].min(1), near[two].max(1)
+            a, b, g = np.concatenate([a[keep], p]), np.concatenate([b[keep], q]), np.concatenate([g[keep], weight[two].prod(1) / total[two]])
+            key, at = np.unique(a * n + b, return_inverse=True)
+            a, b, g = key // n, key % n, np.bincount(at, g, len(key))
+            alive[gone] = False
+            left -= len(gone)
+        self.core = np.flatnonzero(alive)
+        a, b, k = np.searchsorted(self.core, a), np.searchsorted(self.core, b), np.arange(left)
+        self.diagonal = ground[self.core] + np.bincount(a, g, left) + np.bincount(b, g, left)
+        row, col, val = np.concatenate([a, b, k]), np.concatenate([b, a, k]), np.concatenate([-g, -g, self.diagonal])
+        by = np.argsort(row, kind="stable")
+        self._to, self._by, self._start = col[by], val[by], np.searchsorted(row[by], k)
 
     def solve(self, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """By conjugate gradients from a first guess."""
-        r = b - self.times(x)
+        """From a first guess, which counts where nodes were not eliminated."""
+        c, y = b * self.root, x / self.root
+        for gone, near, share, _ in self.rounds:
+            np.add.at(c, near, share * c[gone][:, None] * (share > 0))
+        if len(self.core):
+            y[self.core] = self._gradients(c[self.core], y[self.core])
+        for gone, near, share, total in reversed(self.rounds):
+            y[gone] = c[gone] / total + (share * np.where(share > 0, y[near], 0.0)).sum(1)
+        return y * self.root
+
+    def _gradients(self, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+        times = lambda v: np.add.reduceat(self._by * v[self._to], self._start)
+        r = b - times(x)
         z = r / self.diagonal
         p, rz, least = z.copy(), r @ z, 1e-13 * np.linalg.norm(b)
-        for _ in range(20 * self.n + 100):
+        for _ in range(20 * len(b) + 100):
             if np.linalg.norm(r) <= least:
                 break
-            q = self.times(p)
+            q = times(p)
             a = rz / (p @ q)
             x, r = x + a * p, r - a * q
             z = r / self.diagonal
@@ -95,15 +146,17 @@ def sparse_modes(matrix: Sparse, degree: np.ndarray, start: list[list[float]]) -
     steps with all vectors kept orthogonal."""
     root = np.sqrt(degree)
     basis = [root / np.linalg.norm(root)]
+    matrix.factor(root)
     for draws in start:
         fixed = np.array(basis)
         clear = lambda v, f=fixed: v - f.T @ (f @ v)
         v = clear(clear(np.array(draws) - 0.5))
-        kept, alpha, beta, best = [v / (np.linalg.norm(v) or 1.0)], [], [], None
+        room, alpha, beta, best = np.empty((8, matrix.n)), [], [], None
+        room[0] = v / (np.linalg.norm(v) or 1.0)
         for k in range(min(LANCZOS, matrix.n)):
-            w = clear(matrix.solve(kept[-1], kept[-1] / SHIFT if k == 0 else kept[-1] * alpha[-1]))
-            alpha.append(float(w @ kept[-1]))
-            space = np.array(kept)
+            space = room[: k + 1]
+            w = clear(matrix.solve(room[k], room[k] * (alpha[-1] if k else 1.0)))
+            alpha.append(float(w @ room[k]))
             for _ in range(2):
                 w = clear(w - space.T @ (space @ w))
             beta.append(float(np.linalg.norm(w)))
@@ -111,8 +164,10 @@ def sparse_modes(matrix: Sparse, degree: np.ndarray, start: list[list[float]]) -
             best = vectors[:, -1]
             if beta[-1] * abs(best[-1]) <= 1e-11 * values[-1] or beta[-1] <= 1e-13 * values[-1]:
                 break
-            kept.append(w / beta[-1])
-        v = np.array(kept[: len(best)]).T @ best
+            if k + 1 == len(room):
+                room = np.concatenate([room, np.empty((min(len(room), LANCZOS), matrix.n))])
+            room[k + 1] = w / beta[-1]
+        v = room[: len(best)].T @ best
         basis.append(v / np.linalg.norm(v))
     out = []
     for v in basis[1:]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
-from quillon.operators import communities, graph, metric, systems, vectors
+from quillon.operators import communities, graph, layout, metric, systems, vectors
 from quillon.plans import more
 from quillon.sources import text_index
 
@@ -187,3 +187,16 @@ def test_hosts_of_notes_number_no_links(spark, sf, monkeypatch):
     for t in ("part", "lineitem"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(plans.oracle_sql()["notes_hosts"]).fetchall())
+
+
+def test_modes_of_a_long_chain_are_cosines():
+    """Under the shift of small graphs, a long chain's first modes were not told apart."""
+    n, name = 8000, np.random.default_rng(8).permutation(8000)
+    a, b = name[:-1], name[1:]
+    degree = np.bincount(np.concatenate([a, b]), minlength=n).astype(float)
+    row, col, val = np.concatenate([a, b, np.arange(n)]), np.concatenate([b, a, np.arange(n)]), np.concatenate([*[-1 / np.sqrt(degree[a] * degree[b])] * 2, np.ones(n)])
+    start = [np.random.default_rng(k).random(n).tolist() for k in range(3)]
+    got = layout.sparse_modes(layout.Sparse(row, col, val, n), degree, start)
+    for k, u in enumerate(got):
+        want = np.cos(np.pi * (k + 1) * np.arange(n) / (n - 1))
+        assert abs(want @ u[name]) / np.linalg.norm(want) == pytest.approx(1, abs=1e-9)
