@@ -84,6 +84,24 @@ def test_hops_of_all_pairs_equal_bfs(spark):
         assert {(r.src, r.dst): r.hops for r in got} == {k: v for k, v in want.items() if limit is None or v <= limit}
 
 
+def test_hops_of_components_in_tasks_and_by_joins(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_SOURCES", 3)
+    monkeypatch.setattr(graph, "SEARCH_LINKS", 4)
+    links = [(k, k + 1) for k in range(20)] + [(30, 31), (31, 32), (32, 30), (40, 99), (99, 41), (50, 51)]
+    names = [*range(21), 30, 31, 32, 40, 41, 50, 51, 60, 60]
+    nodes = spark.createDataFrame([(n,) for n in names], "node int")
+    edges = spark.createDataFrame([(k, *x) for k, x in enumerate(links)], "edge_id long, src int, dst int")
+    want = {k: v for k, v in bfs([*names, 99], links).items() if k[0] != 99}
+    joined, joins = [], graph._hops_by_joins
+    monkeypatch.setattr(graph, "_hops_by_joins", lambda own, *rest: joined.append(own.count()) or joins(own, *rest))
+    for dense, task, by in ((graph.DENSE_LINKS, 0, []), (0, graph.TASK_LINKS, []), (0, 10, [21]), (0, 0, [28])):
+        got = graph.hop_distances(nodes, edges, None, dense, task)
+        assert dict(got.dtypes) == {"src": "int", "dst": "int", "hops": "int"}
+        rows = list(map(tuple, got.collect()))
+        assert len(rows) == len(want) and {(a, b): h for a, b, h in rows} == want and joined == by
+        joined.clear()
+
+
 def test_hop_distances_go_to_the_last_hop(spark, tmp_path):
     spark.range(6).selectExpr("1L as l_orderkey", "cast(id as int) as l_linenumber", "id as l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.range(7).selectExpr("id as p_partkey").write.parquet(f"{tmp_path}/part.parquet")
