@@ -189,6 +189,21 @@ def test_hosts_of_notes_number_no_links(spark, sf, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(plans.oracle_sql()["notes_hosts"]).fetchall())
 
 
+def test_links_of_notes_move_as_numbers(spark, sf, monkeypatch):
+    """All pairs of stars once went with their ids through three shuffles and a written table; now none is numbered or written."""
+    rows, numbered = [], communities.order.running_total
+    monkeypatch.setattr(communities.order, "running_total", lambda df, *a: rows.append(df.count()) or numbered(df, *a))
+    got = plans.queries()["notes_links"](spark, sf)
+    found = sorted(map(tuple, got.collect()))
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(plans.oracle_sql()["notes_links"]).fetchall()
+    assert found == sorted(want)
+    lines = con.sql("select count(*) from lineitem").fetchall()[0][0]
+    assert len(want) > lines > max(rows)
+
+
 def test_modes_of_a_long_chain_are_cosines():
     """Under the shift of small graphs, a long chain's first modes were not told apart."""
     n, name = 8000, np.random.default_rng(8).permutation(8000)
