@@ -228,3 +228,20 @@ def test_modes_of_a_long_chain_are_cosines():
     for k, u in enumerate(got):
         want = np.cos(np.pi * (k + 1) * np.arange(n) / (n - 1))
         assert abs(want @ u[name]) / np.linalg.norm(want) == pytest.approx(1, abs=1e-9)
+
+
+def test_links_go_once_to_few_tasks(spark, monkeypatch):
+    """All links both ways were written twice and went to every task of a fixed number of sources."""
+    monkeypatch.setattr(graph, "TASK_SOURCES", 3)
+    monkeypatch.setattr(graph, "FEW_TASKS", 2, raising=False)
+    seen, write = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, label: seen.append((label, write(df, label))) or seen[-1][1])
+    n = 40
+    pairs = [(a, b) for a in range(n) for b in range(a + 1, n) if a * b % 7 < 4] + [(50, 51)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(n), 50, 51, 60]], "node long")
+    edges = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "edge_id long, src long, dst long")
+    want = sorted(map(tuple, graph.hop_distances(nodes, edges).collect()))
+    seen.clear()
+    assert sorted(map(tuple, graph.hop_distances(nodes, edges, dense=0).collect())) == want
+    assert all(df.count() < len(pairs) for label, df in seen if label == "links")
+    assert [df for label, df in seen if label == "sources"][-1].select("t").distinct().count() <= 3
