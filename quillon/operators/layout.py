@@ -20,6 +20,9 @@ SHIFT, TOLERANCE, STEPS, DEPTH_SEED = 1e-3, 1e-8, 200, 1_000_000
 #: Most nodes of a component that is inverted as a dense matrix; most steps in a Krylov space, and the
 #: shift there, far below the eigenvalues that are told apart.
 DENSE, LANCZOS, NEAR = 1200, 120, 1e-10
+#: Fewest nodes that elimination leaves where modes are found together; vectors beside them, most steps, and what
+#: the residual may be as a share of the gap to the next mode.
+TOGETHER, GUARDS, MOST, CLOSE = 1 << 13, 2, 200, 1e-8
 #: Fixed values of packing: the margin between components, the ring of lone nodes, its angle.
 MARGIN, RING, GOLDEN = 1.0, 0.6, 2.399963229728653
 #: Strengths of the spring layout, its damping, and the cap of speed with what a
@@ -78,7 +81,8 @@ class Sparse:
         ground = np.bincount(self.row[own], self.val[own], n) * root**2 - np.bincount(a, g, n) - np.bincount(b, g, n)
         ground = np.where(ground > 1e-9 * root**2, ground, 0.0)
         # With parallel links the roots are no eigenvector, and what is found clear of them depends on the shift.
-        ground += (SHIFT if ground.any() else NEAR) * root**2
+        self.grounded = bool(ground.any())
+        ground += (SHIFT if self.grounded else NEAR) * root**2
         turn, alive = np.random.default_rng(0).permutation(n), np.ones(n, bool)
         self.root, self.rounds, left = root, [], n
         while left:
@@ -110,15 +114,15 @@ class Sparse:
         self.diagonal = ground[self.core] + np.bincount(a, g, left) + np.bincount(b, g, left)
         row, col, val = np.concatenate([a, b, k]), np.concatenate([b, a, k]), np.concatenate([-g, -g, self.diagonal])
         by = np.argsort(row, kind="stable")
-        self._to, self._by, self._start = col[by], val[by], np.searchsorted(row[by], k)
+        self._row, self._to, self._by, self._start = row[by], col[by], val[by], np.searchsorted(row[by], k)
 
-    def solve(self, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """From a first guess, which counts where nodes were not eliminated."""
+    def solve(self, b: np.ndarray, x: np.ndarray, core: Callable | None = None) -> np.ndarray:
+        """From a first guess, which counts where nodes were not eliminated; `core` may solve these another way."""
         c, y = b * self.root, x / self.root
         for gone, near, share, _ in self.rounds:
             np.add.at(c, near, share * c[gone][:, None] * (share > 0))
         if len(self.core):
-            y[self.core] = self._gradients(c[self.core], y[self.core])
+            y[self.core] = core(c[self.core]) if core else self._gradients(c[self.core], y[self.core])
         for gone, near, share, total in reversed(self.rounds):
             y[gone] = c[gone] / total + (share * np.where(share > 0, y[near], 0.0)).sum(1)
         return y * self.root
@@ -140,14 +144,142 @@ class Sparse:
         return x
 
 
-def sparse_modes(matrix: Sparse, degree: np.ndarray, start: list[list[float]]) -> np.ndarray:
+class Levels:
+    """A matrix of links and grounds, symmetric, on coarser and coarser nodes: pairs by strongest links, twice a level."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, least: int = 800):
+        self.levels, self.joint, self.last = [], [], None
+        while True:
+            by = np.argsort(row, kind="stable")
+            row, col, val = row[by], col[by], val[by]
+            self.levels.append((n, col, val, np.searchsorted(row, np.arange(n)), np.bincount(row, np.where(row == col, val, 0.0), n)))
+            if n <= least:
+                break
+            joint, size = np.arange(n), n
+            for _ in range(2):
+                names, to = np.unique(self._pairs(row, col, -val, n), return_inverse=True)
+                n = len(names)
+                key, at = np.unique(to[row] * n + to[col], return_inverse=True)
+                joint, row, col, val = to[joint], key // n, key % n, np.bincount(at, val, len(key))
+            if n > 0.9 * size:
+                break
+            self.joint.append(joint)
+        n, col, val, start, _ = self.levels[-1]
+        if n <= 4 * least:
+            full = np.zeros((n, n))
+            full[np.repeat(np.arange(n), np.diff(np.append(start, len(col)))), col] = val
+            self.last = np.linalg.inv(full)
+
+    @staticmethod
+    def _pairs(row: np.ndarray, col: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """The smaller node of each pair that choose each other, in some rounds; ties are broken alike on both ends."""
+        mate, keep = np.full(n, -1), row != col
+        for k in range(4):
+            row, col, weight = row[keep], col[keep], weight[keep]
+            if not len(row):
+                break
+            mixed = (np.minimum(row, col) * 2654435761 + np.maximum(row, col) * 40503 + k * 97) % 1000003
+            by = np.lexsort((weight * (1 + mixed / 1e9), row))
+            last = np.append(np.flatnonzero(np.diff(row[by])), len(by) - 1)
+            best = np.full(n, -1)
+            best[row[by][last]] = col[by][last]
+            i = np.flatnonzero(best >= 0)
+            i = i[best[best[i]] == i]
+            mate[i] = best[i]
+            keep = (mate[row] < 0) & (mate[col] < 0)
+        return np.where(mate >= 0, np.minimum(np.arange(n), mate), np.arange(n))
+
+    def times(self, v: np.ndarray, k: int = 0) -> np.ndarray:
+        _, col, val, start, _ = self.levels[k]
+        return np.add.reduceat(val * v[col], start)
+
+    def cycle(self, b: np.ndarray, k: int = 0) -> np.ndarray:
+        """Roughly the solution: smoothed, corrected on the coarser level (twice below the first) and smoothed."""
+        diagonal = self.levels[k][4]
+        if k == len(self.joint):
+            return b / diagonal if self.last is None else self.last @ b
+        x = 0.7 * b / diagonal
+        for _ in range(1 if k == 0 else 2):
+            r = np.bincount(self.joint[k], b - self.times(x, k), self.levels[k + 1][0])
+            x = x + self.cycle(r, k + 1)[self.joint[k]]
+        return x + 0.7 * (b - self.times(x, k)) / diagonal
+
+    def halved(self, b: np.ndarray, left: float = 0.5) -> np.ndarray:
+        """Conjugate gradients until half of the residual is gone, or all but a share."""
+        x, r = np.zeros(len(b)), b
+        z = self.cycle(r)
+        p, rz, least = z, r @ z, left * np.linalg.norm(b)
+        for _ in range(500):
+            if np.linalg.norm(r) <= least:
+                break
+            q = self.times(p)
+            a = rz / (p @ q)
+            x, r = x + a * p, r - a * q
+            z = self.cycle(r)
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        return x
+
+
+def modes_together(matrix: Sparse, t: np.ndarray, start: list[list[float]]) -> np.ndarray | None:
+    """The vectors to which inverse iterations clear of `t` tend, all at once, or None where they are not told apart
+    or not found within `MOST` steps. With M the shifted matrix, x = M z is clear of t and z' M M z / z' M z least; a
+    step takes the best of the vectors, of rough solutions for their residuals, and of the last moves."""
+    n, want, k = matrix.n, len(start), len(start) + GUARDS
+    by = np.argsort(matrix.row, kind="stable")
+    to, val, first = matrix.col[by], matrix.val[by], np.searchsorted(matrix.row[by], np.arange(n))
+    shift = SHIFT if matrix.grounded else NEAR
+    times = lambda rows: np.array([np.add.reduceat(val * v[to], first) + shift * v for v in rows])
+    levels = Levels(matrix._row, matrix._to, matrix._by, len(matrix.core))
+    clear_of, along = (times([t])[0], matrix.solve(t, t, lambda b: levels.halved(b, 1e-3))) if matrix.grounded else (t, t)
+    rough = lambda rows: np.array([matrix.solve(v, np.zeros(n), levels.halved) for v in rows])
+    clear = lambda rows: rows - np.outer(rows @ clear_of / (along @ clear_of), along)
+    z = np.array([*[np.array(d) - 0.5 for d in start], *np.random.default_rng(0).random((GUARDS, n)) - 0.5])
+    z = clear(rough(z - np.outer(z @ t, t)))
+    x = times(z)
+    s, y = z, x
+    for _ in range(MOST):
+        while True:
+            scale = 1 / np.linalg.norm(y, axis=1)
+            a, b = (y @ y.T) * np.outer(scale, scale), (s @ y.T) * np.outer(scale, scale)
+            try:
+                c = np.linalg.inv(np.linalg.cholesky(a))
+                break
+            except np.linalg.LinAlgError:  # the last moves, or else the newest vectors, add nothing
+                if len(s) == k:
+                    return None
+                s, y = s[: max(k, len(s) - k)], y[: max(k, len(s) - k)]
+        value, u = np.linalg.eigh(c @ (b + b.T) @ c.T / 2)
+        value, u = value[::-1][:k], (c.T @ u[:, ::-1][:, :k]) * scale[:, None]
+        z, x = u.T @ s, u.T @ y
+        off = x - (z - np.outer(z @ t, t)) / value[:, None]
+        size = np.linalg.norm(off, axis=1)
+        gap = (value[:want] - value[1 : want + 1]) / value[:want]
+        gap = np.minimum(gap, np.append(np.inf, gap[:-1]))
+        done = np.maximum(CLOSE * gap, 1e-12)
+        if (size[:want] <= done).all():
+            return x[:want] / np.linalg.norm(x[:want], axis=1)[:, None] if gap.min() > 1e-6 else None
+        more = np.append(size[:want] > done, np.ones(GUARDS, bool))
+        w = clear(rough(off[more] / size[more][:, None]))
+        moves = u.copy()
+        moves[:k] = 0
+        moved = (moves.T @ s, moves.T @ y) if len(s) > k else (z[:0], x[:0])
+        s, y = np.concatenate([z, w, moved[0]]), np.concatenate([x, times(w), moved[1]])
+    return None
+
+
+def sparse_modes(matrix: Sparse, degree: np.ndarray, start: list[list[float]], together: int = TOGETHER) -> np.ndarray:
     """What `modes` gives, in memory that grows with the links: inverse iteration from a start stays in
     the start's Krylov space, and so does the vector that it tends to, which is found there by Lanczos
-    steps with all vectors kept orthogonal."""
+    steps with all vectors kept orthogonal. Where elimination leaves more than `together` nodes, modes that are told
+    apart, and thus do not hang on the start, are found together."""
     root = np.sqrt(degree)
     basis = [root / np.linalg.norm(root)]
     matrix.factor(root)
-    for draws in start:
+    found = modes_together(matrix, basis[0], start) if len(matrix.core) > together else None
+    if found is not None:
+        basis.extend(found)
+    for draws in start if found is None else ():
         fixed = np.array(basis)
         clear = lambda v, f=fixed: v - f.T @ (f @ v)
         v = clear(clear(np.array(draws) - 0.5))

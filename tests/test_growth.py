@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import plans
+from quillon.functions import draws
 from quillon.operators import communities, graph, layout, metric, systems, vectors
 from quillon.plans import more
 from quillon.sources import text_index
@@ -245,3 +246,24 @@ def test_links_go_once_to_few_tasks(spark, monkeypatch):
     assert sorted(map(tuple, graph.hop_distances(nodes, edges, dense=0).collect())) == want
     assert all(df.count() < len(pairs) for label, df in seen if label == "links")
     assert [df for label, df in seen if label == "sources"][-1].select("t").distinct().count() <= 3
+
+
+@pytest.mark.parametrize("parallel", [True, False])
+def test_modes_of_a_large_component_are_found_together(monkeypatch, parallel):
+    """Each mode once took a Krylov space of its own, with exact solutions by plain gradients for every vector of it."""
+    rng = np.random.default_rng(7)
+    n = 3000
+    places = np.sort(rng.random(n))
+    pairs = [(int(a), int(b)) for k in (6, 9) for by in [np.lexsort((places, rng.integers(0, k, n)))] for a, b in zip(by, by[1:], strict=False)]
+    pairs = list({(min(p), max(p)) for p in pairs}) + (pairs[5:60] if parallel else [])
+    a, b = np.array(pairs).T
+    degree = np.bincount(np.concatenate([a, b]), minlength=n).astype(float)
+    w = -1 / np.sqrt(degree[a] * degree[b])
+    matrix = layout.Sparse(np.concatenate([a, b, np.arange(n)]), np.concatenate([b, a, np.arange(n)]), np.concatenate([w, w, np.ones(n)]), n)
+    start = [draws.stream(3, 0, n), draws.stream(3, n, n), draws.stream(3 + layout.DEPTH_SEED, 0, n)]
+    want = layout.sparse_modes(matrix, degree, start)
+    exact, solve = [], layout.Sparse._gradients
+    monkeypatch.setattr(layout.Sparse, "_gradients", lambda self, *x: exact.append(0) or solve(self, *x))
+    got = layout.sparse_modes(matrix, degree, start, 100)
+    assert len(exact) <= 1
+    assert np.minimum(np.abs(got - want).max(1), np.abs(got + want).max(1)).max() * np.sqrt(n) < 1e-6
